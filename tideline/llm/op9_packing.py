@@ -30,63 +30,40 @@ OPEN_WINDOWS = 16
 #: Partitions whose leftovers one task merges before all groups' leftovers meet.
 MERGE_FAN_IN = 64
 END_ID = 0
-CACHE_PARTS = 250_000
-CACHE_CHARS = 40
-#: Texts of these characters are cut into pre-tokens here; any other text goes to the library whole.
+#: Texts of these characters alone go by the fast encoder: on others the two libraries' Unicode tables may differ.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ]*\Z")
-LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
-DIGIT = "0-9²³¹¼½¾"
-GAP = r"\t\n\r\x20"
-PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^{GAP}{LETTER}{DIGIT}]+|[{GAP}]+(?![^{GAP}])|[{GAP}]+")
 SPECIAL = "<|endoftext|>"
 
 
+def _bytes_of_characters() -> dict[str, int]:
+    """The byte-level alphabet: printable Latin-1 characters are themselves, the rest follow from U+0100."""
+    keep = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in keep]
+    return {chr(b): b for b in keep} | {chr(0x100 + i): b for i, b in enumerate(rest)}
+
+
 class ByteLevelEncoder:
-    """Ids as little-endian unsigned 32-bit bytes, with a bounded cache of pre-tokens."""
+    """Ids as little-endian unsigned 32-bit bytes.
+
+    The vocabulary's merges are in id order, so the ids are also ranks: plain texts are encoded
+    with them, any others by the vocabulary's own library. Both give the same ids.
+    """
 
     def __init__(self, vocabulary: str):
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(vocabulary)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    @staticmethod
-    def _pack(ids: list[int]) -> bytes:
-        return b"".join([i.to_bytes(4, "little") for i in ids])
-
-    def whole(self, text: str) -> bytes:
-        return self._pack(self.library.encode(text, add_special_tokens=False).ids)
+        byte_of = _bytes_of_characters()
+        special = {t.content for t in self.library.get_added_tokens_decoder().values()}
+        ranks = {bytes(map(byte_of.__getitem__, k)): v for k, v in self.library.get_vocab(with_added_tokens=True).items() if k not in special}
+        self.fast = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        if not PLAIN.match(text) or SPECIAL in text:
-            return self.whole(text)
-        parts = PRE_TOKEN.findall(text)
-        out = list(map(self.young.get, parts))
-        if None in out:
-            missing = [i for i, x in enumerate(out) if x is None]
-            new = []
-            for i in missing:
-                p = parts[i]
-                if p in self.young:
-                    out[i] = self.young[p]
-                elif p in self.old:
-                    out[i] = self._keep(p, self.old[p])
-                else:
-                    new.append(i)
-            if new:
-                words = list(dict.fromkeys(parts[i] for i in new))
-                got = {w: self._keep(w, self._pack(e.ids)) for w, e in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False))}
-                for i in new:
-                    out[i] = got[parts[i]]
-        return b"".join(out)
-
-    def _keep(self, part: str, ids: bytes) -> bytes:
-        if len(part) <= CACHE_CHARS:
-            if len(self.young) >= CACHE_PARTS:
-                self.old, self.young = self.young, {}
-            self.young[part] = ids
-        return ids
+        if PLAIN.match(text) and SPECIAL not in text:
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        return b"".join([i.to_bytes(4, "little") for i in self.library.encode(text, add_special_tokens=False).ids])
 
 
 _ENCODERS: dict[str, ByteLevelEncoder] = {}
