@@ -328,16 +328,23 @@ def cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
+def _with_spans(docs: DataFrame, length: int, k: int, hot: int) -> DataFrame:
+    """The rows with one more column, ``_spans``."""
+    spans = repeated_spans(docs, length, k, hot).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
+    return docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left").drop("_id", "_th")
+
+
+def _runs(found) -> list[tuple[int, int]]:
+    return merge([(s["a"], s["b"]) for s in found]) if found else []
+
+
 def dedup(docs: DataFrame, length: int = MIN_LENGTH, k: int = KGRAM, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) of every row: the text without its repeated bytes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    spans = repeated_spans(docs, length, k, hot)
-    both = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").join(spans.withColumnRenamed("doc_id", "id").withColumnRenamed("th", "ih"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("ih")), "left")
 
     def make():
         def one(text: str, found) -> tuple:
-            raw = text.encode("utf-8")
-            runs = merge([(s["a"], s["b"]) for s in found]) if found else []
+            raw, runs = text.encode("utf-8"), _runs(found)
             return len(raw), sum(b - a for a, b in runs), len(runs), cut(raw, runs)
 
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -346,7 +353,25 @@ def dedup(docs: DataFrame, length: int = MIN_LENGTH, k: int = KGRAM, hot: int =
 
         return work
 
-    return C.map_rows(both.select("doc_id", "text", "spans"), make, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    rows = _with_spans(docs.select("doc_id", "text"), length, k, hot)
+    return C.map_rows(rows, make, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def clean(docs: DataFrame, length: int = MIN_LENGTH, k: int = KGRAM, hot: int = HOT) -> DataFrame:
+    """The rows with repeated bytes cut out of ``text``, and characters that a cut has parted; other columns as they are."""
+
+    def make():
+        def work(b: pa.RecordBatch) -> pa.RecordBatch:
+            at = b.schema.get_field_index("text")
+            found = b.column(b.schema.get_field_index("_spans"))
+            if found.null_count < len(found):
+                texts = [t if s is None or t is None else cut(t.encode("utf-8"), _runs(s)).decode("utf-8", "ignore") for t, s in zip(b.column(at).to_pylist(), found.to_pylist())]
+                b = b.set_column(at, "text", pa.array(texts, pa.string()))
+            return b.drop_columns(["_spans"])
+
+        return work
+
+    return C.map_rows(_with_spans(docs, length, k, hot), make, docs.schema)
 
 
 def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

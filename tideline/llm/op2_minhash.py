@@ -185,5 +185,11 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, star_rounds: int
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each group, the one with the smallest id, with all its columns."""
+    gone = C.Scratch(docs.sparkSession, "copies").save(near_duplicates(docs).where("not kept").select("doc_id"))
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(C.read(spark, sf_dir, "documents"))

@@ -19,6 +19,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -133,7 +134,8 @@ def _pack_partition(docs: DataFrame, vocabulary: str, window: int, open_windows:
             n = len(rows)
             cols = [pa.array(doc, id_type), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(total, pa.int64()), pa.array([part] * n, pa.int32()), pa.array(seq, pa.int64()), pa.array(offset, pa.int64()), pa.array([left] * n)]
             if with_ids:
-                cols.append(pa.array([memoryview(x).cast("I").tolist() for x in ids], pa.list_(pa.int32())))
+                flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]), pa.int32()), pa.array(flat)))
             return pa.RecordBatch.from_arrays(cols, names=names)
 
         for batch in batches:
