@@ -1 +1,7 @@
+"""The catalogue of queries."""
 
+from . import risk  # noqa: F401
+from .registry import QUERIES, SQL
+from .risk import risk_scores_current as flagship
+
+__all__ = ["QUERIES", "SQL", "flagship"]
