@@ -1,6 +1,6 @@
 """The catalogue of queries."""
 
-from . import risk  # noqa: F401
+from . import graph, risk  # noqa: F401
 from .registry import QUERIES, SQL
 from .risk import risk_scores_current as flagship
 
