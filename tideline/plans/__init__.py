@@ -1,6 +1,6 @@
 """The catalogue of queries."""
 
-from . import graph, risk, scenario  # noqa: F401
+from . import graph, risk, scenario, supply  # noqa: F401
 from .registry import QUERIES, SQL
 from .risk import risk_scores_current as flagship
 
