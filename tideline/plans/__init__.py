@@ -1,6 +1,6 @@
 """The catalogue of queries."""
 
-from . import graph, intelligence, risk, scenario, supply  # noqa: F401
+from . import graph, intelligence, ml, risk, scenario, supply, text  # noqa: F401
 from .registry import QUERIES, SQL
 from .risk import risk_scores_current as flagship
 
