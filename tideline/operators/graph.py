@@ -39,7 +39,7 @@ def cascade(edges: DataFrame, scores: DataFrame, hops: int = CASCADE_HOPS, floor
     A node takes what reaches it at the smallest hop, there the highest value (then the
     smallest origin); values below ``floor`` don't spread.
     """
-    weight = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("share"))), F.lit(decay))
+    weight = F.when(F.col("share").isNull(), decay).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("share"))))
     links = edges.select("src", "dst", weight.alias("w"))
     links = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.max("w").alias("w"))
     front = scores.where(F.col("score") >= floor).select(F.col("node").alias("origin"), "node", F.col("score").alias("value"))

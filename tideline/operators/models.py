@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 def classifier(rows: DataFrame, columns: list[str], label: str, trees: int = 200, depth: int = 4, rate: float = 0.05, folds: int = 5):
     """(assembler, trees, calibrator): the calibrator is fitted on margins of trees that had not seen the row."""
     data = VectorAssembler(inputCols=columns, outputCol="x").transform(rows).withColumn("_fold", F.pmod(F.xxhash64(*columns), F.lit(folds))).select("x", F.col(label).cast("double").alias("y"), "_fold").cache()
-    make = lambda: GBTClassifier(featuresCol="x", labelCol="y", maxIter=trees, maxDepth=depth, stepSize=rate, seed=42, rawPredictionCol="raw")
+    make = lambda: GBTClassifier(featuresCol="x", labelCol="y", maxIter=trees, maxDepth=depth, stepSize=rate, seed=42)
     margins = None
     for k in range(folds):
-        out = make().fit(data.where(F.col("_fold") != k)).transform(data.where(F.col("_fold") == k)).select("y", vector_to_array("raw")[1].alias("m"))
+        out = make().fit(data.where(F.col("_fold") != k)).transform(data.where(F.col("_fold") == k)).select("y", vector_to_array("rawPrediction")[1].alias("m"))
         margins = out if margins is None else margins.unionByName(out)
     margins = VectorAssembler(inputCols=["m"], outputCol="mv").transform(margins)
     platt = LogisticRegression(featuresCol="mv", labelCol="y", probabilityCol="pp").fit(margins)
@@ -28,8 +28,8 @@ def classifier(rows: DataFrame, columns: list[str], label: str, trees: int = 200
 
 def probabilities(rows: DataFrame, model, platt) -> DataFrame:
     scored = model.transform(rows)
-    m = vector_to_array("raw")[1]
-    return scored.withColumn("probability_", 1 / (1 + F.exp(-(m * float(platt.coefficients[0]) + float(platt.intercept))))).drop("x", "raw", "probability", "prediction")
+    m = vector_to_array("rawPrediction")[1]
+    return scored.withColumn("probability_", 1 / (1 + F.exp(-(m * float(platt.coefficients[0]) + float(platt.intercept))))).drop("x", "rawPrediction", "probability", "prediction")
 
 
 def leave_one_out(rows: DataFrame, columns: list[str], label: str, group: str, **kw) -> DataFrame:
