@@ -216,14 +216,35 @@ def sdp_values(spark, sf_dir):
     return v.select("scenario", F.posexplode("v0").alias("level", "value")).withColumn("value", F.round("value", 6))
 
 
-@query("sdp_plan")
+def _plan_sql(select: str) -> str:
+    n = SDP_LEVELS - 1
+    level = f"least({n}, greatest(0, ceil(least(w.r, q.rmax) / (q.rmax / {n}) - 1e-9))) * q.rmax / {n}"
+
+    def total(a: float) -> str:
+        draw, res = f"(x.maxdraw * {a}::DOUBLE)", f"greatest(0, x.l - x.maxdraw * {a}::DOUBLE)"
+        nxt = f"CAST(least({n}, greatest(0, ceil(least({res}, x.rmax) / (x.rmax / {n}) - 1e-9))) AS BIGINT)"
+        return f"CASE WHEN {draw} > x.l + 1e-9 THEN -1e18 ELSE -(greatest(0, x.need - {draw}) * x.price / 1.09e-7::DOUBLE * 0.000001::DOUBLE) - CASE WHEN {res} < x.buf THEN x.lam ELSE 0 END + {SDP_DISCOUNT}::DOUBLE * x.v[{nxt} + 1] END"
+
+    head = _sdp_sql().rsplit("SELECT scenario, CAST(unnest", 1)[0].rstrip()
+    return f"""{head},
+walk AS (SELECT scenario, 0 AS t, s0 AS r, 0::DOUBLE AS d, 0::DOUBLE AS unmet FROM q
+  UNION ALL SELECT scenario, t + 1, greatest(0, r - d2), d2, greatest(0, need - d2) FROM (
+    SELECT scenario, t, r, need, least(maxdraw * ({SDP_ACTIONS})[list_position(c, list_max(c))], r) AS d2 FROM (
+      SELECT x.*, [{", ".join(total(a) for a in SDP_ACTIONS)}] AS c FROM (
+        SELECT w.scenario, w.t, w.r, q.maxdraw, q.rmax, q.buf, q.lam, q.price, CASE WHEN w.t < q.gap_days THEN q.gap_mmt ELSE 0 END AS need, {level} AS l, f.v
+        FROM walk w JOIN q ON q.scenario = w.scenario JOIN f ON f.scenario = w.scenario AND f.t = w.t + 1) x))),
+days AS (SELECT walk.*, q.buf FROM walk JOIN q USING (scenario) WHERE t > 0)
+{select}"""
+
+
+@query("sdp_plan", _plan_sql("SELECT scenario, CAST(t AS INTEGER) AS day, round(d, 6) AS volume, round(r, 6) AS reserve, round(unmet, 6) AS unmet, CASE WHEN d > 1e-6 THEN 'drawing' WHEN r < buf * 1.3::DOUBLE THEN 'near floor' ELSE 'holding' END AS driver FROM days"))
 def sdp_plan(spark, sf_dir):
     d = reserve.plan(spark.createDataFrame(_PLANS, _PLAN_SCHEMA))
     near = F.when((F.col("volume") > 1e-6) & (F.col("unmet") >= 0), "drawing").when(F.col("reserve") < F.col("buf") * 1.3, "near floor").otherwise("holding")
     return d.select("scenario", "day", F.round("volume", 6).alias("volume"), F.round("reserve", 6).alias("reserve"), F.round("unmet", 6).alias("unmet"), near.alias("driver"))
 
 
-@query("sdp_summary")
+@query("sdp_summary", _plan_sql("SELECT scenario, round(sum(d), 6) AS drawn, count(*) FILTER (d > 1e-6) AS draw_days, round(max(unmet), 6) AS peak_unmet, round(1 - count(*) FILTER (r < buf) / count(*), 6) AS prob FROM days GROUP BY scenario"))
 def sdp_summary(spark, sf_dir):
     s = reserve.plan_summary(reserve.plan(spark.createDataFrame(_PLANS, _PLAN_SCHEMA)))
     return s.select("scenario", *[F.round(c, 6).alias(c) for c in ("drawn", "peak_unmet", "prob")], "draw_days")
