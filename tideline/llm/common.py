@@ -6,6 +6,7 @@ import atexit
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,6 +119,37 @@ class Scratch:
                 return
 
 
+# ---- a bounded filter of ids ------------------------------------------------------------
+
+FILTER_BITS = 1 << 24
+
+
+class IdFilter:
+    """A bitmap of hashed ids of fixed size: no id that was added is missed, few others pass.
+
+    It only saves work ahead of an exact step. It is built by one aggregation over at most
+    FILTER_BITS / 64 words, so what the driver gets doesn't grow with the ids; when they are
+    very many, it lets everything pass.
+    """
+
+    def __init__(self, ids: DataFrame, column: str, bits: int = FILTER_BITS):
+        bit = F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(bits))
+        words = ids.select((bit / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(cast({column} as string)), 64) as int))").alias("b"))
+        self.words = np.zeros(bits // 64, np.uint64)
+        for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
+            self.words[r["w"]] = r["b"] & 0xFFFFFFFFFFFFFFFF
+        self.bits = bits
+
+    @staticmethod
+    def hashed(column: str) -> Column:
+        """What ``passes`` is asked with."""
+        return F.xxhash64(F.col(column).cast("string"))
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        bit = np.mod(hashes, self.bits)
+        return (self.words[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
 # ---- connected components ---------------------------------------------------------------
 
 

@@ -9,9 +9,9 @@ Texts with equal sets collapse to their smallest id before banding, so exact cop
 number cost one row each. Buckets are never expanded into pairs. Round by round, each bucket
 that still spans several components names one member as centre, each member outside the
 centre's component is verified against one such centre, and components are joined. The rest is
-exact: in buckets that still span several components, the members outside the bucket's largest
-one are verified against the bucket, except pairs already tested. Pairs move with their full
-sets and are confirmed by 100 * intersection >= 85 * union.
+exact: the members of buckets that still span several components are joined on their rarest
+shingles, which finds every pair of different components that can be similar, and what was not
+tested yet is verified. Pairs move with their full sets and are confirmed by 100 * intersection >= 85 * union.
 
 Null texts and texts without a word have an empty set, link with nothing and are kept. Repeated
 ids with one text are one document twice. Ties are broken by the smaller id. Only ``doc_id``
@@ -94,18 +94,22 @@ def sketch(docs: DataFrame) -> DataFrame:
     return C.map_rows(docs.select("doc_id", "text"), make, f"doc_id {kind}, n_shingles long, key_hi long, key_lo long, bands array<long>")
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, shingles binary): the sorted distinct hashes as 64-bit values."""
+def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, shingles binary) of the documents in ``wanted``, and of a few others: sorted distinct hashes as 64-bit values."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(C.IdFilter(wanted, "doc_id"))
 
     def make():
+        ids = shared.value
+
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
+            b = b.filter(pa.array(ids.passes(b.column(2).to_numpy())))
             sets = H.shingle_sets(*H.word_hashes(*H.buffers(b)), SHINGLE)
             return C.records(["doc_id", "shingles"], [b.column(0), [s.tobytes() for s in sets]], [None, pa.binary()])
 
         return work
 
-    return C.map_rows(docs.select("doc_id", "text"), make, f"doc_id {kind}, shingles binary")
+    return C.map_rows(docs.select("doc_id", "text", C.IdFilter.hashed("doc_id").alias("hash")), make, f"doc_id {kind}, shingles binary")
 
 
 def similar(a: bytes, b: bytes, percent: int = SIMILARITY) -> bool:
@@ -132,6 +136,43 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = SIMILARITY) -> Data
     return C.map_rows(full.select("a", "b", "sa", "sb"), make, f"a {kind}, b {kind}")
 
 
+def _rest(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (rep, centre) of different components that may be similar: an exact prefix join.
+
+    Shingles are ordered by how many of these documents have them, the rarest first. Two sets
+    that share enough have a common shingle so early in both that what is left from there on
+    still can make up the intersection. A shingle that no other document has can't be common,
+    so it counts for the places of the others and isn't joined. For each shingle, documents of
+    its largest component are only met by documents of others.
+    """
+    docs = live.select("rep", "n", "comp").distinct()
+    flat = sets.join(docs.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    kind = sets.schema["doc_id"].dataType.simpleString()
+
+    def make():
+        def work(b: pa.RecordBatch) -> pa.RecordBatch:
+            raw = b.column(1).to_pylist()
+            return C.records(["rep", "s"], [b.column(0).take(pa.array(np.repeat(np.arange(len(raw)), [len(x) // 8 for x in raw]))), np.frombuffer(b"".join(raw), np.int64)], [None, pa.int64()])
+
+        return work
+
+    tokens = C.map_rows(flat, make, f"rep {kind}, s long")
+    common = tokens.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    mine = tokens.join(common, "s").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("t")).join(docs, "rep")
+    mine = mine.withColumn("alone", F.col("n") - F.size("t"))
+    # a partner's set is no smaller than percent of this one, so the intersection isn't either
+    early = F.floor(F.col("n") * (100 - percent) / 100) + 1 - F.col("alone")
+    place = mine.where(early > 0).select("rep", "n", "comp", "alone", F.posexplode(F.slice("t", F.lit(1), early.cast("int"))).alias("i", "x")).select("rep", "n", "comp", (F.col("alone") + F.col("i")).alias("pos"), "x.s")
+    largest = place.groupBy("s", "comp").agg(F.count("*").alias("c")).groupBy("s").agg(F.max_by("comp", F.struct("c", "comp")).alias("largest"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    place = place.join(largest, "s")
+    minor = place.where("comp <> largest").select("s", F.col("rep").alias("centre"), F.col("comp").alias("cc"), F.col("n").alias("cn"), F.col("pos").alias("cpos"))
+    # intersection >= percent of union is intersection * (100 + percent) >= percent * (sum of sizes)
+    need = (F.col("n") + F.col("cn")) * percent
+    enough = ((F.col("n") - F.col("pos")) * (100 + percent) >= need) & ((F.col("cn") - F.col("cpos")) * (100 + percent) >= need)
+    once = (F.col("comp") == F.col("largest")) | (F.col("rep") < F.col("centre"))
+    return place.join(minor, "s").where((F.col("comp") != F.col("cc")) & once & enough).select("rep", "centre")
+
+
 def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     spark = docs.sparkSession
@@ -142,30 +183,27 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, star_rounds: int
     slots = classes.select("rep", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
     shared = slots.groupBy("band", "key").agg(F.count("*").alias("c")).where("c > 1").drop("c")
     members = scratch.save(slots.join(shared, ["band", "key"]))
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = scratch.save(full_sets(docs.join(wanted, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
+    sets = scratch.save(full_sets(docs, members.select(F.col("rep").alias("doc_id")).distinct()))
+    # a member of many large buckets is close to what its group has in common: the best centre
+    rank = members.join(members.groupBy("band", "key").agg(F.count("*").alias("c")), ["band", "key"]).groupBy("rep").agg(F.sum("c").alias("rank"))
+    members = scratch.save(members.join(rank, "rep"))
     close = F.least("n", "cn") * 100 >= F.greatest("n", "cn") * percent
-    links = tested = None
-    comp = None
-
-    def with_component(m: DataFrame) -> DataFrame:
-        if comp is None:
-            return m.withColumn("comp", F.col("rep"))
-        return m.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-
+    links = tested = comp = None
+    live = members.withColumn("comp", F.col("rep"))
     for r in range(star_rounds + 1):
-        live = with_component(members)
-        buckets = live.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("rep", "comp", "n"), F.col("rep") if r == 0 else F.struct(F.xxhash64("rep", F.lit(r)), "rep")).alias("c")).where("lo <> hi")
+        if comp is not None:
+            live = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+        # the best centre first, then one at random: from a group that doesn't hold together yet it soon is a new one
+        order = F.struct(F.col("rank"), -F.col("rep")) if r == 0 else F.struct(F.xxhash64("rep", F.lit(r)), F.col("rep"))
+        buckets = live.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max_by(F.struct("rep", "comp", "n"), order).alias("c")).where("lo <> hi").drop("lo", "hi")
         if r < star_rounds:
             pairs = live.join(buckets.select("band", "key", F.col("c.rep").alias("centre"), F.col("c.comp").alias("cc"), F.col("c.n").alias("cn")), ["band", "key"]).where((F.col("comp") != F.col("cc")) & close)
-            pairs = pairs.groupBy("rep").agg(F.min("centre").alias("centre")).select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
+            if tested is not None:
+                pairs = pairs.withColumn("a", F.greatest("rep", "centre")).withColumn("b", F.least("rep", "centre")).join(tested, ["a", "b"], "left_anti")
+            pairs = pairs.groupBy("rep").agg(F.min_by("centre", F.xxhash64("centre")).alias("centre"))
         else:
-            # exact for the rest: what is outside a bucket's largest component against the whole bucket
-            sizes = live.join(buckets.select("band", "key"), ["band", "key"]).groupBy("band", "key", "comp").agg(F.count("*").alias("c")).groupBy("band", "key").agg(F.max_by("comp", F.struct("c", "comp")).alias("largest"))
-            live = scratch.save(live.join(sizes, ["band", "key"]))
-            minor = live.where("comp <> largest").select("band", "key", F.col("rep").alias("centre"), F.col("comp").alias("cc"), F.col("n").alias("cn"))
-            pairs = live.join(minor, ["band", "key"]).where((F.col("comp") != F.col("cc")) & close & ((F.col("comp") == F.col("largest")) | (F.col("rep") < F.col("centre"))))
-            pairs = pairs.select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
+            pairs = _rest(live.join(buckets.select("band", "key"), ["band", "key"]), sets, percent)
+        pairs = pairs.select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.save(pairs)
@@ -175,6 +213,14 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, star_rounds: int
         good = verify(pairs, sets, percent)
         links = scratch.save(good if links is None else links.unionByName(good))
         comp = scratch.save(C.components(scratch, links))
+        if r == 0:
+            # later rounds need just the members of buckets that still span several components
+            live = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+            split = live.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "key")
+            old_members, old_sets = members, sets
+            members = scratch.save(members.join(split, ["band", "key"]))
+            sets = scratch.save(sets.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+            scratch.drop(old_members, old_sets)
     head = classes.select(*ids, "rep")
     if comp is None:
         head = head.withColumn("component_id", F.col("rep"))
