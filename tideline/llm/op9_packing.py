@@ -4,9 +4,10 @@ Every partition keeps ``open_windows`` windows. A document's ids are cut at the
 full pieces make sequences of their own, the rest goes to the open window it leaves least
 room in (best fit). Where it fits none, the fullest window is topped up with the front of the
 rest and emitted, so it carries no padding, and a new window takes its place. At its end a
-partition emits the windows it still has as leftovers; these are merged by first-fit
-decreasing, by groups of partitions and then over the groups, into last sequences. Only window
-sizes and ids move there, never text.
+partition emits the windows it still has as leftovers. These are merged: the leftovers of
+MERGE_FAN_IN partitions are laid end to end and cut anew, what fills no window is passed on to
+the next level, and the very last rest is cut into sequences of power-of-two sizes. So only
+ids of a bounded number of windows a partition move, never text, and nothing is padded.
 
 Null and empty texts are one piece that holds the end id. Repeated rows are packed like any
 others. An empty table gives an empty result. Texts of any length are encoded whole. Only
@@ -118,12 +119,17 @@ class Packer:
             yield from self.pieces[s]
 
 
-NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "seq", "offset", "left"]
+PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+
+
+def _crc(ids: bytes) -> int:
+    return zlib.crc32(ids)
 
 
 def _pack_partition(docs: DataFrame, vocabulary: str, window: int, open_windows: int, with_ids: bool) -> DataFrame:
+    """Pieces of full windows, and of those left over with their ids (``raw``), which are few."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = NAMES + ["ids"] * with_ids
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "part", "left", "raw"]
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", C.ARROW_ROWS)
 
     def run(batches):
@@ -132,10 +138,8 @@ def _pack_partition(docs: DataFrame, vocabulary: str, window: int, open_windows:
         def emit(rows: list[tuple], left: bool) -> pa.RecordBatch:
             doc, start, ids, total, seq, offset = zip(*rows)
             n = len(rows)
-            cols = [pa.array(doc, id_type), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(total, pa.int64()), pa.array([part] * n, pa.int32()), pa.array(seq, pa.int64()), pa.array(offset, pa.int64()), pa.array([left] * n)]
-            if with_ids:
-                flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-                cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]), pa.int32()), pa.array(flat)))
+            long = lambda x: pa.array(x, pa.int64())
+            cols = [pa.array(doc, id_type), long(start), long([len(x) // 4 for x in ids]), long(list(map(_crc, ids))), long(total), long([(part << 32) + s for s in seq]), long(offset), long([part] * n), pa.array([left] * n), pa.array(ids if left or with_ids else [None] * n, pa.binary())]
             return pa.RecordBatch.from_arrays(cols, names=names)
 
         for batch in batches:
@@ -149,55 +153,82 @@ def _pack_partition(docs: DataFrame, vocabulary: str, window: int, open_windows:
         if packer.fill:
             yield emit(list(packer.leftovers()), True)
 
-    src = docs.select("doc_id", "text", F.spark_partition_id().alias("part"))
-    return src.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, part int, seq long, offset long, left boolean" + ", ids array<int>" * with_ids)
+    src = docs.select("doc_id", "text", F.spark_partition_id().cast("long").alias("part"))
+    return src.mapInArrow(run, f"doc_id {kind}, {PIECE}, part long, left boolean, raw binary")
 
 
-def _merge(windows: DataFrame, key: str, window: int) -> DataFrame:
-    """First-fit decreasing of windows (part, seq, size, target, base) within each ``key``.
+def recut(pieces: list[tuple], window: int, last: bool) -> list[tuple]:
+    """Pieces (doc, start, ids, total) laid end to end and cut into windows: (doc, start, ids, total, window number, offset).
 
-    A group holds ``open_windows`` small rows for each of MERGE_FAN_IN partitions.
+    The rest that fills no window comes last, as window -1; the very last rest is cut into
+    windows whose sizes are powers of two, which need no padding.
     """
-
-    def fit(pdf):
-        pdf = pdf.sort_values(["size", "part", "seq"], ascending=[False, True, True], ignore_index=True)
-        free: list[int] = []
-        bins, bases = [], []
-        for size in pdf["size"]:
-            for i, f in enumerate(free):
-                if f >= size:
-                    break
-            else:
-                i = len(free)
-                free.append(window)
-            bins.append(i)
-            bases.append(window - free[i])
-            free[i] -= size
-        pdf["bin"], pdf["base"] = bins, bases
-        return pdf[["part", "seq", "size", key, "bin", "base"]]
-
-    return windows.groupBy(key).applyInPandas(fit, f"part int, seq long, size long, {key} long, bin long, base long")
+    total = sum(len(p[2]) // 4 for p in pieces)
+    sizes = [window] * (total // window)
+    rest = total % window
+    if rest and last:
+        sizes += [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
+    elif rest:
+        sizes.append(rest)
+    out, w, at = [], 0, 0
+    for doc, start, ids, tokens in pieces:
+        while ids:
+            if at == sizes[w]:
+                w, at = w + 1, 0
+            take = min(len(ids) // 4, sizes[w] - at)
+            out.append((doc, start, ids[: 4 * take], tokens, -1 if rest and not last and w == len(sizes) - 1 else w, at))
+            ids, start, at = ids[4 * take :], start + take, at + take
+    return out
+
+
+def _merge(left: DataFrame, level: int, last: bool, window: int, with_ids: bool) -> DataFrame:
+    """Leftovers of groups of partitions, cut anew; a group passes on less than one window."""
+    import pandas as pd
+
+    names = [f.name for f in left.schema.fields]
+
+    def merge(pdf):
+        pdf = pdf.sort_values(["part", "sequence_id", "offset"], ignore_index=True)
+        grp = int(pdf["part"].iloc[0]) // MERGE_FAN_IN
+        rows = [
+            (doc, start, len(ids) // 4, _crc(ids), total, -1 - ((level << 56) + (grp << 24) + w) if w >= 0 else 0, offset, grp, w < 0, ids if w < 0 or with_ids else None)
+            for doc, start, ids, total, w, offset in recut([(d, int(s), bytes(r), int(t)) for d, s, r, t in zip(pdf["doc_id"], pdf["start"], pdf["raw"], pdf["doc_tokens"])], window, last)
+        ]
+        return pd.DataFrame(rows, columns=names)
+
+    return left.groupBy(F.expr(f"part div {MERGE_FAN_IN}")).applyInPandas(merge, left.schema)
 
 
 def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, open_windows: int = OPEN_WINDOWS, with_ids: bool = True) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) of all documents."""
-    spark = docs.sparkSession
-    scratch = C.Scratch(spark, "packing")
+    scratch = C.Scratch(docs.sparkSession, "packing")
+    parts = docs.select("doc_id").rdd.getNumPartitions()
     # the packing is kept before anything reads it twice: a partition computed again must not be packed in another order
     packed = scratch.save(_pack_partition(docs, vocabulary, window, open_windows, with_ids))
-    left = packed.where("left").groupBy("part", "seq").agg(F.sum("length").alias("size"))
-    near = _merge(left.withColumn("grp", F.expr(f"bigint(part div {MERGE_FAN_IN})")), "grp", window)
-    near = scratch.save(near)
-    bins = near.groupBy("grp", "bin").agg(F.sum("size").alias("size")).select(F.col("grp").cast("int").alias("part"), F.col("bin").alias("seq"), "size")
-    # only bins with room to spare take part in the last merge; there is about one half-full bin in each group
-    far = _merge(bins.withColumn("grp", F.expr(f"bigint(part div {MERGE_FAN_IN})")), "grp", window)
-    far = far.select(F.col("part").cast("long").alias("grp"), F.col("seq").alias("bin"), F.col("grp").alias("top"), F.col("bin").alias("far_bin"), F.col("base").alias("far_base"))
-    placed = near.join(far, ["grp", "bin"]).select("part", "seq", (F.col("base") + F.col("far_base")).alias("shift"), (-1 - (F.col("top") * (1 << 32) + F.col("far_bin"))).alias("merged"))
-    ids = ["ids"] * with_ids
-    done = packed.where("not left").withColumn("sequence_id", F.col("part").cast("long") * (1 << 32) + F.col("seq"))
-    last = packed.where("left").join(placed, ["part", "seq"]).withColumn("sequence_id", F.col("merged")).withColumn("offset", F.col("offset") + F.col("shift"))
-    cols = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *ids]
-    return done.select(*cols).unionByName(last.select(*cols))
+    done, left, level = packed.where("not left"), packed.where("left"), 0
+    last = parts <= MERGE_FAN_IN
+    while True:
+        merged = scratch.save(_merge(left, level, last, window, with_ids))
+        done = done.unionByName(merged.where("not left"))
+        if last:
+            break
+        left, level, parts = merged.where("left"), level + 1, -(-parts // MERGE_FAN_IN)
+        last = parts <= MERGE_FAN_IN
+    out = done.drop("part", "left")
+    if not with_ids:
+        return out.drop("raw")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def make():
+        def work(b: pa.RecordBatch) -> pa.RecordBatch:
+            raw = b.column(7).to_pylist()
+            at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])])
+            ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+            return C.records([*b.schema.names[:7], "ids"], [*b.columns[:7], ids], [None] * 8)
+
+        return work
+
+    return C.map_rows(out, make, f"doc_id {kind}, {PIECE}, ids array<int>")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
