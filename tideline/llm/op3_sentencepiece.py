@@ -27,7 +27,7 @@ from . import common as C
 SPACE_MARK = "▁"
 PARTS = re.compile("▁+[^▁\n]*|[^▁\n]+|\n")
 #: Bounds of the caches: entries, and the length of a part that is kept.
-CACHE_PARTS = 250_000
+CACHE_PARTS = 400_000
 CACHE_PAIRS = 400_000
 CACHE_CHARS = 40
 
