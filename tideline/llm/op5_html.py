@@ -225,24 +225,28 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
 
         return work
 
-    cut = C.map_rows(pages.select("page_id", "url", "html"), make, f"page_id {kind}, url string, blocks array<string>, keys array<bigint>")
-    cut = scratch.save(cut.withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))))
-    sizes = scratch.save(cut.groupBy("host").agg(F.countDistinct("page_id").alias("pages")))
+    # blocks are cut anew for each of the two uses: that costs less than keeping all texts a second time
+    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
+    cut = C.map_rows(pages.select("page_id", "url", "html"), make, f"page_id {kind}, url string, blocks array<string>, keys array<bigint>").withColumn("host", host)
+    sizes = scratch.save(pages.select("page_id", host.alias("host")).groupBy("host").agg(F.countDistinct("page_id").alias("pages")))
 
     def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("page_id")
+        out = lambda k, n: pd.DataFrame({"host": np.full(len(k), pdf["host"].iloc[0], object), "key": np.array(k, np.int64), "pages": np.array(n, np.int64)})
         streams = [[[zlib.crc32(t.encode("utf-8", "surrogatepass")) + 1 for t in s.split()] for s in p] for p in pdf["blocks"]]
-        keys = [k for p in pdf["keys"] for k in p]
+        keys = [_key(s) for p in pdf["blocks"] for s in p]
         if not keys or len(pdf) < 2:
-            return pd.DataFrame({"host": [], "key": [], "pages": []})
+            return out([], [])
         whole, share = repeated_blocks(streams)
         owner = np.repeat(np.arange(len(pdf)), [len(p) for p in streams])
         ok = whole & (share[owner] <= COPY_SHARE)
         got = pd.DataFrame({"key": np.array(keys)[ok], "page": owner[ok]}).drop_duplicates().groupby("key", as_index=False).size()
-        return pd.DataFrame({"host": pdf["host"].iloc[0], "key": got["key"], "pages": got["size"]})
+        return out(got["key"].tolist(), got["size"].tolist())
 
-    spread = cut.join(sizes.where(f"pages >= {min_pages}"), "host").withColumn("shard", F.pmod(F.xxhash64("page_id"), F.ceil(F.col("pages") / shard)))
-    found = spread.select("host", "shard", "page_id", "blocks", "keys").groupBy("host", "shard").applyInPandas(candidates, "host string, key long, pages long")
+    # only large hosts are spread; there are few of them, so texts are shuffled once, not for this join
+    large = scratch.save(sizes.where(F.col("pages") > shard).select("host", F.ceil(F.col("pages") / shard).alias("shards")))
+    spread = cut.join(large, "host", "left").withColumn("shard", F.pmod(F.xxhash64("page_id"), F.coalesce("shards", F.lit(1))))
+    found = spread.select("host", "shard", "page_id", "blocks").groupBy("host", "shard").applyInPandas(candidates, "host string, key long, pages long")
     template = found.groupBy("host", "key").agg(F.sum("pages").alias("on")).join(sizes, "host").where((F.col("on") >= min_pages) & (F.col("on") >= F.col("pages") * min_share))
     # a host has few of these: each stands on a good share of its pages
     template = template.groupBy("host").agg(F.collect_set("key").alias("gone")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
