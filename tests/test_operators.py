@@ -129,3 +129,20 @@ def test_crossing_probability_is_one_when_base_is_high(spark, kind):
     hi = one(sandbox.crossing(bands, spark.createDataFrame([(1, 0.5)], "entity int, base double")))
     lo = one(sandbox.crossing(bands, spark.createDataFrame([(1, 0.1)], "entity int, base double")))
     assert (hi.probability, hi.median_h) == (1.0, 6.0) and (lo.probability, lo.median_h) == (0.0, float("inf"))
+
+
+def test_counterfactuals_never_raise_the_probability(spark):
+    bands = spark.createDataFrame([(1, h, 1.0, 4.0, 0.2, 0.9) for h in (6, 12, 24)], "entity int, hours int, a10 double, a90 double, b10 double, b90 double")
+    got = sandbox.counterfactuals(bands, spark.createDataFrame([(1, 0.05)], "entity int, base double")).collect()
+    assert len(got) == 3 and all(r.delta <= 0 for r in got)
+
+
+def test_ids_and_formats(spark):
+    import uuid
+
+    from tideline.functions import ids
+
+    df = spark.createDataFrame([("abc", 1234567.4, 0.256), (None, 1.0, 0.5)], "s string, m double, p double")
+    r = df.select(ids.uuid5("s").alias("u"), ids.hash_embedding(F.col("s"), 40).alias("e"), ids.money(F.col("m")).alias("m"), ids.percent(F.col("p")).alias("p")).collect()
+    assert r[0].u == str(uuid.uuid5(uuid.NAMESPACE_DNS, "abc")) and r[1].u is None and (r[0].m, r[0].p) == ("$1,234,567", "25.6%")
+    assert len(r[0].e) == 40 and abs(sum(x * x for x in r[0].e) - 1) < 1e-12

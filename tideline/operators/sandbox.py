@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import HORIZONS_H, REVERSION, Z90
@@ -39,3 +39,31 @@ def crossing(bands: DataFrame, base: DataFrame, paths: int = 500, threshold: flo
 
 def rising(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     return df.withColumn("delta", F.col(value) - F.lag(value).over(Window.partitionBy(key).orderBy(order)))
+
+
+#: How a hypothetical scales the bands at a horizon: (vessel series, premium series).
+SHOCKS = {
+    "resolves": (lambda h: F.exp(-h / 72.0), lambda h: F.exp(-h / 72.0)),
+    "cheap_oil": (lambda h: F.lit(1.0), lambda h: F.lit(0.1)),
+    "other_supply": (lambda h: F.lit(0.65), lambda h: F.lit(0.65)),
+}
+
+
+def counterfactuals(bands: DataFrame, base: DataFrame, paths: int = 500, threshold: float = 0.2634, seed: int = 11) -> DataFrame:
+    """(entity, type, probability, delta): crossing probability under each shock and its change; the baseline stays as it is.
+
+    All futures draw the same numbers, so a shock that lowers the bands never raises the probability.
+    """
+    before = crossing(bands, base, paths, threshold, seed).select("entity", F.col("probability").alias("_p"))
+    out = None
+    for name, (vessels, premium) in SHOCKS.items():
+        h = F.col("hours").cast("double")
+        shocked = bands.withColumns({c: F.col(c) * vessels(h) for c in ("a10", "a90")} | {c: F.col(c) * premium(h) for c in ("b10", "b90")})
+        part = crossing(shocked, base, paths, threshold, seed).withColumn("type", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out.join(before, "entity").select("entity", "type", "probability", (F.col("probability") - F.col("_p")).alias("delta"))
+
+
+def severity_24h(median_vessels: Column, median_premium: Column) -> Column:
+    """The stronger of the two signals a day ahead, within 0..1."""
+    return F.round(F.greatest(F.least(F.lit(1.0), median_vessels / 5), F.least(F.lit(1.0), median_premium)), 3)

@@ -271,17 +271,44 @@ def trajectory(spark, sf_dir):
     return project(series, "xs", 10.0).select("entity", "hours", *[F.round(c, 6).alias(c) for c in ("median", "p10", "p90")])
 
 
-@query("crossing_mc")
-def crossing_mc(spark, sf_dir):
-    """Crossing probability by 500 paths; random, so without SQL."""
-    from ..operators.sandbox import crossing, project
+def _bands(spark, sf_dir):
+    """(entity, hours, bands of both series, medians) and each entity's constant part of the score."""
+    from ..operators.sandbox import project
     from ..sources.views import signals
 
-    daily = signals(spark, sf_dir).where("source = 'ais'").groupBy("entity", F.date_trunc("day", "ts").alias("d")).agg((F.avg("anomaly") * 5).alias("x"), (F.avg("severity") * 0 + F.avg("k") / 100).alias("y"))
+    daily = signals(spark, sf_dir).where("source = 'ais'").groupBy("entity", F.date_trunc("day", "ts").alias("d")).agg((F.avg("anomaly") * 5).alias("x"), (F.avg("k") / 100).alias("y"))
     series = daily.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("d", "x", "y"))).alias("s")).select("entity", F.transform("s", lambda s: s["x"]).alias("xs"), F.transform("s", lambda s: s["y"]).alias("ys"))
-    a = project(series, "xs", 10.0).select("entity", "hours", F.col("p10").alias("a10"), F.col("p90").alias("a90"))
-    p = project(series, "ys", 1.0).select("entity", "hours", F.col("p10").alias("b10"), F.col("p90").alias("b90"))
-    return crossing(a.join(p, ["entity", "hours"]), current_scores(spark, sf_dir).select("entity", (0.25 * F.col("factor_gdelt") + 0.15 * F.col("factor_sanctions")).alias("base")))
+    a = project(series, "xs", 10.0).select("entity", "hours", F.col("median").alias("a50"), F.col("p10").alias("a10"), F.col("p90").alias("a90"))
+    p = project(series, "ys", 1.0).select("entity", "hours", F.col("median").alias("b50"), F.col("p10").alias("b10"), F.col("p90").alias("b90"))
+    return a.join(p, ["entity", "hours"]), current_scores(spark, sf_dir).select("entity", (0.25 * F.col("factor_gdelt") + 0.15 * F.col("factor_sanctions")).alias("base"))
+
+
+@query("crossing_mc")
+def crossing_mc(spark, sf_dir):
+    """Crossing probability by 500 paths; drawn numbers, so without SQL."""
+    from ..operators.sandbox import crossing
+
+    return crossing(*_bands(spark, sf_dir))
+
+
+@query("counterfactuals")
+def counterfactuals(spark, sf_dir):
+    from ..operators.sandbox import counterfactuals as futures
+
+    return futures(*_bands(spark, sf_dir))
+
+
+@query("fork_wiring")
+def fork_wiring(spark, sf_dir):
+    """Entities that cross with a confidence of one half or more, each with the cascade of its projected severity."""
+    from ..operators.sandbox import crossing, severity_24h
+
+    bands, base = _bands(spark, sf_dir)
+    sure = crossing(bands, base).where("probability >= 0.5").select("entity", "probability")
+    s = bands.where("hours = 24").select("entity", severity_24h(F.col("a50"), F.col("b50")).alias("severity")).join(sure, "entity")
+    default = scenario.scenarios(spark, [{"scenario": "fork", "profile": "escalating"}]).drop("scenario", "fraction")
+    forks = s.crossJoin(F.broadcast(default)).withColumn("scenario", F.col("entity").cast("string")).withColumn("fraction", F.greatest("severity", F.lit(0.3)))
+    return scenario.summary(forks).select(F.col("scenario").cast("int").alias("entity"), "gap", "gap_days", "spr_day", "price_lo", "price_hi").join(s.select("entity", "severity", "probability"), "entity")
 
 
 @query("mc_bands")
