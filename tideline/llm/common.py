@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -161,7 +161,14 @@ def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 60) -> Data
     has them gathered in one task. ``component`` is the smallest reachable id. The number
     of rounds grows with the logarithm of the longest chain.
     """
-    cur = scratch.save(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+
+    def kept(df: DataFrame) -> tuple[DataFrame, dict]:
+        # number and checksum of the edges come with the write
+        seen = Observation()
+        out = scratch.save(df.distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")))
+        return out, seen.get
+
+    cur, before = kept(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     for _ in range(max_rounds):
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -169,10 +176,9 @@ def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 60) -> Data
         large = scratch.save(large.unionByName(low.where("m < a").select("a", F.col("m").alias("b"))).distinct())
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low2, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
-        new = scratch.save(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).unionByName(low2.select("a", F.col("m").alias("b"))).distinct())
-        same = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() == cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        new, after = kept(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).unionByName(low2.select("a", F.col("m").alias("b"))))
         scratch.drop(cur, large)
-        cur = new
+        cur, same, before = new, before == after, after
         if same:
             return cur.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").unionByName(cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
     raise RuntimeError("components did not settle")
