@@ -527,6 +527,18 @@ def test_pipeline(spark, sf_dir):
     assert set(rows["doc_id"]) == stay
 
 
+def test_pipeline_near_copies_from_80_percent(spark, sf_dir):
+    import corpus_pipeline as cp
+
+    assert [op2.bands_for(p) for p in (85, 80)] == [op2.BANDS, 35]
+    r = random.Random(8)
+    texts = [*EDGE, *(t for _ in range(20) for t in family(r, 4, 100, 3)), *family(r, 30, 120, 4)]
+    want = brute_components(texts, 80)
+    assert want != brute_components(texts, 85)
+    got = {x.doc_id for x in cp.near_dedup(spark, docs_of(spark, texts), sf_dir).collect()}
+    assert got == {i for i, (_, c) in enumerate(want) if c == i}
+
+
 def test_every_operator_is_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
     assert F is not None

@@ -3,7 +3,8 @@
 SuperMinHash gives every shingle a random permutation of the signature's cells, drawn step by
 step: at step j it offers j plus a random fraction to the j-th cell of its permutation, and a
 text stops as soon as no step can lower a cell any more. Signatures are cut into BANDS of ROWS
-values; a pair at similarity 0.85 misses all bands with probability below 1e-6.
+values; a pair at similarity 0.85 misses all bands with probability below 1e-6. For another
+percentage ``bands_for`` gives the number of bands that keeps that bound.
 
 Texts with equal sets collapse to their smallest id before banding, so exact copies of any
 number cost one row each. Buckets are never expanded into pairs. Round by round, each bucket
@@ -20,6 +21,8 @@ and ``text`` are read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,9 +37,15 @@ CELLS = BANDS * ROWS
 #: Percent: the intersection over the union of linked sets.
 SIMILARITY = 85
 STAR_ROUNDS = 1
+MISS = 1e-6
 _NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def bands_for(percent: int) -> int:
+    """Bands of ROWS values that a pair at this similarity misses with probability below MISS."""
+    return 1 if percent >= 100 else math.floor(math.log(MISS) / math.log1p(-((percent / 100) ** ROWS))) + 1
+
+
 def signatures(sets: list[np.ndarray], cells: int = CELLS) -> np.ndarray:
     """SuperMinHash signatures (texts, cells); a value is step * 2**40 plus a 40-bit fraction."""
     n = len(sets)
@@ -68,25 +77,26 @@ def signatures(sets: list[np.ndarray], cells: int = CELLS) -> np.ndarray:
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
     """One 64-bit key for each band of each signature."""
-    parts = sig.reshape(len(sig), BANDS, ROWS)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), parts.shape[:2]).copy()
+    bands = sig.shape[1] // ROWS
+    parts = sig.reshape(len(sig), bands, ROWS)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), parts.shape[:2]).copy()
     for r in range(ROWS):
         key = H.mix(key + parts[:, :, r])
     return key.view(np.int64)
 
 
-def sketch(docs: DataFrame) -> DataFrame:
+def sketch(docs: DataFrame, n_bands: int = BANDS) -> DataFrame:
     """(doc_id, n_shingles, key_hi, key_lo, bands array<long>) of every row; the keys identify the set."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def make():
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
             sets = H.shingle_sets(*H.word_hashes(*H.buffers(b)), SHINGLE)
-            bands = band_keys(signatures(sets))
+            bands = band_keys(signatures(sets, n_bands * ROWS))
             n = np.array([len(s) for s in sets])
             hi = np.array([H.mix(s).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
             lo = np.array([H.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-            lists = pa.ListArray.from_arrays(np.arange(0, len(bands) * BANDS + 1, BANDS, dtype=np.int32), bands.ravel())
+            lists = pa.ListArray.from_arrays(np.arange(0, len(bands) * n_bands + 1, n_bands, dtype=np.int32), bands.ravel())
             return C.records(["doc_id", "n_shingles", "key_hi", "key_lo", "bands"], [b.column(0), n, hi, lo, lists], [None, pa.int64(), pa.int64(), pa.int64(), None])
 
         return work
@@ -177,7 +187,7 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, star_rounds: int
     """(doc_id, n_shingles, component_id, kept) of every row."""
     spark = docs.sparkSession
     scratch = C.Scratch(spark, "minhash")
-    sk = scratch.save(sketch(docs))
+    sk = scratch.save(sketch(docs, bands_for(percent)))
     ids = ["n_shingles", "key_hi", "key_lo"]
     classes = scratch.save(sk.where("n_shingles > 0").groupBy(*ids).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
     slots = classes.select("rep", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
@@ -231,9 +241,9 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, star_rounds: int
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     """One document of each group, the one with the smallest id, with all its columns."""
-    gone = C.Scratch(docs.sparkSession, "copies").save(near_duplicates(docs).where("not kept").select("doc_id"))
+    gone = C.Scratch(docs.sparkSession, "copies").save(near_duplicates(docs, percent).where("not kept").select("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 SQL = f"""
