@@ -19,6 +19,8 @@ from tideline.llm.op9_packing import pack
 
 #: Percent of five-word shingles that near copies share; op2_minhash on its own has 85.
 NEAR_PERCENT = 80
+#: Passages of over 50 words, besides the strings of 400 bytes that op1_suffix removes.
+PASSAGE_WORDS = 51
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -38,7 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long passages that stand anywhere else go from the texts; every document stays."""
-    return _counted(clean(docs))
+    return _counted(clean(docs, words=PASSAGE_WORDS))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

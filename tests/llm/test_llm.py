@@ -539,6 +539,56 @@ def test_pipeline_near_copies_from_80_percent(spark, sf_dir):
     assert got == {i for i, (_, c) in enumerate(want) if c == i}
 
 
+def brute_words(texts, words):
+    """Bytes of each text that are left when strings of 400 bytes and passages of so many words that also stand elsewhere go."""
+    raw = [(t or "").encode() for t in texts]
+    found = [[(x.start(), x.group()) for x in re.finditer(rb"[^\x20\x09-\x0D]+", b)] for b in raw]
+    grams = lambda w: [tuple(x for _, x in w[i : i + words]) for i in range(len(w) - words + 1)]
+    seen = collections.Counter(g for w in found for g in grams(w))
+    strings = collections.Counter(b[i : i + 400] for b in raw for i in range(len(b) - 399))
+    out = []
+    for b, w in zip(raw, found):
+        gone = np.zeros(len(b), bool)
+        starts = [i for i, _ in w] + [len(b)]
+        for i, g in enumerate(grams(w)):
+            if seen[g] > 1:
+                gone[starts[i] : starts[i + words]] = True
+        for i in range(len(b) - 399):
+            if strings[b[i : i + 400]] > 1:
+                gone[i : i + 400] = True
+        out.append(bytes(x for x, c in zip(b, gone) if not c).decode("utf-8", "ignore"))
+    return out
+
+
+@pytest.mark.parametrize("hot", [20_000, 2])
+def test_passages_in_words(spark, hot):
+    r = random.Random(9)
+    own = lambda n: [f"{r.choice('abcdé')}{r.randrange(10**4)}" for _ in range(n)]
+    texts = [*EDGE]
+    # passages of 50 to 60 words, of short words and of long ones, at the edges and inside of texts
+    for n in (50, 51, 52, 55, 60):
+        for size in (1, 3, 9):
+            p = [(r.choice("xyzü") * size)[:size] + (str(r.randrange(10)) if size > 1 else "") for _ in range(n)]
+            for k in range(3):
+                texts.append(" ".join([*own(r.randrange(3) * 4), *p, *own(r.randrange(2) * 7)]).replace(" ", "\n" if k == 2 else " "))
+    src = [own(150) for _ in range(3)]
+    for _ in range(15):
+        texts.append(" ".join(x for _ in range(4) for i in [r.randrange(90)] for x in [*r.choice(src)[i : i + r.randint(45, 60)], *own(r.randrange(2))]))
+    want = brute_words(texts, 51)
+    got = {x.doc_id: x.text or "" for x in op1.clean(docs_of(spark, texts), hot=hot, words=51).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_pipeline_passages_of_51_words(spark, sf_dir):
+    import corpus_pipeline as cp
+
+    p = [" ".join(f"{c}{i}" for i in range(n)) for c, n in (("p", 51), ("q", 60), ("r", 50))]
+    texts = [f"own{k}a {x}\nown{k}b" for k, x in enumerate([*p, *p])]
+    got = {x.doc_id: (x.text, x.n_chars) for x in cp.suffix_dedup(spark, docs_of(spark, texts), sf_dir).collect()}
+    want = [f"own{k}a own{k}b" if k % 3 < 2 else t for k, t in enumerate(texts)]
+    assert [got[k] for k in range(6)] == [(t, len(t)) for t in want]
+
+
 def test_every_operator_is_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
     assert F is not None

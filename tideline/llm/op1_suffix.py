@@ -21,6 +21,11 @@ expansion of that prefix stops.
 An anchor with more than HOT occurrences is cut by offset into narrower contexts, keyed also
 by the bytes all their windows share, so that a very common passage spreads over many tasks.
 
+Words. A passage can also be measured in words: each word becomes WORD_BYTES bytes of its
+hash, and the same steps run over these. White space between words doesn't count then. A
+window that is off the words' bounds repeats only if whole words do, so words that a span
+covers in part are left out.
+
 Null and empty texts have no bytes and no spans; texts shorter than MIN_LENGTH are kept.
 Repeated rows are copies of each other like any others. A removal can cut a UTF-8 character,
 so kept bytes are binary. Only ``doc_id`` and ``text`` are read; empty tables give empty
@@ -30,6 +35,7 @@ results. Texts are processed whole.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +53,20 @@ HOT_WIDTH = 16
 BLOCK_BYTES = 8 << 20
 #: Contexts a task remembers having sent.
 SEEN = 400_000
+#: Bytes a word counts where words are the unit, and words of the k-gram.
+WORD_BYTES = 6
+WORD_KGRAM = 16
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def units(b: pa.RecordBatch, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """What repeats are looked for in, and the texts' offsets in it: the bytes, or WORD_BYTES of each word's hash."""
+    raw, offsets = H.buffers(b)
+    if not words:
+        return raw, offsets
+    h, bounds = H.word_hashes(raw, offsets, lower=False)
+    # 0xFF is the padding of rows
+    return np.minimum(h.view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES], 0xFE).ravel(), bounds * WORD_BYTES
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = MIN_LENGTH, k: int = KGRAM) -> tuple[np.ndarray, ...]:
@@ -177,12 +197,12 @@ def spans_of(marks: np.ndarray, length: int = MIN_LENGTH) -> list[tuple[int, int
     return list(zip(first.tolist(), last.tolist()))
 
 
-def _anchor_rows(docs: DataFrame, length: int, k: int) -> DataFrame:
+def _anchor_rows(docs: DataFrame, length: int, k: int, words: bool) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def make():
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
-            h, text, at, lo, hi = anchors(*H.buffers(b), length, k)
+            h, text, at, lo, hi = anchors(*units(b, words), length, k)
             pick = pa.array(text)
             return C.records(["doc_id", "th", "h", "at", "lo", "hi"], [b.column(0).take(pick), b.column(1).take(pick), h.view(np.int64), at, lo, hi], [None, None, pa.int64(), pa.int64(), pa.int64(), pa.int64()])
 
@@ -191,7 +211,7 @@ def _anchor_rows(docs: DataFrame, length: int, k: int) -> DataFrame:
     return C.map_rows(docs, make, f"doc_id {kind}, th long, h long, at long, lo long, hi long")
 
 
-def _contexts(docs: DataFrame, length: int) -> DataFrame:
+def _contexts(docs: DataFrame, length: int, words: bool) -> DataFrame:
     """(doc_id, th, lo, h, c1, c2, left, bytes): bytes only the first time a task sends the content, null the second."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "th", "lo", "h", "c1", "c2", "lft", "sent", "bytes"]
@@ -200,7 +220,7 @@ def _contexts(docs: DataFrame, length: int) -> DataFrame:
         seen: dict[bytes, int] = {}
 
         def work(b: pa.RecordBatch) -> pa.RecordBatch | None:
-            raw, offsets = H.buffers(b)
+            raw, offsets = units(b, words)
             raw = raw.tobytes()
             cols: list[list] = [[] for _ in names]
             for row, (doc_id, th, owned) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist())):
@@ -292,21 +312,27 @@ def _expand_rows(sent: DataFrame, length: int) -> DataFrame:
     return sent.select("h", "c1", "c2", "lft", "bytes").mapInArrow(run, "c1 long, c2 long, spans array<struct<a: bigint, b: bigint>>")
 
 
-def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH, k: int = KGRAM, hot: int = HOT) -> DataFrame:
-    """(doc_id, th, spans) of the documents with repeated bytes; th is the xxhash64 of the text, spans may overlap."""
+def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH, k: int = KGRAM, hot: int = HOT, words: bool = False) -> DataFrame:
+    """(doc_id, th, spans) of the documents with repeated bytes; th is the xxhash64 of the text, spans may overlap.
+
+    With ``words``, length, k-gram and spans count bytes of ``units``.
+    """
     spark = docs.sparkSession
     scratch = C.Scratch(spark, "suffix")
     src = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text"))
-    found = scratch.save(_anchor_rows(src, length, k))
+    found = scratch.save(_anchor_rows(src, length, k, words))
     repeated = scratch.save(found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h", (F.col("c") > hot).alias("hot")))
     owned = found.join(repeated, "h").groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "lo", "hi", "h", "hot")).alias("owned"))
-    contexts = scratch.save(_contexts(src.join(owned, ["doc_id", "th"]).select("doc_id", "th", "text", "owned"), length))
+    contexts = scratch.save(_contexts(src.join(owned, ["doc_id", "th"]).select("doc_id", "th", "text", "owned"), length, words))
+    scratch.drop(found, repeated)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = contexts.where("sent").repartition(parts, "h").sortWithinPartitions("h")
     spans = scratch.save(_expand_rows(sent, length))
     places = contexts.select("doc_id", "th", "lo", "c1", "c2").join(spans, ["c1", "c2"])
     places = places.select("doc_id", "th", F.explode(F.transform("spans", lambda s: F.struct((s["a"] + F.col("lo")).alias("a"), (s["b"] + F.col("lo")).alias("b")))).alias("s"))
-    return places.groupBy("doc_id", "th").agg(F.collect_set("s").alias("spans"))
+    out = scratch.save(places.groupBy("doc_id", "th").agg(F.collect_set("s").alias("spans")))
+    scratch.drop(contexts, spans)
+    return out
 
 
 def merge(spans: list) -> list[tuple[int, int]]:
@@ -328,9 +354,15 @@ def cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def _with_spans(docs: DataFrame, length: int, k: int, hot: int) -> DataFrame:
-    """The rows with one more column, ``_spans``."""
-    spans = repeated_spans(docs, length, k, hot).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
+def _with_spans(docs: DataFrame, length: int, k: int, hot: int, words: int = 0) -> DataFrame:
+    """The rows with one more column, ``_spans``; with ``words`` also ``_word_spans``, of passages of so many words."""
+    if words:
+        docs = _joined(docs, repeated_spans(docs, words * WORD_BYTES, min(words, WORD_KGRAM) * WORD_BYTES, hot, True), "_word_spans")
+    return _joined(docs, repeated_spans(docs, length, k, hot), "_spans")
+
+
+def _joined(docs: DataFrame, spans: DataFrame, name: str) -> DataFrame:
+    spans = spans.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias(name))
     return docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left").drop("_id", "_th")
 
 
@@ -338,6 +370,15 @@ def _runs(found) -> list[tuple[int, int]]:
     return merge([(s["a"], s["b"]) for s in found]) if found else []
 
 
+def _word_runs(raw: bytes, found) -> list[tuple[int, int]]:
+    """Spans of ``units`` as bytes of the text: from a word's start to the start of the first word that stays."""
+    runs = _runs(found)
+    if not runs:
+        return []
+    starts = [x.start() for x in _WORD.finditer(raw)] + [len(raw)]
+    return [(starts[-(-a // WORD_BYTES)], starts[b // WORD_BYTES]) for a, b in runs]
+
+
 def dedup(docs: DataFrame, length: int = MIN_LENGTH, k: int = KGRAM, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) of every row: the text without its repeated bytes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -357,21 +398,32 @@ def dedup(docs: DataFrame, length: int = MIN_LENGTH, k: int = KGRAM, hot: int =
     return C.map_rows(rows, make, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def clean(docs: DataFrame, length: int = MIN_LENGTH, k: int = KGRAM, hot: int = HOT) -> DataFrame:
-    """The rows with repeated bytes cut out of ``text``, and characters that a cut has parted; other columns as they are."""
+def clean(docs: DataFrame, length: int = MIN_LENGTH, k: int = KGRAM, hot: int = HOT, words: int = 0) -> DataFrame:
+    """The rows with repeated bytes cut out of ``text``, and characters that a cut has parted; other columns as they are.
+
+    With ``words``, passages of so many words that also stand elsewhere are cut out too, however few bytes they have.
+    """
 
     def make():
+        def one(text: str | None, found, of_words) -> str | None:
+            if text is None or (found is None and of_words is None):
+                return text
+            raw = text.encode("utf-8")
+            return cut(raw, merge(_runs(found) + _word_runs(raw, of_words))).decode("utf-8", "ignore")
+
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
             at = b.schema.get_field_index("text")
-            found = b.column(b.schema.get_field_index("_spans"))
-            if found.null_count < len(found):
-                texts = [t if s is None or t is None else cut(t.encode("utf-8"), _runs(s)).decode("utf-8", "ignore") for t, s in zip(b.column(at).to_pylist(), found.to_pylist())]
+            found = [b.column(b.schema.get_field_index(name)) for name in added]
+            if any(x.null_count < len(x) for x in found):
+                spans = [x.to_pylist() for x in found] + [[None] * b.num_rows] * (2 - len(found))
+                texts = [one(t, *s) for t, *s in zip(b.column(at).to_pylist(), *spans)]
                 b = b.set_column(at, "text", pa.array(texts, pa.string()))
-            return b.drop_columns(["_spans"])
+            return b.drop_columns(added)
 
         return work
 
-    return C.map_rows(_with_spans(docs, length, k, hot), make, docs.schema)
+    added = ["_spans", "_word_spans"] if words else ["_spans"]
+    return C.map_rows(_with_spans(docs, length, k, hot, words).select(*docs.columns, *added), make, docs.schema)
 
 
 def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
