@@ -10,11 +10,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import common
+from tideline.llm import common, op8_quality
 from tideline.llm.op1_suffix import clean
 from tideline.llm.op2_minhash import keep_one
 from tideline.llm.op6_pii import redact
-from tideline.llm.op8_quality import keep
 from tideline.llm.op9_packing import pack
 
 #: Percent of five-word shingles that near copies share; op2_minhash on its own has 85.
@@ -29,8 +28,8 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return keep(docs)
+    """Documents that the quality rules reject go, and from the others the lines that too many documents of a host have."""
+    return _counted(op8_quality.clean(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

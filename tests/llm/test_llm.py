@@ -434,6 +434,25 @@ def test_quality_rules(spark):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+def test_quality_stage_removes_lines(spark, sf_dir):
+    import corpus_pipeline as cp
+
+    words = lambda s, n: " ".join(f"{s}{i}" for i in range(n))
+    tpl = "Read  More\tHere"
+    texts = [f"{words(f'a{i}x', 30)}\n{tpl}\n\n{words(f'b{i}x', 30)}\n read more HERE \n" for i in range(120)]
+    want = [t.replace(tpl + "\n", "").replace(" read more HERE \n", "") for t in texts]
+    docs = docs_of(spark, texts)
+    assert {x.n_boilerplate_words for x in op8.judge(docs).collect()} == {6}
+    out = cp.quality(spark, docs, sf_dir)
+    got = {x.doc_id: (x.text, x.n_chars) for x in out.collect()}
+    assert out.columns == docs.columns and [got[i] for i in range(120)] == [(t, len(t)) for t in want]
+    # 100 documents are within the limit, and so are 120 of which no host has more
+    for d in (docs.limit(100), docs.withColumn("source", F.when(F.col("doc_id") < 60, F.lit("one")))):
+        assert {x.text for x in cp.quality(spark, d, sf_dir).collect()} <= set(texts)
+    plan = op8.clean(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
 # ---- 9: packing ---------------------------------------------------------------------------
 
 

@@ -5,7 +5,7 @@ Across documents: lines are normalised (lower case, white space collapsed) and h
 for every host (``source``) the distinct documents that hold a line are counted. Documents
 that are copies of each other, told by the same smallest and largest line hash, count as one
 document: a line is boilerplate because *different* documents of a host carry it. Lines above
-MAX_DOCS_PER_HOST are removed; a document of which less than MIN_LEFT percent of the words is
+MAX_DOCS_PER_HOST are removed (``clean`` returns the texts without them); a document of which less than MIN_LEFT percent of the words is
 left is rejected as depleted.
 
 Counting is two aggregations with map-side combining; the removal joins on (host, line, salt)
@@ -18,7 +18,7 @@ Repeated rows are judged alike. Columns of the input other than ``doc_id``, ``te
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -29,6 +29,11 @@ MAX_DOCS_PER_HOST = 100
 MIN_LEFT_PERCENT = 30
 SALTS = 32
 SYMBOLS = "#*$%&|<>"
+MEASURES = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def _normal(line: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(line, C.SPACE, " ")))
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -55,29 +60,36 @@ def measures(docs: DataFrame) -> DataFrame:
     a = a.select(
         "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         F.expr("aggregate(twice, struct(0L as n, -3 as at), (s, i) -> struct(s.n + least(3, i - s.at) as n, i as at)).n").alias("n_repeat_words"),
-        F.transform("raw_lines", lambda x: F.lower(F.trim(F.regexp_replace(x, C.SPACE, " ")))).alias("norm"),
+        F.transform("raw_lines", _normal).alias("norm"),
     )
     one = F.transform("norm", lambda x: F.struct(F.md5(x).alias("key"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("long").alias("words")))
     return a.withColumn("lines", one).drop("norm")
 
 
-def judge(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST, min_left: int = MIN_LEFT_PERCENT) -> DataFrame:
-    """(doc_id, measures, n_boilerplate_words, base_failed, kept) of every row."""
-    scratch = C.Scratch(docs.sparkSession, "quality")
-    m = scratch.save(measures(docs))
+def _over_limit(m: DataFrame, max_docs: int) -> DataFrame:
+    """(doc_id, host, key, words) of the lines of ``measures`` that are over the limit, once for each id, host and line."""
     lines = m.select("doc_id", "host", F.array_min("lines.key").alias("low"), F.array_max("lines.key").alias("high"), F.explode("lines").alias("l")).select("doc_id", "host", "low", "high", "l.key", "l.words")
     over = lines.groupBy("host", "key", "low", "high").agg(F.lit(1).alias("one")).groupBy("host", "key").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs)
     over = over.select("host", "key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     mine = lines.groupBy("doc_id", "host", "key").agg(F.sum("words").alias("words")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    removed = mine.join(over, ["host", "key", "salt"]).groupBy(F.col("doc_id").alias("id")).agg(F.sum("words").alias("gone"))
+    return mine.join(over, ["host", "key", "salt"]).select("doc_id", "host", "key", "words")
+
+
+def _verdict(m: DataFrame, lines: DataFrame, min_left: int) -> DataFrame:
+    removed = lines.groupBy(F.col("doc_id").alias("id")).agg(F.sum("words").alias("gone"))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    gone = F.coalesce("gone", F.lit(0))
     # removals are per id; rows that repeat an id have summed words, so the share is taken of the id's sum
     total = m.groupBy(F.col("doc_id").alias("id")).agg(F.sum("n_words").alias("all_words"))
-    share = total.join(removed, "id").where((F.col("all_words") - F.col("gone")) * 100 < min_left * F.col("all_words")).select("id", F.lit(True).alias("depleted"))
+    share = total.join(removed, "id").select("id", "gone", ((F.col("all_words") - F.col("gone")) * 100 < min_left * F.col("all_words")).alias("depleted"))
     out = m.drop("lines", "host").join(share, F.col("doc_id") == F.col("id"), "left").drop("id")
-    out = out.withColumn("base_failed", base).withColumn("kept", ~base & F.col("depleted").isNull())
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    out = out.withColumn("n_boilerplate_words", F.coalesce("gone", F.lit(0)).cast("long")).withColumn("base_failed", base).withColumn("kept", ~base & ~F.coalesce("depleted", F.lit(False)))
+    return out.select(*MEASURES, "n_boilerplate_words", "base_failed", "kept")
+
+
+def judge(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST, min_left: int = MIN_LEFT_PERCENT) -> DataFrame:
+    """(doc_id, measures, n_boilerplate_words, base_failed, kept) of every row; n_boilerplate_words is of all rows of the id."""
+    m = C.Scratch(docs.sparkSession, "quality").save(measures(docs))
+    return _verdict(m, _over_limit(m, max_docs), min_left)
 
 
 def keep(docs: DataFrame) -> DataFrame:
@@ -86,8 +98,21 @@ def keep(docs: DataFrame) -> DataFrame:
     return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
 
 
+def clean(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST, min_left: int = MIN_LEFT_PERCENT) -> DataFrame:
+    """The rows of ``docs`` that pass, with the lines over the limit cut out of ``text``; other columns as they are."""
+    scratch = C.Scratch(docs.sparkSession, "quality")
+    m = scratch.save(measures(docs))
+    lines = scratch.save(_over_limit(m, max_docs))
+    rejected = scratch.save(_verdict(m, lines, min_left).where("not kept").select("doc_id"))
+    scratch.drop(m)
+    cut = lines.groupBy(F.col("doc_id").alias("_id"), F.col("host").alias("_host")).agg(F.collect_set("key").alias("_keys"))
+    rows = docs.join(rejected, "doc_id", "left_anti").join(cut, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.coalesce("source", F.lit("")) == F.col("_host")), "left")
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_keys", F.md5(_normal(x)))), "\n")
+    return rows.withColumn("text", F.when(F.col("_keys").isNull(), F.col("text")).otherwise(left)).select(docs.columns)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(C.read(spark, sf_dir, "documents"))
+    return judge(C.read(spark, sf_dir, "documents")).drop("n_boilerplate_words")
 
 
 SQL = f"""
