@@ -47,6 +47,6 @@ OPTION_BBL_TO_MMT = 0.000000109
 HORIZONS_H = [6, 12, 18, 24, 36, 48, 72]
 REVERSION, Z90 = 0.80, 1.2816
 
-# fixed values: lexicon and severities
-SENTIMENT_SEVERITY = {"very_negative": 0.95, "negative": 0.75, "neutral": 0.40, "positive": 0.15, "very_positive": 0.05}
-SENTIMENT_TONE = {"very_negative": -8.0, "negative": -4.0, "neutral": 0.0, "positive": 4.0, "very_positive": 8.0}
+# fixed values: severity and tone of the sentiment labels
+SENTIMENT_SEVERITY = {"Highly Risky": 0.95, "Risky": 0.75, "Satisfactory": 0.40, "Safe": 0.15, "Completely Safe": 0.05}
+SENTIMENT_TONE = {"Highly Risky": -8.0, "Risky": -4.0, "Satisfactory": 0.0, "Safe": 4.0, "Completely Safe": 8.0}

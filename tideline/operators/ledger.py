@@ -30,12 +30,19 @@ def traces(runs: DataFrame, events: DataFrame, slack: float, bin_s: int) -> Data
     return runs.select("run").join(hit, "run", "left").withColumn("traced", F.coalesce("traced", F.lit(0)))
 
 
-def roc(rows: DataFrame, bins: str = "x") -> DataFrame:
-    """Area under the curve, best threshold and its J of (y, x); rows are summed by score before any ordering."""
+def roc(rows: DataFrame, bins: str = "x", parts: int = 64) -> DataFrame:
+    """Area under the curve, best threshold and its J of (y, x).
+
+    Rows are summed by score first; the distinct scores are then summed up part by part, between
+    ``parts`` quantiles, and a part starts from the sums of the parts above it.
+    """
     g = rows.groupBy(F.col(bins).alias("x")).agg(F.sum("y").alias("p"), (F.count("*") - F.sum("y")).alias("n"))
-    w = Window.orderBy(F.desc("x"))
-    t = g.agg(F.sum("p").alias("tp"), F.sum("n").alias("tn"))
-    c = g.crossJoin(F.broadcast(t)).withColumn("tpr", F.sum("p").over(w) / F.col("tp")).withColumn("fpr", F.sum("n").over(w) / F.col("tn"))
-    c = c.withColumn("t0", F.coalesce(F.lag("tpr").over(w), F.lit(0.0))).withColumn("f0", F.coalesce(F.lag("fpr").over(w), F.lit(0.0)))
+    t = g.agg(F.sum("p").alias("tp"), F.sum("n").alias("tn"), F.percentile_approx("x", [i / parts for i in range(1, parts)], F.lit(10_000)).alias("bounds"))
+    c = g.crossJoin(F.broadcast(t)).withColumn("part", F.size(F.filter("bounds", lambda b: b <= F.col("x")))).drop("bounds")
+    above = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = c.groupBy("part").agg(F.sum("p").alias("pp"), F.sum("n").alias("pn")).select("part", F.coalesce(F.sum("pp").over(above), F.lit(0)).alias("pp"), F.coalesce(F.sum("pn").over(above), F.lit(0)).alias("pn"))
+    w = Window.partitionBy("part").orderBy(F.desc("x"))
+    c = c.join(sums, "part").withColumn("up", F.sum("p").over(w) + F.col("pp")).withColumn("down", F.sum("n").over(w) + F.col("pn"))
+    c = c.select("x", (F.col("up") / F.nullif("tp", F.lit(0))).alias("tpr"), (F.col("down") / F.nullif("tn", F.lit(0))).alias("fpr"), ((F.col("up") - F.col("p")) / F.nullif("tp", F.lit(0))).alias("t0"), ((F.col("down") - F.col("n")) / F.nullif("tn", F.lit(0))).alias("f0"))
     j = F.col("tpr") - F.col("fpr")
     return c.agg(F.round(F.sum((F.col("fpr") - F.col("f0")) * (F.col("tpr") + F.col("t0")) / 2), 9).alias("auc"), F.max_by("x", F.struct(F.round(j, 9), "x")).alias("threshold"), F.round(F.max(j), 9).alias("j"))

@@ -11,16 +11,17 @@ from ..sources.views import signals, table, ticks, with_
 from .registry import query
 
 _CP = with_("tick") + """,
-r AS (SELECT *, ln(price / lag(price) OVER (PARTITION BY instrument ORDER BY ts, event_id)) AS ret FROM tick),
+b AS (SELECT *, lag(price) OVER (PARTITION BY instrument ORDER BY ts, event_id) AS before FROM tick),
+r AS (SELECT *, CASE WHEN before IS NOT NULL THEN CASE WHEN before > 0 AND price > 0 THEN ln(price / before) ELSE 0 END END AS ret FROM b),
 m AS (SELECT *, count(ret) OVER w AS n, avg(ret) OVER w AS mean, stddev_samp(ret) OVER w AS std FROM r WINDOW w AS (PARTITION BY instrument ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
-z AS (SELECT *, CASE WHEN n >= 5 AND std > 0 THEN abs(ret - mean) / std END AS z FROM m),
-p AS (SELECT *, coalesce(least(1, 0.01::DOUBLE * (1 + z * z / 2)), 0) AS prob FROM z),
-f AS (SELECT *, prob > 0.6 OR coalesce(z > 3.5, FALSE) AS flag, coalesce(std * sqrt(252) * 100 > 3, FALSE) AS stressed FROM p)"""
+z AS (SELECT *, greatest(std, 1e-6) AS s, CASE WHEN n >= 5 THEN abs(ret - mean) / greatest(std, 1e-6) END AS z FROM m),
+p AS (SELECT *, CASE WHEN z IS NULL THEN 0::DOUBLE ELSE least(1, 0.01::DOUBLE * (1 + z * z / 2)) END AS prob FROM z),
+f AS (SELECT *, prob > 0.6 OR coalesce(z > 3.5, FALSE) AS flag, n >= 5 AND s * sqrt(252) * 100 > 3 AS stressed FROM p)"""
 
 
-@query("price_changepoint", _CP + " SELECT event_id, round(ret, 9) AS ret, round(prob, 9) AS prob, flag, CASE WHEN flag THEN round((price / last_value(CASE WHEN flag THEN price END IGNORE NULLS) OVER (PARTITION BY instrument ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1) * 100, 6) END AS pct_since FROM f")
+@query("price_changepoint", _CP + " SELECT event_id, round(ret, 9) AS ret, round(prob, 9) AS prob, flag, CASE WHEN flag THEN round((price / nullif(last_value(CASE WHEN flag THEN price END IGNORE NULLS) OVER (PARTITION BY instrument ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1) * 100, 6) END AS pct_since FROM f")
 def price_changepoint(spark, sf_dir):
-    return ops.changepoints(ticks(spark, sf_dir)).select("event_id", F.round("ret", 9).alias("ret"), F.round("prob", 9).alias("prob"), "flag", F.round("pct_since", 6).alias("pct_since"))
+    return ops.since_flagged(ops.changepoints(ticks(spark, sf_dir))).select("event_id", F.round("ret", 9).alias("ret"), F.round("prob", 9).alias("prob"), "flag", F.round("pct_since", 6).alias("pct_since"))
 
 
 @query("price_regime", _CP + " SELECT event_id, stressed, CASE WHEN price < 70 THEN 0.0::DOUBLE WHEN price < 90 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS level FROM f")
@@ -30,8 +31,10 @@ def price_regime(spark, sf_dir):
 
 
 @query("war_risk_premium", with_("tick") + """,
-r AS (SELECT *, ln(price / 100 / (lag(price) OVER w / 100)) / 100 AS ret, row_number() OVER w AS seen FROM tick WINDOW w AS (PARTITION BY instrument ORDER BY ts, event_id))
-SELECT event_id, CASE WHEN seen >= 10 THEN round(least(1, greatest(0, sqrt(avg(ret * ret) OVER (PARTITION BY instrument ORDER BY ts, event_id ROWS 18 PRECEDING)) / 0.01::DOUBLE - 1)), 4) ELSE 0 END AS premium FROM r""")
+b AS (SELECT *, lag(price) OVER w AS before, row_number() OVER w AS seen FROM tick WINDOW w AS (PARTITION BY instrument ORDER BY ts, event_id)),
+r AS (SELECT *, CASE WHEN before > 0 AND price > 0 THEN ln(price / before) / 100 END AS ret FROM b),
+v AS (SELECT *, sqrt(avg(ret * ret) OVER (PARTITION BY instrument ORDER BY ts, event_id ROWS 18 PRECEDING)) AS vol FROM r)
+SELECT event_id, CASE WHEN seen >= 10 AND vol IS NOT NULL THEN round(least(1, greatest(0, vol / 0.01::DOUBLE - 1)), 4) ELSE 0 END AS premium FROM v""")
 def war_risk_premium(spark, sf_dir):
     # the synthetic prices jump a hundred times more than real ones do: the hundredth root tames them
     return ops.war_premium(ticks(spark, sf_dir).withColumn("price", F.pow("price", F.lit(0.01)))).select("event_id", "premium")
@@ -73,7 +76,7 @@ def bbox_region(spark, sf_dir):
     return x.join(F.broadcast(b), F.col("lat").between(F.col("la0"), F.col("la1")) & F.col("lon").between(F.col("lo0"), F.col("lo1"))).select("event_id", "region", ops.cell(F.col("lat"), F.col("lon")).alias("cell"))
 
 
-@query("tone_delta", with_("sig") + """ SELECT event_id, round(tone - coalesce(avg(tone) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), tone), 6) AS delta, round(tone - coalesce(avg(tone) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), tone), 6) AS delta_all
+@query("tone_delta", with_("sig") + """ SELECT event_id, round(tone - coalesce(avg(tone) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), tone), 6) AS delta, round(tone - coalesce(round(sum(tone) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) / count(tone) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), tone), 6) AS delta_all
 FROM sig WHERE source = 'news' WINDOW w AS (PARTITION BY entity ORDER BY ts, event_id)""")
 def tone_delta(spark, sf_dir):
     n = signals(spark, sf_dir).where("source = 'news'")
@@ -123,14 +126,11 @@ def asof_interpolate(spark, sf_dir):
 
 @query("tick_features", with_("tick") + """,
 w AS (SELECT event_id, price, ts, avg(price) OVER (PARTITION BY instrument ORDER BY ts, event_id ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS base, max(price >= 480) OVER (PARTITION BY instrument ORDER BY ts, event_id) AS ever FROM tick)
-SELECT event_id, round(price / base - 1, 6) AS premium, ever, abs(epoch(ts) - epoch(TIMESTAMP '2024-01-15')) / 3600 <= 24 AS near, round(10 / (1 + exp(-(epoch(ts) - epoch(TIMESTAMP '2024-01-15')) / 86400)), 6) AS ramp FROM w""")
+SELECT event_id, round(price / nullif(base, 0) - 1, 6) AS premium, ever, abs(epoch(ts) - epoch(TIMESTAMP '2024-01-15')) / 3600 <= 24 AS near, round(10 / (1 + exp(-(epoch(ts) - epoch(TIMESTAMP '2024-01-15')) / 86400)), 6) AS ramp FROM w""")
 def tick_features(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("instrument").orderBy("ts", "event_id")
     days = (F.unix_micros("ts") / 1e6 - 1705276800) / 86400
-    t = ticks(spark, sf_dir).withColumn("base", F.avg("price").over(w.rowsBetween(-30, -1))).withColumn("ever", F.max(F.col("price") >= 480).over(w))
-    return t.select("event_id", F.round(F.col("price") / F.col("base") - 1, 6).alias("premium"), "ever", (F.abs(days) * 24 <= 24).alias("near"), F.round(10 / (1 + F.exp(-days)), 6).alias("ramp"))
+    t = ops.premium_on_base(ticks(spark, sf_dir), 480)
+    return t.select("event_id", F.round(F.col("price") / F.nullif("base", F.lit(0.0)) - 1, 6).alias("premium"), "ever", (F.abs(days) * 24 <= 24).alias("near"), F.round(10 / (1 + F.exp(-days)), 6).alias("ramp"))
 
 
 @query("replay_signals", with_("sig") + """,

@@ -10,33 +10,22 @@ from ..operators import feeds
 from ..sources.views import table
 from .registry import query
 
-# the corpus is invented, so its own frequent syllables stand in for the lexicon's words
-_SYL = [("very_negative", ["thtion", "auxch"]), ("negative", ["ouer", "keit"]), ("positive", ["ando", "inti"])]
-_SENT = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{'|'.join(w)}') THEN '{n}'" for n, w in [*T.LEXICON[:2], *_SYL, T.LEXICON[2]]) + " ELSE 'neutral' END"
+_ANY = lambda words: " OR ".join(f"contains(low, '{w}')" for w in words)
+_CASES = lambda rules, other: "CASE " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in rules) + f" ELSE '{other}' END"
 
 
-def _sentiment(text):
-    low, out = F.lower(text), None
-    for n, w in [*T.LEXICON[:2], *_SYL, T.LEXICON[2]]:
-        hit = low.rlike("|".join(w))
-        out = F.when(hit, n) if out is None else out.when(hit, n)
-    return out.otherwise("neutral")
-
-
-@query("sentiment_lexicon", f"WITH s AS (SELECT doc_id, {_SENT} AS sentiment FROM documents) SELECT doc_id, sentiment, CASE sentiment " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in SENTIMENT_SEVERITY.items()) + " END AS severity, CASE sentiment " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in SENTIMENT_TONE.items()) + " END AS tone FROM s")
+@query("sentiment_lexicon", f"""WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents), s AS (SELECT doc_id, {_CASES([(_ANY(w), k) for k, w in T.LEXICON.items()], T.NO_TIER)} AS sentiment FROM t)
+SELECT doc_id, sentiment, CASE sentiment """ + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in SENTIMENT_SEVERITY.items()) + " END AS severity, CASE sentiment " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in SENTIMENT_TONE.items()) + " END AS tone FROM s")
 def sentiment_lexicon(spark, sf_dir):
     look = lambda m: F.coalesce(*[F.when(F.col("sentiment") == k, F.lit(v)) for k, v in m.items()])
-    return table(spark, sf_dir, "documents").select("doc_id", _sentiment(F.col("text")).alias("sentiment")).select("doc_id", "sentiment", look(SENTIMENT_SEVERITY).alias("severity"), look(SENTIMENT_TONE).alias("tone"))
-
+    return table(spark, sf_dir, "documents").select("doc_id", T.sentiment(F.col("text")).alias("sentiment")).select("doc_id", "sentiment", look(SENTIMENT_SEVERITY).alias("severity"), look(SENTIMENT_TONE).alias("tone"))
 
-_ACTORS, _ACTIONS = ["Thtion", "Erou", "Queaux", "Verge", "Cionla"], ["ingtha", "andor", "lement", "einge", "mente"]
-_SENTENCE = "CASE WHEN regexp_extract(text, '^([^.!?\\n]*[.!?])(\\s|$)', 1) <> '' THEN regexp_extract(text, '^([^.!?\\n]*[.!?])(\\s|$)', 1) ELSE text END"
 
-
-@query("actor_action", f"WITH s AS (SELECT doc_id, lower({_SENTENCE}) AS s FROM documents) SELECT doc_id, " + ", ".join("CASE " + " ".join(f"WHEN contains(s, '{n.lower()}') THEN '{n}'" for n in names) + f" END AS {k}" for k, names in (("actor", _ACTORS), ("action", _ACTIONS))) + " FROM s")
+@query("actor_action", f"""WITH t AS (SELECT doc_id, lower(trim(split_part(coalesce(text, ''), '.', 1), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS low FROM documents)
+SELECT doc_id, {_CASES([(_ANY([a.lower()]), a) for a in T.ACTORS], T.NO_ACTOR)} AS actor, {_CASES([(_ANY([k]), v) for k, v in T.ACTIONS.items()], T.NO_ACTION)} AS action FROM t""")
 def actor_action(spark, sf_dir):
-    s = T.first_sentence(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", T.first_of(s, _ACTORS).alias("actor"), T.first_of(s, _ACTIONS).alias("action"))
+    s = T.before_stop(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.actor(s).alias("actor"), T.action(s).alias("action"))
 
 
 @query("entity_alias_scan", "WITH a(alias, entity) AS (VALUES ('license', 'LICENCE'), ('apache', 'APACHE'), ('reserved', 'RIGHTS'), ('example.com', 'EXAMPLE'), ('cc by', 'CC'), ('no', 'SHORT')) SELECT doc_id, entity FROM documents JOIN a ON length(alias) >= 3 AND contains(lower(text), alias)")
@@ -96,26 +85,51 @@ def html_strip(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
 
 
-@query("copilot_route", f"SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '{T.REASONING}') OR len(list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda w: w <> '')) > 12 THEN 'graph' ELSE 'vector' END AS route FROM conversations WHERE role = 'user'")
+_WORDS = "len(list_filter(regexp_split_to_array({}, '[ \\t\\r\\n\\x0b\\x0c]+'), lambda w: w <> ''))"
+
+
+@query("copilot_route", f"SELECT conv_id, turn, CASE WHEN regexp_matches(text, '{T.REASONING}') OR {_WORDS.format('text')} > 12 THEN 'graph' ELSE 'vector' END AS route FROM conversations WHERE role = 'user'")
 def copilot_route(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", T.route(F.col("text")).alias("route"))
 
 
-@query("voice_intent", "SELECT conv_id, turn, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for n, p in T.INTENTS) + " ELSE 'chat' END AS intent FROM conversations")
-def voice_intent(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.intent(F.col("text")).alias("intent"))
+#: Stand-ins for the registry, of the syllables of the invented conversations.
+_NAMES = {"thewh": "Thewh", "the": "The", "ander": "Ander", "que": "Que", "ment": "Ment", "der": "Der"}
+_SPOKEN = """h AS (SELECT conv_id, turn, text, rtrim(trim(lower(text), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '.,!?') AS heard FROM conversations WHERE role = 'user'),
+m AS (SELECT conv_id, turn, name, ord, CASE WHEN heard = alias THEN 1000000 WHEN contains(heard, alias) OR contains(alias, heard) THEN least(length(heard), length(alias)) ELSE 0 END AS s FROM h, (VALUES """ + ", ".join(f"('{k}', '{v}', {i})" for i, (k, v) in enumerate(_NAMES.items())) + """) e(alias, name, ord) WHERE heard <> ''),
+e AS (SELECT conv_id, turn, arg_max(name, (s, -ord)) FILTER (s > 0) AS entity FROM m GROUP BY 1, 2)"""
 
 
-@query("voice_entity", """WITH e(name, ord) AS (VALUES ('thewh', 0), ('the', 1), ('ander', 2), ('que', 3), ('ment', 4), ('der', 5)), u AS (SELECT conv_id, turn, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) >= 3))) AS word FROM conversations WHERE role = 'user'),
-m AS (SELECT conv_id, turn, name, CASE WHEN word = name THEN 1000 ELSE least(length(word), length(name)) END AS s, ord FROM u JOIN e ON contains(word, name) OR contains(name, word))
-SELECT conv_id, turn, arg_max(name, (s, -ord)) AS entity FROM m GROUP BY 1, 2""")
+@query("voice_entity", f"WITH {_SPOKEN} SELECT conv_id, turn, entity FROM h LEFT JOIN e USING (conv_id, turn)")
 def voice_entity(spark, sf_dir):
-    """Exact names win, else the longest overlap by containment, else the first in the list."""
-    e = spark.createDataFrame([(n, i) for i, n in enumerate(["thewh", "the", "ander", "que", "ment", "der"])], "name string, ord int")
-    u = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 3))).alias("word"))
-    m = u.join(F.broadcast(e), F.contains("word", "name") | F.contains("name", "word"))
-    s = F.when(F.col("word") == F.col("name"), 1000).otherwise(F.least(F.length("word"), F.length("name")))
-    return m.groupBy("conv_id", "turn").agg(F.max_by("name", F.struct(s, -F.col("ord"))).alias("entity"))
+    """An alias that is the utterance, else the longest overlap by containment, else the first in the list."""
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", T.spoken_entity(F.col("text"), _NAMES).alias("entity"))
+
+
+@query("voice_intent", f"""WITH {_SPOKEN},
+t AS (SELECT conv_id, turn, entity, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM h LEFT JOIN e USING (conv_id, turn)),
+l AS (SELECT *, lower(t) AS low, coalesce(entity, list_last(list_filter(regexp_split_to_array(t, '[ \\t\\r\\n\\x0b\\x0c]+'), lambda w: w <> ''))) AS chosen FROM t),
+k AS (SELECT *, CASE WHEN t = '' OR regexp_matches(low, '{T.STOP}') THEN 'stop' WHEN regexp_matches(low, '{T.RUN}') AND entity IS NOT NULL THEN 'run_scenario' WHEN regexp_matches(low, '{T.WIKI}') AND entity IS NOT NULL THEN 'open_wiki'
+  WHEN regexp_matches(low, '{T.FOCUS}') AND entity IS NOT NULL THEN 'focus_entity' WHEN regexp_matches(low, '{"|".join(p for p, _ in T.FIGURES)}') THEN 'flash_kpi' WHEN regexp_matches(low, '{"|".join(p for p, _ in T.VIEWS)}') THEN 'navigate'
+  WHEN regexp_matches(low, '{T.SELECT}') THEN 'select_option' ELSE 'none' END AS kind FROM l)
+SELECT conv_id, turn, CASE WHEN kind NOT IN ('stop', 'none') THEN kind END AS type,
+  CASE kind WHEN 'run_scenario' THEN entity WHEN 'open_wiki' THEN entity WHEN 'focus_entity' THEN entity WHEN 'select_option' THEN chosen
+    WHEN 'flash_kpi' THEN CASE {" ".join(f"WHEN regexp_matches(low, '{p}') THEN '{v}'" for p, v in T.FIGURES)} END
+    WHEN 'navigate' THEN CASE {" ".join(f"WHEN regexp_matches(low, '{p}') THEN '{v}'" for p, v in T.VIEWS)} END END AS target,
+  CASE kind WHEN 'run_scenario' THEN 'Running the ' || entity || ' scenario.' WHEN 'focus_entity' THEN 'Here''s ' || entity || '.' WHEN 'select_option' THEN 'Selecting ' || chosen || '.' END AS said,
+  CASE kind WHEN 'open_wiki' THEN TRUE WHEN 'none' THEN regexp_matches(low, '{T.QUESTION}') OR {_WORDS.format('t')} > 4 ELSE FALSE END AS is_query FROM k""")
+def voice_intent(spark, sf_dir):
+    text = F.col("text")
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", T.command(text, T.spoken_entity(text, _NAMES)).alias("c")).select("conv_id", "turn", "c.*")
+
+
+@query("scalar_json", """SELECT doc_id, source AS k, n_chars AS v, to_json({'entity': source, 'value': n_chars}) AS dumped FROM documents""")
+def scalar_json(spark, sf_dir):
+    """A JSON object cut out of the prose around it and parsed; rows written as JSON."""
+    d = table(spark, sf_dir, "documents")
+    said = F.concat(F.lit("Here it is: {\"k\": \""), "source", F.lit("\",\n \"v\": "), F.col("n_chars").cast("string"), F.lit("} - done."))
+    got = F.from_json(T.json_part(said), "k string, v long")
+    return d.select("doc_id", got["k"].alias("k"), got["v"].alias("v"), F.to_json(F.struct(F.col("source").alias("entity"), F.col("n_chars").alias("value"))).alias("dumped"))
 
 
 @query("situation_brief", """WITH s AS (SELECT doc_id, lang, round(quality * 6 + CASE lang WHEN 'en' THEN 2 WHEN 'fr' THEN 1 ELSE 0 END + least(n_chars, 4000) / 800 + 0.3::DOUBLE * (doc_id % 10) / 10, 6) AS score FROM documents JOIN labels USING (doc_id))
@@ -148,9 +162,9 @@ def feed_union(spark, sf_dir):
     return d.unionByName(p).unionByName(c).distinct()
 
 
-@query("scalar_text", r"""SELECT doc_id, replace(replace(lower(source || ' ' || lang || '/x'), ' ', '_'), '/', '-') AS slug, left(regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 40) AS preset, coalesce(nullif(n_chars % 7, 0), 99) AS v FROM documents""")
+@query("scalar_text", r"""SELECT doc_id, replace(replace(lower(source || ' ' || lang || '/x'), ' ', '_'), '/', '-') AS slug, left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 40) AS preset, coalesce(nullif(n_chars % 7, 0), 99) AS v FROM documents""")
 def scalar_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.slug(F.concat("source", F.lit(" "), "lang", F.lit("/x"))).alias("slug"), T.preset_slug(F.left("text", F.lit(60))).alias("preset"), F.coalesce(F.nullif(F.col("n_chars") % 7, F.lit(0)), F.lit(99)).cast("long").alias("v"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.slug(F.concat("source", F.lit(" "), "lang", F.lit("/x"))).alias("slug"), T.preset_slug(F.col("text")).alias("preset"), F.coalesce(F.nullif(F.col("n_chars") % 7, F.lit(0)), F.lit(99)).cast("long").alias("v"))
 
 
 @query("sanctions_parse", "SELECT * FROM (VALUES (36::BIGINT, 'OCEAN STAR', 'vessel', '123456789', 'IRAN'), (37, 'John Q Public', 'person', NULL, 'SDGT'), (38, 'Acme Shipping', 'entity', NULL, 'IRAN')) t(uid, name, kind, mmsi, program)")
