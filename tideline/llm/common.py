@@ -15,7 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows handed to Python at once; texts are further cut into slices of SLICE_BYTES.
 ARROW_ROWS = 1000
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

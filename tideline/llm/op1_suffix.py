@@ -18,8 +18,10 @@ in their interval drop out, as do rows whose prefix with both neighbours can't r
 MIN_LENGTH with the bytes left to extend by; at MIN_LENGTH a window is marked and the
 expansion of that prefix stops.
 
-An anchor with more than HOT occurrences is cut by offset into narrower contexts, keyed also
-by the bytes all their windows share, so that a very common passage spreads over many tasks.
+An anchor with more than HOT different contexts would make a large block: at the edges of a very
+common passage the outer bytes differ by document. Its contexts are cut by offset into parts of
+WIDTH windows, keyed also by the bytes all these windows share; a part's key that still has more
+than HOT different contents is cut into single windows, and then a block is one exact string.
 
 Words. A passage can also be measured in words: each word becomes WORD_BYTES bytes of its
 hash, and the same steps run over these. White space between words doesn't count then. A
@@ -28,8 +30,8 @@ covers in part are left out.
 
 Null and empty texts have no bytes and no spans; texts shorter than MIN_LENGTH are kept.
 Repeated rows are copies of each other like any others. A removal can cut a UTF-8 character,
-so kept bytes are binary. Only ``doc_id`` and ``text`` are read; empty tables give empty
-results. Texts are processed whole.
+so kept bytes are binary. A null ``doc_id`` is an id like any other. Only ``doc_id`` and ``text``
+are read; empty tables give empty results. Texts are processed whole.
 """
 
 from __future__ import annotations
@@ -47,8 +49,11 @@ from . import hashing as H
 
 MIN_LENGTH = 400
 KGRAM = 128
-HOT = 20_000
-HOT_WIDTH = 16
+#: Different contents of one key that are expanded in one block.
+HOT = 1000
+WIDTH = 16
+#: Words of a passage that counts as one, besides strings of MIN_LENGTH bytes.
+PASSAGE = 51
 #: Bytes of contexts that are expanded together; an anchor's contexts are never parted.
 BLOCK_BYTES = 8 << 20
 #: Contexts a task remembers having sent.
@@ -197,8 +202,14 @@ def spans_of(marks: np.ndarray, length: int = MIN_LENGTH) -> list[tuple[int, int
     return list(zip(first.tolist(), last.tolist()))
 
 
-def _anchor_rows(docs: DataFrame, length: int, k: int, words: bool) -> DataFrame:
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, text): th tells texts and null ids apart, doc_id is never null."""
+    kind = docs.schema["doc_id"].dataType
+    return docs.select(F.coalesce("doc_id", F.lit(0).cast(kind)).alias("doc_id"), F.xxhash64("text", F.col("doc_id").isNull()).alias("th"), "text")
+
+
+def _anchor_rows(src: DataFrame, length: int, k: int, words: bool) -> DataFrame:
+    kind = src.schema["doc_id"].dataType.simpleString()
 
     def make():
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -208,16 +219,22 @@ def _anchor_rows(docs: DataFrame, length: int, k: int, words: bool) -> DataFrame
 
         return work
 
-    return C.map_rows(docs, make, f"doc_id {kind}, th long, h long, at long, lo long, hi long")
+    return C.map_rows(src, make, f"doc_id {kind}, th long, h long, at long, lo long, hi long")
+
+
+def _ids(content: bytes, key: int, left: int) -> tuple[int, int]:
+    """128 bits that stand for a content under its key, with its anchor ``left`` bytes in."""
+    d = hashlib.blake2b(content, digest_size=16, key=(key & (1 << 64) - 1).to_bytes(8, "little"), salt=left.to_bytes(8, "little")).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
 def _contexts(docs: DataFrame, length: int, words: bool) -> DataFrame:
-    """(doc_id, th, lo, h, c1, c2, left, bytes): bytes only the first time a task sends the content, null the second."""
+    """(doc_id, th, lo, h, c1, c2, lft, sent, bytes): bytes only the first time a task sends the content, null the second."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "th", "lo", "h", "c1", "c2", "lft", "sent", "bytes"]
 
     def make():
-        seen: dict[bytes, int] = {}
+        seen: dict[tuple[int, int], int] = {}
 
         def work(b: pa.RecordBatch) -> pa.RecordBatch | None:
             raw, offsets = units(b, words)
@@ -225,47 +242,63 @@ def _contexts(docs: DataFrame, length: int, words: bool) -> DataFrame:
             cols: list[list] = [[] for _ in names]
             for row, (doc_id, th, owned) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist())):
                 base = int(offsets[row])
-                for at, lo, hi, h, hot in {(o["at"], o["lo"], o["hi"], o["h"], o["hot"]) for o in owned}:
-                    width = HOT_WIDTH if hot else hi - lo + 1
-                    for first in range(lo, hi + 1, width):
-                        # equal windows lie in equal offset blocks only if blocks are counted from the anchor
-                        parts = [(first, min(hi, first + width - 1))] if not hot else _offset_blocks(at, first, min(hi, first + width - 1))
-                        for f, last in parts:
-                            content = raw[base + f : base + last + length]
-                            key = h
-                            if hot:
-                                block = (at - f) // HOT_WIDTH
-                                core = raw[base + at - block * HOT_WIDTH : base + at - block * HOT_WIDTH - HOT_WIDTH + 1 + length]
-                                key = int.from_bytes(hashlib.blake2b(core, digest_size=8, key=(h & (1 << 64) - 1).to_bytes(8, "little"), salt=block.to_bytes(8, "little")).digest(), "little", signed=True)
-                            cid = hashlib.blake2b(content, digest_size=16, key=(key & (1 << 64) - 1).to_bytes(8, "little"), salt=(at - f).to_bytes(8, "little")).digest()
-                            times = seen.get(cid, 0)
-                            if times < 2:
-                                if len(seen) >= SEEN and times == 0:
-                                    seen.clear()
-                                seen[cid] = times + 1
-                            for c, v in zip(cols, (doc_id, th, f, key, int.from_bytes(cid[:8], "little", signed=True), int.from_bytes(cid[8:], "little", signed=True), at - f, times < 2, content if times == 0 else None)):
-                                c.append(v)
+                for at, lo, hi, h in {(o["at"], o["lo"], o["hi"], o["h"]) for o in owned}:
+                    content = raw[base + lo : base + hi + length]
+                    cid = _ids(content, h, at - lo)
+                    times = seen.get(cid, 0)
+                    if times < 2:
+                        if len(seen) >= SEEN and times == 0:
+                            seen.clear()
+                        seen[cid] = times + 1
+                    for c, v in zip(cols, (doc_id, th, lo, h, *cid, at - lo, times < 2, content if times == 0 else None)):
+                        c.append(v)
             if not cols[0]:
                 return None
-            return C.records(names, cols, [b.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()])
+            return C.records(names, cols, [b.schema.field(0).type, *[pa.int64()] * 6, pa.bool_(), pa.binary()])
 
         return work
 
     return C.map_rows(docs, make, f"doc_id {kind}, th long, lo long, h long, c1 long, c2 long, lft long, sent boolean, bytes binary")
 
 
-def _offset_blocks(at: int, first: int, last: int) -> list[tuple[int, int]]:
-    """The starts first..last, parted where (at - start) // HOT_WIDTH changes."""
+def _offset_blocks(at: int, first: int, last: int, width: int) -> list[tuple[int, int]]:
+    """The starts first..last, parted where (at - start) // width changes: equal windows lie in equal parts, as these are counted from the anchor."""
     out = []
     while first <= last:
-        end = min(last, at - (at - first) // HOT_WIDTH * HOT_WIDTH)
+        end = min(last, at - (at - first) // width * width)
         out.append((first, end))
         first = end + 1
     return out
 
 
+def _parts(contents: DataFrame, length: int, width: int) -> DataFrame:
+    """(p1, p2, at, h, c1, c2, lft, bytes): the parts of ``width`` windows of each content (c1, c2, h, lft, bytes)."""
+    names = ["p1", "p2", "at", "h", "c1", "c2", "lft", "bytes"]
+
+    def make():
+        def work(b: pa.RecordBatch) -> pa.RecordBatch:
+            cols: list[list] = [[] for _ in names]
+            for h, p1, p2, at, content in zip(*(c.to_pylist() for c in b.columns)):
+                for first, last in _offset_blocks(at, 0, len(content) - length, width):
+                    block = (at - first) // width
+                    # what all windows of the part share, also of a part that the context cuts short
+                    core = content[max(0, at - block * width) : at - block * width - width + 1 + length]
+                    key = _ids(core, h, block)[0]
+                    part = content[first : last + length]
+                    for c, v in zip(cols, (p1, p2, first, key, *_ids(part, key, at - first), at - first, part if width > 1 else None)):
+                        c.append(v)
+            return C.records(names, cols, [*[pa.int64()] * 7, pa.binary()])
+
+        return work
+
+    return C.map_rows(contents.select("h", "c1", "c2", "lft", "bytes"), make, ", ".join(f"{x} long" for x in names[:-1]) + ", bytes binary")
+
+
 def _expand_rows(sent: DataFrame, length: int) -> DataFrame:
-    """(c1, c2, spans array<struct<a, b>>) of the contents with a repeated window; rows of one h are together and sorted."""
+    """(c1, c2, spans array<struct<a, b>>) of the contents (h, c1, c2, lft, bytes, n) with a repeated window.
+
+    Rows of one h are together and sorted; a content may come in several rows, its bytes in one at least.
+    """
 
     def run(batches):
         held: list[tuple] = []
@@ -273,14 +306,12 @@ def _expand_rows(sent: DataFrame, length: int) -> DataFrame:
 
         def flush(rows: list[tuple]):
             by: dict[tuple, list] = {}
-            for h, c1, c2, left, content in rows:
+            for h, c1, c2, left, content, n in rows:
                 x = by.setdefault((h, c1, c2), [0, left, None])
-                x[0] += 1
+                x[0] += n
                 if content is not None:
                     x[2] = content
-            items = [(k, v) for k, v in by.items() if v[2] is not None]
-            if not items:
-                return None
+            items = list(by.items())
             group = np.unique(np.array([k[0] for k, _ in items], np.int64), return_inverse=True)[1]
             data = np.frombuffer(b"".join(v[2] for _, v in items), np.uint8)
             sizes = np.array([len(v[2]) for _, v in items])
@@ -308,28 +339,55 @@ def _expand_rows(sent: DataFrame, length: int) -> DataFrame:
         if held and (out := flush(held)) is not None:
             yield out
 
-    sent.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", C.ARROW_ROWS)
-    return sent.select("h", "c1", "c2", "lft", "bytes").mapInArrow(run, "c1 long, c2 long, spans array<struct<a: bigint, b: bigint>>")
+    spark = sent.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", C.ARROW_ROWS)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return sent.select("h", "c1", "c2", "lft", "bytes", "n").repartition(parts, "h").sortWithinPartitions("h").mapInArrow(run, _SPANS)
+
+
+_SPANS = "c1 long, c2 long, spans array<struct<a: bigint, b: bigint>>"
+
+
+def _shifted(spans: str, by: str) -> F.Column:
+    return F.transform(spans, lambda s: F.struct((s["a"] + F.col(by)).alias("a"), (s["b"] + F.col(by)).alias("b")))
+
+
+def _content_spans(scratch: C.Scratch, sent: DataFrame, length: int, hot: int, widths: tuple[int, ...] = (WIDTH, 1)) -> DataFrame:
+    """(c1, c2, spans) of contents (h, c1, c2, lft, bytes, n), whose keys with more than ``hot`` different contents are cut narrower."""
+    heavy = scratch.save(sent.groupBy("h", "c1", "c2").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") > hot).select("h"))
+    if heavy.isEmpty():
+        return scratch.save(_expand_rows(sent, length))
+    width = widths[0]
+    light = _expand_rows(sent.join(heavy, "h", "left_anti"), length)
+    many = scratch.save(sent.join(heavy, "h", "left_semi").groupBy("h", "c1", "c2").agg(F.first("lft").alias("lft"), F.first("bytes", True).alias("bytes"), F.sum("n").alias("n")))
+    parts = scratch.save(_parts(many, length, width))
+    each = parts.groupBy("h", "c1", "c2").agg(F.first("lft").alias("lft"), F.first("bytes", True).alias("bytes"), F.count("*").alias("n"))
+    if width > 1:
+        inner = _content_spans(scratch, scratch.save(each), length, hot, widths[1:])
+    else:  # a part is one window, so equal parts are all that repeats
+        inner = each.where("n > 1").select("c1", "c2", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(length).cast("long").alias("b"))).alias("spans"))
+    back = parts.select("p1", "p2", "at", "c1", "c2").join(inner, ["c1", "c2"]).select("p1", "p2", F.explode(_shifted("spans", "at")).alias("s"))
+    # contents that occur twice or more are repeated as a whole
+    whole = many.where("n > 1").select(F.col("c1").alias("p1"), F.col("c2").alias("p2"), F.struct(F.lit(0).cast("long").alias("a"), F.length("bytes").cast("long").alias("b")).alias("s"))
+    narrow = back.unionByName(whole).groupBy(F.col("p1").alias("c1"), F.col("p2").alias("c2")).agg(F.collect_set("s").alias("spans"))
+    return scratch.save(light.unionByName(narrow))
 
 
 def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH, k: int = KGRAM, hot: int = HOT, words: bool = False) -> DataFrame:
-    """(doc_id, th, spans) of the documents with repeated bytes; th is the xxhash64 of the text, spans may overlap.
+    """(doc_id, th, spans) of the ``_keyed`` documents with repeated bytes; spans may overlap.
 
     With ``words``, length, k-gram and spans count bytes of ``units``.
     """
     spark = docs.sparkSession
     scratch = C.Scratch(spark, "suffix")
-    src = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text"))
+    src = _keyed(docs)
     found = scratch.save(_anchor_rows(src, length, k, words))
-    repeated = scratch.save(found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h", (F.col("c") > hot).alias("hot")))
-    owned = found.join(repeated, "h").groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "lo", "hi", "h", "hot")).alias("owned"))
+    repeated = scratch.save(found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
+    owned = found.join(repeated, "h").groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "lo", "hi", "h")).alias("owned"))
     contexts = scratch.save(_contexts(src.join(owned, ["doc_id", "th"]).select("doc_id", "th", "text", "owned"), length, words))
     scratch.drop(found, repeated)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = contexts.where("sent").repartition(parts, "h").sortWithinPartitions("h")
-    spans = scratch.save(_expand_rows(sent, length))
-    places = contexts.select("doc_id", "th", "lo", "c1", "c2").join(spans, ["c1", "c2"])
-    places = places.select("doc_id", "th", F.explode(F.transform("spans", lambda s: F.struct((s["a"] + F.col("lo")).alias("a"), (s["b"] + F.col("lo")).alias("b")))).alias("s"))
+    spans = _content_spans(scratch, contexts.where("sent").select("h", "c1", "c2", "lft", "bytes", F.lit(1).cast("long").alias("n")), length, hot)
+    places = contexts.select("doc_id", "th", "lo", "c1", "c2").join(spans, ["c1", "c2"]).select("doc_id", "th", F.explode(_shifted("spans", "lo")).alias("s"))
     out = scratch.save(places.groupBy("doc_id", "th").agg(F.collect_set("s").alias("spans")))
     scratch.drop(contexts, spans)
     return out
@@ -363,7 +421,8 @@ def _with_spans(docs: DataFrame, length: int, k: int, hot: int, words: int = 0)
 
 def _joined(docs: DataFrame, spans: DataFrame, name: str) -> DataFrame:
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias(name))
-    return docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left").drop("_id", "_th")
+    kind = docs.schema["doc_id"].dataType
+    return docs.join(spans, (F.coalesce("doc_id", F.lit(0).cast(kind)) == F.col("_id")) & (F.xxhash64("text", F.col("doc_id").isNull()) == F.col("_th")), "left").drop("_id", "_th")
 
 
 def _runs(found) -> list[tuple[int, int]]:
@@ -379,23 +438,30 @@ def _word_runs(raw: bytes, found) -> list[tuple[int, int]]:
     return [(starts[-(-a // WORD_BYTES)], starts[b // WORD_BYTES]) for a, b in runs]
 
 
-def dedup(docs: DataFrame, length: int = MIN_LENGTH, k: int = KGRAM, hot: int = HOT) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept binary) of every row: the text without its repeated bytes."""
+def dedup(docs: DataFrame, length: int = MIN_LENGTH, k: int = KGRAM, hot: int = HOT, words: int = 0) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept binary, n_passages, n_passage_bytes) of every row: the text without its repeated bytes.
+
+    With ``words``, the last two tell the runs of passages of so many words that also stand
+    elsewhere, and their bytes; ``kept`` and the others don't depend on them. Else they are 0.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_passages", "n_passage_bytes"]
 
     def make():
-        def one(text: str, found) -> tuple:
+        def one(text: str, found, of_words) -> tuple:
             raw, runs = text.encode("utf-8"), _runs(found)
-            return len(raw), sum(b - a for a, b in runs), len(runs), cut(raw, runs)
+            passages = _word_runs(raw, of_words)
+            return len(raw), sum(b - a for a, b in runs), len(runs), cut(raw, runs), len(passages), sum(b - a for a, b in passages)
 
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
-            rows = [one(t, s) for t, s in zip(C.texts_of(b), b.column(2).to_pylist())]
-            return C.records(["doc_id", "n_bytes", "n_removed", "n_spans", "kept"], [b.column(0), *zip(*rows)], [None, pa.int64(), pa.int64(), pa.int64(), pa.binary()])
+            of_words = b.column(3).to_pylist() if words else [None] * b.num_rows
+            rows = [one(t, s, w) for t, s, w in zip(C.texts_of(b), b.column(2).to_pylist(), of_words)]
+            return C.records(names, [b.column(0), *zip(*rows)], [None, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()])
 
         return work
 
-    rows = _with_spans(docs.select("doc_id", "text"), length, k, hot)
-    return C.map_rows(rows, make, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    rows = _with_spans(docs.select("doc_id", "text"), length, k, hot, words).select("doc_id", "text", "_spans", *["_word_spans"] * bool(words))
+    return C.map_rows(rows, make, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, n_passages long, n_passage_bytes long")
 
 
 def clean(docs: DataFrame, length: int = MIN_LENGTH, k: int = KGRAM, hot: int = HOT, words: int = 0) -> DataFrame:
@@ -427,5 +493,6 @@ def clean(docs: DataFrame, length: int = MIN_LENGTH, k: int = KGRAM, hot: int =
 
 
 def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup(C.read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """Besides the columns of 400-byte strings, passages of over 50 words that stand elsewhere too, which can be shorter."""
+    out = dedup(C.read(spark, sf_dir, "documents"), words=PASSAGE)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages", "n_passage_bytes")
