@@ -439,6 +439,31 @@ def test_quality_rules(spark):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+@pytest.mark.parametrize("shared", [1, 2, 5, 20])
+def test_depleted_documents(spark, shared):
+    r = random.Random(shared)
+    lines = [" ".join(f"s{i}w{j}" for j in range(200 // shared)) for i in range(shared)]
+    own = lambda i, n: " ".join(f"o{i}x{j}" for j in range(n))
+    texts = ["\n".join([*lines, own(i, 12)]) for i in range(300)]
+    got = op8.judge(docs_of(spark, texts)).collect()
+    assert {(x.kept, x.n_boilerplate_words, x.n_words) for x in got} == {(False, 200, 212)}
+    # copies of one text are one document; near copies that are few in a large host stay
+    assert all(x.kept for x in op8.judge(docs_of(spark, [texts[0]] * 300)).collect())
+    base = [own(9999, 8).replace("x", f"y{k}x") for k in range(10)]
+    near = []
+    for i in range(130):
+        copy = list(base)
+        copy[r.randrange(10)] += f" edit{i}"
+        near.append("\n".join(copy))
+    near += [own(i, 60) for i in range(1500)]
+    assert all(x.kept for x in op8.judge(docs_of(spark, near)).collect())
+    # 100 documents are within the limit, 101 are not; ids that are null or strings
+    for n in (100, 101):
+        d = docs_of(spark, texts[:n]).withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id").cast("string")))
+        got = op8.judge(d).collect()
+        assert len(got) == n and {x.kept for x in got} == {n == 100} and op8.clean(d).count() == op8.keep(d).count() == (n if n == 100 else 0)
+
+
 def test_quality_stage_removes_lines(spark, sf_dir):
     import corpus_pipeline as cp
 

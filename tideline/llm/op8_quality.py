@@ -2,18 +2,20 @@
 
 Per document: word and symbol counts, repeated lines and words in repeated 3-word windows.
 Across documents: lines are normalised (lower case, white space collapsed) and hashed, and
-for every host (``source``) the distinct documents that hold a line are counted. Documents
-that are copies of each other, told by the same smallest and largest line hash, count as one
-document: a line is boilerplate because *different* documents of a host carry it. Lines above
-MAX_DOCS_PER_HOST are removed (``clean`` returns the texts without them); a document of which less than MIN_LEFT percent of the words is
-left is rejected as depleted.
-
-Counting is two aggregations with map-side combining; the removal joins on (host, line, salt)
-so that neither a hot host nor a hot line meets in one task.
-
-Null and empty texts have no words and fail the base rules. A null host is a host of its own.
-Repeated rows are judged alike. Columns of the input other than ``doc_id``, ``text`` and
-``source`` are not read here. Empty tables give empty results.
+for every host (``source``) the distinct documents that hold a line are counted. Documents with
+the same normalised lines in the same order are one document. A line is over the limits if more
+than MAX_DOCS_PER_HOST distinct documents of the host hold it, and these are more than
+MAX_HOST_PERCENT of the host's distinct documents: what many pages of a large host happen to
+share, among them a group of near copies, is no boilerplate of the host. Lines over the limits
+are removed (``clean`` returns the texts without them); a document of which less than
+MIN_LEFT_PERCENT of the words is left is rejected as depleted.
+
+Counting is aggregations with map-side combining; the removal joins on (host, line, salt) so
+that neither a hot host nor a hot line meets in one task.
+
+Null and empty texts have no words and fail the base rules. A null host is a host of its own
+and a null id an id of its own. Repeated rows are judged alike. Columns of the input other than
+``doc_id``, ``text`` and ``source`` are not read here. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from . import common as C
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_DOCS_PER_HOST = 100
+MAX_HOST_PERCENT = 10
 MIN_LEFT_PERCENT = 30
 SALTS = 32
 SYMBOLS = "#*$%&|<>"
@@ -36,10 +39,15 @@ def _normal(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, C.SPACE, " ")))
 
 
+def _id(column: str = "doc_id") -> Column:
+    """Never null, and another value for a null id than for any other."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
+
+
 def measures(docs: DataFrame) -> DataFrame:
-    """(doc_id, host, base measures, lines array<struct<key, words>>) of every row.
+    """(doc_id, host, base measures, content, lines array<struct<key, words>>) of every row.
 
-    ``lines`` holds each normalised line with a word once, with the words in all its copies.
+    ``lines`` are the normalised lines that have a word, ``content`` stands for all of them in order.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     bare = text
@@ -63,56 +71,58 @@ def measures(docs: DataFrame) -> DataFrame:
         F.transform("raw_lines", _normal).alias("norm"),
     )
     one = F.transform("norm", lambda x: F.struct(F.md5(x).alias("key"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("long").alias("words")))
-    return a.withColumn("lines", one).drop("norm")
+    return a.withColumn("content", F.md5(F.array_join("norm", "\n"))).withColumn("lines", one).drop("norm")
 
 
-def _over_limit(m: DataFrame, max_docs: int) -> DataFrame:
-    """(doc_id, host, key, words) of the lines of ``measures`` that are over the limit, once for each id, host and line."""
-    lines = m.select("doc_id", "host", F.array_min("lines.key").alias("low"), F.array_max("lines.key").alias("high"), F.explode("lines").alias("l")).select("doc_id", "host", "low", "high", "l.key", "l.words")
-    over = lines.groupBy("host", "key", "low", "high").agg(F.lit(1).alias("one")).groupBy("host", "key").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs)
+def _over_limits(m: DataFrame, max_docs: int, max_percent: int) -> DataFrame:
+    """(id, host, key, words) of the lines of ``measures`` that are over the limits, once for each id, host and line."""
+    lines = m.select(_id().alias("id"), "host", "content", F.explode("lines").alias("l")).select("id", "host", "content", "l.key", "l.words")
+    docs = lines.select("host", "key", "content").distinct().groupBy("host", "key").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs)
+    hosts = m.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("all"))
+    over = docs.join(hosts, "host").where(F.col("docs") * 100 > F.col("all") * max_percent)
     over = over.select("host", "key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    mine = lines.groupBy("doc_id", "host", "key").agg(F.sum("words").alias("words")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return mine.join(over, ["host", "key", "salt"]).select("doc_id", "host", "key", "words")
+    mine = lines.groupBy("id", "host", "key").agg(F.sum("words").alias("words")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    return mine.join(over, ["host", "key", "salt"]).select("id", "host", "key", "words")
 
 
 def _verdict(m: DataFrame, lines: DataFrame, min_left: int) -> DataFrame:
-    removed = lines.groupBy(F.col("doc_id").alias("id")).agg(F.sum("words").alias("gone"))
+    removed = lines.groupBy("id").agg(F.sum("words").alias("gone"))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     # removals are per id; rows that repeat an id have summed words, so the share is taken of the id's sum
-    total = m.groupBy(F.col("doc_id").alias("id")).agg(F.sum("n_words").alias("all_words"))
+    total = m.groupBy(_id().alias("id")).agg(F.sum("n_words").alias("all_words"))
     share = total.join(removed, "id").select("id", "gone", ((F.col("all_words") - F.col("gone")) * 100 < min_left * F.col("all_words")).alias("depleted"))
-    out = m.drop("lines", "host").join(share, F.col("doc_id") == F.col("id"), "left").drop("id")
+    out = m.drop("lines", "host", "content").withColumn("id", _id()).join(share, "id", "left")
     out = out.withColumn("n_boilerplate_words", F.coalesce("gone", F.lit(0)).cast("long")).withColumn("base_failed", base).withColumn("kept", ~base & ~F.coalesce("depleted", F.lit(False)))
     return out.select(*MEASURES, "n_boilerplate_words", "base_failed", "kept")
 
 
-def judge(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST, min_left: int = MIN_LEFT_PERCENT) -> DataFrame:
+def judge(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST, min_left: int = MIN_LEFT_PERCENT, max_percent: int = MAX_HOST_PERCENT) -> DataFrame:
     """(doc_id, measures, n_boilerplate_words, base_failed, kept) of every row; n_boilerplate_words is of all rows of the id."""
     m = C.Scratch(docs.sparkSession, "quality").save(measures(docs))
-    return _verdict(m, _over_limit(m, max_docs), min_left)
+    return _verdict(m, _over_limits(m, max_docs, max_percent), min_left)
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns."""
-    rejected = C.Scratch(docs.sparkSession, "rejected").save(judge(docs).where("not kept").select("doc_id"))
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    rejected = C.Scratch(docs.sparkSession, "rejected").save(judge(docs).where("not kept").select(_id().alias("_id")))
+    return docs.join(rejected, _id() == F.col("_id"), "left_anti").select(docs.columns)
 
 
-def clean(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST, min_left: int = MIN_LEFT_PERCENT) -> DataFrame:
-    """The rows of ``docs`` that pass, with the lines over the limit cut out of ``text``; other columns as they are."""
+def clean(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST, min_left: int = MIN_LEFT_PERCENT, max_percent: int = MAX_HOST_PERCENT) -> DataFrame:
+    """The rows of ``docs`` that pass, with the lines over the limits cut out of ``text``; other columns as they are."""
     scratch = C.Scratch(docs.sparkSession, "quality")
     m = scratch.save(measures(docs))
-    lines = scratch.save(_over_limit(m, max_docs))
-    rejected = scratch.save(_verdict(m, lines, min_left).where("not kept").select("doc_id"))
+    lines = scratch.save(_over_limits(m, max_docs, max_percent))
+    rejected = scratch.save(_verdict(m, lines, min_left).where("not kept").select(_id().alias("_id")))
     scratch.drop(m)
-    cut = lines.groupBy(F.col("doc_id").alias("_id"), F.col("host").alias("_host")).agg(F.collect_set("key").alias("_keys"))
-    rows = docs.join(rejected, "doc_id", "left_anti").join(cut, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.coalesce("source", F.lit("")) == F.col("_host")), "left")
+    cut = lines.groupBy(F.col("id").alias("_id"), F.col("host").alias("_host")).agg(F.collect_set("key").alias("_keys"))
+    rows = docs.join(rejected, _id() == F.col("_id"), "left_anti").join(cut, (_id() == F.col("_id")) & (F.coalesce("source", F.lit("")) == F.col("_host")), "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_keys", F.md5(_normal(x)))), "\n")
     return rows.withColumn("text", F.when(F.col("_keys").isNull(), F.col("text")).otherwise(left)).select(docs.columns)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(C.read(spark, sf_dir, "documents")).drop("n_boilerplate_words")
+    return judge(C.read(spark, sf_dir, "documents"))
 
 
 SQL = f"""
@@ -126,23 +136,22 @@ tri AS (
   FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
 twice AS (SELECT doc_id, i FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, t) > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY 1),
-lines AS (
-  SELECT doc_id, host, lower(trim(regexp_replace(x, '[\\x20\\x09-\\x0D]+', ' ', 'g'))) AS x
-  FROM (SELECT doc_id, host, unnest(l) AS x FROM w)),
-keyed AS (SELECT doc_id, host, md5(x) AS k, len(string_split(x, ' ')) AS words FROM lines),
-sketch AS (SELECT doc_id, min(k) AS low, max(k) AS high FROM keyed GROUP BY 1),
-over_limit AS (
-  SELECT host, k FROM (SELECT DISTINCT host, k, low, high FROM keyed JOIN sketch USING (doc_id))
-  GROUP BY 1, 2 HAVING count(*) > {MAX_DOCS_PER_HOST}),
-gone AS (SELECT doc_id, sum(words) AS gone FROM keyed SEMI JOIN over_limit USING (host, k) GROUP BY 1),
+pages AS (
+  SELECT doc_id, host, list_transform(l, lambda x: lower(trim(regexp_replace(x, '[\\x20\\x09-\\x0D]+', ' ', 'g')))) AS page FROM w),
+held AS (SELECT doc_id, host, page, unnest(page) AS line FROM pages),
+common AS (
+  SELECT host, line FROM held GROUP BY 1, 2
+  HAVING count(DISTINCT page) > {MAX_DOCS_PER_HOST}
+     AND count(DISTINCT page) * 100 > {MAX_HOST_PERCENT} * (SELECT count(DISTINCT p.page) FROM pages p WHERE p.host = held.host)),
+gone AS (SELECT doc_id, sum(length(line) - length(replace(line, ' ', '')) + 1) AS gone FROM held JOIN common USING (host, line) GROUP BY 1),
 m AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
          CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
          CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
-         CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, coalesce(gone.gone, 0) AS gone
+         CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.gone, 0) AS BIGINT) AS gone
   FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, gone AS n_boilerplate_words,
        n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
        NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words)
          AND NOT ((n_words - gone) * 100 < {MIN_LEFT_PERCENT} * n_words) AS kept
