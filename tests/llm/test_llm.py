@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -359,26 +360,89 @@ def test_gradient():
         assert abs((a - b) / 2e-2 - g[k][i]) < 1e-2 * max(1, abs(g[k][i]))
 
 
-def test_tagger_held_out_and_additions():
+def test_tagger_held_out():
+    for kind, (precision, recall) in op6.evaluate(op6.trained(), 300, 99).items():
+        assert precision > 0.85 and recall > 0.85, kind
+
+
+ADDED = [
+    ("call (608) 555-0659 now", [("phone", 5, 19)]), ("host 10.2.3.4 or a.b@c.org", []), ("write to john.smith(at)mail.com today", [("email", 9, 31)]),
+    ('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" thou', [("secret", 9, 49)]), ("of 2024-05-06, version 3.1, page 12", []), ("", []), ("no trigger here", []),
+]
+
+
+def test_added_spans():
     m = op6.trained()
-    x, y = op6.labelled_windows(200, 77)
-    e = m.scores(x)
-    assert np.mean([(m.viterbi(e[:, i]) == y[i]).mean() for i in range(200)]) > 0.97
-    s = "call (608) 555-0659 now, host 10.2.3.4 or a.b@c.org"
-    base = op6.base_spans(s)
-    got = op6.all_spans(m, s, base)
-    assert set(base) <= set(got) and ("phone", 5, 19) in got
+    for (text, want), (base, spans) in zip(ADDED, op6.all_spans(m, [t for t, _ in ADDED])):
+        assert base == op6.base_spans(text) and set(base) <= set(spans) and [s for s in spans if s not in base] == want
+
+
+def naive_spans(m, text):
+    """One window at a time, and a Viterbi pass in plain Python."""
+    hits = [x.start() for x in op6.TRIGGER.finditer(text)]
+    last = max(0, -(-(len(text) - op6.WINDOW) // op6.STRIDE))
+    near = sorted({min(max(h // op6.STRIDE + k, 0), last) for h in hits for k in (-2, -1, 0, 1)})
+    x, out = op6.classes(text), []
+    while near:
+        n = 1
+        while n < len(near) and near[n] == near[n - 1] + 1:
+            n += 1
+        run, near = near[:n], near[n:]
+        begin, end = run[0] * op6.STRIDE, min(len(x), run[-1] * op6.STRIDE + op6.WINDOW)
+        total, weight = np.zeros((end - begin, op6.TAGS)), np.zeros(end - begin)
+        for k in run:
+            part = x[k * op6.STRIDE : k * op6.STRIDE + op6.WINDOW]
+            e = m.scores(np.pad(part, (0, op6.WINDOW - len(part)))[None])[:, 0]
+            for j in range(len(part)):
+                w = 1 + min(j, op6.WINDOW - 1 - j)
+                total[k * op6.STRIDE - begin + j] += w * e[j]
+                weight[k * op6.STRIDE - begin + j] += w
+        e, tr = total / weight[:, None], m.p["tr"]
+        best, back = list(e[0]), []
+        for row in e[1:]:
+            back.append([max(range(op6.TAGS), key=lambda p: best[p] + tr[p][t]) for t in range(op6.TAGS)])
+            best = [best[p] + tr[p][t] + row[t] for t, p in enumerate(back[-1])]
+        tags = [int(np.argmax(best))]
+        for b in reversed(back):
+            tags.insert(0, b[tags[0]])
+        at = 0
+        while at < len(tags):
+            start, tag = at, tags[at]
+            at += 1
+            if tag:
+                kind = (tag - 1) // 2
+                while at < len(tags) and tags[at] == 2 + 2 * kind:
+                    at += 1
+                out.append((op6.TAGGED[kind], begin + start, begin + at))
+    return out
+
+
+def test_batched_decoding_equals_single_windows():
+    m = op6.trained()
+    r = random.Random(3)
+    texts = ["", "x" * 700, *(" ".join(["".join(s for s, _ in op6._planted(r)) if r.random() < 0.4 else "word" * r.randint(1, 9) for _ in range(r.randint(1, 40))]) for _ in range(25)), "7 " * 300]
+    assert m.spans(texts) == [naive_spans(m, t) for t in texts]
 
 
 def test_pii_table(spark):
     m = op6.trained()
-    d = docs_of(spark, [*EDGE, "mail me at x.y@z.com or +1 (608) 555-0659"])
+    d = docs_of(spark, [*EDGE, "mail me at x.y@z.com or +1 (608) 555-0659", "key=" + "7c" * 16 + " end"])
     got = {x.doc_id: x for x in op6.find(d, m).collect()}
     last = got[len(EDGE)]
-    assert (last.n_email, last.n_phone) == (1, 1) and last.spans == "email:11:20,phone:24:41"
-    assert got[0].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert (last.n_email, last.n_phone, last.n_spans) == (1, 1, 2) and last.spans == "email:11:20,phone:24:41"
+    assert got[0].base_sha256 == hashlib.sha256(b"").hexdigest() and got[len(EDGE) + 1].secrets == "secret:4:36"
     out = op6.redact(d, m)
-    assert out.columns == d.columns and out.where(f"doc_id = {len(EDGE)}").first().text == "mail me at [EMAIL] or [PHONE]" and out.where("text is null").count() == 1
+    assert out.columns == d.columns and out.where("text is null").count() == 1
+    assert [x.text for x in out.where(f"doc_id >= {len(EDGE)}").orderBy("doc_id").collect()] == ["mail me at [EMAIL] or [PHONE]", "key=[SECRET] end"]
+    ids = spark.createDataFrame([(None, "a@b.cc"), ("s", None)], "doc_id string, text string")
+    assert {(x.doc_id, x.n_email) for x in op6.find(ids, m).collect()} == {(None, 1), ("s", 0)}
+
+
+def test_pii_long_texts_take_linear_time():
+    texts = ["1" * 5000 + ".1.1.1", "1" * 100_000, "1." * 50_000, "+1" + "(" * 100_000, "a@" * 50_000, "9 " * 50_000, "a" * 100_000 + "@b", "00000000000255.0.0.1"]
+    t = time.process_time()
+    got = [op6.base_spans(x) for x in texts]
+    assert time.process_time() - t < 3 and got[0] == [] and got[-1] == [("ip", 0, 20)] and len(got[2]) == 12_500
 
 
 # ---- 7: language model --------------------------------------------------------------------
@@ -559,17 +623,18 @@ def test_pipeline(spark, sf_dir):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     full = {x.doc_id: x.text for x in C.read(spark, sf_dir, "documents").collect()}
     want = {x.doc_id for x in op8.judge(C.read(spark, sf_dir, "documents")).where("kept").collect()}
-    assert {x.doc_id for x in kept["quality"].collect()} == want
+    left = {x.doc_id: x.text for x in kept["quality"].collect()}
+    assert set(left) == want and left == {i: full[i] for i in want}  # no host here is large enough for a line to be over the limit
     order = sorted(want)
-    comp = brute_components([full[i] for i in order])
+    comp = brute_components([full[i] for i in order], 80)
     stay = {order[i] for i, (_, c) in enumerate(comp) if c == i}
     assert {x.doc_id for x in kept["near_dedup"].collect()} == stay
     order = sorted(stay)
-    cut = {i: r[3].decode("utf-8", "ignore") for i, r in zip(order, brute_substrings([full[i] for i in order], 400))}
+    cut = dict(zip(order, brute_words([full[i] for i in order], 51)))
     assert {x.doc_id: x.text for x in kept["suffix_dedup"].collect()} == cut
     m = op6.trained()
     for x in kept["pii"].collect():
-        spans = op6.all_spans(m, cut[x.doc_id], op6.base_spans(cut[x.doc_id]))
+        ((_, spans),) = op6.all_spans(m, [cut[x.doc_id]])
         assert (x.text != cut[x.doc_id]) == bool(spans) and x.n_chars == len(x.text)
     rows = cp.run(spark, sf_dir).select("doc_id", "length", "doc_tokens").toPandas()
     assert isinstance(rows, pd.DataFrame) and (rows.groupby("doc_id")["length"].sum() == rows.groupby("doc_id")["doc_tokens"].first()).all()
