@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -68,10 +70,16 @@ def records(names: list[str], columns: list, types: list[pa.DataType]) -> pa.Rec
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of our own only where none is set."""
+    """The shared folder the cluster names; where none is set, a folder of our own in local mode only.
+
+    On a cluster a machine's own folder is of no use: other machines don't see it.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = "/tmp/tideline-checkpoints"
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
+        root = tempfile.mkdtemp(prefix="tideline-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
@@ -119,26 +127,44 @@ class Scratch:
                 return
 
 
+# ---- hot keys ---------------------------------------------------------------------------
+
+SALTS = 8
+
+
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small``, which has one row a key at most: a hot key's rows of ``big`` go to SALTS tasks.
+
+    Rows of ``big`` are dealt by their column ``by``; ``small`` is sent SALTS times.
+    """
+    dealt = big.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
 # ---- a bounded filter of ids ------------------------------------------------------------
 
-FILTER_BITS = 1 << 24
+FILTER_BITS = 1 << 27
 
 
 class IdFilter:
-    """A bitmap of hashed ids of fixed size: no id that was added is missed, few others pass.
+    """A bitmap of hashed ids: no id that was added is missed, few others pass.
 
-    It only saves work ahead of an exact step. It is built by one aggregation over at most
-    FILTER_BITS / 64 words, so what the driver gets doesn't grow with the ids; when they are
-    very many, it lets everything pass.
+    It only saves work ahead of an exact step. It has eight bits an id, FILTER_BITS (16 MB) at
+    most; ``fits`` says whether that is enough for so many ids. It is built by one aggregation.
     """
 
-    def __init__(self, ids: DataFrame, column: str, bits: int = FILTER_BITS):
+    def __init__(self, ids: DataFrame, column: str, count: int):
+        self.bits = bits = 1 << min(FILTER_BITS.bit_length() - 1, max(10, (8 * count).bit_length()))
         bit = F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(bits))
         words = ids.select((bit / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(cast({column} as string)), 64) as int))").alias("b"))
         self.words = np.zeros(bits // 64, np.uint64)
         for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
             self.words[r["w"]] = r["b"] & 0xFFFFFFFFFFFFFFFF
-        self.bits = bits
+
+    @staticmethod
+    def fits(count: int) -> bool:
+        return 8 * count <= FILTER_BITS
 
     @staticmethod
     def hashed(column: str) -> Column:
@@ -157,9 +183,10 @@ def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 60) -> Data
     """Distributed union-find: (node, component) for every node of ``edges`` (a, b).
 
     Alternates large-star and small-star rounds until no edge changes; every round is two
-    aggregations with map-side combining of minima, so a node with very many links never
-    has them gathered in one task. ``component`` is the smallest reachable id. The number
-    of rounds grows with the logarithm of the longest chain.
+    aggregations with map-side combining of minima and two joins with these minima. The joins are
+    salted, so the links of a node that has very many go to SALTS tasks, which stream them.
+    ``component`` is the smallest reachable id. The number of rounds grows with the logarithm of
+    the longest chain.
     """
 
     def kept(df: DataFrame) -> tuple[DataFrame, dict]:
@@ -172,10 +199,10 @@ def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 60) -> Data
     for _ in range(max_rounds):
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+        large = salted_join(both, low, ["a"], "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         large = scratch.save(large.unionByName(low.where("m < a").select("a", F.col("m").alias("b"))).distinct())
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low2, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+        small = salted_join(large, low2, ["a"], "b").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         new, after = kept(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).unionByName(low2.select("a", F.col("m").alias("b"))))
         scratch.drop(cur, large)
         cur, same, before = new, before == after, after

@@ -4,8 +4,8 @@ Texts are lower-cased, every run of characters that are no letters becomes one s
 1- to 3-grams are hashed into BUCKETS counts. Weights are log(1 + count) times the inverse
 document frequency over *all* training documents, scaled to length 1. The classifier is
 trained with follow-the-regularised-leader (per-coordinate rates, elastic net: L1 makes it
-sparse, L2 keeps it small) on a bounded sample of the labelled rows, SAMPLE_PER_LANGUAGE of
-each language picked by a hash of the id; a fifth of the sample is held back to fit one
+sparse, L2 keeps it small) on a bounded sample of the labelled rows, SAMPLE_PER_LANGUAGE at most
+of each language, the lowest by a hash of id and text; every language that occurs is learned; a fifth of the sample is held back to fit one
 temperature that calibrates the probabilities.
 
 Null texts and texts without a letter are ``und`` with score 0, and so is everything if no
@@ -18,15 +18,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
 BUCKETS = 1 << 14
 SAMPLE_PER_LANGUAGE = 500
-#: Most languages that are learned, the most frequent first.
-MAX_LANGUAGES = 200
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 UNKNOWN = "und"
@@ -122,7 +120,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], languages: list[str],
 def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
     """Train on (doc_id, text, lang); document frequencies cover every row given."""
     spark = labelled.sparkSession
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = labelled.where("lang is not null").groupBy("lang").count().collect()
     languages = sorted(r["lang"] for r in counts)
     if not languages:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0), np.ones(BUCKETS), 1.0)
@@ -146,9 +144,12 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Languag
     for r in freq:
         df[r["bucket"] + 1] = r["n"]
     idf = np.log((1 + df[0]) / (1 + df[1:])) + 1
-    share = {r["lang"]: min(1.0, per_language / r["count"]) for r in counts}
-    pick = F.coalesce(*[F.when(F.col("lang") == F.lit(k), F.lit(v)) for k, v in share.items()])
-    sample = labelled.where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_003)) < pick * 1_000_003).select("doc_id", "text", "lang")
+    # about twice the sample passes a threshold on the hash, so that few rows are ordered; then the lowest hashes are taken
+    share = spark.createDataFrame([(r["lang"], min(1.0, 2 * per_language / r["count"])) for r in counts], "lang string, share double")
+    h = F.xxhash64("doc_id", "text")
+    few = labelled.select("doc_id", "text", "lang").join(share, "lang").where((F.pmod(h, F.lit(1_000_003)) < F.col("share") * 1_000_003) | (F.col("share") == 1))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(h, F.lit(1_000_003)), h))
+    sample = few.withColumn("_place", place).where(F.col("_place") <= per_language).select("doc_id", "text", "lang")
 
     def make():
         def work(b: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -162,7 +163,8 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Languag
         return work
 
     kind = labelled.schema["doc_id"].dataType.simpleString()
-    got = C.map_rows(sample, make, f"doc_id {kind}, lang string, at array<int>, n array<int>").toPandas().sort_values(["doc_id", "lang"], kind="stable")
+    got = C.map_rows(sample, make, f"doc_id {kind}, lang string, at array<int>, n array<int>").toPandas()
+    got = got.iloc[sorted(range(len(got)), key=lambda i: (str(got["doc_id"].iloc[i]), got["lang"].iloc[i], len(got["at"].iloc[i])))]
     index = {x: i for i, x in enumerate(languages)}
     return train([(np.asarray(a), np.asarray(n), index[x]) for a, n, x in zip(got["at"], got["n"], got["lang"])], languages, idf)
 

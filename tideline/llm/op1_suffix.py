@@ -229,9 +229,9 @@ def _ids(content: bytes, key: int, left: int) -> tuple[int, int]:
 
 
 def _contexts(docs: DataFrame, length: int, words: bool) -> DataFrame:
-    """(doc_id, th, lo, h, c1, c2, lft, sent, bytes): bytes only the first time a task sends the content, null the second."""
+    """(doc_id, th, lo, h, hot, c1, c2, lft, sent, bytes): bytes only the first time a task sends the content, null the second."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "th", "lo", "h", "c1", "c2", "lft", "sent", "bytes"]
+    names = ["doc_id", "th", "lo", "h", "hot", "c1", "c2", "lft", "sent", "bytes"]
 
     def make():
         seen: dict[tuple[int, int], int] = {}
@@ -242,7 +242,7 @@ def _contexts(docs: DataFrame, length: int, words: bool) -> DataFrame:
             cols: list[list] = [[] for _ in names]
             for row, (doc_id, th, owned) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist())):
                 base = int(offsets[row])
-                for at, lo, hi, h in {(o["at"], o["lo"], o["hi"], o["h"]) for o in owned}:
+                for at, lo, hi, h, hot in {(o["at"], o["lo"], o["hi"], o["h"], o["hot"]) for o in owned}:
                     content = raw[base + lo : base + hi + length]
                     cid = _ids(content, h, at - lo)
                     times = seen.get(cid, 0)
@@ -250,15 +250,15 @@ def _contexts(docs: DataFrame, length: int, words: bool) -> DataFrame:
                         if len(seen) >= SEEN and times == 0:
                             seen.clear()
                         seen[cid] = times + 1
-                    for c, v in zip(cols, (doc_id, th, lo, h, *cid, at - lo, times < 2, content if times == 0 else None)):
+                    for c, v in zip(cols, (doc_id, th, lo, h, hot, *cid, at - lo, times < 2, content if times == 0 else None)):
                         c.append(v)
             if not cols[0]:
                 return None
-            return C.records(names, cols, [b.schema.field(0).type, *[pa.int64()] * 6, pa.bool_(), pa.binary()])
+            return C.records(names, cols, [b.schema.field(0).type, *[pa.int64()] * 3, pa.bool_(), *[pa.int64()] * 3, pa.bool_(), pa.binary()])
 
         return work
 
-    return C.map_rows(docs, make, f"doc_id {kind}, th long, lo long, h long, c1 long, c2 long, lft long, sent boolean, bytes binary")
+    return C.map_rows(docs, make, f"doc_id {kind}, th long, lo long, h long, hot boolean, c1 long, c2 long, lft long, sent boolean, bytes binary")
 
 
 def _offset_blocks(at: int, first: int, last: int, width: int) -> list[tuple[int, int]]:
@@ -352,25 +352,33 @@ def _shifted(spans: str, by: str) -> F.Column:
     return F.transform(spans, lambda s: F.struct((s["a"] + F.col(by)).alias("a"), (s["b"] + F.col(by)).alias("b")))
 
 
-def _content_spans(scratch: C.Scratch, sent: DataFrame, length: int, hot: int, widths: tuple[int, ...] = (WIDTH, 1)) -> DataFrame:
-    """(c1, c2, spans) of contents (h, c1, c2, lft, bytes, n), whose keys with more than ``hot`` different contents are cut narrower."""
-    heavy = scratch.save(sent.groupBy("h", "c1", "c2").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") > hot).select("h"))
+def _distinct(contents: DataFrame) -> DataFrame:
+    return contents.groupBy("h", "c1", "c2").agg(F.first("lft").alias("lft"), F.first("bytes", True).alias("bytes"), F.sum("n").alias("n"))
+
+
+def _content_spans(scratch: C.Scratch, many: DataFrame, length: int, hot: int, few: DataFrame | None = None, widths: tuple[int, ...] = (WIDTH, 1)) -> DataFrame:
+    """(c1, c2, spans) of distinct contents (h, c1, c2, lft, bytes, n), whose keys with more than ``hot`` contents are cut narrower.
+
+    ``few`` are contents of further keys that have ``hot`` rows at most.
+    """
+    heavy = scratch.save(many.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") > hot).select("h"))
+    light = many if heavy.isEmpty() else many.join(heavy, "h", "left_anti")
+    done = scratch.save(_expand_rows(light if few is None else light.unionByName(few), length))
     if heavy.isEmpty():
-        return scratch.save(_expand_rows(sent, length))
+        return done
     width = widths[0]
-    light = _expand_rows(sent.join(heavy, "h", "left_anti"), length)
-    many = scratch.save(sent.join(heavy, "h", "left_semi").groupBy("h", "c1", "c2").agg(F.first("lft").alias("lft"), F.first("bytes", True).alias("bytes"), F.sum("n").alias("n")))
+    many = scratch.save(many.join(heavy, "h", "left_semi"))
     parts = scratch.save(_parts(many, length, width))
-    each = parts.groupBy("h", "c1", "c2").agg(F.first("lft").alias("lft"), F.first("bytes", True).alias("bytes"), F.count("*").alias("n"))
+    each = _distinct(parts.withColumn("n", F.lit(1).cast("long")))
     if width > 1:
-        inner = _content_spans(scratch, scratch.save(each), length, hot, widths[1:])
+        inner = _content_spans(scratch, scratch.save(each), length, hot, widths=widths[1:])
     else:  # a part is one window, so equal parts are all that repeats
         inner = each.where("n > 1").select("c1", "c2", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(length).cast("long").alias("b"))).alias("spans"))
     back = parts.select("p1", "p2", "at", "c1", "c2").join(inner, ["c1", "c2"]).select("p1", "p2", F.explode(_shifted("spans", "at")).alias("s"))
     # contents that occur twice or more are repeated as a whole
     whole = many.where("n > 1").select(F.col("c1").alias("p1"), F.col("c2").alias("p2"), F.struct(F.lit(0).cast("long").alias("a"), F.length("bytes").cast("long").alias("b")).alias("s"))
     narrow = back.unionByName(whole).groupBy(F.col("p1").alias("c1"), F.col("p2").alias("c2")).agg(F.collect_set("s").alias("spans"))
-    return scratch.save(light.unionByName(narrow))
+    return scratch.save(done.unionByName(narrow))
 
 
 def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH, k: int = KGRAM, hot: int = HOT, words: bool = False) -> DataFrame:
@@ -382,11 +390,13 @@ def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH, k: int = KGRAM, ho
     scratch = C.Scratch(spark, "suffix")
     src = _keyed(docs)
     found = scratch.save(_anchor_rows(src, length, k, words))
-    repeated = scratch.save(found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
-    owned = found.join(repeated, "h").groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "lo", "hi", "h")).alias("owned"))
+    repeated = scratch.save(found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h", (F.col("c") > hot).alias("hot")))
+    owned = found.join(repeated, "h").groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "lo", "hi", "h", "hot")).alias("owned"))
     contexts = scratch.save(_contexts(src.join(owned, ["doc_id", "th"]).select("doc_id", "th", "text", "owned"), length, words))
     scratch.drop(found, repeated)
-    spans = _content_spans(scratch, contexts.where("sent").select("h", "c1", "c2", "lft", "bytes", F.lit(1).cast("long").alias("n")), length, hot)
+    # an anchor that is rare has few contexts; of the others the different ones are counted
+    sent = contexts.where("sent").select("hot", "h", "c1", "c2", "lft", "bytes", F.lit(1).cast("long").alias("n"))
+    spans = _content_spans(scratch, scratch.save(_distinct(sent.where("hot"))), length, hot, sent.where("not hot").drop("hot"))
     places = contexts.select("doc_id", "th", "lo", "c1", "c2").join(spans, ["c1", "c2"]).select("doc_id", "th", F.explode(_shifted("spans", "lo")).alias("s"))
     out = scratch.save(places.groupBy("doc_id", "th").agg(F.collect_set("s").alias("spans")))
     scratch.drop(contexts, spans)

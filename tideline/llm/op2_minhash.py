@@ -37,6 +37,7 @@ CELLS = BANDS * ROWS
 #: Percent: the intersection over the union of linked sets.
 SIMILARITY = 85
 STAR_ROUNDS = 1
+SPREAD = 500
 MISS = 1e-6
 _NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -105,21 +106,27 @@ def sketch(docs: DataFrame, n_bands: int = BANDS) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, shingles binary) of the documents in ``wanted``, and of a few others: sorted distinct hashes as 64-bit values."""
+    """(doc_id, shingles binary) of the documents in ``wanted``, maybe of a few others: sorted distinct hashes as 64-bit values.
+
+    A filter of bounded size picks the documents in their own tasks; more ids than it can hold are joined instead.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(C.IdFilter(wanted, "doc_id"))
+    count = wanted.count()
+    shared = docs.sparkSession.sparkContext.broadcast(C.IdFilter(wanted, "doc_id", count)) if C.IdFilter.fits(count) else None
 
     def make():
-        ids = shared.value
+        ids = shared.value if shared is not None else None
 
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
-            b = b.filter(pa.array(ids.passes(b.column(2).to_numpy())))
+            if ids is not None:
+                b = b.filter(pa.array(ids.passes(b.column(2).to_numpy())))
             sets = H.shingle_sets(*H.word_hashes(*H.buffers(b)), SHINGLE)
             return C.records(["doc_id", "shingles"], [b.column(0), [s.tobytes() for s in sets]], [None, pa.binary()])
 
         return work
 
-    return C.map_rows(docs.select("doc_id", "text", C.IdFilter.hashed("doc_id").alias("hash")), make, f"doc_id {kind}, shingles binary")
+    picked = docs if shared is not None else docs.join(wanted, "doc_id", "left_semi")
+    return C.map_rows(picked.select("doc_id", "text", C.IdFilter.hashed("doc_id").alias("hash")), make, f"doc_id {kind}, shingles binary")
 
 
 def similar(a: bytes, b: bytes, percent: int = SIMILARITY) -> bool:
@@ -168,19 +175,21 @@ def _rest(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     tokens = C.map_rows(flat, make, f"rep {kind}, s long")
     common = tokens.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
-    mine = tokens.join(common, "s").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("t")).join(docs, "rep")
+    mine = C.salted_join(tokens, common, ["s"], "rep").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("t")).join(docs, "rep")
     mine = mine.withColumn("alone", F.col("n") - F.size("t"))
     # a partner's set is no smaller than percent of this one, so the intersection isn't either
     early = F.floor(F.col("n") * (100 - percent) / 100) + 1 - F.col("alone")
     place = mine.where(early > 0).select("rep", "n", "comp", "alone", F.posexplode(F.slice("t", F.lit(1), early.cast("int"))).alias("i", "x")).select("rep", "n", "comp", (F.col("alone") + F.col("i")).alias("pos"), "x.s")
-    largest = place.groupBy("s", "comp").agg(F.count("*").alias("c")).groupBy("s").agg(F.max_by("comp", F.struct("c", "comp")).alias("largest"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").drop("lo", "hi")
-    place = place.join(largest, "s")
-    minor = place.where("comp <> largest").select("s", F.col("rep").alias("centre"), F.col("comp").alias("cc"), F.col("n").alias("cn"), F.col("pos").alias("cpos"))
+    largest = place.groupBy("s", "comp").agg(F.count("*").alias("c")).groupBy("s").agg(F.max_by("comp", F.struct("c", "comp")).alias("largest"), F.sum("c").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    # a shingle of many documents is dealt out to a task for every SPREAD of them
+    tasks = F.ceil(F.col("rows") / SPREAD).cast("int")
+    place = C.salted_join(place, largest, ["s"], "rep").withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(1)), tasks).cast("int"))
+    minor = place.where("comp <> largest").select("s", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("salt"), F.col("rep").alias("centre"), F.col("comp").alias("cc"), F.col("n").alias("cn"), F.col("pos").alias("cpos"))
     # intersection >= percent of union is intersection * (100 + percent) >= percent * (sum of sizes)
     need = (F.col("n") + F.col("cn")) * percent
     enough = ((F.col("n") - F.col("pos")) * (100 + percent) >= need) & ((F.col("cn") - F.col("cpos")) * (100 + percent) >= need)
     once = (F.col("comp") == F.col("largest")) | (F.col("rep") < F.col("centre"))
-    return place.join(minor, "s").where((F.col("comp") != F.col("cc")) & once & enough).select("rep", "centre")
+    return place.join(minor, ["s", "salt"]).where((F.col("comp") != F.col("cc")) & once & enough).select("rep", "centre")
 
 
 def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, star_rounds: int = STAR_ROUNDS) -> DataFrame:
@@ -192,10 +201,10 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, star_rounds: int
     classes = scratch.save(sk.where("n_shingles > 0").groupBy(*ids).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
     slots = classes.select("rep", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
     shared = slots.groupBy("band", "key").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    members = scratch.save(slots.join(shared, ["band", "key"]))
+    members = scratch.save(C.salted_join(slots, shared, ["band", "key"], "rep"))
     sets = scratch.save(full_sets(docs, members.select(F.col("rep").alias("doc_id")).distinct()))
     # a member of many large buckets is close to what its group has in common: the best centre
-    rank = members.join(members.groupBy("band", "key").agg(F.count("*").alias("c")), ["band", "key"]).groupBy("rep").agg(F.sum("c").alias("rank"))
+    rank = C.salted_join(members, members.groupBy("band", "key").agg(F.count("*").alias("c")), ["band", "key"], "rep").groupBy("rep").agg(F.sum("c").alias("rank"))
     members = scratch.save(members.join(rank, "rep"))
     close = F.least("n", "cn") * 100 >= F.greatest("n", "cn") * percent
     links = tested = comp = None
@@ -207,12 +216,12 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, star_rounds: int
         order = F.struct(F.col("rank"), -F.col("rep")) if r == 0 else F.struct(F.xxhash64("rep", F.lit(r)), F.col("rep"))
         buckets = live.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max_by(F.struct("rep", "comp", "n"), order).alias("c")).where("lo <> hi").drop("lo", "hi")
         if r < star_rounds:
-            pairs = live.join(buckets.select("band", "key", F.col("c.rep").alias("centre"), F.col("c.comp").alias("cc"), F.col("c.n").alias("cn")), ["band", "key"]).where((F.col("comp") != F.col("cc")) & close)
+            pairs = C.salted_join(live, buckets.select("band", "key", F.col("c.rep").alias("centre"), F.col("c.comp").alias("cc"), F.col("c.n").alias("cn")), ["band", "key"], "rep").where((F.col("comp") != F.col("cc")) & close)
             if tested is not None:
                 pairs = pairs.withColumn("a", F.greatest("rep", "centre")).withColumn("b", F.least("rep", "centre")).join(tested, ["a", "b"], "left_anti")
             pairs = pairs.groupBy("rep").agg(F.min_by("centre", F.xxhash64("centre")).alias("centre"))
         else:
-            pairs = _rest(live.join(buckets.select("band", "key"), ["band", "key"]), sets, percent)
+            pairs = _rest(C.salted_join(live, buckets.select("band", "key"), ["band", "key"], "rep"), sets, percent)
         pairs = pairs.select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -228,7 +237,7 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, star_rounds: int
             live = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
             split = live.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "key")
             old_members, old_sets = members, sets
-            members = scratch.save(members.join(split, ["band", "key"]))
+            members = scratch.save(C.salted_join(members, split, ["band", "key"], "rep"))
             sets = scratch.save(sets.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
             scratch.drop(old_members, old_sets)
     head = classes.select(*ids, "rep")

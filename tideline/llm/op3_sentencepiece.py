@@ -242,6 +242,9 @@ def encode_table(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
 
 
 def digest_table(docs: DataFrame, model_file: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row; ids of any type, null among them."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
     def make():
         m = model(model_file)
 
@@ -252,7 +255,7 @@ def digest_table(docs: DataFrame, model_file: str) -> DataFrame:
 
         return work
 
-    return C.map_rows(docs.select("doc_id", "text"), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return C.map_rows(docs.select("doc_id", "text"), make, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,28 +183,26 @@ def recut(pieces: list[tuple], window: int, last: bool) -> list[tuple]:
 
 def _merge(left: DataFrame, level: int, last: bool, window: int, with_ids: bool) -> DataFrame:
     """Leftovers of groups of partitions, cut anew; a group passes on less than one window."""
-    import pandas as pd
-
     names = [f.name for f in left.schema.fields]
 
-    def merge(pdf):
-        pdf = pdf.sort_values(["part", "sequence_id", "offset"], ignore_index=True)
-        grp = int(pdf["part"].iloc[0]) // MERGE_FAN_IN
+    def merge(table: pa.Table) -> pa.Table:
+        t = table.sort_by([("part", "ascending"), ("sequence_id", "ascending"), ("offset", "ascending")])
+        grp = t["part"][0].as_py() // MERGE_FAN_IN
         rows = [
             (doc, start, len(ids) // 4, _crc(ids), total, -1 - ((level << 56) + (grp << 24) + w) if w >= 0 else 0, offset, grp, w < 0, ids if w < 0 or with_ids else None)
-            for doc, start, ids, total, w, offset in recut([(d, int(s), bytes(r), int(t)) for d, s, r, t in zip(pdf["doc_id"], pdf["start"], pdf["raw"], pdf["doc_tokens"])], window, last)
+            for doc, start, ids, total, w, offset in recut(list(zip(*(t[n].to_pylist() for n in ("doc_id", "start", "raw", "doc_tokens")))), window, last)
         ]
-        return pd.DataFrame(rows, columns=names)
+        return pa.Table.from_arrays([pa.array(c, t.schema.field(n).type) for n, c in zip(names, zip(*rows))], names=names)
 
-    return left.groupBy(F.expr(f"part div {MERGE_FAN_IN}")).applyInPandas(merge, left.schema)
+    return left.groupBy(F.expr(f"part div {MERGE_FAN_IN}")).applyInArrow(merge, left.schema)
 
 
 def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, open_windows: int = OPEN_WINDOWS, with_ids: bool = True) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) of all documents."""
     scratch = C.Scratch(docs.sparkSession, "packing")
-    parts = docs.select("doc_id").rdd.getNumPartitions()
     # the packing is kept before anything reads it twice: a partition computed again must not be packed in another order
     packed = scratch.save(_pack_partition(docs, vocabulary, window, open_windows, with_ids))
+    parts = 1 + (packed.agg(F.max("part")).first()[0] or 0)
     done, left, level = packed.where("not left"), packed.where("left"), 0
     last = parts <= MERGE_FAN_IN
     while True:
