@@ -463,13 +463,64 @@ def test_lm_base(spark, sf_dir):
     assert sum(x.score for x in held) > sum(x.base_score for x in held)
 
 
-def test_lm_is_a_distribution():
-    t = op7.Table([(b"a", 5), (b"b", 3), (b"c", 2)], 20, 5, 10)
+@pytest.mark.parametrize("words", [3, 254, 255, 300, 5000])
+def test_lm_is_a_distribution(words):
+    """Over all words of the table, the end, and the words outside together, in any context."""
+    top = [(b"w%d" % i, 9000 // (i + 1)) for i in range(words)]
+    t = op7.Table(top, sum(n for _, n in top) + 30, words + 8, 10)
     rng = np.random.default_rng(0)
-    t.w1 += rng.standard_normal(t.w1.shape).astype(np.float32)
-    t.w2 += rng.standard_normal(t.w2.shape).astype(np.float32)
-    f = np.repeat(np.array([[3, op7.FEATURES + 5, 2 * op7.FEATURES + 9]]), op7.SYMBOLS, axis=0)
-    assert abs((10 ** t.log10(np.arange(op7.SYMBOLS), f)).sum() - 1) < 1e-4
+    for w in t.weights():
+        w += rng.standard_normal(w.shape).astype(np.float32)
+    for ctx in ([], [b"w1"], [b"nowhere", b"w2"]):
+        texts = [" ".join(x.decode() for x in [*ctx, w]) for w in [*t.ids, b"elsewhere"]] + [" ".join(x.decode() for x in ctx)]
+        e = t.events(*t.encode(texts))
+        p = 10 ** t.log10(e)[np.append(e.starts[1:-1], len(e.sym) - len(ctx) - 1) - 2]
+        end = 10 ** t.log10(e)[-1]
+        assert abs(p.sum() + end - 1) < 1e-3
+
+
+def test_lm_score_against_plain_python(spark):
+    """The sums of the model's log10 probabilities, choice by choice from the weights."""
+    r = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = [" ".join(r.choices(vocabulary, [(i + 1) ** -0.5 for i in range(400)], k=r.randint(0, 160))) for _ in range(40)]
+    d = docs_of(spark, texts + [None, "unseen w3 " + "z" * 50])
+    counts = C.Scratch(spark, "t").save(op7.count_tokens(d.where("doc_id < 40")))
+    t = op7.fit(d.where("doc_id < 40"), counts)
+    n = {bytes(x.token): x.n for x in counts.collect()}
+    assert t.rest_total == 0 and len(t.ids) == len(n) - 1 and float(abs(t.w3).max()) > 0
+    mask = (1 << 64) - 1
+    k = [int(x) for x in op7._K]
+
+    def choice(z, child):
+        z = z.astype(np.float64)
+        return (z[child] - np.log(np.exp(z).sum())) / np.log(10)
+
+    def score(text):
+        total, ctx = 0.0, [0, 0]
+        for w in [*op7.tokens(text), None]:
+            i = t.ids.get(w, -1) if w is not None else None
+            sym = op7.END if w is None else i if 0 <= i < t.words else op7.RARE
+            one, two = ctx[-1], ctx[-2]
+            f = [((one + 7) * k[0] & mask) >> 64 - t.feature_bits, ((two + 9) * k[1] & mask) >> 64 - t.feature_bits]
+            f.append(((((one * k[1] & mask) ^ two) * k[2] & mask) ^ (two * k[0] & mask)) * k[1] % (mask + 1) >> 64 - t.feature_bits)
+            f = [x + (j << t.feature_bits) for j, x in enumerate(f)]
+            cls = sym // 16
+            total += choice(t.b1 + sum(t.w1[x] for x in f), cls) + choice(t.b2[cls] + sum(t.w2[x * 16 + cls] for x in f), sym % 16)
+            if sym == op7.RARE:
+                leaf = i - t.words if i >= 0 else op7.UNLISTED
+                hashed = [(one + 7) * k[0] & mask, (two + 9) * k[1] & mask]
+                for level in range(4):
+                    node = [0, 1, 17, 273][level] + leaf // 16 ** (4 - level)
+                    row = ((hashed[level % 2] ^ (node * k[2] & mask)) * k[0] & mask) >> 64 - t.deep_bits
+                    total += choice(t.b3[node] + t.w3[row], leaf // 16 ** (3 - level) % 16)
+            if w is not None and i < 0:
+                total += math.log10(n.get(w, 0) + 1) - math.log10(t.rest_total + t.rest_distinct + 1)
+            ctx.append(1 if w is None else i + 2 if i >= 0 else zlib.crc32(w) % op7.UNSEEN + len(t.ids) + 2)
+        return total
+
+    for x in op7.score(d, t, counts).collect():
+        assert math.isclose(x.score, score((texts + ["", "unseen w3 " + "z" * 50])[x.doc_id]), rel_tol=1e-4, abs_tol=1e-3)
 
 
 def test_lm_edges(spark):
