@@ -110,7 +110,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = MIN_LENGTH, k: i
     return H.mix(h[at[first]]), text, at[first] - base, start[first] - base, start[last] - base
 
 
-class _RangeMin:
+class RangeMin:
     """Minimum of values[i:j] for arrays of bounds, by a table of powers of two."""
 
     def __init__(self, values: np.ndarray):
@@ -161,7 +161,7 @@ def expand(group: np.ndarray, data: np.ndarray, start: np.ndarray, left: np.ndar
     common[1:] = np.minimum(common[1:], np.minimum(ends[1:], ends[:-1]))  # padding is no text
     common[1:][group[1:] != group[:-1]] = 0
     del follow
-    lowest = _RangeMin(common)
+    lowest = RangeMin(common)
     rows, interval = np.arange(m), group
     anchor = start + left
     step = 0

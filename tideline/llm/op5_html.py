@@ -6,21 +6,26 @@ where an article or main element exists, only what is in it counts, else blocks
 link text go too.
 
 What the markup doesn't tell, the host does: the token streams of a host's pages, block ends
-included, are concatenated, a suffix array over them (prefix doubling to MIN_TOKENS) gives the
-substrings of at least MIN_TOKENS tokens that repeat across distinct pages, and a block wholly
-covered by such substrings is a candidate. Pages of which more than COPY_SHARE is covered are
-copies of other pages, no evidence of boilerplate. A candidate that stands on MIN_PAGES pages
-or more and on at least MIN_SHARE of the host's pages is boilerplate and removed; unique runs
-stay. A host with many pages is spread over shards of about SHARD pages by a hash of the page,
-and the shards' page counts are added up, so no task holds a whole large host.
+included, are concatenated; a suffix array over them, by prefix doubling to full depth, and its
+common prefixes give for every place the longest substring from there on that stands on another
+page too, and what such substrings of MIN_TOKENS tokens or more cover is repeated. A block that
+is repeated as a whole, that stands on MIN_PAGES pages or more and on at least MIN_SHARE of the
+host's pages, is boilerplate and removed; unique runs stay. Pages with the same blocks count as
+one page, so copies are no evidence of boilerplate.
+
+A host with many pages is spread over shards of about SHARD pages by a hash of the blocks, so
+equal pages meet, the shards' page counts add up to those of the host, and no task holds a whole
+large host. The rule doesn't depend on the shards: a block of two tokens or more on half of the
+pages of a host is on several pages of some shard, where the array finds it.
 
 Null and empty pages have empty text. A page without a host is of the host ''. Repeated rows
-count as one page if they have one id. Ties don't arise: every rule is a threshold. Only
-``page_id``, ``url`` and ``html`` are read; an empty table gives an empty result.
+count as one page. Ties don't arise: every rule is a threshold. Only ``page_id``, ``url`` and
+``html`` are read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 import zlib
@@ -28,16 +33,18 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
+from .op1_suffix import RangeMin
 
 MIN_TOKENS = 4
 MIN_PAGES = 3
 MIN_SHARE = 0.5
-COPY_SHARE = 0.5
 SHARD = 500
+#: Pages a task remembers having sent.
+SEEN = 200_000
 SALTS = 16
 LINK_SHARE = 0.6
 
@@ -157,11 +164,53 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
     return [(s, False) for s, _, k in out if k <= LINK_SHARE * len(s)]
 
 
-def repeated_blocks(pages: list[list[list[int]]], min_tokens: int = MIN_TOKENS) -> tuple[np.ndarray, np.ndarray]:
-    """For each block of each page in a row: whether repeats across pages cover it, and each page's covered share.
+class SuffixArray:
+    """Suffixes of a stream of integers in order, and the common prefixes of neighbours, by prefix doubling."""
+
+    def __init__(self, stream: np.ndarray):
+        n = len(stream)
+        rank = np.unique(stream, return_inverse=True)[1].astype(np.int64)
+        ranks, h = [rank], 1
+        while rank.max(initial=0) < n - 1:
+            after = np.full(n, -1, np.int64)
+            after[: n - h] = rank[h:]
+            rank = np.unique(rank * (n + 2) + after + 1, return_inverse=True)[1].astype(np.int64)
+            ranks.append(rank)
+            h *= 2
+        self.order = np.argsort(rank)
+        # common[i]: of suffixes i - 1 and i; equal ranks after k doublings mean 2 ** k equal places
+        self.common = np.zeros(n, np.int64)
+        a, b = self.order[:-1].copy(), self.order[1:].copy()
+        for k in range(len(ranks) - 1, -1, -1):
+            inside = (a < n) & (b < n)
+            same = inside & (ranks[k][np.minimum(a, n - 1)] == ranks[k][np.minimum(b, n - 1)])
+            step = same.astype(np.int64) << k
+            self.common[1:] += step
+            a += step
+            b += step
+
+    def shared(self, owner: np.ndarray) -> np.ndarray:
+        """For each place, the length of the longest substring from there that another owner has too."""
+        who, n = owner[self.order], len(self.order)
+        lowest = RangeMin(self.common)
+        new = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+        run = np.cumsum(np.concatenate([[0], (who[1:] != who[:-1]).astype(np.int64)]))
+        first, end, at = new[run], np.append(new[1:], n)[run], np.arange(n)
+        best = np.zeros(n, np.int64)
+        # the nearest suffix of another owner stands right before or right after the run of one's own
+        before, after = np.flatnonzero(first > 0), np.flatnonzero(end < n)
+        best[before] = lowest.query(first[before], at[before] + 1)
+        best[after] = np.maximum(best[after], lowest.query(at[after] + 1, end[after] + 1))
+        out = np.empty(n, np.int64)
+        out[self.order] = best
+        return out
 
-    Suffix array by prefix doubling over the concatenated streams; a stream has a separator 0 before
-    and after every block, and a separator of its own between pages, so no match crosses pages.
+
+def repeated_blocks(pages: list[list[list[int]]], min_tokens: int = MIN_TOKENS) -> np.ndarray:
+    """For each block of each page in a row: whether substrings that stand on other pages too cover it.
+
+    A stream has a separator 0 before and after every block, and a separator of its own between
+    pages, so no match crosses pages.
     """
     flat, owner, block = [], [], []
     k = 0
@@ -177,34 +226,12 @@ def repeated_blocks(pages: list[list[list[int]]], min_tokens: int = MIN_TOKENS)
         flat.append(0)
         owner.append(p)
         block.append(-1)
-    block, owner = np.array(block), np.array(owner)
-    n = len(flat)
-    rank = np.unique(np.array(flat, np.int64), return_inverse=True)[1].astype(np.int64)
-    h = 1
-    while h < min_tokens:
-        step = min(h, min_tokens - h)
-        nxt = np.full(n, -1, np.int64)
-        nxt[: n - step] = rank[step:]
-        rank = np.unique(rank * (n + 2) + nxt + 1, return_inverse=True)[1].astype(np.int64)
-        h += step
-    suffix = np.argsort(rank, kind="stable")
-    same = rank[suffix[1:]] == rank[suffix[:-1]]
-    # the run of equal prefixes that holds a place in the array spans several pages
-    run = np.concatenate([[0], np.cumsum(~same)])
-    low, high = np.full(run[-1] + 1, n), np.full(run[-1] + 1, -1)
-    np.minimum.at(low, run, owner[suffix])
-    np.maximum.at(high, run, owner[suffix])
-    across = np.zeros(n, bool)
-    across[suffix] = (low < high)[run]
-    cover = np.zeros(n + 1, np.int64)
-    starts = np.flatnonzero(across)
-    np.add.at(cover, starts, 1)
-    np.add.at(cover, np.minimum(starts + min_tokens, n), -1)
-    covered = np.cumsum(cover[:-1]) > 0
+    block = np.array(block)
+    length = SuffixArray(np.array(flat, np.int64)).shared(np.array(owner))
+    at = np.arange(len(flat))
+    covered = np.maximum.accumulate(np.where(length >= min_tokens, at + length, 0)) > at
     tokens = block >= 0
-    whole = np.bincount(block[tokens], minlength=k) == np.bincount(block[tokens & covered], minlength=k)
-    share = np.bincount(owner[tokens & covered], minlength=len(pages)) / np.maximum(1, np.bincount(owner[tokens], minlength=len(pages)))
-    return whole, share
+    return np.bincount(block[tokens], minlength=k) == np.bincount(block[tokens & covered], minlength=k)
 
 
 def _key(text: str) -> int:
@@ -212,48 +239,73 @@ def _key(text: str) -> int:
     return zlib.crc32(raw) << 31 ^ zlib.adler32(raw)
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, shard: int = SHARD) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row."""
-    spark = pages.sparkSession
-    scratch = C.Scratch(spark, "html")
-    kind = pages.schema["page_id"].dataType.simpleString()
+def host_of(url: Column | str) -> Column:
+    return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
+
+
+def boilerplate(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, shard: int = SHARD) -> DataFrame:
+    """(host, gone array<long>): keys of the blocks that are boilerplate of a host."""
 
     def make():
+        seen: set[tuple[str, bytes]] = set()
+
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
-            got = [[s for s, _ in blocks(x)] for x in b.column(2).to_pylist()]
-            return C.records(["page_id", "url", "blocks", "keys"], [b.column(0), b.column(1), got, [[_key(s) for s in p] for p in got]], [None, None, pa.list_(pa.string()), pa.list_(pa.int64())])
+            out: list[tuple] = []
+            for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                got = [s for s, _ in blocks(page)]
+                content = hashlib.blake2b("\n".join(got).encode("utf-8", "surrogatepass"), digest_size=8).digest()
+                if (host, content) in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add((host, content))
+                out.append((host, int.from_bytes(content, "little", signed=True), got))
+            return C.records(["host", "content", "blocks"], list(zip(*out)) or [[], [], []], [pa.string(), pa.int64(), pa.list_(pa.string())])
 
         return work
 
-    # blocks are cut anew for each of the two uses: that costs less than keeping all texts a second time
-    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    cut = C.map_rows(pages.select("page_id", "url", "html"), make, f"page_id {kind}, url string, blocks array<string>, keys array<bigint>").withColumn("host", host)
-    sizes = scratch.save(pages.select("page_id", host.alias("host")).groupBy("host").agg(F.countDistinct("page_id").alias("pages")))
-
-    def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("page_id")
-        out = lambda k, n: pd.DataFrame({"host": np.full(len(k), pdf["host"].iloc[0], object), "key": np.array(k, np.int64), "pages": np.array(n, np.int64)})
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Pages with each block, and whether the block is repeated; under key null the pages of the shard."""
+        pdf = pdf.drop_duplicates("content")
+        keys = np.array([_key(s) for p in pdf["blocks"] for s in p], np.int64)
+        owner = np.repeat(np.arange(len(pdf)), [len(p) for p in pdf["blocks"]])
         streams = [[[zlib.crc32(t.encode("utf-8", "surrogatepass")) + 1 for t in s.split()] for s in p] for p in pdf["blocks"]]
-        keys = [_key(s) for p in pdf["blocks"] for s in p]
-        if not keys or len(pdf) < 2:
-            return out([], [])
-        whole, share = repeated_blocks(streams)
-        owner = np.repeat(np.arange(len(pdf)), [len(p) for p in streams])
-        ok = whole & (share[owner] <= COPY_SHARE)
-        got = pd.DataFrame({"key": np.array(keys)[ok], "page": owner[ok]}).drop_duplicates().groupby("key", as_index=False).size()
-        return out(got["key"].tolist(), got["size"].tolist())
+        got = pd.DataFrame({"key": keys, "page": owner, "repeated": repeated_blocks(streams)}).groupby("key", as_index=False).agg(pages=("page", "nunique"), repeated=("repeated", "any"))
+        out = pd.concat([pd.DataFrame({"key": pd.array([None], "Int64"), "pages": [len(pdf)], "repeated": [False]}), got.astype({"key": "Int64"})])
+        return out.assign(host=pdf["host"].iloc[0])[["host", "key", "pages", "repeated"]]
 
+    scratch = C.Scratch(pages.sparkSession, "html-hosts")
+    named = pages.select(host_of("url").alias("host"), "html")
     # only large hosts are spread; there are few of them, so texts are shuffled once, not for this join
-    large = scratch.save(sizes.where(F.col("pages") > shard).select("host", F.ceil(F.col("pages") / shard).alias("shards")))
-    spread = cut.join(large, "host", "left").withColumn("shard", F.pmod(F.xxhash64("page_id"), F.coalesce("shards", F.lit(1))))
-    found = spread.select("host", "shard", "page_id", "blocks").groupBy("host", "shard").applyInPandas(candidates, "host string, key long, pages long")
-    template = found.groupBy("host", "key").agg(F.sum("pages").alias("on")).join(sizes, "host").where((F.col("on") >= min_pages) & (F.col("on") >= F.col("pages") * min_share))
+    large = scratch.save(named.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > shard).select("host", F.ceil(F.col("n") / shard).alias("shards")))
+    sent = C.map_rows(named, make, "host string, content long, blocks array<string>")
+    dealt = sent.join(large, "host", "left").withColumn("shard", F.pmod("content", F.coalesce("shards", F.lit(1)))).drop("shards")
+    counts = scratch.save(dealt.groupBy("host", "shard").applyInPandas(count, "host string, key long, pages long, repeated boolean"))
+    sizes = counts.where("key is null").groupBy("host").agg(F.sum("pages").alias("all"))
+    found = counts.where("key is not null").groupBy("host", "key").agg(F.sum("pages").alias("pages"), F.max("repeated").alias("repeated")).where(F.col("repeated") & (F.col("pages") >= min_pages))
     # a host has few of these: each stands on a good share of its pages
-    template = template.groupBy("host").agg(F.collect_set("key").alias("gone")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    template = scratch.save(template)
-    done = cut.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(template, ["host", "salt"], "left")
-    kept = F.filter(F.arrays_zip("blocks", "keys"), lambda x: F.col("gone").isNull() | ~F.array_contains("gone", x["keys"]))
-    return done.select("page_id", "url", F.concat_ws(" ", F.transform(kept, lambda x: x["blocks"])).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return found.join(sizes, "host").where(F.col("pages") >= F.col("all") * min_share).groupBy("host").agg(F.collect_set("key").alias("gone"))
+
+
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, shard: int = SHARD) -> DataFrame:
+    """(page_id, url, text, n_chars) of every row."""
+    scratch = C.Scratch(pages.sparkSession, "html")
+    kind = pages.schema["page_id"].dataType.simpleString()
+
+    def make():
+        def work(b: pa.RecordBatch) -> pa.RecordBatch:
+            kept = []
+            for page, gone in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                gone = set(gone or ())
+                kept.append(" ".join(s for s, _ in blocks(page) if not gone or _key(s) not in gone))
+            return C.records(["page_id", "url", "text"], [b.column(0), b.column(1), kept], [None, None, pa.string()])
+
+        return work
+
+    # pages are cut anew here: that costs less than keeping all texts a second time
+    gone = scratch.save(boilerplate(pages, min_pages, min_share, shard).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    done = pages.select("page_id", "url", "html").withColumn("host", host_of("url")).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(gone, ["host", "salt"], "left")
+    return C.map_rows(done.select("page_id", "url", "html", "gone"), make, f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
