@@ -9,9 +9,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def uuid5(names: pd.Series) -> pd.Series:
     """Name-based id in the DNS namespace; null stays null."""
     return names.map(lambda s: str(uuid.uuid5(uuid.NAMESPACE_DNS, s)), na_action="ignore")
@@ -20,7 +21,7 @@ def uuid5(names: pd.Series) -> pd.Series:
 def hash_embedding(text: Column, dim: int = 64) -> Column:
     """A unit vector that depends on the text alone: chained SHA-256 digests read as numbers in -1..1."""
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def embed(texts: pd.Series) -> pd.Series:
         def one(s: str) -> np.ndarray:
             raw, seed = b"", s.encode()

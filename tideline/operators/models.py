@@ -6,7 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,3 +49,22 @@ def importances(model, columns: list[str]) -> list[tuple[str, float]]:
 def surrogate(rows: DataFrame, inputs: list[str], target: str, trees: int = 150):
     data = VectorAssembler(inputCols=inputs, outputCol="x").transform(rows)
     return RandomForestRegressor(featuresCol="x", labelCol=target, numTrees=trees, seed=7, predictionCol=f"{target}_hat").fit(data)
+
+
+def predict(model, inputs: list[str], rows: DataFrame) -> DataFrame:
+    return model.transform(VectorAssembler(inputCols=inputs, outputCol="x").transform(rows))
+
+
+def save(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> RandomForestRegressionModel | None:
+    """A saved surrogate; None where there is none, so that the caller falls back on the exact cascade."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.active()
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return None
+    return RandomForestRegressionModel.load(path)

@@ -27,7 +27,7 @@ def crossing(bands: DataFrame, base: DataFrame, paths: int = 500, threshold: flo
     """(entity, probability, median and 10-90 hours): paths draw one number a step for both series."""
     p = bands.join(base, "entity").crossJoin(F.broadcast(bands.sparkSession.range(paths).withColumnRenamed("id", "path")))
     # a hash makes the draws the same however the rows are dealt out
-    u = F.pmod(F.xxhash64("entity", "hours", "path", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
+    u = F.conv(F.left(F.md5(F.concat_ws(":", "entity", "hours", "path", F.lit(seed)).cast("binary")), F.lit(8)), 16, 10).cast("double") / 2.0**32
     at = lambda lo, hi: F.col(lo) + u * (F.col(hi) - F.col(lo))
     risk = F.least(F.lit(1.0), 0.35 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), at("a10", "a90") / 5)) + 0.25 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), at("b10", "b90"))) + F.col("base"))
     first = p.where(risk > threshold).groupBy("entity", "path").agg(F.min("hours").alias("h"))

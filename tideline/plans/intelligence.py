@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..constants import TRIAGE_EXTRACT, TRIAGE_SYNTHESIZE
-from ..functions.scores import cosine
 from ..operators import signals as ops
+from ..operators.vectors import best_match
 from ..sources.views import signals, table, ticks, with_
 from .registry import query
 
@@ -90,15 +90,14 @@ def conflict_filter(spark, sf_dir):
     return signals(spark, sf_dir).where("source = 'gdelt' and tone <= -2").orderBy("ts", "event_id").limit(20).select("event_id", F.round(s, 6).alias("severity"), F.when(s > 0.6, "HIGH").otherwise("MED").alias("priority"))
 
 
-@query("triage_route", f"""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 20 = 0), c AS (SELECT * FROM e WHERE vec_id < 20),
-m AS (SELECT q.vec_id, max(list_cosine_similarity(q.v, c.v)) AS s FROM q JOIN c ON c.vec_id <> q.vec_id GROUP BY q.vec_id)
+@query("triage_route", f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 20 = 0),
+m AS (SELECT q.vec_id, max(list_cosine_similarity(q.v, c.v)) AS s FROM q JOIN e c ON c.vec_id <> q.vec_id GROUP BY q.vec_id)
 SELECT vec_id, round(s, 6) AS similarity, CASE WHEN s > {TRIAGE_SYNTHESIZE} THEN 'synthesize' WHEN s > {TRIAGE_EXTRACT} THEN 'extract' ELSE 'store' END AS route FROM m""")
 def triage_route(spark, sf_dir):
-    """Signals against the registry's reference vectors, a fixed few, which are broadcast."""
+    """New signals (ids divisible by 20) against all rows: what resembles nothing is only stored."""
     e = table(spark, sf_dir, "embeddings")
-    refs = e.where("vec_id < 20").select(F.col("vec_id").alias("r"), F.col("embedding").alias("rv"))
-    m = e.where("vec_id % 20 = 0").join(F.broadcast(refs), F.col("r") != F.col("vec_id")).groupBy("vec_id").agg(F.max(cosine(F.col("embedding"), F.col("rv"))).alias("s"))
-    return m.select("vec_id", F.round("s", 6).alias("similarity"), F.when(F.col("s") > TRIAGE_SYNTHESIZE, "synthesize").when(F.col("s") > TRIAGE_EXTRACT, "extract").otherwise("store").alias("route"))
+    s = F.col("similarity")
+    return best_match(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding").select("vec_id", F.round(s, 6).alias("similarity"), F.when(s > TRIAGE_SYNTHESIZE, "synthesize").when(s > TRIAGE_EXTRACT, "extract").otherwise("store").alias("route"))
 
 
 @query("deferred_batches", with_("sig") + """,

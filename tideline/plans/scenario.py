@@ -283,19 +283,40 @@ def _bands(spark, sf_dir):
     return a.join(p, ["entity", "hours"]), current_scores(spark, sf_dir).select("entity", (0.25 * F.col("factor_gdelt") + 0.15 * F.col("factor_sanctions")).alias("base"))
 
 
-@query("crossing_mc")
+def _two(name: str, x: str, cap: float) -> str:
+    """SQL of one projected series of the entities: (entity, hh, median, p10, p90)."""
+    return f"""{name}s AS (SELECT entity, list(x ORDER BY d) AS xs FROM (SELECT entity, date_trunc('day', ts) AS d, {x} AS x FROM sig WHERE source = 'ais' GROUP BY ALL) GROUP BY entity),
+{name}l AS (SELECT entity, xs[-1] AS level0, list_transform(range(1, len(xs)), lambda i: xs[i + 1] - xs[i]) AS ds FROM {name}s WHERE len(xs) > 1),
+{name}v AS (SELECT entity, level0, list_avg(ds[-3:]) AS drift, greatest(list_stddev_pop(ds), {0.05 * cap}::DOUBLE) AS vol FROM {name}l),
+{name}m AS (SELECT entity, hh, vol, greatest(0, least({cap}::DOUBLE, level0 + drift * (1 - pow({REVERSION}::DOUBLE, hh / 6)) / (1 - {REVERSION}::DOUBLE))) AS m FROM {name}v, (SELECT unnest({HORIZONS_H}) AS hh)),
+{name} AS (SELECT entity, hh, m, greatest(0, least({cap}::DOUBLE, m - {Z90}::DOUBLE * vol * sqrt(hh / 6))) AS lo, greatest(0, least({cap}::DOUBLE, m + {Z90}::DOUBLE * vol * sqrt(hh / 6))) AS hi FROM {name}m)"""
+
+
+_FUTURES = {"base": ("1", "1"), "resolves": ("exp(-hh / 72.0::DOUBLE)", "exp(-hh / 72.0::DOUBLE)"), "cheap_oil": ("1", "0.1::DOUBLE"), "other_supply": ("0.65::DOUBLE", "0.65::DOUBLE")}
+_CROSSING = CUR_SQL + ",\n" + _two("av", "avg(anomaly) * 5", 10.0) + ",\n" + _two("bv", "avg(k) / 100", 1.0) + """,
+f(type, fa, fb, hh) AS (""" + " UNION ALL ".join(f"SELECT '{t}', {a}, {b}, hh FROM (SELECT unnest({HORIZONS_H}) AS hh)" for t, (a, b) in _FUTURES.items()) + """),
+c AS (SELECT entity, 0.25::DOUBLE * factor_gdelt + 0.15::DOUBLE * factor_sanctions AS base FROM cur),
+u AS (SELECT entity, hh, path, ('0x' || substr(md5(entity || ':' || hh || ':' || path || ':11'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM av, range(0, 500) r(path)),
+d AS (SELECT f.type, u.entity, u.path, min(u.hh) FILTER (least(1, 0.35::DOUBLE * least(1, greatest(0, (av.lo * fa + u * (av.hi * fa - av.lo * fa)) / 5)) + 0.25::DOUBLE * least(1, greatest(0, bv.lo * fb + u * (bv.hi * fb - bv.lo * fb))) + base) > 0.2634::DOUBLE) AS h
+  FROM u JOIN av USING (entity, hh) JOIN bv USING (entity, hh) JOIN c USING (entity) JOIN f ON f.hh = u.hh GROUP BY ALL),
+x AS (SELECT type, entity, count(h) / 500 AS p, list(h ORDER BY h) FILTER (h IS NOT NULL) AS hs FROM d GROUP BY ALL),
+y AS (SELECT t.type, c.entity, coalesce(p, 0) AS p, hs FROM c CROSS JOIN (SELECT DISTINCT type FROM f) t LEFT JOIN x ON x.type = t.type AND x.entity = c.entity)"""
+_AT = lambda q: f"coalesce(hs[CAST(floor({q}::DOUBLE * len(hs)) AS INTEGER) + 1]::DOUBLE, 'inf'::DOUBLE)"
+
+
+@query("crossing_mc", _CROSSING + f" SELECT CAST(entity AS INTEGER) AS entity, p AS probability, {_AT(0.5)} AS median_h, {_AT(0.1)} AS p10_h, {_AT(0.9)} AS p90_h FROM y WHERE type = 'base'")
 def crossing_mc(spark, sf_dir):
-    """Crossing probability by 500 paths; drawn numbers, so without SQL."""
+    """Crossing probability by 500 paths; the draws are hashes."""
     from ..operators.sandbox import crossing
 
     return crossing(*_bands(spark, sf_dir))
 
 
-@query("counterfactuals")
+@query("counterfactuals", _CROSSING + " SELECT CAST(a.entity AS INTEGER) AS entity, a.type, a.p AS probability, round(a.p - b.p, 9) AS delta FROM y a JOIN y b ON b.entity = a.entity AND b.type = 'base' WHERE a.type <> 'base'")
 def counterfactuals(spark, sf_dir):
     from ..operators.sandbox import counterfactuals as futures
 
-    return futures(*_bands(spark, sf_dir))
+    return futures(*_bands(spark, sf_dir)).withColumn("delta", F.round("delta", 9))
 
 
 @query("fork_wiring")
@@ -311,16 +332,55 @@ def fork_wiring(spark, sf_dir):
     return scenario.summary(forks).select(F.col("scenario").cast("int").alias("entity"), "gap", "gap_days", "spr_day", "price_lo", "price_hi").join(s.select("entity", "severity", "probability"), "entity")
 
 
-@query("mc_bands")
+def _drawn(n: int = 300, seed: int = 7) -> list[dict]:
+    """A fixed number of small rows, drawn on the driver."""
+    r = random.Random(seed)
+    return [{"scenario": f"d{i}", "fraction": min(1.0, max(0.0, r.gauss(0.8, 0.1))), "ramp_days": max(1.0, r.gauss(5, 1.5)), "bypass": 4.0 * r.uniform(0.85, 1.15), "share_pct": 42.5 * r.uniform(0.85, 1.15)} for i in range(n)]
+
+
+_GAPS = "WITH RECURSIVE " + _values(_drawn()) + "," + CASCADE_SQL + """,
+z AS (SELECT list(gap ORDER BY gap) AS g FROM (SELECT scenario, max(round(net, 4)) AS gap FROM loop_ GROUP BY scenario)),
+q AS (SELECT g[CAST(floor(0.1::DOUBLE * len(g)) AS INTEGER) + 1] AS p10, list_median(g) AS p50, g[least(CAST(floor(0.9::DOUBLE * len(g)) AS INTEGER), len(g) - 1) + 1] AS p90 FROM z)"""
+
+
+@query("mc_bands", _GAPS + " SELECT p10, round(p50, 6) AS p50, p90 FROM q")
 def mc_bands(spark, sf_dir):
-    """Uncertainty bands over 300 seeded draws; a fixed number of small rows made on the driver."""
-    r = random.Random(7)
-    rows = []
-    for i in range(300):
-        rows.append({"scenario": f"d{i}", "fraction": min(1.0, max(0.0, r.gauss(0.8, 0.1))), "ramp_days": max(1.0, r.gauss(5, 1.5)), "bypass": 4.0 * r.uniform(0.85, 1.15), "share_pct": 42.5 * r.uniform(0.85, 1.15)})
-    s = scenario.summary(scenario.scenarios(spark, rows))
+    """Uncertainty bands over 300 seeded draws."""
+    s = scenario.summary(scenario.scenarios(spark, _drawn()))
     a = s.agg(F.sort_array(F.collect_list("gap")).alias("g"), F.median("gap").alias("p50"))
-    return a.select(F.expr("g[cast(floor(0.1D * size(g)) as int)]").alias("p10"), "p50", F.expr("g[least(cast(floor(0.9D * size(g)) as int), size(g) - 1)]").alias("p90"))
+    return a.select(F.expr("g[cast(floor(0.1D * size(g)) as int)]").alias("p10"), F.round("p50", 6).alias("p50"), F.expr("g[least(cast(floor(0.9D * size(g)) as int), size(g) - 1)]").alias("p90"))
+
+
+@query("fan_bands", _GAPS.replace("p(scenario", "p0(scenario", 1).replace("FROM p)", "FROM p0)", 1) + """,
+k1 AS (SELECT * FROM loop_ WHERE scenario = 'd0')
+SELECT CAST(day AS INTEGER) AS day, round(round(net, 4), 3) AS p50, round(round(net, 4) * p10 / CASE WHEN p50 = 0 THEN 1 ELSE p50 END, 3) AS p10, round(round(net, 4) * p90 / CASE WHEN p50 = 0 THEN 1 ELSE p50 END, 3) AS p90 FROM k1, q""")
+def fan_bands(spark, sf_dir):
+    """A scenario's daily gap with the drawn bands scaled to it by their ratios to the median."""
+    q = mc_bands(spark, sf_dir).select(F.col("p10").alias("q10"), F.col("p50").alias("q50"), F.col("p90").alias("q90"))
+    d = scenario.daily(scenario.scenarios(spark, _drawn()[:1])).select("day", F.round("net", 4).alias("gap")).crossJoin(F.broadcast(q))
+    by = F.when(F.col("q50") == 0, 1.0).otherwise(F.col("q50"))
+    return d.select("day", F.round("gap", 3).alias("p50"), F.round(F.col("gap") * F.col("q10") / by, 3).alias("p10"), F.round(F.col("gap") * F.col("q90") / by, 3).alias("p90"))
+
+
+#: Metrics of the comparison and their units.
+COMPARED = {"gap": " mbpd", "price_hi": " $/bbl", "gdp_pct": "%", "spr_day": " d", "gap_days": " d"}
+
+
+@query("run_compare", _HEAD + _SUMMARY + """,
+m AS (SELECT scenario, round((price_lo + price_hi) / 2 * gdp_per_usd, 3) AS gdp_pct, gap, price_hi, spr_day, gap_days::DOUBLE AS gap_days FROM h),
+w AS (SELECT r.label, r.pos, m.* FROM (VALUES ('Baseline', 0, 'strait_full'), ('run 7', 1, 'less_demand'), ('run 8', 2, 'producers_cut'), ('run 9', 3, 'nothing')) r(label, pos, scenario) JOIN m USING (scenario))
+SELECT metric, max(v) FILTER (pos = 0) AS baseline, max(v) FILTER (pos = 1) AS run_1, max(v) FILTER (pos = 2) AS run_2, max(v) FILTER (pos = 3) AS run_3 FROM (
+  SELECT pos, x.metric, printf('%.2f', round(x.v, 2) + 0.0::DOUBLE) || x.unit AS v FROM w, LATERAL (VALUES """ + ", ".join(f"('{k}', {k}::DOUBLE, '{u}')" for k, u in COMPARED.items()) + """) x(metric, v, unit)) GROUP BY metric""")
+def run_compare(spark, sf_dir):
+    """The baseline and the last three runs side by side, a metric a row."""
+    runs = [r["scenario"] for r in PRESETS[1:]][-3:]
+    s = scenario.summary(presets(spark)).where(F.col("scenario").isin("strait_full", *runs))
+    name = F.when(F.col("scenario") == "strait_full", "baseline").otherwise(F.concat(F.lit("run_"), F.array_position(F.array(*map(F.lit, runs)), F.col("scenario"))))
+    long = s.select(name.alias("run"), *[F.col(c).cast("double").alias(c) for c in COMPARED]).unpivot(["run"], list(COMPARED), "metric", "v")
+    unit = F.coalesce(*[F.when(F.col("metric") == k, F.lit(u)) for k, u in COMPARED.items()])
+    # a negative zero is told as zero
+    shown = F.concat(F.format_string("%.2f", F.round("v", 2) + 0.0), unit)
+    return long.select("metric", "run", shown.alias("v")).groupBy("metric").pivot("run", ["baseline", "run_1", "run_2", "run_3"]).agg(F.first("v"))
 
 
 @query("scenario_assembly", CUR_SQL + """,

@@ -88,3 +88,10 @@ class _PolledReader(DataSourceReader):
         module, _, function = self.provider.partition(":")
         for row in getattr(importlib.import_module(module), function)(partition.value):
             yield (partition.value, *row)
+
+
+def sample_pages(keyword: str) -> list[tuple]:
+    """A provider that needs no network: three pages for each keyword."""
+    import datetime
+
+    return [(f"{keyword}-{i}", f"Title of {keyword}", f"Body {i}", datetime.datetime(2024, 1, 1 + i)) for i in range(3)]

@@ -111,18 +111,17 @@ def moments(ticks: DataFrame) -> DataFrame:
     import math
 
     def step(key, frames, state: GroupState):
-        n, mean, m2, prev = state.get if state.exists else (0, 0.0, 0.0, 0.0)
+        n, mean, m2, prev = state.get if state.exists else (0, 0.0, 0.0, None)
         out = []
         for r in _ordered(frames).itertuples():
             z = 0.0
-            if prev > 0:
-                x = math.log(r.price / prev)
+            if prev is not None:
+                x = math.log(r.price / prev) if prev > 0 and r.price > 0 else 0.0
                 n += 1
                 d = x - mean
                 mean += d / n
                 m2 += d * (x - mean)
-                std = math.sqrt(m2 / (n - 1)) if n > 1 else 0.0
-                z = abs(x - mean) / std if n >= 5 and std > 0 else 0.0
+                z = abs(x - mean) / math.sqrt(max(m2 / (n - 1), 1e-12)) if n >= 5 else 0.0
             prev = r.price
             out.append((key[0], r.event_id, z))
         state.update((n, mean, m2, prev))
