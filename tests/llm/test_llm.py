@@ -72,7 +72,7 @@ def brute_substrings(texts, length):
     return out
 
 
-@pytest.mark.parametrize("seed,hot", [(0, 1000), (1, 1000), (2, 2), (3, 2), (4, 10), (5, 0)])
+@pytest.mark.parametrize("seed,hot", [(0, 20_000), (1, 20_000), (2, 2), (3, 2), (4, 10), (5, 0)])
 def test_suffix_dedup(spark, seed, hot):
     r = random.Random(seed)
     src = ["".join(r.choice("ab" if seed % 2 else "abcdé \n\x00") for _ in range(300)) for _ in range(4)]
@@ -808,7 +808,7 @@ def brute_words(texts, words):
     return out
 
 
-@pytest.mark.parametrize("hot", [1000, 2])
+@pytest.mark.parametrize("hot", [20_000, 2])
 def test_passages_in_words(spark, hot):
     r = random.Random(9)
     own = lambda n: [f"{r.choice('abcdé')}{r.randrange(10**4)}" for _ in range(n)]

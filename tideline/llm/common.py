@@ -200,7 +200,7 @@ def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 60) -> Data
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = salted_join(both, low, ["a"], "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
-        large = scratch.save(large.unionByName(low.where("m < a").select("a", F.col("m").alias("b"))).distinct())
+        large = scratch.save(large.unionByName(low.where("m < a").select("a", F.col("m").alias("b"))))
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
         small = salted_join(large, low2, ["a"], "b").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         new, after = kept(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).unionByName(low2.select("a", F.col("m").alias("b"))))

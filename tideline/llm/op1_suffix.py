@@ -50,7 +50,7 @@ from . import hashing as H
 MIN_LENGTH = 400
 KGRAM = 128
 #: Different contents of one key that are expanded in one block.
-HOT = 1000
+HOT = 20_000
 WIDTH = 16
 #: Words of a passage that counts as one, besides strings of MIN_LENGTH bytes.
 PASSAGE = 51

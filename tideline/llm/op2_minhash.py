@@ -15,7 +15,9 @@ shingles, which finds every pair of different components that can be similar, an
 tested yet is verified. Pairs move with their full sets and are confirmed by 100 * intersection >= 85 * union.
 
 Null texts and texts without a word have an empty set, link with nothing and are kept. Repeated
-ids with one text are one document twice. Ties are broken by the smaller id. Only ``doc_id``
+ids with one text are one document twice. A row with a null id shares the component of rows with
+an equal set, if they have an id, and is linked with nothing else; ``keep_one`` leaves it in.
+Ties are broken by the smaller id. Only ``doc_id``
 and ``text`` are read; an empty table gives an empty result.
 """
 
@@ -153,8 +155,8 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = SIMILARITY) -> Data
     return C.map_rows(full.select("a", "b", "sa", "sb"), make, f"a {kind}, b {kind}")
 
 
-def _rest(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (rep, centre) of different components that may be similar: an exact prefix join.
+def _rest(scratch: C.Scratch, docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (rep, centre) of different components that may be similar, of docs (rep, n, comp): an exact prefix join.
 
     Shingles are ordered by how many of these documents have them, the rarest first. Two sets
     that share enough have a common shingle so early in both that what is left from there on
@@ -162,7 +164,6 @@ def _rest(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     so it counts for the places of the others and isn't joined. For each shingle, documents of
     its largest component are only met by documents of others.
     """
-    docs = live.select("rep", "n", "comp").distinct()
     flat = sets.join(docs.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     kind = sets.schema["doc_id"].dataType.simpleString()
 
@@ -173,17 +174,20 @@ def _rest(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         return work
 
-    tokens = C.map_rows(flat, make, f"rep {kind}, s long")
+    # what is read several times is kept: that costs less than to plan and do it again
+    tokens = scratch.save(C.map_rows(flat, make, f"rep {kind}, s long"))
     common = tokens.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
     mine = C.salted_join(tokens, common, ["s"], "rep").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("t")).join(docs, "rep")
     mine = mine.withColumn("alone", F.col("n") - F.size("t"))
     # a partner's set is no smaller than percent of this one, so the intersection isn't either
     early = F.floor(F.col("n") * (100 - percent) / 100) + 1 - F.col("alone")
     place = mine.where(early > 0).select("rep", "n", "comp", "alone", F.posexplode(F.slice("t", F.lit(1), early.cast("int"))).alias("i", "x")).select("rep", "n", "comp", (F.col("alone") + F.col("i")).alias("pos"), "x.s")
+    place = scratch.save(place)
+    scratch.drop(tokens)
     largest = place.groupBy("s", "comp").agg(F.count("*").alias("c")).groupBy("s").agg(F.max_by("comp", F.struct("c", "comp")).alias("largest"), F.sum("c").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").drop("lo", "hi")
     # a shingle of many documents is dealt out to a task for every SPREAD of them
     tasks = F.ceil(F.col("rows") / SPREAD).cast("int")
-    place = C.salted_join(place, largest, ["s"], "rep").withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(1)), tasks).cast("int"))
+    place = scratch.save(C.salted_join(place, largest, ["s"], "rep").withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(1)), tasks).cast("int")))
     minor = place.where("comp <> largest").select("s", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("salt"), F.col("rep").alias("centre"), F.col("comp").alias("cc"), F.col("n").alias("cn"), F.col("pos").alias("cpos"))
     # intersection >= percent of union is intersection * (100 + percent) >= percent * (sum of sizes)
     need = (F.col("n") + F.col("cn")) * percent
@@ -192,6 +196,28 @@ def _rest(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return place.join(minor, ["s", "salt"]).where((F.col("comp") != F.col("cc")) & once & enough).select("rep", "centre")
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
+
+
+def _labelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """Rows with ``comp``, the component of their ``rep``; a document without links is its own."""
+    return rows.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+
+
+def _joined(scratch: C.Scratch, comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components by earlier links and new ones (a, b): the new ones join components, of which there are fewer than documents."""
+    if comp is None:
+        return scratch.save(C.components(scratch, links))
+    ends = _labelled(_labelled(links.withColumnRenamed("a", "rep"), comp).drop("rep").withColumnsRenamed({"comp": "ca", "b": "rep"}), comp)
+    edges = scratch.save(ends.select(F.col("ca").alias("a"), F.col("comp").alias("b")).where("a <> b").distinct())
+    if edges.isEmpty():
+        return comp
+    over = scratch.save(C.components(scratch, edges))
+    moved = comp.join(over.select(F.col("node").alias("component"), F.col("component").alias("c")), "component", "left").select("node", F.coalesce("c", "component").alias("component"))
+    return scratch.save(moved.unionByName(over.join(comp.select("node"), "node", "left_anti")))
+
+
 def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     spark = docs.sparkSession
@@ -207,47 +233,34 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, star_rounds: int
     rank = C.salted_join(members, members.groupBy("band", "key").agg(F.count("*").alias("c")), ["band", "key"], "rep").groupBy("rep").agg(F.sum("c").alias("rank"))
     members = scratch.save(members.join(rank, "rep"))
     close = F.least("n", "cn") * 100 >= F.greatest("n", "cn") * percent
-    links = tested = comp = None
-    live = members.withColumn("comp", F.col("rep"))
-    for r in range(star_rounds + 1):
-        if comp is not None:
-            live = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    tested = comp = None  # pairs that were verified; (node, component) by the links so far
+    for r in range(star_rounds):
+        live = members.withColumn("comp", F.col("rep")) if comp is None else _labelled(members, comp)
         # the best centre first, then one at random: from a group that doesn't hold together yet it soon is a new one
         order = F.struct(F.col("rank"), -F.col("rep")) if r == 0 else F.struct(F.xxhash64("rep", F.lit(r)), F.col("rep"))
         buckets = live.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max_by(F.struct("rep", "comp", "n"), order).alias("c")).where("lo <> hi").drop("lo", "hi")
-        if r < star_rounds:
-            pairs = C.salted_join(live, buckets.select("band", "key", F.col("c.rep").alias("centre"), F.col("c.comp").alias("cc"), F.col("c.n").alias("cn")), ["band", "key"], "rep").where((F.col("comp") != F.col("cc")) & close)
-            if tested is not None:
-                pairs = pairs.withColumn("a", F.greatest("rep", "centre")).withColumn("b", F.least("rep", "centre")).join(tested, ["a", "b"], "left_anti")
-            pairs = pairs.groupBy("rep").agg(F.min_by("centre", F.xxhash64("centre")).alias("centre"))
-        else:
-            pairs = _rest(C.salted_join(live, buckets.select("band", "key"), ["band", "key"], "rep"), sets, percent)
-        pairs = pairs.select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
+        pairs = C.salted_join(live, buckets.select("band", "key", F.col("c.rep").alias("centre"), F.col("c.comp").alias("cc"), F.col("c.n").alias("cn")), ["band", "key"], "rep").where((F.col("comp") != F.col("cc")) & close)
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs)
+            pairs = pairs.withColumn("a", F.greatest("rep", "centre")).withColumn("b", F.least("rep", "centre")).join(tested, ["a", "b"], "left_anti")
+        pairs = scratch.save(_ordered(pairs.groupBy("rep").agg(F.min_by("centre", F.xxhash64("centre")).alias("centre"))))
         if pairs.isEmpty():
-            continue
+            break
+        comp = _joined(scratch, comp, verify(pairs, sets, percent))
         tested = pairs if tested is None else scratch.save(tested.unionByName(pairs))
-        good = verify(pairs, sets, percent)
-        links = scratch.save(good if links is None else links.unionByName(good))
-        comp = scratch.save(C.components(scratch, links))
-        if r == 0:
-            # later rounds need just the members of buckets that still span several components
-            live = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-            split = live.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "key")
-            old_members, old_sets = members, sets
-            members = scratch.save(C.salted_join(members, split, ["band", "key"], "rep"))
-            sets = scratch.save(sets.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-            scratch.drop(old_members, old_sets)
+    # the rest is among members of buckets that still span several components
+    live = members.withColumn("comp", F.col("rep")) if comp is None else scratch.save(_labelled(members, comp))
+    split = live.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "key")
+    docs_left = scratch.save(C.salted_join(live, split, ["band", "key"], "rep").select("rep", "n", "comp").distinct())
+    if not docs_left.isEmpty():
+        pairs = _ordered(_rest(scratch, docs_left, sets, percent))
+        pairs = scratch.save(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            comp = _joined(scratch, comp, verify(pairs, sets, percent))
     head = classes.select(*ids, "rep")
-    if comp is None:
-        head = head.withColumn("component_id", F.col("rep"))
-    else:
-        head = head.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep")).drop("component")
+    head = head.withColumn("component_id", F.col("rep")) if comp is None else _labelled(head, comp).withColumnRenamed("comp", "component_id")
     head = scratch.save(head.drop("rep"))
     out = sk.drop("bands").join(head, ids, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = SIMILARITY) -> DataFrame:
