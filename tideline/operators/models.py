@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
+
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -11,17 +16,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def classifier(rows: DataFrame, columns: list[str], label: str, trees: int = 200, depth: int = 4, rate: float = 0.05, folds: int = 5):
-    """(assembler, trees, calibrator): the calibrator is fitted on margins of trees that had not seen the row."""
-    data = VectorAssembler(inputCols=columns, outputCol="x").transform(rows).withColumn("_fold", F.pmod(F.xxhash64(*columns), F.lit(folds))).select("x", F.col(label).cast("double").alias("y"), "_fold").cache()
-    make = lambda: GBTClassifier(featuresCol="x", labelCol="y", maxIter=trees, maxDepth=depth, stepSize=rate, seed=42)
+#: Fits that run side by side; each is a series of small jobs.
+PARALLEL = 6
+
+
+def classifier(rows: DataFrame, columns: list[str], label: str, trees: int = 200, depth: int = 4, rate: float = 0.05, folds: int = 5, pool: ThreadPool | None = None):
+    """(model, calibrator): the calibrator is fitted on margins of trees that had not seen the row."""
+    data = VectorAssembler(inputCols=columns, outputCol="x").transform(rows).withColumn("_fold", F.pmod(F.xxhash64(*columns), F.lit(folds))).select("x", F.col(label).cast("double").alias("y"), "_fold").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def fit(k: int | None):
+        part = data if k is None else data.where(F.col("_fold") != k)
+        return GBTClassifier(featuresCol="x", labelCol="y", maxIter=trees, maxDepth=depth, stepSize=rate, seed=42).fit(part)
+
+    *parts, model = (pool.map if pool else lambda f, x: list(map(f, x)))(fit, [*range(folds), None])
     margins = None
-    for k in range(folds):
-        out = make().fit(data.where(F.col("_fold") != k)).transform(data.where(F.col("_fold") == k)).select("y", vector_to_array("rawPrediction")[1].alias("m"))
+    for k, m in enumerate(parts):
+        out = m.transform(data.where(F.col("_fold") == k)).select("y", vector_to_array("rawPrediction")[1].alias("m"))
         margins = out if margins is None else margins.unionByName(out)
-    margins = VectorAssembler(inputCols=["m"], outputCol="mv").transform(margins)
-    platt = LogisticRegression(featuresCol="mv", labelCol="y", probabilityCol="pp").fit(margins)
-    model = make().fit(data)
+    platt = LogisticRegression(featuresCol="mv", labelCol="y", probabilityCol="pp").fit(VectorAssembler(inputCols=["m"], outputCol="mv").transform(margins))
     data.unpersist()
     return PipelineModel([VectorAssembler(inputCols=columns, outputCol="x"), model]), platt
 
@@ -33,20 +45,48 @@ def probabilities(rows: DataFrame, model, platt) -> DataFrame:
 
 
 def leave_one_out(rows: DataFrame, columns: list[str], label: str, group: str, **kw) -> DataFrame:
-    """Probabilities of each group's rows from a model of all other groups; groups are a few crises."""
+    """Probabilities of each group's rows from a model of all other groups; groups are a few crises, fitted side by side."""
+    groups = [r[0] for r in rows.select(group).distinct().orderBy(group).collect()]
+    with ThreadPool(PARALLEL) as inner, ThreadPool(max(1, len(groups))) as outer:
+        fitted = outer.map(lambda g: classifier(rows.where(F.col(group) != g), columns, label, pool=inner, **kw), groups)
     out = None
-    for r in rows.select(group).distinct().orderBy(group).collect():
-        model, platt = classifier(rows.where(F.col(group) != r[0]), columns, label, **kw)
-        part = probabilities(rows.where(F.col(group) == r[0]), model, platt)
+    for g, (model, platt) in zip(groups, fitted):
+        part = probabilities(rows.where(F.col(group) == g), model, platt)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def attributions(rows: DataFrame, key: str, streams: dict[str, list[str]], base: dict[str, float], score: Callable[[DataFrame], DataFrame], out: str = "probability_") -> DataFrame:
+    """(key, score, base, one column a stream): exact Shapley values of groups of features.
+
+    A coalition's value is the model's score with the features outside it at their ``base`` values,
+    so each row is scored 2 ** streams times. The values of a row add up to its score less the
+    score of the base row.
+    """
+    names = list(streams)
+    n = len(names)
+    mask = F.explode(F.sequence(F.lit(0), F.lit((1 << n) - 1)))
+    d = rows.withColumn("_mask", mask)
+    for i, stream in enumerate(names):
+        for c in streams[stream]:
+            d = d.withColumn(c, F.when(F.col("_mask").bitwiseAND(1 << i) != 0, F.col(c)).otherwise(F.lit(float(base[c]))))
+    scored = score(d)
+    parts = []
+    for i, stream in enumerate(names):
+        size = F.bit_count(F.col("_mask").bitwiseAND(~(1 << i)))
+        weight = F.coalesce(*[F.when(size == k, F.lit(math.factorial(k) * math.factorial(n - 1 - k) / math.factorial(n))) for k in range(n)])
+        parts.append(F.sum(F.when(F.col("_mask").bitwiseAND(1 << i) != 0, weight).otherwise(-weight) * F.col(out)).alias(stream))
+    whole = F.max(F.when(F.col("_mask") == (1 << n) - 1, F.col(out))).alias("score")
+    none = F.max(F.when(F.col("_mask") == 0, F.col(out))).alias("base")
+    return scored.groupBy(key).agg(whole, none, *parts)
+
+
 def importances(model, columns: list[str]) -> list[tuple[str, float]]:
     return sorted(zip(columns, map(float, model.stages[-1].featureImportances.toArray())), key=lambda x: -x[1])
 
 
 def surrogate(rows: DataFrame, inputs: list[str], target: str, trees: int = 150):
+    """A forest that stands in for the cascade: it predicts ``target`` as <target>_hat."""
     data = VectorAssembler(inputCols=inputs, outputCol="x").transform(rows)
     return RandomForestRegressor(featuresCol="x", labelCol=target, numTrees=trees, seed=7, predictionCol=f"{target}_hat").fit(data)
 

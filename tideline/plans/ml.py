@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import functions as F
 
 from ..operators import fusion, models, scenario
 from ..sources.views import signals
 from .registry import query
+from .risk import BATCH_SQL
 
 
 @query("gbt_loco")
@@ -19,18 +21,49 @@ def gbt_loco(spark, sf_dir):
     f = fusion.fuse_consumer(fusion.features(fusion.flushes(signals(spark, sf_dir)), "entity", "flush"))
     nxt = F.lead("score").over(Window.partitionBy("entity").orderBy("observed_at", "flush"))
     rows = f.withColumn("y", (nxt >= 0.18).cast("int")).where("y is not null").withColumn("crisis", F.col("entity") % 3).select("entity", "flush", "crisis", "y", *fusion.FEATURES).cache()
-    out = models.leave_one_out(rows, fusion.FEATURES, "y", "crisis", trees=10, folds=2)
+    out = models.leave_one_out(rows, fusion.FEATURES, "y", "crisis")
     return out.select("entity", "flush", "crisis", "y", F.round("probability_", 6).alias("probability"))
 
 
+#: The features of each stream.
+STREAMS = {f"factor_{name}": [c for c in fusion.FEATURES if c.startswith(heads)] for name, heads in (("ais", ("ais_",)), ("gdelt", ("gdelt_", "news_")), ("price", ("price_",)), ("sanctions", ("sanctions_",)))}
+
+
+@query("stream_attributions", BATCH_SQL + " SELECT CAST(entity AS INTEGER) AS entity, flush, score, " + ", ".join(f"round({w}::DOUBLE * factor_{n} + 3e-8::DOUBLE, 5) AS factor_{n}" for n, w in (("ais", 0.30), ("gdelt", 0.30), ("price", 0.25), ("sanctions", 0.15))) + " FROM scored WHERE score < 1")
+def stream_attributions(spark, sf_dir):
+    """Shapley values of the four streams of the weighted fusion, over a row of zeros: it is additive, so they are the weighted factors."""
+    f = fusion.features(fusion.flushes(signals(spark, sf_dir)), "entity", "flush").withColumn("id", F.struct("entity", "flush"))
+    got = models.attributions(f, "id", STREAMS, dict.fromkeys(fusion.FEATURES, 0.0), fusion.fuse_consumer, "score").where("score < 1")
+    # a little is added so that halves are rounded alike
+    return got.select("id.entity", "id.flush", "score", *[F.round(F.col(c) + 3e-8, 5).alias(c) for c in STREAMS])
+
+
+@query("gbt_attributions")
+def gbt_attributions(spark, sf_dir):
+    """Shapley values of the streams for a boosted model's probabilities, over the mean row; fewer and shallower trees than gbt_loco, as nothing is validated here."""
+    f = fusion.fuse_consumer(fusion.features(fusion.flushes(signals(spark, sf_dir)), "entity", "flush")).withColumn("y", (F.col("score") >= 0.18).cast("int")).withColumn("id", F.struct("entity", "flush")).cache()
+    model, platt = models.classifier(f, fusion.FEATURES, "y", trees=20, folds=2)
+    base = f.agg(*[F.avg(c).alias(c) for c in fusion.FEATURES]).first().asDict()
+    got = models.attributions(f.select("id", *fusion.FEATURES), "id", STREAMS, base, lambda d: models.probabilities(d, model, platt))
+    return got.select("id.entity", "id.flush", *[F.round(F.col(c), 6).alias(c) for c in ("score", "base", *STREAMS)])
+
+
+#: What the surrogate varies, as (low, high), and what it predicts.
+VARIED = {"fraction": (0.05, 1.0), "days": (5, 90), "spr_fill": (0.15, 1.0), "bypass": (2.0, 5.5), "ramp_days": (2.0, 12.0), "inventory_days": (10.0, 30.0)}
+TARGETS = ["gap", "gap_days", "spr_day", "price_lo", "price_hi", "gdp_pct"]
+
+
 @query("surrogate")
 def surrogate(spark, sf_dir):
-    """A regression forest that stands in for the cascade, on 400 drawn scenarios."""
+    """Forests that stand in for the cascade: 5000 drawn scenarios, six inputs, six targets, 150 trees each; a fifth is held out."""
     r = random.Random(7)
-    rows = [{"scenario": f"s{i}", "fraction": r.random(), "share_pct": r.uniform(20, 60), "bypass": r.uniform(0, 5), "ramp_days": r.uniform(1, 9)} for i in range(400)]
+    rows = [{"scenario": f"s{i}"} | {k: r.randint(a, b) if k == "days" else r.uniform(a, b) for k, (a, b) in VARIED.items()} for i in range(5000)]
     sc = scenario.scenarios(spark, rows)
-    data = scenario.summary(sc).select("scenario", "gap").join(sc.select("scenario", "fraction", "share_pct", "bypass", "ramp_days"), "scenario").cache()
-    model = models.surrogate(data.where("fraction > 0"), ["fraction", "share_pct", "bypass", "ramp_days"], "gap", trees=20)
-    from pyspark.ml.feature import VectorAssembler
-
-    return model.transform(VectorAssembler(inputCols=["fraction", "share_pct", "bypass", "ramp_days"], outputCol="x").transform(data)).select("scenario", "gap", F.round("gap_hat", 6).alias("gap_hat"))
+    data = scenario.summary(sc).select("scenario", *TARGETS).join(sc.select("scenario", *VARIED), "scenario").withColumn("held_out", F.pmod(F.xxhash64("scenario"), F.lit(5)) == 0).cache()
+    train = data.where("not held_out")
+    with ThreadPool(models.PARALLEL) as pool:
+        fitted = pool.map(lambda t: models.surrogate(train, list(VARIED), t), TARGETS)
+    out = data
+    for model in fitted:
+        out = models.predict(model, list(VARIED), out).drop("x")
+    return out.select("scenario", "held_out", *TARGETS, *[F.round(f"{t}_hat", 6).alias(f"{t}_hat") for t in TARGETS])
