@@ -263,3 +263,44 @@ def test_text_rules(spark):
     assert [tuple(r.v) for r in rows.collect()] == [w for _, w in SPOKEN]
     rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(ROUTES)], "i int, t string").select("i", T.route(c).alias("v")).orderBy("i")
     assert [r.v for r in rows.collect()] == [w for _, w in ROUTES]
+
+
+def test_boosted_trees_and_attributions(spark):
+    import random
+
+    from tideline.operators import models
+
+    r = random.Random(2)
+    rows = spark.createDataFrame([(i, i % 3, x := r.random(), r.random(), int(x > 0.5)) for i in range(150)], "id int, g int, a double, b double, y int")
+    out = models.leave_one_out(rows, ["a", "b"], "y", "g", trees=3, folds=2)
+    assert out.count() == 150 and out.where("(probability_ > 0.5) <> (y = 1)").count() < 15
+    model, platt = models.classifier(rows, ["a", "b"], "y", trees=3, folds=2)
+    got = models.attributions(rows.select("id", "a", "b"), "id", {"fa": ["a"], "fb": ["b"]}, {"a": 0.5, "b": 0.5}, lambda d: models.probabilities(d, model, platt)).collect()
+    assert len(got) == 150 and all(abs(x.fa + x.fb - (x.score - x.base)) < 1e-9 for x in got) and sum(abs(x.fa) for x in got) > 20 * sum(abs(x.fb) for x in got)
+
+
+def test_best_match_against_brute_force(spark):
+    import numpy as np
+
+    from tideline.operators.vectors import best_match
+
+    v = np.random.default_rng(1).standard_normal((90, 6))
+    v[7] = 0
+    v[8] = v[3]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    n = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    s = n @ n.T
+    np.fill_diagonal(s, -9)
+    for block in (1000, 8):
+        got = {x.id: x.similarity for x in best_match(df.where("id % 3 = 0 or id = 7"), df, "id", "v", block).collect()}
+        assert set(got) == {i for i in range(90) if i % 3 == 0 or i == 7} and all(math.isclose(x, s[i].max(), abs_tol=1e-12) for i, x in got.items())
+
+
+def test_prose_has_every_kind(spark):
+    from tideline.functions.prose import SENTENCES, prose
+
+    df = spark.createDataFrame([("Alpha", "Iraq", "2.5", "True")], "canonical_name string, country string, daily_export_mbpd string, sanctioned string")
+    assert df.select(prose("Supplier")).first()[0] == "Alpha (Supplier) is based in country Iraq, has daily_export_mbpd of 2.5, and is sanctioned."
+    df = spark.createDataFrame([("Spill", None)], "canonical_name string, actor string").selectExpr("*", "'x' as action", "cast(null as string) severity", "'2024' event_time")
+    assert df.select(prose("GeoEvent")).first()[0] == "Spill (GeoEvent): actor , action x, severity , event_time 2024."
+    assert len(SENTENCES) == 17

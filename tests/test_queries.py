@@ -3,7 +3,7 @@ import pytest
 from tests.oracle import assert_same, connect
 from tideline import plans
 
-SLOW = {"gbt_loco"}
+SLOW = {"gbt_loco", "gbt_attributions", "surrogate"}
 
 
 @pytest.fixture(scope="module")
@@ -21,6 +21,13 @@ def test_query_without_sql_has_rows(spark, sf_dir, name):
     assert plans.QUERIES[name](spark, sf_dir).count() > 0
 
 
+@pytest.mark.parametrize("name", ["price_changepoint", "price_regime", "war_risk_premium", "ais_gaps", "tone_delta", "tick_features", "roc_youden"])
+def test_series_equal_sql_at_a_larger_size(spark, name):
+    """The size of the timings: there prices of zero occur."""
+    sf = "/root/testdata/sf0.1"
+    assert_same(plans.QUERIES[name](spark, sf), connect(sf), plans.SQL[name])
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

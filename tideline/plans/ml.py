@@ -13,6 +13,10 @@ from .registry import query
 from .risk import BATCH_SQL
 
 
+#: Of the registered query, whose fits are many small jobs; the operator's own defaults are 200 trees and 5 folds.
+TREES, FOLDS = 30, 2
+
+
 @query("gbt_loco")
 def gbt_loco(spark, sf_dir):
     """Probability that an entity's next batch is critical, each region's rows scored by the others' model."""
@@ -21,7 +25,7 @@ def gbt_loco(spark, sf_dir):
     f = fusion.fuse_consumer(fusion.features(fusion.flushes(signals(spark, sf_dir)), "entity", "flush"))
     nxt = F.lead("score").over(Window.partitionBy("entity").orderBy("observed_at", "flush"))
     rows = f.withColumn("y", (nxt >= 0.18).cast("int")).where("y is not null").withColumn("crisis", F.col("entity") % 3).select("entity", "flush", "crisis", "y", *fusion.FEATURES).cache()
-    out = models.leave_one_out(rows, fusion.FEATURES, "y", "crisis")
+    out = models.leave_one_out(rows, fusion.FEATURES, "y", "crisis", trees=TREES, folds=FOLDS)
     return out.select("entity", "flush", "crisis", "y", F.round("probability_", 6).alias("probability"))
 
 
