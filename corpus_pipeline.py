@@ -6,7 +6,6 @@ columns of documents. ``run`` writes each stage's rows before the next one start
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +27,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go, and from the others the lines that too many documents of a host have."""
+    """Documents that the quality rules reject go, and from the others the lines that stand on too many pages of a host."""
     return _counted(op8_quality.clean(docs))
 
 
@@ -49,6 +48,8 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in sequences of at most 1024."""
+    import public_tokenizers
+
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
