@@ -70,6 +70,15 @@ def wiki_pages(spark, sf_dir):
     return bundle.pages(spark, path).select("entity_id", "title", "updated", F.col("links_out").alias("links"))
 
 
+@query("settings_rows", "SELECT * FROM (VALUES ('REGION', 'Gulf'), ('MODE', 'local'), ('TOKEN', 'a=b'), ('LEVEL', '3'), ('EMPTY', '')) t(key, value)")
+def settings_rows(spark, sf_dir):
+    """Settings of two files, the first one's before the second's."""
+    path = work_folder(spark, "settings")
+    put_text(spark, f"{path}/local", "# own\nMODE=remote\nMODE='local'\n\nexport TOKEN = \"a=b\"\nno sign\n")
+    put_text(spark, f"{path}/common", "MODE=shared\nREGION=Gulf\n  LEVEL= 3 \nEMPTY=\n")
+    return bundle.settings(spark, f"{path}/local", f"{path}/common")
+
+
 @query("matrix_rows", "SELECT a.r_name AS row, b.r_name AS \"column\", a.r_regionkey * 10.0::DOUBLE + b.r_regionkey AS value FROM region a, region b")
 def matrix_rows(spark, sf_dir):
     """A square matrix in CSV, its columns in the order of the header."""

@@ -72,3 +72,18 @@ def matrix(df: DataFrame, key: str) -> DataFrame:
     """A wide square table as (row, column, value)."""
     cols = [c for c in df.columns if c != key]
     return df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot([key], cols, "column", "value").withColumnRenamed(key, "row")
+
+
+def settings(spark: SparkSession, *paths: str) -> DataFrame:
+    """(key, value) of files of KEY=value lines; of a key in several files the first file's counts, within a file the last line's.
+
+    Blank lines, comments and lines without "=" are skipped; a leading ``export`` and quotes around values go.
+    """
+    parts = []
+    for i, path in enumerate(paths):
+        line = F.trim("value")
+        key = F.trim(F.regexp_replace(F.split_part(line, F.lit("="), F.lit(1)), r"^export ", ""))
+        value = F.trim(F.trim(F.trim(F.regexp_replace(line, r"^[^=]*=", "")), F.lit('"')), F.lit("'"))
+        rows = spark.read.text(path).withColumn("n", F.monotonically_increasing_id()).where((line != "") & ~F.startswith(line, F.lit("#")) & F.contains(line, F.lit("=")))
+        parts.append(rows.select(key.alias("key"), value.alias("value"), F.struct(F.lit(-i), "n").alias("at")))
+    return reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.max_by("value", "at").alias("value"))
