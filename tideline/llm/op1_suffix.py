@@ -38,6 +38,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,14 @@ WORD_KGRAM = 16
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
+class Kind(NamedTuple):
+    """What repeats are looked for: windows of ``length`` bytes by k-grams, of the text itself or of ``units`` of words."""
+
+    length: int
+    k: int
+    words: bool
+
+
 def units(b: pa.RecordBatch, words: bool) -> tuple[np.ndarray, np.ndarray]:
     """What repeats are looked for in, and the texts' offsets in it: the bytes, or WORD_BYTES of each word's hash."""
     raw, offsets = H.buffers(b)
@@ -208,18 +217,27 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(0).cast(kind)).alias("doc_id"), F.xxhash64("text", F.col("doc_id").isNull()).alias("th"), "text")
 
 
-def _anchor_rows(src: DataFrame, length: int, k: int, words: bool) -> DataFrame:
-    kind = src.schema["doc_id"].dataType.simpleString()
+def _anchor_rows(src: DataFrame, kinds: list[Kind]) -> DataFrame:
+    """(doc_id, th, kind, h, at, lo, hi) of all anchors of each kind."""
+    id_type = src.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "th", "kind", "h", "at", "lo", "hi"]
 
     def make():
-        def work(b: pa.RecordBatch) -> pa.RecordBatch:
-            h, text, at, lo, hi = anchors(*units(b, words), length, k)
+        def one(b: pa.RecordBatch, i: int, kind: Kind) -> pa.RecordBatch:
+            h, text, at, lo, hi = anchors(*units(b, kind.words), kind.length, kind.k)
             pick = pa.array(text)
-            return C.records(["doc_id", "th", "h", "at", "lo", "hi"], [b.column(0).take(pick), b.column(1).take(pick), h.view(np.int64), at, lo, hi], [None, None, pa.int64(), pa.int64(), pa.int64(), pa.int64()])
+            return C.records(names, [b.column(0).take(pick), b.column(1).take(pick), np.full(len(h), i), H.mix(h + np.uint64(i)).view(np.int64), at, lo, hi], [None, None, *[pa.int64()] * 5])
 
-        return work
+        return lambda b: pa.Table.from_batches([one(b, i, kind) for i, kind in enumerate(kinds)]).combine_chunks().to_batches()
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            for part in C.slices(batch):
+                yield from (x for x in work(part) if x.num_rows)
 
-    return C.map_rows(src, make, f"doc_id {kind}, th long, h long, at long, lo long, hi long")
+    src.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", C.ARROW_ROWS)
+    return src.mapInArrow(run, f"doc_id {id_type}, th long, kind long, h long, at long, lo long, hi long")
 
 
 def _ids(content: bytes, key: int, left: int) -> tuple[int, int]:
@@ -228,37 +246,37 @@ def _ids(content: bytes, key: int, left: int) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def _contexts(docs: DataFrame, length: int, words: bool) -> DataFrame:
-    """(doc_id, th, lo, h, hot, c1, c2, lft, sent, bytes): bytes only the first time a task sends the content, null the second."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "th", "lo", "h", "hot", "c1", "c2", "lft", "sent", "bytes"]
+def _contexts(docs: DataFrame, kinds: list[Kind]) -> DataFrame:
+    """(doc_id, th, kind, lo, h, hot, c1, c2, lft, sent, bytes): bytes only the first time a task sends the content, null the second."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "th", "kind", "lo", "h", "hot", "c1", "c2", "lft", "sent", "bytes"]
 
     def make():
         seen: dict[tuple[int, int], int] = {}
 
         def work(b: pa.RecordBatch) -> pa.RecordBatch | None:
-            raw, offsets = units(b, words)
-            raw = raw.tobytes()
+            raws = [(raw.tobytes(), offsets) for raw, offsets in (units(b, kind.words) for kind in kinds)]
             cols: list[list] = [[] for _ in names]
             for row, (doc_id, th, owned) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist())):
-                base = int(offsets[row])
-                for at, lo, hi, h, hot in {(o["at"], o["lo"], o["hi"], o["h"], o["hot"]) for o in owned}:
-                    content = raw[base + lo : base + hi + length]
+                for i, at, lo, hi, h, hot in {(o["kind"], o["at"], o["lo"], o["hi"], o["h"], o["hot"]) for o in owned}:
+                    raw, offsets = raws[i]
+                    base = int(offsets[row])
+                    content = raw[base + lo : base + hi + kinds[i].length]
                     cid = _ids(content, h, at - lo)
                     times = seen.get(cid, 0)
                     if times < 2:
                         if len(seen) >= SEEN and times == 0:
                             seen.clear()
                         seen[cid] = times + 1
-                    for c, v in zip(cols, (doc_id, th, lo, h, hot, *cid, at - lo, times < 2, content if times == 0 else None)):
+                    for c, v in zip(cols, (doc_id, th, i, lo, h, hot, *cid, at - lo, times < 2, content if times == 0 else None)):
                         c.append(v)
             if not cols[0]:
                 return None
-            return C.records(names, cols, [b.schema.field(0).type, *[pa.int64()] * 3, pa.bool_(), *[pa.int64()] * 3, pa.bool_(), pa.binary()])
+            return C.records(names, cols, [b.schema.field(0).type, *[pa.int64()] * 4, pa.bool_(), *[pa.int64()] * 3, pa.bool_(), pa.binary()])
 
         return work
 
-    return C.map_rows(docs, make, f"doc_id {kind}, th long, lo long, h long, hot boolean, c1 long, c2 long, lft long, sent boolean, bytes binary")
+    return C.map_rows(docs, make, f"doc_id {id_type}, th long, kind long, lo long, h long, hot boolean, c1 long, c2 long, lft long, sent boolean, bytes binary")
 
 
 def _offset_blocks(at: int, first: int, last: int, width: int) -> list[tuple[int, int]]:
@@ -381,25 +399,27 @@ def _content_spans(scratch: C.Scratch, many: DataFrame, length: int, hot: int, f
     return scratch.save(done.unionByName(narrow))
 
 
-def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH, k: int = KGRAM, hot: int = HOT, words: bool = False) -> DataFrame:
-    """(doc_id, th, spans) of the ``_keyed`` documents with repeated bytes; spans may overlap.
+def repeated_spans(docs: DataFrame, kinds: list[Kind], hot: int = HOT) -> DataFrame:
+    """(doc_id, th, spans_0, ...) of the ``_keyed`` documents with anything repeated: spans of each kind in its units; they may overlap.
 
-    With ``words``, length, k-gram and spans count bytes of ``units``.
+    All kinds go through one pass over the texts, which are joined with their anchors once.
     """
-    spark = docs.sparkSession
-    scratch = C.Scratch(spark, "suffix")
+    scratch = C.Scratch(docs.sparkSession, "suffix")
     src = _keyed(docs)
-    found = scratch.save(_anchor_rows(src, length, k, words))
+    found = scratch.save(_anchor_rows(src, kinds))
     repeated = scratch.save(found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h", (F.col("c") > hot).alias("hot")))
-    owned = found.join(repeated, "h").groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "lo", "hi", "h", "hot")).alias("owned"))
-    contexts = scratch.save(_contexts(src.join(owned, ["doc_id", "th"]).select("doc_id", "th", "text", "owned"), length, words))
+    owned = found.join(repeated, "h").groupBy("doc_id", "th").agg(F.collect_list(F.struct("kind", "at", "lo", "hi", "h", "hot")).alias("owned"))
+    contexts = scratch.save(_contexts(src.join(owned, ["doc_id", "th"]).select("doc_id", "th", "text", "owned"), kinds))
     scratch.drop(found, repeated)
-    # an anchor that is rare has few contexts; of the others the different ones are counted
-    sent = contexts.where("sent").select("hot", "h", "c1", "c2", "lft", "bytes", F.lit(1).cast("long").alias("n"))
-    spans = _content_spans(scratch, scratch.save(_distinct(sent.where("hot"))), length, hot, sent.where("not hot").drop("hot"))
-    places = contexts.select("doc_id", "th", "lo", "c1", "c2").join(spans, ["c1", "c2"]).select("doc_id", "th", F.explode(_shifted("spans", "lo")).alias("s"))
-    out = scratch.save(places.groupBy("doc_id", "th").agg(F.collect_set("s").alias("spans")))
-    scratch.drop(contexts, spans)
+    spans = None
+    for i, kind in enumerate(kinds):
+        # an anchor that is rare has few contexts; of the others the different ones are counted
+        sent = contexts.where("sent").where(F.col("kind") == i).select("hot", "h", "c1", "c2", "lft", "bytes", F.lit(1).cast("long").alias("n"))
+        part = _content_spans(scratch, scratch.save(_distinct(sent.where("hot"))), kind.length, hot, sent.where("not hot").drop("hot"))
+        spans = part if spans is None else spans.unionByName(part)
+    places = contexts.select("doc_id", "th", "kind", "lo", "c1", "c2").join(spans, ["c1", "c2"]).select("doc_id", "th", "kind", F.explode(_shifted("spans", "lo")).alias("s"))
+    out = scratch.save(places.groupBy("doc_id", "th").agg(*[F.collect_set(F.when(F.col("kind") == i, F.col("s"))).alias(f"spans_{i}") for i in range(len(kinds))]))
+    scratch.drop(contexts)
     return out
 
 
@@ -424,15 +444,10 @@ def cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def _with_spans(docs: DataFrame, length: int, k: int, hot: int, words: int = 0) -> DataFrame:
     """The rows with one more column, ``_spans``; with ``words`` also ``_word_spans``, of passages of so many words."""
-    if words:
-        docs = _joined(docs, repeated_spans(docs, words * WORD_BYTES, min(words, WORD_KGRAM) * WORD_BYTES, hot, True), "_word_spans")
-    return _joined(docs, repeated_spans(docs, length, k, hot), "_spans")
-
-
-def _joined(docs: DataFrame, spans: DataFrame, name: str) -> DataFrame:
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias(name))
-    kind = docs.schema["doc_id"].dataType
-    return docs.join(spans, (F.coalesce("doc_id", F.lit(0).cast(kind)) == F.col("_id")) & (F.xxhash64("text", F.col("doc_id").isNull()) == F.col("_th")), "left").drop("_id", "_th")
+    kinds = [Kind(length, k, False)] + [Kind(words * WORD_BYTES, min(words, WORD_KGRAM) * WORD_BYTES, True)] * bool(words)
+    spans = repeated_spans(docs, kinds, hot).withColumnsRenamed({"doc_id": "_id", "th": "_th", "spans_0": "_spans", "spans_1": "_word_spans"})
+    id_type = docs.schema["doc_id"].dataType
+    return docs.join(spans, (F.coalesce("doc_id", F.lit(0).cast(id_type)) == F.col("_id")) & (F.xxhash64("text", F.col("doc_id").isNull()) == F.col("_th")), "left").drop("_id", "_th")
 
 
 def _runs(found) -> list[tuple[int, int]]:
@@ -482,7 +497,7 @@ def clean(docs: DataFrame, length: int = MIN_LENGTH, k: int = KGRAM, hot: int =
 
     def make():
         def one(text: str | None, found, of_words) -> str | None:
-            if text is None or (found is None and of_words is None):
+            if text is None or not (found or of_words):
                 return text
             raw = text.encode("utf-8")
             return cut(raw, merge(_runs(found) + _word_runs(raw, of_words))).decode("utf-8", "ignore")
