@@ -2,40 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .folds import FAN, Cooldown, Crossing, fold
+from .signals import CHUNK, carried, chunked, own
 
-def crossings(scores: DataFrame, cooldown_s: float) -> DataFrame:
+
+def crossings(scores: DataFrame, cooldown_s: float, size: int = CHUNK, fan: int = FAN) -> DataFrame:
     """Fired crossings (entity, n, rank): into a band of rank 3 or more, above the last band fired,
     after the cooldown. Falling below rank 2 resets the last band.
-
-    One fold over an entity's states, which are batches of its signals and not the signals.
     """
-    w = Window.partitionBy("entity").orderBy("observed_at", "flush")
-    rows = scores.select("entity", F.row_number().over(w).cast("long").alias("n"), "t", "rank")
-    lists = rows.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("n", "t", "rank"))).alias("xs"))
-    fold = """aggregate(xs, named_struct('last', 0, 'at', cast(null as double), 'out', cast(array() as array<struct<n: bigint, rank: int>>)),
-      (s, x) -> if(x.rank >= 3 and x.rank > s.last and (s.at is null or x.t - s.at >= {c}),
-        named_struct('last', x.rank, 'at', x.t, 'out', concat(s.out, array(named_struct('n', x.n, 'rank', x.rank)))),
-        named_struct('last', if(x.rank < 2, 0, s.last), 'at', s.at, 'out', s.out))).out"""
-    return lists.select("entity", F.inline(F.expr(fold.format(c=float(cooldown_s)))))
+    d = fold(scores, "entity", "observed_at", "flush", "rank", Crossing(cooldown_s), size, fan)
+    return d.where("fired").select("entity", "n", F.col("value").alias("rank"))
 
 
-def cooldown(rows: DataFrame, seconds: float) -> DataFrame:
+def cooldown(rows: DataFrame, seconds: float, size: int = CHUNK, fan: int = FAN) -> DataFrame:
     """``kept``: the first of an entity, and each that comes ``seconds`` or more after the last kept one."""
-    lists = rows.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id"))).alias("xs"))
-    fold = """aggregate(xs, named_struct('at', cast(null as double), 'out', cast(array() as array<struct<event_id: bigint, kept: boolean>>)),
-      (s, x) -> if(s.at is null or unix_micros(x.ts) / 1e6D - s.at >= {c},
-        named_struct('at', unix_micros(x.ts) / 1e6D, 'out', concat(s.out, array(named_struct('event_id', x.event_id, 'kept', true)))),
-        named_struct('at', s.at, 'out', concat(s.out, array(named_struct('event_id', x.event_id, 'kept', false)))))).out"""
-    return lists.select("entity", F.inline(F.expr(fold.format(c=float(seconds)))))
+    d = fold(rows.withColumn("_one", F.lit(1)), "entity", "ts", "event_id", "_one", Cooldown(seconds), size, fan)
+    return d.select("entity", "event_id", F.col("fired").alias("kept"))
 
 
-def expired(scores: DataFrame, ttl_h: int) -> DataFrame:
+def expired(scores: DataFrame, ttl_h: int, size: int = CHUNK) -> DataFrame:
     """Rises into ``elevated`` that no action or critical state of the entity follows within ``ttl_h`` hours."""
-    w = Window.partitionBy("entity").orderBy("observed_at", "flush")
-    s = scores.select("entity", "observed_at", "band", F.lag("band", 1, "calm").over(w).alias("was"))
-    opened = s.where("band = 'elevated' and was in ('calm', 'watch')").select("entity", F.col("observed_at").alias("opened_at"))
-    hit = s.where("band in ('action', 'critical')").select(F.col("entity").alias("e"), F.col("observed_at").alias("hit_at"))
-    return opened.join(hit, (F.col("entity") == F.col("e")) & (F.col("hit_at") > F.col("opened_at")) & (F.col("hit_at") <= F.col("opened_at") + F.expr(f"interval {ttl_h} hours")), "left_anti")
+    d, w = chunked(scores.select("entity", "observed_at", "flush", "band"), "entity", "observed_at", "flush", 1, size)
+    s = own(d.withColumn("was", F.lag("band", 1, "calm").over(w)))
+    rise = (F.col("band") == "elevated") & F.col("was").isin("calm", "watch")
+    hit = F.col("band").isin("action", "critical")
+    # of rows of one time, hits come first: they don't follow
+    s = s.where(rise | hit).withColumn("tie", F.struct((~hit).alias("later"), "flush"))
+    s = carried(s, "entity", "observed_at", "tie", F.when(hit, F.struct("observed_at")), size)
+    late = F.col("after").isNull() | (F.col("after.observed_at") > F.col("observed_at") + F.expr(f"interval {ttl_h} hours"))
+    return s.where(rise & late).select("entity", F.col("observed_at").alias("opened_at"))

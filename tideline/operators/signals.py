@@ -127,17 +127,33 @@ def tone_delta(rows: DataFrame, key: str, ts: str, tie: str, tone: str, last: in
     return own(d.drop("_n", "_s"))
 
 
-def as_of(rows: DataFrame, marks: DataFrame, key: str, t: str, value: str) -> DataFrame:
-    """Each row with the mark before and after it and the value interpolated between them, by one union and windows."""
+def carried(rows: DataFrame, key: str, ts: str, tie: str, mark: Column, size: int = CHUNK) -> DataFrame:
+    """``before`` and ``after``: the last mark up to a row and the first one behind it, in the key's order.
+
+    ``mark`` is a struct that is null on rows without one. Within a chunk windows find the marks; the first and the
+    last one of each chunk are carried over the chunks in between, in both directions.
+    """
+    d, w = chunked(rows.withColumn("_mark", mark), key, ts, tie, 0, size)
+    d = d.withColumn("_in", F.last("_mark", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.withColumn("_out", F.first("_mark", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    place = F.when(F.col("_mark").isNotNull(), F.col("_at"))
+    ends = d.groupBy(key, "_chunk").agg(F.max_by("_mark", place).alias("_last"), F.min_by("_mark", place).alias("_first"))
+    over = Window.partitionBy(key).orderBy("_chunk")
+    ends = ends.select(key, "_chunk", F.last("_last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_last"), F.first("_first", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_first"))
+    d = d.join(ends, [key, "_chunk"]).withColumn("before", F.coalesce("_in", "_last")).withColumn("after", F.coalesce("_out", "_first"))
+    return own(d.drop("_mark", "_in", "_out", "_last", "_first"))
+
+
+def as_of(rows: DataFrame, marks: DataFrame, key: str, t: str, value: str, size: int = CHUNK) -> DataFrame:
+    """Each row with the mark before and after it and the value interpolated between them, by one union."""
     both = rows.select(key, t, "id", F.lit(None).cast("double").alias("m")).unionByName(marks.select(key, t, F.lit(None).cast("long").alias("id"), F.col(value).alias("m")))
-    stamp = F.when(F.col("m").isNotNull(), F.struct(F.col(t).alias("t"), "m"))
-    order = Window.partitionBy(key).orderBy(t, F.col("id").isNotNull().cast("int"), "id")
-    before = F.last(stamp, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(stamp, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    d = both.withColumn("b", before).withColumn("a", after).where("id is not null")
-    part = (F.col(t) - F.col("b.t")) / (F.col("a.t") - F.col("b.t"))
-    days = (F.col(t) - F.col("b.t")) / 86400
-    value_ = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.col("b.m") + (F.col("a.m") - F.col("b.m")) * part).when(F.col("b").isNotNull(), F.col("b.m") * F.exp(-days / 7)).otherwise(0.0)
+    # of one time, marks come before rows
+    both = both.withColumn("_ts", F.timestamp_seconds(F.col(t))).withColumn("_tie", F.struct(F.col("id").isNotNull().alias("row"), "id", "m"))
+    d = carried(both, key, "_ts", "_tie", F.when(F.col("m").isNotNull(), F.struct(F.col(t).alias("t"), "m")), size).where("id is not null")
+    a, b = F.col("after"), F.col("before")
+    part = (F.col(t) - b["t"]) / (a["t"] - b["t"])
+    days = (F.col(t) - b["t"]) / 86400
+    value_ = F.when(a.isNotNull() & b.isNotNull(), b["m"] + (a["m"] - b["m"]) * part).when(b.isNotNull(), b["m"] * F.exp(-days / 7)).otherwise(0.0)
     return d.select(key, "id", value_.alias("value"))
 
 
