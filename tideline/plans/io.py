@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,18 +11,14 @@ from ..operators import models, scenario
 from ..sources import bundle, feeds, sinks
 from ..sources.views import SIGNAL, signals, table, ticks, with_
 from ..streaming import jobs
+from ..workspace import Workspace
 from .intelligence import _CP, _PING
 from .registry import query
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one that the cluster names; in local mode without one, in a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        root = tempfile.gettempdir()
-    return f"{root}/tideline-{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder in the shared one that the cluster names; it goes when the driver ends."""
+    return Workspace(spark, name).path
 
 
 def put_text(spark: SparkSession, path: str, text: str) -> None:
@@ -214,7 +206,7 @@ def stream_changepoints(spark, sf_dir):
     t, out = ticks(spark, sf_dir), Kept(spark, "ticks")
     mid = F.expr("timestamp'2024-01-15'")
     for part in (t.where(F.col("ts") < mid), t.where(F.col("ts") >= mid)):
-        part.coalesce(1).write.mode("append").parquet(f"{out.path}/in")
+        part.write.mode("append").parquet(f"{out.path}/in")
         out.run(jobs.moments(spark.readStream.schema(t.schema).parquet(f"{out.path}/in")))
     return out.read().select("event_id", F.round("z", 6).alias("z"))
 
@@ -228,6 +220,6 @@ def stream_clusters(spark, sf_dir):
     p = pings(spark, sf_dir).select((F.col("vessel") % 12).alias("cell"), "ts", (F.col("speed") < 5).alias("dark"), F.lit(0.0).alias("gap_hours"), F.lit(0.0).alias("anomaly"))
     out, mid = Kept(spark, "clusters"), F.expr("timestamp'2024-01-15'")
     for part in (p.where(F.col("ts") < mid), p.where(F.col("ts") >= mid)):
-        part.coalesce(1).write.mode("append").parquet(f"{out.path}/in")
+        part.write.mode("append").parquet(f"{out.path}/in")
         out.run(jobs.clusters(spark.readStream.schema(p.schema).parquet(f"{out.path}/in")))
     return out.read().select("cell", F.col("window.start").cast("timestamp_ntz").alias("start"), "dark")

@@ -36,15 +36,6 @@ class Workspace:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def put_text(self, name: str, text: str) -> str:
-        """A small file through the file system of its path."""
-        path = f"{self.path}/{name}"
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        out = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(p, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        return path
-
     def delete(self) -> None:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
