@@ -9,6 +9,7 @@ from ..constants import CASCADE_FLOOR, FIRE_COOLDOWN_S, HALF_LIFE_H, INGEST_IMME
 from ..functions.scores import band_rank, clamp, display_band, risk_band
 from ..operators import alerts, fusion
 from ..sources.views import signals, table, with_
+from ..workspace import Workspace
 from .registry import query
 
 FEATURES_SQL = """
@@ -175,7 +176,8 @@ f AS (
   FROM f JOIN s ON s.entity = f.entity AND s.n = f.n + 1)
 SELECT entity, n, CAST(rank AS INTEGER) AS rank FROM f WHERE fired""")
 def band_crossings(spark, sf_dir):
-    s = batch_scores(spark, sf_dir).withColumn("rank", band_rank(F.col("band"))).withColumn("t", F.unix_micros("observed_at") / 1e6)
+    # a tenth of the signals; written once, since the fold reads it three times
+    s = Workspace(spark, "states").save(batch_scores(spark, sf_dir).select("entity", "observed_at", "flush", band_rank(F.col("band")).alias("rank")))
     return alerts.crossings(s, FIRE_COOLDOWN_S)
 
 
@@ -185,7 +187,8 @@ opened AS (SELECT entity, observed_at FROM c WHERE band IN ('elevated') AND coal
 hit AS (SELECT entity, observed_at AS hit_at FROM c WHERE band IN ('action', 'critical'))
 SELECT o.entity, o.observed_at AS opened_at FROM opened o ANTI JOIN hit h ON h.entity = o.entity AND h.hit_at > o.observed_at AND h.hit_at <= o.observed_at + INTERVAL {PENDING_TTL_H} HOUR""")
 def pending_expired(spark, sf_dir):
-    return alerts.expired(batch_scores(spark, sf_dir), PENDING_TTL_H).select("entity", F.col("opened_at").cast("timestamp_ntz").alias("opened_at"))
+    s = Workspace(spark, "states").save(batch_scores(spark, sf_dir).select("entity", "observed_at", "flush", "band"))
+    return alerts.expired(s, PENDING_TTL_H).select("entity", F.col("opened_at").cast("timestamp_ntz").alias("opened_at"))
 
 
 @query("entity_cooldown", with_("sig") + f""",
