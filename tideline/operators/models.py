@@ -1,59 +1,55 @@
-"""Learned risk models on spark.ml: boosted trees with calibrated probabilities, and a regression surrogate."""
+"""Learned risk models: boosted trees with calibrated probabilities, and a regression surrogate on spark.ml."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..workspace import Workspace
+from . import boosting
+from .boosting import Boosted
 
-#: Fits that run side by side; each is a series of small jobs.
+
+#: Fits of the surrogate that run side by side.
 PARALLEL = 6
 
 
-def classifier(rows: DataFrame, columns: list[str], label: str, trees: int = 200, depth: int = 4, rate: float = 0.05, folds: int = 5, pool: ThreadPool | None = None):
-    """(model, calibrator): the calibrator is fitted on margins of trees that had not seen the row."""
-    data = VectorAssembler(inputCols=columns, outputCol="x").transform(rows).withColumn("_fold", F.pmod(F.xxhash64(*columns), F.lit(folds))).select("x", F.col(label).cast("double").alias("y"), "_fold").persist(StorageLevel.MEMORY_AND_DISK)
+def classifiers(rows: DataFrame, columns: list[str], label: str, parts: list[Column], trees: int = 200, depth: int = 4, rate: float = 0.05, folds: int = 5) -> list[tuple[Boosted, tuple[float, float]]]:
+    """(model, calibrator) for each of ``parts``, a condition on the rows it learns from; all fits grow together.
+
+    The calibrator is a logistic curve through the margins of trees that had not seen the row: each part is fitted
+    once more without each of ``folds`` folds of its rows.
+    """
+    work = Workspace(rows.sparkSession, "classifiers")
+    data = work.save(rows.withColumn("_fold", F.pmod(F.xxhash64(*columns), F.lit(folds))).withColumns({f"_part{g}": F.coalesce(p, F.lit(False)) for g, p in enumerate(parts)}).where(F.col(label).isNotNull()))
+    use = [F.col(f"_part{g}") & (F.lit(True) if k == folds else F.col("_fold") != k) for g in range(len(parts)) for k in range(folds + 1)]
+    fitted = boosting.fit(data, columns, label, use, trees, depth, rate)
+    at = lambda g, k: fitted[g * (folds + 1) + k]
+    seen = boosting.margins(data, {f"_m{g}_{k}": at(g, k) for g in range(len(parts)) for k in range(folds)})
+    unseen = work.save(seen.select(F.col(label).cast("double").alias("y"), *[F.when(F.col(f"_part{g}"), F.coalesce(*[F.when(F.col("_fold") == k, F.col(f"_m{g}_{k}")) for k in range(folds)])).alias(f"m{g}") for g in range(len(parts))]))
+    return [(at(g, folds), boosting.platt(unseen.where(F.col(f"m{g}").isNotNull()), f"m{g}", "y")) for g in range(len(parts))]
 
-    def fit(k: int | None):
-        part = data if k is None else data.where(F.col("_fold") != k)
-        return GBTClassifier(featuresCol="x", labelCol="y", maxIter=trees, maxDepth=depth, stepSize=rate, seed=42).fit(part)
 
-    *parts, model = (pool.map if pool else lambda f, x: list(map(f, x)))(fit, [*range(folds), None])
-    margins = None
-    for k, m in enumerate(parts):
-        out = m.transform(data.where(F.col("_fold") == k)).select("y", vector_to_array("rawPrediction")[1].alias("m"))
-        margins = out if margins is None else margins.unionByName(out)
-    platt = LogisticRegression(featuresCol="mv", labelCol="y", probabilityCol="pp").fit(VectorAssembler(inputCols=["m"], outputCol="mv").transform(margins))
-    data.unpersist()
-    return PipelineModel([VectorAssembler(inputCols=columns, outputCol="x"), model]), platt
+def classifier(rows: DataFrame, columns: list[str], label: str, **kw) -> tuple[Boosted, tuple[float, float]]:
+    return classifiers(rows, columns, label, [F.lit(True)], **kw)[0]
 
 
-def probabilities(rows: DataFrame, model, platt) -> DataFrame:
-    scored = model.transform(rows)
-    m = vector_to_array("rawPrediction")[1]
-    return scored.withColumn("probability_", 1 / (1 + F.exp(-(m * float(platt.coefficients[0]) + float(platt.intercept))))).drop("x", "rawPrediction", "probability", "prediction")
+def probabilities(rows: DataFrame, model: Boosted, platt: tuple[float, float]) -> DataFrame:
+    return boosting.margins(rows, {"_margin": model}).withColumn("probability_", 1 / (1 + F.exp(-(F.col("_margin") * platt[0] + platt[1])))).drop("_margin")
 
 
 def leave_one_out(rows: DataFrame, columns: list[str], label: str, group: str, **kw) -> DataFrame:
-    """Probabilities of each group's rows from a model of all other groups; groups are a few crises, fitted side by side."""
-    groups = [r[0] for r in rows.select(group).distinct().orderBy(group).collect()]
-    with ThreadPool(PARALLEL) as inner, ThreadPool(max(1, len(groups))) as outer:
-        fitted = outer.map(lambda g: classifier(rows.where(F.col(group) != g), columns, label, pool=inner, **kw), groups)
-    out = None
-    for g, (model, platt) in zip(groups, fitted):
-        part = probabilities(rows.where(F.col(group) == g), model, platt)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Probabilities of each group's rows from a model of all other groups; groups are a few crises."""
+    groups = [r[0] for r in rows.select(group).distinct().where(F.col(group).isNotNull()).orderBy(group).collect()]
+    fitted = classifiers(rows, columns, label, [F.col(group) != g for g in groups], **kw)
+    scored = boosting.margins(rows, {f"_m{i}": model for i, (model, _) in enumerate(fitted)})
+    own = F.coalesce(*[F.when(F.col(group) == g, F.col(f"_m{i}") * a + b) for i, (g, (_, (a, b))) in enumerate(zip(groups, fitted))], F.lit(None).cast("double"))
+    return scored.withColumn("probability_", 1 / (1 + F.exp(-own))).drop(*[f"_m{i}" for i in range(len(groups))])
 
 
 def attributions(rows: DataFrame, key: str, streams: dict[str, list[str]], base: dict[str, float], score: Callable[[DataFrame], DataFrame], out: str = "probability_") -> DataFrame:
@@ -81,8 +77,8 @@ def attributions(rows: DataFrame, key: str, streams: dict[str, list[str]], base:
     return scored.groupBy(key).agg(whole, none, *parts)
 
 
-def importances(model, columns: list[str]) -> list[tuple[str, float]]:
-    return sorted(zip(columns, map(float, model.stages[-1].featureImportances.toArray())), key=lambda x: -x[1])
+def importances(model: Boosted) -> list[tuple[str, float]]:
+    return model.gains()
 
 
 def surrogate(rows: DataFrame, inputs: list[str], target: str, trees: int = 150):

@@ -26,6 +26,14 @@ def chunked(rows: DataFrame, key: str, ts: str, tie: str, before: int, size: int
     return d.withColumn("_own", F.col("_home") == F.col("_chunk")).drop("_home"), Window.partitionBy(key, "_chunk").orderBy("_at")
 
 
+def ahead(rows: DataFrame, key: str, ts: str, tie: str, size: int = CHUNK) -> tuple[DataFrame, WindowSpec]:
+    """As ``chunked``, but the first row of a chunk stands once more at the tail of the chunk before, for frames of one following row."""
+    d = numbered(rows, key, ts, tie).withColumn("_at", F.col("rn") - 1).drop("rn")
+    home = F.floor(F.col("_at") / size)
+    d = d.withColumn("_home", home).withColumn("_chunk", F.explode(F.when((F.col("_at") % size == 0) & (F.col("_at") > 0), F.array(F.col("_home") - 1, "_home")).otherwise(F.array("_home"))))
+    return d.withColumn("_own", F.col("_home") == F.col("_chunk")).drop("_home"), Window.partitionBy(key, "_chunk").orderBy("_at")
+
+
 def own(rows: DataFrame) -> DataFrame:
     return rows.where("_own").drop("_own", "_chunk", "_at")
 
