@@ -9,7 +9,7 @@ of each language, the lowest by a hash of id and text; every language that occur
 temperature that calibrates the probabilities.
 
 Null texts and texts without a letter are ``und`` with score 0, and so is everything if no
-labelled row exists. Null labels are not learned from. Repeated rows are scored alike; empty
+labelled row has a letter. Null labels are not learned from. Repeated rows are scored alike; empty
 tables give empty results. Ties between languages go to the first in alphabetical order. Only
 ``doc_id``, ``text`` and ``lang`` are read.
 """
@@ -88,6 +88,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], languages: list[str], idf: np.ndarray, epochs: int = EPOCHS) -> LanguageModel:
     """Fit on (buckets, counts, language index) rows; every fifth row is for the temperature."""
+    if not rows:
+        return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0), idf, 1.0)
     k = len(languages)
     z, n = np.zeros((BUCKETS + 1, k)), np.zeros((BUCKETS + 1, k))
 

@@ -15,8 +15,9 @@ shingles, which finds every pair of different components that can be similar, an
 tested yet is verified. Pairs move with their full sets and are confirmed by 100 * intersection >= 85 * union.
 
 Null texts and texts without a word have an empty set, link with nothing and are kept. Repeated
-ids with one text are one document twice. A row with a null id shares the component of rows with
-an equal set, if they have an id, and is linked with nothing else; ``keep_one`` leaves it in.
+ids with one text are one document twice. Ids may be of any type that can be ordered: where they aren't whole numbers,
+or some are null, rows are written once with numbers of their own and linked by these. A component's id is then its
+smallest id that isn't null; one without any has a null id and keeps its first row.
 Ties are broken by the smaller id. Only ``doc_id``
 and ``text`` are read; an empty table gives an empty result.
 """
@@ -29,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 from . import hashing as H
@@ -218,8 +220,8 @@ def _joined(scratch: C.Scratch, comp: DataFrame | None, links: DataFrame) -> Dat
     return scratch.save(moved.unionByName(over.join(comp.select("node"), "node", "left_anti")))
 
 
-def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, star_rounds: int = STAR_ROUNDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row."""
+def _linked(docs: DataFrame, percent: int, star_rounds: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row; ids are whole numbers."""
     spark = docs.sparkSession
     scratch = C.Scratch(spark, "minhash")
     sk = scratch.save(sketch(docs, bands_for(percent)))
@@ -260,13 +262,47 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, star_rounds: int
     head = head.withColumn("component_id", F.col("rep")) if comp is None else _labelled(head, comp).withColumnRenamed("comp", "component_id")
     head = scratch.save(head.drop("rep"))
     out = sk.drop("bands").join(head, ids, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def _numbered(docs: DataFrame) -> bool:
+    """Whether all ids are whole numbers."""
+    return isinstance(docs.schema["doc_id"].dataType, T.IntegralType) and docs.where("doc_id is null").isEmpty()
+
+
+def _by_row(rows: DataFrame, percent: int, star_rounds: int) -> DataFrame:
+    """(_row, doc_id, n_shingles, component_id, kept) of rows with a number ``_row``, for ids of any type and null ids."""
+    scratch = C.Scratch(rows.sparkSession, "rows")
+    got = _linked(rows.select(F.col("_row").alias("doc_id"), "text"), percent, star_rounds)
+    got = scratch.save(got.select(F.col("doc_id").alias("_row"), "n_shingles", F.col("component_id").alias("_comp")).join(rows.select("_row", "doc_id"), "_row"))
+    # counted before the join, so a component of very many rows is one row here
+    least = got.groupBy("_comp").agg(F.min("doc_id").alias("component_id"))
+    out = C.salted_join(got, least, ["_comp"], "_row")
+    kept = F.when(F.col("component_id").isNull(), F.col("_row") == F.col("_comp")).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return out.select("_row", "doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def _with_rows(docs: DataFrame) -> DataFrame:
+    return C.Scratch(docs.sparkSession, "numbers").save(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row."""
+    if _numbered(docs):
+        return _linked(docs, percent, star_rounds)
+    return _by_row(_with_rows(docs.select("doc_id", "text")), percent, star_rounds).drop("_row")
 
 
 def keep_one(docs: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     """One document of each group, the one with the smallest id, with all its columns."""
-    gone = C.Scratch(docs.sparkSession, "copies").save(near_duplicates(docs, percent).where("not kept").select("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    scratch = C.Scratch(docs.sparkSession, "copies")
+    if _numbered(docs):
+        gone = scratch.save(_linked(docs, percent, STAR_ROUNDS).where("not kept").select("doc_id"))
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows = _with_rows(docs)
+    gone = scratch.save(_by_row(rows, percent, STAR_ROUNDS).where("not kept").select("_row"))
+    return rows.join(gone, "_row", "left_anti").select(docs.columns)
+
 
 SQL = f"""
 WITH RECURSIVE w AS (

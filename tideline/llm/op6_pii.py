@@ -49,7 +49,7 @@ PATTERNS = {
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 DIGIT = re.compile("[0-9]")
 DIGITS_12 = re.compile(r"[0-9]([\x20-]?[0-9]){11}")
-TRIGGER = re.compile(r"[0-9@]|[\[(]at[\])]|\bdot\b")
+TRIGGER = re.compile(r"[0-9@]|[\[(]at[\])]|\x20at\x20[a-z0-9-]+(?:\.[a-z0-9-]|\x20?[\[(]dot[\])]|\x20dot\x20)|:[0-9a-f]*:", re.I)
 #: What the model tags: the kinds of the base, and secrets.
 TAGGED = (*KINDS, "secret")
 WINDOW, STRIDE, BATCH = 96, 64, 512

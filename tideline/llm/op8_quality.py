@@ -27,7 +27,7 @@ from . import common as C
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-MAX_DOCS_PER_HOST = 100
+MAX_DOCS_PER_HOST = 5
 MAX_HOST_PERCENT = 10
 MIN_LEFT_PERCENT = 30
 SALTS = 32
