@@ -43,6 +43,7 @@ VIEWS = [
     (r"\b(command|dashboard|home|main)\b", "/command"), (r"\b(intelligence|explorer|graph|knowledge graph|map)\b", "/intelligence"), (r"\b(simulation|sandbox|lab|scenario view)\b", "/simulation"),
     (r"\b(response|procurement|reserve|planner)\b", "/response"), (r"\b(copilot|chat|assistant|ask)\b", "/copilot"),
 ]
+VIEW_REPLIES = {"/command": "Command Center.", "/intelligence": "Global Intelligence.", "/simulation": "Simulation Lab.", "/response": "Response Planner.", "/copilot": "Strategic Copilot."}
 SELECT = r"\b(select|pick|choose|show me|compare|why is)\b.*?(option \d+|option one|option two|option three|first option|second option|third option|\w+(?:\s+\w+)?)\s*(?:ranked|first|top)?\s*$"
 QUESTION = r"\b(why|how|explain|compare|which|what|would|should|because|difference|tradeoff|impact|risk|scenario|cascade|between)\b"
 LONG_COMMAND = 4
@@ -164,7 +165,7 @@ def command(text: Column, entity: Column) -> Column:
         (low.rlike(WIKI) & named, act("open_wiki", entity, query=True)),
         (low.rlike(FOCUS) & named, act("focus_entity", entity, F.concat(F.lit("Here's "), entity, F.lit(".")))),
         *((low.rlike(p), act("flash_kpi", key)) for p, key in FIGURES),
-        *((low.rlike(p), act("navigate", path)) for p, path in VIEWS),
+        *((low.rlike(p), act("navigate", path, F.lit(VIEW_REPLIES[path]))) for p, path in VIEWS),
         (low.rlike(SELECT), act("select_option", chosen, F.concat(F.lit("Selecting "), chosen, F.lit(".")))),
     ]
     return _first(rules, act(None, query=low.rlike(QUESTION) | (F.size(words(t)) > LONG_COMMAND)))

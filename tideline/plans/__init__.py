@@ -1,6 +1,6 @@
 """The catalogue of queries."""
 
-from . import graph, intelligence, io, ml, risk, scenario, streams, supply, text  # noqa: F401
+from . import graph, intelligence, io, ml, records, risk, scenario, streams, supply, text  # noqa: F401
 from .registry import QUERIES, SQL
 from .risk import risk_scores_current as flagship
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import INGEST_IMMEDIATE, PENDING_TTL_H
+from ..sources import feeds
 from ..sources.views import signals, table, with_
 from ..streaming import commits, jobs, stateful
 from ..workspace import Workspace
@@ -140,3 +141,26 @@ def stream_pages(spark, sf_dir):
     pages = effect.current().select(F.lit("page").alias("step"), F.col("entity").cast("string").alias("key"), F.col("text").alias("value"))
     told = effect.events.read().groupBy(F.get_json_object("event", "$.type").alias("key")).agg(F.count("*").cast("string").alias("value")).select(F.lit("event").alias("step"), "key", "value")
     return graph.unionByName(pages).unionByName(told)
+
+
+# ---- a polled source --------------------------------------------------------------------
+
+#: Keywords of the provider; three are asked in a poll.
+KEYWORDS = [f"k{i}" for i in range(13)]
+
+
+@query("stream_polled", """WITH i AS (SELECT doc_id, doc_id % 13 AS k, doc_id // 13 % 20 AS shown FROM documents)
+SELECT 'd' || doc_id AS id, 'k' || k AS keyword, shown FROM i WHERE EXISTS (SELECT 1 FROM range(0, 22) p(p) WHERE p.p >= i.shown AND (i.k - 3 * p.p % 13 + 13) % 13 < 3)""")
+def stream_polled(spark, sf_dir):
+    """A provider asked for 3 of 13 keywords a poll, in two runs of 9 and 13 polls: items shown again come once, and none is lost."""
+    spark.dataSource.register(feeds.PolledStream)
+    src = Workspace(spark, "provider").path
+    shown = F.floor(F.col("doc_id") / 13) % 20
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("k"), F.col("doc_id") % 13).alias("keyword"), shown.cast("int").alias("shown"), F.concat(F.lit("d"), "doc_id").alias("id"), F.left("text", F.lit(80)).alias("title"), F.col("text").alias("body"), F.timestamp_seconds(1704067200 + 900 * shown).alias("published"))
+    d.write.parquet(src)
+    out = Kept(spark, "polled")
+    for polls in (9, 22):
+        items = spark.readStream.format("polled_stream").option("provider", "tideline.sources.feeds:stored_pages").option("keywords", ",".join(KEYWORDS)).option("polls", str(polls)).option("path", src.removeprefix("file:") if src.startswith("file:") else src).load()
+        # an item is seen five polls after it is shown at the latest, so a watermark of two hours loses none
+        out.run(jobs.deduped(items, "id", "published", "2 hours"))
+    return out.read().select("id", "keyword", ((F.unix_seconds("published") - 1704067200) / 900).cast("long").alias("shown"))

@@ -116,7 +116,8 @@ SELECT conv_id, turn, CASE WHEN kind NOT IN ('stop', 'none') THEN kind END AS ty
   CASE kind WHEN 'run_scenario' THEN entity WHEN 'open_wiki' THEN entity WHEN 'focus_entity' THEN entity WHEN 'select_option' THEN chosen
     WHEN 'flash_kpi' THEN CASE {" ".join(f"WHEN regexp_matches(low, '{p}') THEN '{v}'" for p, v in T.FIGURES)} END
     WHEN 'navigate' THEN CASE {" ".join(f"WHEN regexp_matches(low, '{p}') THEN '{v}'" for p, v in T.VIEWS)} END END AS target,
-  CASE kind WHEN 'run_scenario' THEN 'Running the ' || entity || ' scenario.' WHEN 'focus_entity' THEN 'Here''s ' || entity || '.' WHEN 'select_option' THEN 'Selecting ' || chosen || '.' END AS said,
+  CASE kind WHEN 'run_scenario' THEN 'Running the ' || entity || ' scenario.' WHEN 'focus_entity' THEN 'Here''s ' || entity || '.' WHEN 'select_option' THEN 'Selecting ' || chosen || '.'
+    WHEN 'navigate' THEN CASE {" ".join(f"WHEN regexp_matches(low, '{p}') THEN '{T.VIEW_REPLIES[v]}'" for p, v in T.VIEWS)} END END AS said,
   CASE kind WHEN 'open_wiki' THEN TRUE WHEN 'none' THEN regexp_matches(low, '{T.QUESTION}') OR {_WORDS.format('t')} > 4 ELSE FALSE END AS is_query FROM k""")
 def voice_intent(spark, sf_dir):
     text = F.col("text")
@@ -154,9 +155,9 @@ def page_validate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.filter(checks, lambda x: x.isNotNull())).alias("problem"))
 
 
-@query("feed_union", "SELECT 'doc' AS feed, doc_id AS id, lang AS tag FROM documents WHERE n_chars < 500 UNION SELECT 'page', page_id, split_part(url, '/', 3) FROM pages UNION SELECT 'talk', conv_id, role FROM conversations")
+@query("feed_union", "SELECT 'doc' AS feed, doc_id AS id, lang AS tag FROM documents UNION SELECT 'page', page_id, split_part(url, '/', 3) FROM pages UNION SELECT 'talk', conv_id, role FROM conversations")
 def feed_union(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("n_chars < 500").select(F.lit("doc").alias("feed"), F.col("doc_id").alias("id"), F.col("lang").alias("tag"))
+    d = table(spark, sf_dir, "documents").select(F.lit("doc").alias("feed"), F.col("doc_id").alias("id"), F.col("lang").alias("tag"))
     p = table(spark, sf_dir, "pages").select(F.lit("page").alias("feed"), F.col("page_id").alias("id"), F.split_part("url", F.lit("/"), F.lit(3)).alias("tag"))
     c = table(spark, sf_dir, "conversations").select(F.lit("talk").alias("feed"), F.col("conv_id").alias("id"), F.col("role").alias("tag"))
     return d.unionByName(p).unionByName(c).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 _ENTRY = "struct<uid: bigint, firstName: string, lastName: string, sdnType: string, program: string, remarks: string>"
 _KIND = {"Vessel": "vessel", "Individual": "person", "Entity": "entity"}
@@ -32,10 +32,19 @@ def read_sanctions(spark: SparkSession, path: str, kind: str) -> DataFrame:
         read = lambda tag, name: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path).select(F.col("DATAID").alias("uid"), F.concat_ws(" ", "FIRST_NAME", "SECOND_NAME", "THIRD_NAME").alias("name"), F.lit(name).alias("kind"), F.col("UN_LIST_TYPE").alias("program"))
         return read("INDIVIDUAL", "person").unionByName(read("ENTITY", "entity"))
     if kind == "csv":
-        return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+        return _csv_entries(spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"'))
     raise ValueError(f"no reader for {kind}")
 
 
+def _csv_entries(df: DataFrame) -> DataFrame:
+    """Entries of a list with the columns id, schema, name, aliases, countries, addresses, identifiers, sanctions, program_ids; rows without a name go."""
+    schema, text = F.lower(F.trim("schema")), lambda c: F.coalesce(F.col(c), F.lit(""))
+    number = lambda label, n: F.nullif(F.regexp_extract(text("identifiers"), rf"{label}\s*(\d{{{n}}})", 1), F.lit(""))
+    remarks = F.array_join(F.filter(F.array(*[text(c) for c in ("aliases", "countries", "addresses", "sanctions")]), lambda x: x != ""), " ")
+    rows = df.withColumn("name", F.trim(text("name"))).where("name <> ''")
+    return rows.select(text("id").alias("uid"), "name", F.when(schema.isin("person", "vessel"), schema).otherwise("entity").alias("kind"), number("MMSI", 9).alias("mmsi"), number("IMO", 7).alias("imo"), text("program_ids").alias("program"), remarks.alias("remarks"))
+
+
 def read_ticks(spark: SparkSession, path: str) -> DataFrame:
     """Labelled ticks from JSON arrays, features as columns."""
     return spark.read.json(path, multiLine=True).select("date", "crisis_name", "within_24h_of_crossing", "features.*")
@@ -90,6 +99,73 @@ class _PolledReader(DataSourceReader):
             yield (partition.value, *row)
 
 
+class PolledStream(DataSource):
+    """The polled source as a stream: an offset is the number of polls that are over.
+
+    Poll p asks for ASKED keywords, from keyword ASKED * p on, round and round; each one is a partition. The option
+    ``polls`` says how many are due; without it, one is due every ``interval`` seconds since ``since``. A poll is asked again, by
+    the same number, if its batch is lost. The provider, "module:function", is called with keyword, poll and the
+    options and yields (id, title, body, published) tuples; what it has shown before it may show again.
+    """
+
+    ASKED = 3
+
+    @classmethod
+    def name(cls) -> str:
+        return "polled_stream"
+
+    def schema(self) -> str:
+        return "poll int, keyword string, id string, title string, body string, published timestamp"
+
+    def streamReader(self, schema):
+        return _PolledStreamReader(dict(self.options))
+
+
+class _PolledStreamReader(DataSourceStreamReader):
+    def __init__(self, options: dict):
+        self.options = options
+        self.keywords = [k for k in options.get("keywords", "").split(",") if k]
+
+    def initialOffset(self) -> dict:
+        return {"polls": 0}
+
+    def latestOffset(self) -> dict:
+        import time
+
+        due = self.options.get("polls")
+        return {"polls": int(due) if due is not None else max(0, int((time.time() - float(self.options["since"])) // float(self.options["interval"])))}
+
+    def partitions(self, start: dict, end: dict):
+        n = len(self.keywords)
+        asked = min(n, PolledStream.ASKED)
+        return [InputPartition((p, self.keywords[(asked * p + i) % n])) for p in range(start["polls"], end["polls"]) for i in range(asked)] or [InputPartition(None)]
+
+    def read(self, partition):
+        import importlib
+
+        if partition.value is None:
+            return
+        poll, keyword = partition.value
+        module, _, function = self.options["provider"].partition(":")
+        for row in getattr(importlib.import_module(module), function)(keyword, poll, self.options):
+            yield (poll, keyword, *row)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+def stored_pages(keyword: str, poll: int, options: dict):
+    """A provider over a table of items (keyword, shown, id, title, body, published) under the option ``path``, in any file system: what is shown by that poll."""
+    import pyarrow as pa
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(options["path"])
+    items = ds.dataset(path, filesystem=store, format="parquet")
+    for b in items.to_batches(filter=(ds.field("keyword") == keyword) & (ds.field("shown") <= poll), columns=["id", "title", "body", "published"]):
+        yield from zip(*(c.to_pylist() for c in b.columns[:3]), b.column(3).cast(pa.timestamp("us", "UTC"), safe=False).to_pylist())
+
+
 def sample_pages(keyword: str) -> list[tuple]:
     """A provider that needs no network: three pages for each keyword."""
     import datetime
