@@ -75,7 +75,7 @@ def dedup_edges(edges: DataFrame) -> DataFrame:
 
 def merge_aliases(edges: DataFrame, aliases: DataFrame) -> DataFrame:
     """Edges of alias nodes moved to the canonical node, then deduplicated; loops that arise go."""
-    a = F.broadcast(aliases.select(F.col("alias").alias("_a"), F.col("canonical").alias("_c")))
+    a = aliases.select(F.col("alias").alias("_a"), F.col("canonical").alias("_c"))
     out = edges.join(a, edges.src == F.col("_a"), "left").withColumn("src", F.coalesce("_c", "src")).drop("_a", "_c")
     out = out.join(a, out.dst == F.col("_a"), "left").withColumn("dst", F.coalesce("_c", "dst")).drop("_a", "_c")
     return dedup_edges(out.where("src <> dst"))

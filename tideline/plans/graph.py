@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..constants import CASCADE_FLOOR
 from ..operators import graph
 from ..sources.views import CTE, flows, strong_edges, table
+from ..workspace import Workspace
 from .registry import query
 from .risk import CUR_SQL, current_scores
 
@@ -71,14 +72,14 @@ exposed AS (SELECT corridor, plant, sum(f * s) AS exposure FROM ff JOIN ss USING
 
 
 def exposed(spark, sf_dir):
-    f = flows(spark, sf_dir)
+    f = Workspace(spark, "flows").save(flows(spark, sf_dir))
     region = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("port"))
 
     def shares(by_dst: bool):
-        j = f.join(F.broadcast(region), F.col("dst" if by_dst else "src") == F.col("n_nationkey"))
+        j = f.join(region, F.col("dst" if by_dst else "src") == F.col("n_nationkey"))
         key = "port" if by_dst else "dst"
         total = j.groupBy(F.col(key).alias("_k")).agg(F.sum("volume").alias("_t"))
-        return j.join(F.broadcast(total), F.col(key) == F.col("_k")).withColumn("share", F.col("volume") / F.col("_t"))
+        return j.join(total, F.col(key) == F.col("_k")).withColumn("share", F.col("volume") / F.col("_t"))
 
     return graph.exposure(shares(True).select(F.col("src").alias("corridor"), "port", "share"), shares(False).select("port", F.col("dst").alias("plant"), "share"))
 
@@ -104,7 +105,8 @@ best AS (SELECT * FROM seen QUALIFY row_number() OVER (PARTITION BY node ORDER B
 SELECT node, origin, hop, round(value, 9) AS inherited FROM best JOIN cur ON entity = node WHERE round(value, 12) > score""")
 def risk_cascade(spark, sf_dir):
     # flows are spread thin over many partners; ten times the share makes the main ones carry risk
-    return graph.cascade(strong_edges(spark, sf_dir).withColumn("share", F.col("share") * 10), scored(spark, sf_dir)).withColumn("inherited", F.round("inherited", 9))
+    w = Workspace(spark, "cascade")  # edges and scores are few, and each hop reads them
+    return graph.cascade(w.save(strong_edges(spark, sf_dir).withColumn("share", F.col("share") * 10)), w.save(scored(spark, sf_dir))).withColumn("inherited", F.round("inherited", 9))
 
 
 @query("edge_dedup", """

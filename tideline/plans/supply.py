@@ -9,6 +9,7 @@ from ..constants import RISK_MAX, TOPSIS_WEIGHTS
 from ..functions.scores import corridor_status, grade_compatibility
 from ..operators import ledger, procurement, upsert
 from ..sources.views import table
+from ..workspace import Workspace
 from .registry import query
 from .risk import CUR_SQL, current_scores
 
@@ -67,8 +68,9 @@ SELECT supplier, corridor, landed, lead, risk, seq = 1 AS bypass FROM o QUALIFY
 def routing_best(spark, sf_dir):
     c = F.col
     names = table(spark, sf_dir, "nation").where("n_nationkey <> 4")
-    corridors = names.join(nation_risk(spark, sf_dir), c("n_nationkey") == c("nation"), "left").select(c("n_name").alias("corridor"), "risk")
-    congestion = nation_risk(spark, sf_dir).where("nation in (1, 2, 3, 5, 8)").agg((F.coalesce(F.sum("risk"), F.lit(0.0)) / 5).alias("congestion"))
+    risk = Workspace(spark, "risk").save(nation_risk(spark, sf_dir))  # a row a nation, read twice
+    corridors = names.join(risk, c("n_nationkey") == c("nation"), "left").select(c("n_name").alias("corridor"), "risk")
+    congestion = risk.where("nation in (1, 2, 3, 5, 8)").agg((F.coalesce(F.sum("risk"), F.lit(0.0)) / 5).alias("congestion"))
     k = c("s_suppkey")
     s = table(spark, sf_dir, "supplier").select(k.alias("supplier"), F.concat(F.lit("NATION_"), "s_nationkey").alias("corridor"), (1 + k % 4).cast("double").alias("freight"), (10 + k % 20).cast("double").alias("base_days"), (0.5 + (k % 6) / 10.0).alias("availability"))
     b = table(spark, sf_dir, "supplier").where(k % 3 == 0).select(k.alias("supplier"), F.concat(F.lit("NATION_"), ((k + 7) % 25).cast("string")).alias("corridor"), (0.05 * (k % 9)).alias("premium"), F.lit(6.0).alias("added_days"))

@@ -40,7 +40,7 @@ def alias_lookup(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
     a = n.select(F.lower(F.trim("n_name")).alias("alias"), F.col("n_nationkey").alias("id")).unionByName(n.select(F.concat(F.lit("n"), "n_nationkey").alias("alias"), F.col("n_nationkey").alias("id")))
     q = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("N"), (F.col("c_custkey") % 30).cast("string"), F.lit(" ")).alias("word"))
-    return q.join(F.broadcast(a), F.lower(F.trim("word")) == F.col("alias"), "left").select("c_custkey", "id")
+    return q.join(a, F.lower(F.trim("word")) == F.col("alias"), "left").select("c_custkey", "id")
 
 
 @query("feed_dedup", "WITH f AS (SELECT doc_id, lower(trim(substr(text, 1, 80))) AS k, n_chars FROM documents) SELECT min(doc_id) AS doc_id, count(*) AS copies FROM f GROUP BY k")

@@ -50,7 +50,7 @@ def params(df: DataFrame) -> DataFrame:
 def problems(tables: dict[str, DataFrame], sources: DataFrame) -> DataFrame:
     """(table, id, problem) of rows whose tier or source is not a known one."""
     parts = []
-    known = F.broadcast(sources.select(F.col("source").alias("_s")).distinct())
+    known = sources.select(F.col("source").alias("_s")).distinct()
     for name, df in tables.items():
         if "tier" not in df.columns:
             continue

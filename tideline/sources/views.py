@@ -49,7 +49,7 @@ def strong_edges(spark: SparkSession, sf_dir: str, share: float = 0.05) -> DataF
     """Dependency edges (src, dst, share): flows that are at least ``share`` of what the destination gets."""
     f = flows(spark, sf_dir)
     total = f.groupBy(F.col("dst").alias("d")).agg(F.sum("volume").alias("total"))
-    return f.join(F.broadcast(total), F.col("dst") == F.col("d")).where(F.col("src") != F.col("dst")).select("src", "dst", F.round(F.col("volume") / F.col("total"), 9).alias("share")).where(F.col("share") >= share)
+    return f.join(total, F.col("dst") == F.col("d")).where(F.col("src") != F.col("dst")).select("src", "dst", F.round(F.col("volume") / F.col("total"), 9).alias("share")).where(F.col("share") >= share)
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
