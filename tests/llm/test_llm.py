@@ -392,6 +392,37 @@ def test_boilerplate_against_brute_force(spark):
         assert {x.page_id: x.text for x in op5.extract(df, shard=shard).collect()} == want
 
 
+def test_runs_inside_blocks(spark):
+    """Blocks half boilerplate, half own, which counting equal blocks leaves; runs over block ends; near copies are no evidence."""
+    own = lambda i, k, n=9: " ".join(f"o{i}x{k}y{j}" for j in range(n))
+    lead, tail = " ".join(f"lead{j}" for j in range(10)), [" ".join(f"t{k}z{j}" for j in range(5)) for k in range(2)]
+    seven = " ".join(f"short{j}" for j in range(7))
+    rows, want = [], {}
+    for i in range(40):
+        parts = [f"{own(i, 0)} {lead} {own(i, 1)}", f"{seven} {own(i, 2)}", *([f"{own(i, 3)} {tail[0]}", f"{tail[1]} {own(i, 4)}"] if i % 3 else [own(i, 5)])]
+        rows.append((i, f"http://a.example/{i}", "<article>" + "".join(f"<p>{x}</p>" for x in parts) + "</article>"))
+        want[i] = " ".join([own(i, 0), own(i, 1), parts[1], *([own(i, 3), own(i, 4)] if i % 3 else [own(i, 5)])])
+    article = " ".join(f"same{j}" for j in range(200))
+    for i in range(40, 46):  # a host of near copies
+        text = f"{article} edit{i} {article[::-1]}"
+        rows.append((i, f"http://b.example/{i}", f"<article><p>{text}</p></article>"))
+        want[i] = text
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for shard in (500, 7):
+        assert {x.page_id: x.text for x in op5.extract(df, shard=shard).collect()} == want
+
+
+@given(st.lists(st.lists(st.lists(st.integers(1, 2), max_size=6), max_size=3), min_size=2, max_size=5), st.integers(2, 3))
+@settings(max_examples=120, deadline=None)
+def test_longest_runs_of_many_pages(pages, count):
+    flat, owner = op5.stream_of(pages)
+    got = op5.SuffixArray(flat).shared_by(owner, count)
+    raw = flat.tolist()
+    for i in range(len(raw)):
+        best = max((n for n in range(1, len(raw) - i + 1) if len({int(owner[j]) for j in range(len(raw) - n + 1) if raw[j : j + n] == raw[i : i + n]}) >= count), default=0)
+        assert got[i] == best
+
+
 @given(st.lists(st.lists(st.lists(st.integers(1, 3), max_size=5), max_size=3), min_size=1, max_size=4))
 @settings(max_examples=80, deadline=None)
 def test_repeated_blocks(pages):

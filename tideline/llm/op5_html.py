@@ -10,13 +10,16 @@ included, are concatenated; a suffix array over them, by prefix doubling to full
 common prefixes give for every place the longest substring from there on that stands on another
 page too, and what such substrings of MIN_TOKENS tokens or more cover is repeated. A block that
 is repeated as a whole, that stands on MIN_PAGES pages or more and on at least MIN_SHARE of the
-host's pages, is boilerplate and removed; unique runs stay. Pages with the same blocks count as
-one page, so copies are no evidence of boilerplate.
+host's pages, is boilerplate and removed. So is, inside of blocks and over their ends, every run of RUN_TOKENS
+tokens or more that stands on so many pages: windows over the array's order with so many different
+pages give for every place the longest such run, and pages lose the tokens these cover; unique runs stay.
+Pages with the same blocks count as one page, and for runs also pages of which NEAR percent of the five-token shingles are
+those of one other page, so copies are no evidence of boilerplate.
 
 A host with many pages is spread over shards of about SHARD pages by a hash of the blocks, so
 equal pages meet, the shards' page counts add up to those of the host, and no task holds a whole
-large host. The rule doesn't depend on the shards: a block of two tokens or more on half of the
-pages of a host is on several pages of some shard, where the array finds it.
+large host. The rule doesn't depend on the shards: what is on half of the pages of a host is on half of those of some shard,
+where the array finds it; the runs so found are then counted in all shards.
 
 Null and empty pages have empty text. A page without a host is of the host ''. Repeated rows
 count as one page. Ties don't arise: every rule is a threshold. Only ``page_id``, ``url`` and
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import html as entities
+import math
 import re
 import zlib
 
@@ -42,6 +46,8 @@ from .op1_suffix import RangeMin
 MIN_TOKENS = 4
 MIN_PAGES = 3
 MIN_SHARE = 0.5
+RUN_TOKENS = 8
+NEAR = 80
 SHARD = 500
 #: Pages a task remembers having sent.
 SEEN = 200_000
@@ -206,6 +212,131 @@ class SuffixArray:
         return out
 
 
+    def shared_by(self, owner: np.ndarray, count: int) -> np.ndarray:
+        """For each place, the length of the longest substring from there that ``count`` owners have, two at least."""
+        who, n = owner[self.order].tolist(), len(self.order)
+        held, distinct, low, left = [0] * (max(who, default=0) + 1), 0, 0, np.full(n, -1, np.int64)
+        for r, c in enumerate(who):
+            held[c] += 1
+            distinct += held[c] == 1
+            while distinct > count or (distinct == count and held[who[low]] > 1):
+                held[who[low]] -= 1
+                distinct -= held[who[low]] == 0
+                low += 1
+            if distinct == count:
+                left[r] = low
+        out, valid = np.zeros(n, np.int64), np.flatnonzero(left >= 0)
+        if not len(valid):
+            return out
+        # a window's owners share its least common prefix; a suffix takes the best of the windows it is in, and of the one it begins
+        value, lowest = np.zeros(n, np.int64), RangeMin(self.common)
+        value[valid] = lowest.query(left[valid] + 1, valid + 1)
+        at = np.arange(n)
+        first, last = np.maximum(at, valid[0]), valid[0] + np.searchsorted(left[valid[0] :], at, side="right")
+        inside = last > first
+        best = np.zeros(n, np.int64)
+        best[inside] = -RangeMin(-value).query(first[inside], last[inside])
+        to = valid[0] + np.searchsorted(left[valid[0] :], at, side="left")
+        begins = np.flatnonzero((to < n) & (to > at))
+        best[begins] = np.maximum(best[begins], lowest.query(begins + 1, to[begins] + 1))
+        out[self.order] = best
+        return out
+
+
+def stream_of(pages: list[list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+    """All pages' tokens in a row, 0 before and after every block and a mark of its own before each page; and whose each place is."""
+    flat, owner = [], []
+    for p, page in enumerate(pages):
+        before = len(flat)
+        flat.append(-1 - p)
+        for b in page:
+            flat += [0, *b]
+        flat.append(0)
+        owner += [p] * (len(flat) - before)
+    return np.array(flat, np.int64), np.array(owner, np.int64)
+
+
+def near_groups(pages: list[list[list[int]]], near: int = NEAR) -> np.ndarray:
+    """For each page, the number of its group: pages that share ``near`` percent of their five-token shingles are one."""
+    sets = []
+    for page in pages:
+        t = [x for b in page for x in b]
+        sets.append(set(zip(*(t[k:] for k in range(5)))) if len(t) >= 5 else {tuple(t)})
+    group = list(range(len(pages)))
+
+    def top(x: int) -> int:
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    for n, i in enumerate(order):
+        for j in reversed(order[:n]):
+            if 100 * len(sets[j]) < near * len(sets[i]):
+                break
+            if top(i) != top(j):
+                both = len(sets[i] & sets[j])
+                if 100 * both >= near * (len(sets[i]) + len(sets[j]) - both):
+                    group[top(i)] = top(j)
+    return np.unique([top(i) for i in range(len(pages))], return_inverse=True)[1]
+
+
+def repeated_runs(pages: list[list[list[int]]], min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, least: int = RUN_TOKENS) -> tuple[dict[tuple[int, ...], int], int]:
+    """The longest runs (tokens, 0 at block ends) of ``least`` tokens on enough groups of pages, with their numbers of groups; and the number of groups."""
+    if len(pages) < 2:
+        return {}, len(pages)
+    flat, owner = stream_of(pages)
+    array, groups = SuffixArray(flat), np.arange(len(pages))
+    found: dict[tuple[int, ...], int] = {}
+    # copies are only looked for where there is something to find
+    for groups in (groups, None):
+        if groups is None:
+            groups = near_groups(pages)
+        n = int(groups.max()) + 1
+        enough = max(2, min_pages, math.ceil(min_share * n))
+        length = array.shared_by(groups[owner], enough) if enough <= n else np.zeros(len(flat), np.int64)
+        end = np.arange(len(flat)) + length
+        starts = np.flatnonzero((length >= least) & (end > np.concatenate([[-1], end[:-1]])))
+        if not len(starts):
+            return {}, n
+    for i in starts.tolist():
+        run = flat[i : int(end[i])].tolist()
+        while run and run[0] == 0:
+            run.pop(0)
+        while run and run[-1] == 0:
+            run.pop()
+        if len(run) - run.count(0) >= least:
+            found[tuple(run)] = 0
+    return {run: len({int(groups[p]) for p in range(len(pages)) if _places([run], pages[p])}) for run in found}, n
+
+
+def _places(runs: list[tuple[int, ...]], page: list[list[int]]) -> list[tuple[int, int]]:
+    """Where runs stand in a page's blocks put in a row, each with a 0 before it: (start, end)."""
+    stream = [x for b in page for x in (0, *b)]
+    by_head: dict[tuple[int, ...], list[tuple[int, ...]]] = {}
+    for run in runs:
+        by_head.setdefault(run[:4], []).append(run)
+    return [(i, i + len(run)) for i in range(len(stream) - 3) for run in by_head.get(tuple(stream[i : i + 4]), ()) if tuple(stream[i : i + len(run)]) == run]
+
+
+def _tokens(text: str) -> list[int]:
+    return [zlib.crc32(t.encode("utf-8", "surrogatepass")) + 1 for t in text.split()]
+
+
+def without(texts: list[str], runs: list[tuple[int, ...]]) -> list[str]:
+    """The blocks without what the runs cover; white space as it was in blocks that lose nothing."""
+    page = [_tokens(t) for t in texts]
+    covered = np.zeros(sum(len(b) + 1 for b in page) + 1, bool)
+    for a, b in _places(runs, page):
+        covered[a:b] = True
+    out, at = [], 0
+    for text, b in zip(texts, page):
+        gone = covered[at + 1 : at + 1 + len(b)]
+        out.append(" ".join(t for t, g in zip(text.split(), gone.tolist()) if not g) if gone.any() else text)
+        at += len(b) + 1
+    return out
+
+
 def repeated_blocks(pages: list[list[list[int]]], min_tokens: int = MIN_TOKENS) -> np.ndarray:
     """For each block of each page in a row: whether substrings that stand on other pages too cover it.
 
@@ -244,7 +375,7 @@ def host_of(url: Column | str) -> Column:
 
 
 def boilerplate(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, shard: int = SHARD) -> DataFrame:
-    """(host, gone array<long>): keys of the blocks that are boilerplate of a host."""
+    """(host, gone array<long>, runs array<array<long>>): keys of the blocks and token runs that are boilerplate of a host."""
 
     def make():
         seen: set[tuple[str, bytes]] = set()
@@ -269,10 +400,21 @@ def boilerplate(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float =
         pdf = pdf.drop_duplicates("content")
         keys = np.array([_key(s) for p in pdf["blocks"] for s in p], np.int64)
         owner = np.repeat(np.arange(len(pdf)), [len(p) for p in pdf["blocks"]])
-        streams = [[[zlib.crc32(t.encode("utf-8", "surrogatepass")) + 1 for t in s.split()] for s in p] for p in pdf["blocks"]]
+        streams = [[_tokens(s) for s in p] for p in pdf["blocks"]]
+        runs, groups = repeated_runs(streams, min_pages, min_share)
         got = pd.DataFrame({"key": keys, "page": owner, "repeated": repeated_blocks(streams)}).groupby("key", as_index=False).agg(pages=("page", "nunique"), repeated=("repeated", "any"))
         out = pd.concat([pd.DataFrame({"key": pd.array([None], "Int64"), "pages": [len(pdf)], "repeated": [False]}), got.astype({"key": "Int64"})])
-        return out.assign(host=pdf["host"].iloc[0])[["host", "key", "pages", "repeated"]]
+        more = pd.DataFrame({"key": pd.array([None] * (len(runs) + 1), "Int64"), "pages": [groups, *runs.values()], "repeated": True, "run": [[], *map(list, runs)]})
+        return pd.concat([out.assign(run=None), more]).assign(host=pdf["host"].iloc[0])[["host", "key", "pages", "repeated", "run"]]
+
+    def recount(pages_: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+        """In how many groups of a shard's pages each run of the host is."""
+        if not len(runs) or not len(pages_):
+            return pd.DataFrame({"host": [], "run": [], "pages": []})
+        streams = [[_tokens(s) for s in p] for p in pages_.drop_duplicates("content")["blocks"]]
+        groups = near_groups(streams)
+        number = [len({int(groups[p]) for p, page in enumerate(streams) if _places([tuple(run)], page)}) for run in runs["run"]]
+        return pd.DataFrame({"host": runs["host"], "run": runs["run"], "pages": number})
 
     scratch = C.Scratch(pages.sparkSession, "html-hosts")
     named = pages.select(host_of("url").alias("host"), "html")
@@ -280,11 +422,21 @@ def boilerplate(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float =
     large = scratch.save(named.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > shard).select("host", F.ceil(F.col("n") / shard).alias("shards")))
     sent = C.map_rows(named, make, "host string, content long, blocks array<string>")
     dealt = sent.join(large, "host", "left").withColumn("shard", F.pmod("content", F.coalesce("shards", F.lit(1)))).drop("shards")
-    counts = scratch.save(dealt.groupBy("host", "shard").applyInPandas(count, "host string, key long, pages long, repeated boolean"))
-    sizes = counts.where("key is null").groupBy("host").agg(F.sum("pages").alias("all"))
+    counts = scratch.save(dealt.groupBy("host", "shard").applyInPandas(count, "host string, key long, pages long, repeated boolean, run array<long>"))
+    sizes = counts.where("key is null and run is null").groupBy("host").agg(F.sum("pages").alias("all"))
     found = counts.where("key is not null").groupBy("host", "key").agg(F.sum("pages").alias("pages"), F.max("repeated").alias("repeated")).where(F.col("repeated") & (F.col("pages") >= min_pages))
     # a host has few of these: each stands on a good share of its pages
-    return found.join(sizes, "host").where(F.col("pages") >= F.col("all") * min_share).groupBy("host").agg(F.collect_set("key").alias("gone"))
+    gone = found.join(sizes, "host").where(F.col("pages") >= F.col("all") * min_share).groupBy("host").agg(F.collect_set("key").alias("gone"))
+    # runs of hosts in one shard are counted already, those of spread hosts in all their shards
+    runs = scratch.save(counts.where(F.size("run") > 0).join(large, "host", "left").select("host", "shards", "run", "pages"))
+    if runs.isEmpty():
+        return gone.withColumn("runs", F.lit(None).cast("array<array<long>>"))
+    groups = counts.where("key is null and size(run) = 0").groupBy("host").agg(F.sum("pages").alias("groups"))
+    spread = runs.where("shards is not null").select("host", "run", "shards").distinct().select("host", "run", F.explode(F.sequence(F.lit(0), F.col("shards") - 1).cast("array<long>")).alias("shard"))
+    again = dealt.join(spread.select("host").distinct(), "host", "left_semi").groupBy("host", F.col("shard").cast("long").alias("shard")).cogroup(spread.groupBy("host", "shard")).applyInPandas(recount, "host string, run array<long>, pages long")
+    total = runs.where("shards is null").select("host", "run", "pages").unionByName(again).groupBy("host", "run").agg(F.sum("pages").alias("pages"))
+    total = total.join(groups, "host").where((F.col("pages") >= min_pages) & (F.col("pages") >= F.col("groups") * min_share)).groupBy("host").agg(F.collect_list("run").alias("runs"))
+    return gone.join(total, "host", "full_outer")
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, shard: int = SHARD) -> DataFrame:
@@ -295,9 +447,11 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     def make():
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
             kept = []
-            for page, gone in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for page, gone, runs in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
                 gone = set(gone or ())
-                kept.append(" ".join(s for s, _ in blocks(page) if not gone or _key(s) not in gone))
+                texts = [s for s, _ in blocks(page)]
+                left = without(texts, [tuple(r) for r in runs]) if runs else texts
+                kept.append(" ".join(x for s, x in zip(texts, left) if x and (not gone or _key(s) not in gone)))
             return C.records(["page_id", "url", "text"], [b.column(0), b.column(1), kept], [None, None, pa.string()])
 
         return work
@@ -305,7 +459,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     # pages are cut anew here: that costs less than keeping all texts a second time
     gone = scratch.save(boilerplate(pages, min_pages, min_share, shard).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
     done = pages.select("page_id", "url", "html").withColumn("host", host_of("url")).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(gone, ["host", "salt"], "left")
-    return C.map_rows(done.select("page_id", "url", "html", "gone"), make, f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    return C.map_rows(done.select("page_id", "url", "html", "gone", "runs"), make, f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
