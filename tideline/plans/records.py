@@ -102,6 +102,15 @@ def money_text(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", ids.money(p).alias("money"), ids.percent(p / 600000).alias("percent"))
 
 
+@query("hash_vectors", """WITH h AS (SELECT doc_id, sha256(encode(coalesce(text, ''))) AS a FROM documents), r AS (SELECT doc_id, a || sha256(unhex(a)) AS raw FROM h),
+v AS (SELECT doc_id, list_transform(range(0, 16), lambda i: ('0x' || substr(raw, CAST(i * 8 + 1 AS INTEGER), 8))::BIGINT / 4294967296::DOUBLE * 2 - 1) AS v FROM r)
+SELECT doc_id, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 9) AS first, round(v[16] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 9) AS last FROM v""")
+def hash_vectors(spark, sf_dir):
+    """Unit vectors that depend on the text alone."""
+    d = table(spark, sf_dir, "documents").select("doc_id", ids.hash_embedding(F.col("text"), 16).alias("v"))
+    return d.select("doc_id", F.round(F.col("v")[0], 9).alias("first"), F.round(F.col("v")[15], 9).alias("last"))
+
+
 # ---- list files -------------------------------------------------------------------------
 
 

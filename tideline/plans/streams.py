@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import INGEST_IMMEDIATE, PENDING_TTL_H
+from ..constants import FIRE_COOLDOWN_S, INGEST_IMMEDIATE, PENDING_TTL_H
+from ..functions.scores import band_rank
 from ..sources import feeds
 from ..sources.views import signals, table, with_
 from ..streaming import commits, jobs, stateful
 from ..workspace import Workspace
 from .intelligence import _PING, pings
 from .io import Kept
-from .registry import query
+from .registry import SQL, query
 from .risk import BATCH_SQL, batch_scores
 
 #: Where the second run begins.
@@ -91,6 +92,24 @@ def stream_deferred(spark, sf_dir):
     return got.select("entity", F.timestamp_micros("closed_us").cast("timestamp_ntz").alias("closed_at"), "early", "anchor", "n", "text")
 
 
+def _states(spark, sf_dir) -> DataFrame:
+    return batch_scores(spark, sf_dir).select("entity", F.col("observed_at").alias("ts"), F.col("flush").alias("event_id"), band_rank(F.col("band")).alias("rank"), "score")
+
+
+@query("stream_crossings", SQL["band_crossings"])
+def stream_crossings(spark, sf_dir):
+    """Band crossings of states that arrive as a stream: the last band fired and its time are state, a restart in between changes nothing."""
+    got = in_two_runs(spark, "crossings", _states(spark, sf_dir), "ts", lambda s: jobs.crossings(s, FIRE_COOLDOWN_S))
+    return got.select("entity", (F.col("event_id") + 1).alias("n"), "rank")
+
+
+@query("stream_decay", SQL["risk_decay_max"].replace("flush, score, round", "flush, round"))
+def stream_decay(spark, sf_dir):
+    """The running score of each entity as state."""
+    got = in_two_runs(spark, "decay", _states(spark, sf_dir), "ts", jobs.decayed)
+    return got.select("entity", F.col("event_id").alias("flush"), F.round("decayed", 9).alias("decayed"))
+
+
 # ---- effects of micro-batches -----------------------------------------------------------
 
 
