@@ -236,7 +236,7 @@ SPOKEN = [
     ("Show me the strait of hormuz", ("focus_entity", "Strait of Hormuz", "Here's Strait of Hormuz.", False)),
     ("what is the SPR coverage", ("flash_kpi", "spr_coverage_pct", None, False)),
     ("what is the risk level at jamnagar", ("open_wiki", "Jamnagar", None, True)),
-    ("go to the map", ("navigate", "/intelligence", None, False)),
+    ("go to the map", ("navigate", "/intelligence", "Global Intelligence.", False)),
     ("open the reserve planner", ("flash_kpi", "spr_coverage_pct", None, False)),
     ("pick option 2", ("select_option", "2", "Selecting 2.", False)),
     ("never mind", (None, None, None, False)),
