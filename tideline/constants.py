@@ -41,7 +41,6 @@ BERTH_WAIT_DAYS, DEMURRAGE_PER_DAY, CARGO_BBL, TANKER_PENALTY_DAYS = 3.0, 35_000
 SDP_LEVELS, SDP_DISCOUNT = 30, 0.97
 SDP_ACTIONS = [0.0, 0.1, 0.25, 0.5, 1.0]
 BBL_TO_MMT = 1.09e-7
-OPTION_BBL_TO_MMT = 0.000000109
 
 # fixed values: projections
 HORIZONS_H = [6, 12, 18, 24, 36, 48, 72]

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import BBL_TO_MMT, OPTION_BBL_TO_MMT, SDP_ACTIONS, SDP_DISCOUNT, SDP_LEVELS
+from ..constants import BBL_TO_MMT, SDP_ACTIONS, SDP_DISCOUNT, SDP_LEVELS
 
 
 def option_value(p: Column, days: Column, premium: Column, gap: Column, price: Column, destruction: float = 0.3) -> Column:
     """Saving from waiting ``days`` before drawing; positive means wait. 0 without a gap or a wait."""
-    volume = gap * OPTION_BBL_TO_MMT * 1e6 * days
-    now = price / (OPTION_BBL_TO_MMT * 1e6) * volume
+    volume = gap * BBL_TO_MMT * 1e6 * days
+    now = price / (BBL_TO_MMT * 1e6) * volume
     wait = p * now * destruction + (1 - p) * (now * destruction + now + now * premium)
     return F.when((gap <= 0) | (days <= 0), F.lit(0.0)).otherwise(F.round(now - wait, 2))
 
