@@ -119,13 +119,18 @@ def _matrices(rows: DataFrame, chunks: int, width: int, more: dict[str, str]) ->
     return cut.groupBy("shard", "block", "chunk").applyInArrow(build, f"shard int, block int, chunk int, n int, data binary, kind string, {listed}")
 
 
-def _grid(anchors: DataFrame, rows: DataFrame, counts: DataFrame, chunks: int, width: int, more: dict[str, str]) -> DataFrame:
-    """Partial tiles of every cell; ``counts`` has the blocks (na, nb) of each shard."""
+def _grid(anchors: DataFrame, rows: DataFrame, counts: DataFrame | tuple[int, int], chunks: int, width: int, more: dict[str, str]) -> DataFrame:
+    """Partial tiles of every cell; ``counts`` has the blocks (na, nb) of each shard, or those of all rows in shard 0."""
     pick = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int").alias("block")
-    sizes = F.broadcast(counts)  # SHARDS rows at most
-    a = _matrices(anchors.join(sizes, "shard").select("shard", pick("na"), "id", "label", "key", "vec", *more), chunks, width, more)
-    b = _matrices(rows.join(sizes, "shard").select("shard", pick("nb"), "id", "label", "key", "vec"), chunks, width, {})
-    side = lambda d, own, other, n: d.join(sizes, "shard").withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n) - 1))).withColumnRenamed("block", own).drop("na", "nb")
+
+    def sized(d: DataFrame) -> DataFrame:
+        if isinstance(counts, tuple):
+            return d.withColumns({"na": F.lit(counts[0]), "nb": F.lit(counts[1])})
+        return d.join(F.broadcast(counts), "shard")  # SHARDS rows at most
+
+    a = _matrices(sized(anchors).select("shard", pick("na"), "id", "label", "key", "vec", *more), chunks, width, more)
+    b = _matrices(sized(rows).select("shard", pick("nb"), "id", "label", "key", "vec"), chunks, width, {})
+    side = lambda d, own, other, n: sized(d).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n) - 1))).withColumnRenamed("block", own).drop("na", "nb")
     kinds = {n: a.schema[n].dataType.simpleString() for n in ("ids", "labels")}
     a_more = [f"{n}s" for n in more]
     about = [("a_ids", "ids", 0), ("a_labels", "labels", 0), ("a_keys", "keys", 0), *[(f"a_{n}", n, 0) for n in a_more], ("b_ids", "ids", 1), ("b_labels", "labels", 1), ("b_keys", "keys", 1)]
@@ -233,7 +238,7 @@ def mine(rows: DataFrame, anchor: Column, id_col: str = "vec_id", label: Column
     best = _top(_best_positives(parts, positives), positives, "place", "anchor_id", "anchor_key")
     found = scratch.save(best.groupBy("anchor_id", "anchor_key").agg(F.sort_array(F.collect_list(F.struct("place", "id", "score"))).alias("positives")))
     windows = data.where(anchor).withColumn("shard", F.lit(0)).join(found.select(F.col("anchor_id").alias("id"), F.col("anchor_key").alias("key"), "positives"), ["id", "key"])
-    whole = rows.sparkSession.createDataFrame([(0, max(1, math.ceil(size["a"] / block[0])), max(1, math.ceil(size["n"] / block[1])))], "shard int, na int, nb int")
+    whole = (max(1, math.ceil(size["a"] / block[0])), max(1, math.ceil(size["n"] / block[1])))
     parts = _grid(windows, data.withColumn("shard", F.lit(0)), whole, chunks, width, {"positives": found.schema["positives"].dataType.simpleString()})
     ranked = _top(_best_negatives(parts, negatives), negatives, "rank", "anchor_id", "anchor_key", "place")
     return ranked.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
