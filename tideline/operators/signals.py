@@ -122,6 +122,11 @@ def cell(lat: Column, lon: Column) -> Column:
     return F.concat(F.lit("fallback_"), F.round(lat * 10).cast("long").cast("string"), F.lit("_"), F.round(lon * 10).cast("long").cast("string"))
 
 
+def valid_position(vessel: Column, lat: Column, lon: Column) -> Column:
+    """Whether a position is of a vessel with a number and not at 0, 0, which is what a receiver without a fix sends."""
+    return (F.trim(F.coalesce(vessel, F.lit(""))) != "") & F.coalesce(~((lat == 0) & (lon == 0)), F.lit(False))
+
+
 def tone_delta(rows: DataFrame, key: str, ts: str, tie: str, tone: str, last: int | None = 20, size: int = CHUNK) -> DataFrame:
     """Tone less the mean of the ``last`` tones before it (all of them if None); 0 without history."""
     if last is not None:
