@@ -146,10 +146,11 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Languag
     for r in freq:
         df[r["bucket"] + 1] = r["n"]
     idf = np.log((1 + df[0]) / (1 + df[1:])) + 1
-    # about twice the sample passes a threshold on the hash, so that few rows are ordered; then the lowest hashes are taken
+    # about twice the sample passes a threshold on the hash, so that few rows are ordered; then the lowest hashes are taken.
+    # ``share`` has a row a language, as the model has; without the hint all texts of a language would meet in one task
     share = spark.createDataFrame([(r["lang"], min(1.0, 2 * per_language / r["count"])) for r in counts], "lang string, share double")
     h = F.xxhash64("doc_id", "text")
-    few = labelled.select("doc_id", "text", "lang").join(share, "lang").where((F.pmod(h, F.lit(1_000_003)) < F.col("share") * 1_000_003) | (F.col("share") == 1))
+    few = labelled.select("doc_id", "text", "lang").join(F.broadcast(share), "lang").where((F.pmod(h, F.lit(1_000_003)) < F.col("share") * 1_000_003) | (F.col("share") == 1))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(h, F.lit(1_000_003)), h))
     sample = few.withColumn("_place", place).where(F.col("_place") <= per_language).select("doc_id", "text", "lang")
 
