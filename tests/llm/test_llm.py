@@ -415,9 +415,9 @@ def test_runs_inside_blocks(spark):
 @given(st.lists(st.lists(st.lists(st.integers(1, 2), max_size=6), max_size=3), min_size=2, max_size=5), st.integers(2, 3))
 @settings(max_examples=120, deadline=None)
 def test_longest_runs_of_many_pages(pages, count):
-    flat, owner = op5.stream_of(pages)
-    got = op5.SuffixArray(flat).shared_by(owner, count)
-    raw = flat.tolist()
+    host = op5.Host(pages)
+    owner, raw = host.owner, host.flat.tolist()
+    got = host.array.shared_by(owner, count)
     for i in range(len(raw)):
         best = max((n for n in range(1, len(raw) - i + 1) if len({int(owner[j]) for j in range(len(raw) - n + 1) if raw[j : j + n] == raw[i : i + n]}) >= count), default=0)
         assert got[i] == best
@@ -426,7 +426,7 @@ def test_longest_runs_of_many_pages(pages, count):
 @given(st.lists(st.lists(st.lists(st.integers(1, 3), max_size=5), max_size=3), min_size=1, max_size=4))
 @settings(max_examples=80, deadline=None)
 def test_repeated_blocks(pages):
-    whole = op5.repeated_blocks(pages, 3)
+    whole = op5.repeated_blocks(op5.Host(pages), 3)
     streams = [[x for b in p for x in (0, *b)] + [0] for p in pages]
     grams = collections.defaultdict(set)
     for i, s in enumerate(streams):

@@ -243,17 +243,30 @@ class SuffixArray:
         return out
 
 
-def stream_of(pages: list[list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
-    """All pages' tokens in a row, 0 before and after every block and a mark of its own before each page; and whose each place is."""
-    flat, owner = [], []
-    for p, page in enumerate(pages):
-        before = len(flat)
-        flat.append(-1 - p)
-        for b in page:
-            flat += [0, *b]
-        flat.append(0)
-        owner += [p] * (len(flat) - before)
-    return np.array(flat, np.int64), np.array(owner, np.int64)
+class Host:
+    """The pages' tokens in a row, 0 before and after every block and a mark of its own before each page, and their suffix array."""
+
+    def __init__(self, pages: list[list[list[int]]]):
+        flat: list[int] = []
+        owner: list[int] = []
+        block: list[int] = []
+        k = 0
+        for p, page in enumerate(pages):
+            before = len(flat)
+            flat.append(-1 - p)
+            block.append(-1)
+            for b in page:
+                flat += [0, *b]
+                block += [-1] + [k] * len(b)
+                k += 1
+            flat.append(0)
+            block.append(-1)
+            owner += [p] * (len(flat) - before)
+        self.pages, self.blocks = pages, k
+        self.flat, self.owner, self.block = (np.array(v, np.int64) for v in (flat, owner, block))
+        self.array = SuffixArray(self.flat)
+        #: For each place, the longest substring from there that another page has too.
+        self.length = self.array.shared(self.owner)
 
 
 def near_groups(pages: list[list[list[int]]], near: int = NEAR) -> np.ndarray:
@@ -281,12 +294,13 @@ def near_groups(pages: list[list[list[int]]], near: int = NEAR) -> np.ndarray:
     return np.unique([top(i) for i in range(len(pages))], return_inverse=True)[1]
 
 
-def repeated_runs(pages: list[list[list[int]]], min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, least: int = RUN_TOKENS) -> tuple[dict[tuple[int, ...], int], int]:
+def repeated_runs(host: Host, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, least: int = RUN_TOKENS) -> tuple[dict[tuple[int, ...], int], int]:
     """The longest runs (tokens, 0 at block ends) of ``least`` tokens on enough groups of pages, with their numbers of groups; and the number of groups."""
-    if len(pages) < 2:
+    pages, flat, owner = host.pages, host.flat, host.owner
+    # a run is on enough pages only if so many have any that another page has too
+    if len(np.unique(owner[host.length >= least])) < max(2, min_pages, math.ceil(min_share * len(pages))):
         return {}, len(pages)
-    flat, owner = stream_of(pages)
-    array, groups = SuffixArray(flat), np.arange(len(pages))
+    array, groups = host.array, np.arange(len(pages))
     found: dict[tuple[int, ...], int] = {}
     # copies are only looked for where there is something to find
     for groups in (groups, None):
@@ -337,32 +351,12 @@ def without(texts: list[str], runs: list[tuple[int, ...]]) -> list[str]:
     return out
 
 
-def repeated_blocks(pages: list[list[list[int]]], min_tokens: int = MIN_TOKENS) -> np.ndarray:
-    """For each block of each page in a row: whether substrings that stand on other pages too cover it.
-
-    A stream has a separator 0 before and after every block, and a separator of its own between
-    pages, so no match crosses pages.
-    """
-    flat, owner, block = [], [], []
-    k = 0
-    for p, page in enumerate(pages):
-        flat.append(-1 - p)
-        owner.append(p)
-        block.append(-1)
-        for b in page:
-            flat += [0, *b]
-            owner += [p] * (len(b) + 1)
-            block += [-1] + [k] * len(b)
-            k += 1
-        flat.append(0)
-        owner.append(p)
-        block.append(-1)
-    block = np.array(block)
-    length = SuffixArray(np.array(flat, np.int64)).shared(np.array(owner))
-    at = np.arange(len(flat))
-    covered = np.maximum.accumulate(np.where(length >= min_tokens, at + length, 0)) > at
-    tokens = block >= 0
-    return np.bincount(block[tokens], minlength=k) == np.bincount(block[tokens & covered], minlength=k)
+def repeated_blocks(host: Host, min_tokens: int = MIN_TOKENS) -> np.ndarray:
+    """For each block of each page in a row: whether substrings that stand on other pages too cover it."""
+    at = np.arange(len(host.flat))
+    covered = np.maximum.accumulate(np.where(host.length >= min_tokens, at + host.length, 0)) > at
+    tokens = host.block >= 0
+    return np.bincount(host.block[tokens], minlength=host.blocks) == np.bincount(host.block[tokens & covered], minlength=host.blocks)
 
 
 def _key(text: str) -> int:
@@ -401,8 +395,9 @@ def boilerplate(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float =
         keys = np.array([_key(s) for p in pdf["blocks"] for s in p], np.int64)
         owner = np.repeat(np.arange(len(pdf)), [len(p) for p in pdf["blocks"]])
         streams = [[_tokens(s) for s in p] for p in pdf["blocks"]]
-        runs, groups = repeated_runs(streams, min_pages, min_share)
-        got = pd.DataFrame({"key": keys, "page": owner, "repeated": repeated_blocks(streams)}).groupby("key", as_index=False).agg(pages=("page", "nunique"), repeated=("repeated", "any"))
+        host = Host(streams)
+        runs, groups = repeated_runs(host, min_pages, min_share)
+        got = pd.DataFrame({"key": keys, "page": owner, "repeated": repeated_blocks(host)}).groupby("key", as_index=False).agg(pages=("page", "nunique"), repeated=("repeated", "any"))
         out = pd.concat([pd.DataFrame({"key": pd.array([None], "Int64"), "pages": [len(pdf)], "repeated": [False]}), got.astype({"key": "Int64"})])
         more = pd.DataFrame({"key": pd.array([None] * (len(runs) + 1), "Int64"), "pages": [groups, *runs.values()], "repeated": True, "run": [[], *map(list, runs)]})
         return pd.concat([out.assign(run=None), more]).assign(host=pdf["host"].iloc[0])[["host", "key", "pages", "repeated", "run"]]
