@@ -27,3 +27,11 @@ def test_windows_go_by_the_nearest_second(spark, tmp_path, sf_dir):
     rows = [(i, AT + datetime.timedelta(hours=6, microseconds=m), 3, t, 50.0 + i, f'{{"k": {7 * i % 100}}}') for i, (m, t) in enumerate((m, t) for m in micros for t in ("view", "click", "signup", "purchase", "error"))]
     path, con = given(spark, tmp_path, sf_dir, events=spark.createDataFrame(rows, EVENT))
     assert_same(plans.QUERIES["fusion_features_24h"](spark, path), con, plans.SQL["fusion_features_24h"])
+
+
+def test_money_is_rounded_as_in_sql(spark, tmp_path, sf_dir):
+    """Halves of a dollar and of a tenth of a percent."""
+    prices = [300.0 * m for m in range(1, 1667)] + [m + 0.5 for m in range(1000, 1100)] + [2100.01, 0.5, 1234567.5, None]
+    rows = spark.createDataFrame(list(enumerate(prices)), "o_orderkey long, o_totalprice double")
+    path, con = given(spark, tmp_path, sf_dir, orders=rows)
+    assert_same(plans.QUERIES["money_text"](spark, path), con, plans.SQL["money_text"])

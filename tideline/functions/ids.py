@@ -36,10 +36,17 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
     return embed(text)
 
 
-def money(x: Column) -> Column:
-    """Whole dollars with separators."""
-    return F.concat(F.lit("$"), F.format_number(x, 0))
+@F.pandas_udf(T.StringType())
+def money(x: pd.Series) -> pd.Series:
+    """Whole dollars with separators; the number itself is rounded, not its shortest decimal form, as Java does, and exact halves go to the even side."""
+    return x.map(lambda v: f"${v:,.0f}", na_action="ignore")
+
+
+@F.pandas_udf(T.StringType())
+def _percent(x: pd.Series) -> pd.Series:
+    return x.map(lambda v: f"{v:.1f}%", na_action="ignore")
 
 
 def percent(x: Column) -> Column:
-    return F.format_string("%.1f%%", x * 100)
+    """A share as a percentage with one decimal, rounded as ``money`` is."""
+    return _percent(x * 100)
