@@ -2,6 +2,9 @@
 
 import datetime
 
+import pytest
+from pyspark.sql import functions as F
+
 from tests.oracle import TABLES, assert_same
 from tideline import plans
 
@@ -41,3 +44,21 @@ def test_positions_with_a_value_of_zero(spark, tmp_path, sf_dir):
     rows = [(i, AT, i % 7, "view", v, p) for i, (v, p) in enumerate([(v, f'{{"k": {k}}}') for v in (0.0, -10.0, 5.0, None) for k in range(100)] + [(1.0, "{}")])] + [(999, AT, None, "view", 1.0, '{"k": 1}')]
     path, con = given(spark, tmp_path, sf_dir, events=spark.createDataFrame(rows, EVENT))
     assert_same(plans.QUERIES["valid_positions"](spark, path), con, plans.SQL["valid_positions"])
+
+
+@pytest.mark.parametrize("name", ["asof_interpolate", "pending_expired"])
+def test_no_frame_reaches_to_the_end_of_a_window(spark, sf_dir, name):
+    """Spark sums such a frame up anew for every row, so a chunk would take the square of its rows."""
+    plan = plans.QUERIES[name](spark, sf_dir)._jdf.queryExecution().toString().lower()
+    assert "specifiedwindowframe" in plan and "unboundedfollowing" not in plan
+
+
+@pytest.mark.parametrize("size", [3, 100])
+def test_carried_marks_equal_plain_search(spark, size):
+    from tideline.operators.signals import carried
+
+    rows = [(e, datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h), h, m) for e in (1, 2) for h, m in enumerate([None, None, 1, None, 2, None, None, None, 3, 4, None] if e == 1 else [None] * 7)]
+    df = spark.createDataFrame(rows, "e int, t timestamp, i int, m int")
+    got = {(r.e, r.i): (r.before and r.before.m, r.after and r.after.m) for r in carried(df, "e", "t", "i", F.when(F.col("m").isNotNull(), F.struct("m")), size).collect()}
+    of = lambda e: [r for r in rows if r[0] == e]
+    assert got == {(e, i): (next((m for *_, j, m in reversed(of(e)) if m and j <= i), None), next((m for *_, j, m in of(e) if m and j > i), None)) for e, _, i, _ in rows}

@@ -148,11 +148,13 @@ def carried(rows: DataFrame, key: str, ts: str, tie: str, mark: Column, size: in
     """
     d, w = chunked(rows.withColumn("_mark", mark), key, ts, tie, 0, size)
     d = d.withColumn("_in", F.last("_mark", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    d = d.withColumn("_out", F.first("_mark", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    # read from the end, since a frame to the end of the window is summed up anew for every row
+    back = Window.partitionBy(key, "_chunk").orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_out", F.last("_mark", ignorenulls=True).over(back))
     place = F.when(F.col("_mark").isNotNull(), F.col("_at"))
     ends = d.groupBy(key, "_chunk").agg(F.max_by("_mark", place).alias("_last"), F.min_by("_mark", place).alias("_first"))
     over = Window.partitionBy(key).orderBy("_chunk")
-    ends = ends.select(key, "_chunk", F.last("_last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_last"), F.first("_first", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_first"))
+    ends = ends.select(key, "_chunk", F.last("_last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_last"), F.last("_first", ignorenulls=True).over(Window.partitionBy(key).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)).alias("_first"))
     d = d.join(ends, [key, "_chunk"]).withColumn("before", F.coalesce("_in", "_last")).withColumn("after", F.coalesce("_out", "_first"))
     return own(d.drop("_mark", "_in", "_out", "_last", "_first"))
 
