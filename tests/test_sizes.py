@@ -62,3 +62,37 @@ def test_carried_marks_equal_plain_search(spark, size):
     got = {(r.e, r.i): (r.before and r.before.m, r.after and r.after.m) for r in carried(df, "e", "t", "i", F.when(F.col("m").isNotNull(), F.struct("m")), size).collect()}
     of = lambda e: [r for r in rows if r[0] == e]
     assert got == {(e, i): (next((m for *_, j, m in reversed(of(e)) if m and j <= i), None), next((m for *_, j, m in of(e) if m and j > i), None)) for e, _, i, _ in rows}
+
+
+def test_boosting_deals_rows_over_all_cores(spark, monkeypatch):
+    """However few files the rows come in."""
+    from tideline.operators import boosting
+
+    saved, real = [], boosting.Workspace.save
+    monkeypatch.setattr(boosting.Workspace, "save", lambda self, df: saved.append(real(self, df)) or saved[-1])
+    df = spark.range(20_000, numPartitions=1).select((F.col("id") % 101 / 7).alias("a"), (F.col("id") % 13).cast("double").alias("b"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    (m,) = boosting.fit(df, ["a", "b"], "y", [F.lit(True)], trees=2)
+    assert saved[-1].rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and saved[-1].agg(F.sum("n")).first()[0] == 20_000
+    assert all(t.cover[0] == 20_000 and t.cover[1] + t.cover[2] == 20_000 for t in m.trees)
+
+
+def test_leaves_by_columns_equal_walks(spark):
+    """Also in trees with leaves at any depth."""
+    import numpy as np
+
+    from tideline.operators.boosting import Tree
+
+    r = np.random.default_rng(1)
+    for _ in range(20):
+        t, b = Tree(4), r.integers(0, 6, (3, 50)).astype(np.uint8)
+        t.value[:] = r.normal(size=31)
+        for i in range(15):
+            if (i == 0 or t.feature[(i - 1) // 2] >= 0) and r.random() < 0.8:
+                t.feature[i], t.edge[i] = r.integers(0, 3), r.integers(0, 5)
+        want = []
+        for x in b.T:
+            i = 0
+            while t.feature[i] >= 0:
+                i = 2 * i + 1 + (x[t.feature[i]] > t.edge[i])
+            want.append(t.value[i])
+        assert t.values(b).tolist() == want

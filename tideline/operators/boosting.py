@@ -2,16 +2,19 @@
 
 Cross-validated calibration and leave-one-group-out validation fit the same rows again and again with some of them left
 out. Here all fits grow level by level together: one pass over the rows adds up the gradient histograms of every fit's
-nodes, so the number of jobs is that of a single fit. Rows are kept as blocks of binned features; each
+nodes, so the number of jobs is that of a single fit. Of two siblings only the one with fewer rows is added up, the other
+is what it leaves of their parent. Rows are kept as blocks of binned features, a feature after the other, dealt over all cores; each
 has the margins of all fits, which are brought up to date with the trees of the last SAVE rounds in the task and
-written anew every SAVE rounds, so neither lineage nor work grows with the trees.
+written anew every SAVE rounds, so neither lineage nor work grows with the trees. Rows find their leaves by a comparison of a
+whole column with each node's edge.
 
 Loss is the logistic one; splits take the largest reduction of squared residuals between the quantile edges of a
 feature, leaves the Newton step times the rate. Ties go to the first feature and the lowest edge.
 
 Attributions are Shapley values of the game in which features outside a coalition follow a split's branches
 by the share of training rows ("path-dependent"). A tree's value is a sum over its leaves, and a leaf's game is a product over the few features on its
-path, so each leaf's values come from a polynomial in the number of known features, for all rows of a batch at once.
+path, so each leaf's values come from a polynomial in the number of known features. They depend on which of these features
+lead a row to the leaf, so each leaf has a table of them, made once.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from ..workspace import Workspace
 
 BINS = 64
 BLOCK_ROWS = 1 << 16
+#: Rows that are worth a task of their own.
+TASK_ROWS = 1 << 12
 #: Rounds between two writes of the margins; blocks above which histograms meet in tasks before they meet in the driver.
 SAVE, DIRECT = 25, 64
 
@@ -40,16 +45,39 @@ class Tree:
         n = (2 << depth) - 1
         self.feature, self.edge, self.value, self.cover = np.full(n, -1, np.int32), np.zeros(n, np.int32), np.zeros(n), np.zeros(n)
 
-    def place(self, x: np.ndarray) -> np.ndarray:
-        """The node of each row of bins."""
-        node = np.zeros(len(x), np.int64)
-        rows = np.arange(len(x))
-        while True:
-            f = self.feature[node]
-            inner = f >= 0
-            if not inner.any():
-                return node
-            node = np.where(inner, 2 * node + 1 + (x[rows, np.maximum(f, 0)] > self.edge[node]), node)
+        self.depth = depth
+
+    def ends(self) -> np.ndarray:
+        """The node in which each path of ``depth`` turns ends."""
+        path, node = np.arange(1 << self.depth), np.zeros(1 << self.depth, np.int64)
+        for level in range(self.depth):
+            node = np.where(self.feature[node] >= 0, 2 * node + 1 + (path >> (self.depth - 1 - level) & 1), node)
+        return node
+
+    def paths(self, b: np.ndarray) -> np.ndarray:
+        """The path of each row, as the number of its turns read as bits, from (features, rows) bins; below a leaf all turns are left."""
+        kind = np.uint8 if self.depth <= 8 else np.uint32
+
+        def below(node: int, level: int) -> np.ndarray | None:
+            if self.feature[node] < 0:
+                return None
+            right = (b[self.feature[node]] > self.edge[node]).astype(kind)
+            low, high = below(2 * node + 1, level + 1), below(2 * node + 2, level + 1)
+            out = right << kind(self.depth - 1 - level)
+            if low is not None or high is not None:
+                mask = np.negative(right)
+                if low is not None:
+                    out |= low & ~mask
+                if high is not None:
+                    out |= high & mask
+            return out
+
+        got = below(0, 0)
+        return np.zeros(b.shape[1], kind) if got is None else got
+
+    def values(self, b: np.ndarray) -> np.ndarray:
+        """The value of each row's leaf."""
+        return np.take(self.value[self.ends()], self.paths(b))
 
 
 class Boosted:
@@ -58,20 +86,35 @@ class Boosted:
     def __init__(self, columns: list[str], edges: list[np.ndarray], start: float, trees: list[Tree]):
         self.columns, self.edges, self.start, self.trees = columns, edges, start, trees
 
+    def columns_of(self, x: np.ndarray) -> np.ndarray:
+        """(features, rows) bins."""
+        out = np.empty((len(self.edges), len(x)), np.uint8)
+        for j, e in enumerate(self.edges):
+            out[j] = np.searchsorted(e, np.ascontiguousarray(x[:, j]), side="left")
+        return out
+
     def bins(self, x: np.ndarray) -> np.ndarray:
-        return np.column_stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(self.edges)]).astype(np.uint8) if len(x) else np.zeros((0, len(self.edges)), np.uint8)
+        return self.columns_of(x).T
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        b = self.bins(x)
-        return self.start + sum((t.value[t.place(b)] for t in self.trees), np.zeros(len(x)))
+        b = self.columns_of(x)
+        return self.start + sum((t.values(b) for t in self.trees), np.zeros(len(x)))
 
     def attributions(self, x: np.ndarray) -> tuple[np.ndarray, float]:
         """(rows, features) Shapley values of the margin, and the value without any feature."""
-        b = self.bins(x)
-        phi, base = np.zeros(x.shape), self.start
-        for t in self.trees:
-            base += _explain(t, b, phi)
-        return phi, base
+        b = self.columns_of(x)
+        if not hasattr(self, "games"):
+            self.games = [_games(t) for t in self.trees]
+        phi, base = np.zeros((len(self.edges), len(x))), self.start
+        for mean, leaves in self.games:
+            base += mean
+            for on, tables in leaves:
+                at = np.zeros(len(x), np.uint8 if len(on) <= 8 else np.uint32)
+                for j, (f, low, high) in enumerate(on):
+                    at |= ((b[f] > low) & (b[f] <= high) if low >= 0 else b[f] <= high).astype(at.dtype) << at.dtype.type(j)
+                for (f, _, _), table in zip(on, tables):
+                    phi[f] += np.take(table, at)
+        return phi.T, base
 
     def gains(self) -> list[tuple[str, float]]:
         """Share of the training rows' splits by feature, the largest first."""
@@ -82,33 +125,35 @@ class Boosted:
         return sorted(zip(self.columns, (total / max(1.0, total.sum())).tolist()), key=lambda p: -p[1])
 
 
-def _explain(t: Tree, b: np.ndarray, phi: np.ndarray) -> float:
-    """Adds the tree's Shapley values to ``phi``; returns its mean."""
-    mean = 0.0
-    paths = [(0, {})]
+def _games(t: Tree) -> tuple[float, list[tuple[list[tuple[int, int, int]], list[np.ndarray]]]]:
+    """The tree's mean and, of each leaf, (feature, bins low < bin <= high) of its path and a table for each of these
+    features: its Shapley values by the features that lead a row to the leaf, as bits."""
+    mean, leaves = 0.0, []
+    paths: list[tuple[int, dict[int, tuple[int, int, float]]]] = [(0, {})]
     while paths:
         i, on = paths.pop()
         f = int(t.feature[i])
         if f >= 0:
-            low = b[:, f] <= t.edge[i]
-            for child, fits in ((2 * i + 1, low), (2 * i + 2, ~low)):
-                share = t.cover[child] / t.cover[i]
-                known, left = on.get(f, (True, 1.0))
-                paths.append((child, on | {f: (fits & known, left * share)}))
+            low, high, left = on.get(f, (-1, 255, 1.0))
+            edge = int(t.edge[i])
+            for child, bounds in ((2 * i + 1, (low, min(high, edge))), (2 * i + 2, (max(low, edge), high))):
+                paths.append((child, on | {f: (*bounds, left * t.cover[child] / t.cover[i])}))
             continue
         names, m = list(on), len(on)
-        mean += t.value[i] * math.prod(on[n][1] for n in names)
+        mean += t.value[i] * math.prod(on[n][2] for n in names)
+        known = {n: (np.arange(1 << m) >> j & 1).astype(float) for j, n in enumerate(names)}
+        tables = []
         for u in names:
             # coefficients by the number of known features among the others
-            poly = [np.ones(len(b))]
+            poly = [np.ones(1 << m)]
             for s in names:
                 if s != u:
-                    known, share = on[s]
-                    poly = [(poly[k] * share if k < len(poly) else 0.0) + (poly[k - 1] * known if k else 0.0) for k in range(len(poly) + 1)]
+                    poly = [(poly[k] * on[s][2] if k < len(poly) else 0.0) + (poly[k - 1] * known[s] if k else 0.0) for k in range(len(poly) + 1)]
             weighed = sum(p * (math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m)) for k, p in enumerate(poly))
-            known, share = on[u]
-            phi[:, u] += t.value[i] * (known - share) * weighed
-    return mean
+            tables.append(t.value[i] * (known[u] - on[u][2]) * weighed)
+        if m:
+            leaves.append(([(n, *on[n][:2]) for n in names], tables))
+    return mean, leaves
 
 
 # ---- training ---------------------------------------------------------------------------
@@ -143,7 +188,7 @@ def fit(rows: DataFrame, columns: list[str], label: str, parts: list[Column], tr
     work = Workspace(spark, "boosting")
     data = work.save(data)
     edges = _edges(data, columns, bins)
-    sums = data.agg(*[F.sum(F.when(F.col(f"_p{i}"), F.col("_y"))).alias(f"s{i}") for i in range(k)], *[F.count_if(f"_p{i}").alias(f"n{i}") for i in range(k)]).first()
+    sums = data.agg(*[F.sum(F.when(F.col(f"_p{i}"), F.col("_y"))).alias(f"s{i}") for i in range(k)], *[F.count_if(f"_p{i}").alias(f"n{i}") for i in range(k)], F.count("*").alias("rows")).first()
     starts = []
     for i in range(k):
         share = min(1 - 1e-6, max(1e-6, (sums[f"s{i}"] or 0.0) / max(1, sums[f"n{i}"])))
@@ -153,28 +198,29 @@ def fit(rows: DataFrame, columns: list[str], label: str, parts: list[Column], tr
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Boosted(columns, edges, 0.0, [])
         for b in batches:
-            x = model.bins(np.column_stack([b.column(j).to_numpy() for j in range(d)]))
-            use = np.column_stack([b.column(d + 1 + i).to_numpy(zero_copy_only=False) for i in range(k)])
-            margin = np.tile(np.array(starts), (len(x), 1))
-            yield pa.record_batch([pa.array([v]) for v in (len(x), x.tobytes(), b.column(d).to_numpy().tobytes(), use.tobytes(), margin.tobytes())], names=["n", "x", "y", "use", "m"])
+            x = model.columns_of(np.column_stack([b.column(j).to_numpy() for j in range(d)]) if d else np.zeros((b.num_rows, 0)))
+            use = np.stack([b.column(d + 1 + i).to_numpy(zero_copy_only=False) for i in range(k)])
+            margin = np.repeat(np.array(starts)[:, None], b.num_rows, axis=1)
+            yield pa.record_batch([pa.array([v]) for v in (b.num_rows, x.tobytes(), b.column(d).to_numpy().tobytes(), use.tobytes(), margin.tobytes())], names=["n", "x", "y", "use", "m"])
 
     schema = "n long, x binary, y binary, use binary, m binary"
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BLOCK_ROWS)
     try:
-        held = work.save(data.mapInArrow(blocks, schema))
+        spread = max(1, min(spark.sparkContext.defaultParallelism, sums["rows"] // TASK_ROWS))
+        held = work.save(data.repartition(spread).mapInArrow(blocks, schema))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
     def opened(b: pa.RecordBatch, grown: list[list[Tree]]) -> Iterator[tuple]:
         for r in b.to_pylist():
             n = r["n"]
-            x, y = np.frombuffer(r["x"], np.uint8).reshape(n, d), np.frombuffer(r["y"])
-            m = np.frombuffer(r["m"]).reshape(n, k).copy()
+            x, y = np.frombuffer(r["x"], np.uint8).reshape(d, n), np.frombuffer(r["y"])
+            m = np.frombuffer(r["m"]).reshape(k, n).copy()
             for i in range(k):
                 for t in grown[i]:
-                    m[:, i] += t.value[t.place(x)]
-            yield r, x, y, np.frombuffer(r["use"], bool).reshape(n, k), m
+                    m[i] += t.values(x)
+            yield r, x, y, np.frombuffer(r["use"], bool).reshape(k, n), m
 
     def updated(shared):
         def run(batches):
@@ -184,22 +230,30 @@ def fit(rows: DataFrame, columns: list[str], label: str, parts: list[Column], tr
 
         return run
 
-    def histograms(shared, level: int):
-        """Sums of residuals, curvatures and rows by fit, node of the level, feature and bin."""
-        first, nodes = (1 << level) - 1, 1 << level
+    def histograms(shared, count: int):
+        """Sums of residuals, curvatures and rows by fit, asked node (``count`` at most), feature and bin."""
 
         def run(batches):
-            grown, current = shared.value
-            total = np.zeros((3, k, nodes * d * width))
+            grown, current, asked = shared.value
+            total = np.zeros((3, k, count, d, width))
+            slots = []
+            for i in range(k):
+                slot = np.full(len(current[i].feature), -1)
+                slot[asked[i]] = np.arange(len(asked[i]))
+                slots.append(slot[current[i].ends()])
             for b in batches:
                 for _, x, y, use, m in opened(b, grown):
                     for i in range(k):
-                        at = current[i].place(x) - first
-                        rows_ = np.flatnonzero(use[:, i] & (at >= 0))
-                        p = _sigmoid(m[rows_, i])
-                        cells = ((at[rows_, None] * d + np.arange(d)) * width + x[rows_]).ravel()
-                        for s, w in enumerate((y[rows_] - p, p * (1 - p), np.ones(len(rows_)))):
-                            total[s, i] += np.bincount(cells, np.repeat(w, d), total.shape[2])
+                        if not asked[i]:
+                            continue
+                        at = np.take(slots[i], current[i].paths(x))
+                        rows_ = np.flatnonzero(use[i] & (at >= 0))
+                        p, first = _sigmoid(m[i, rows_]), at[rows_] * width
+                        g, h = y[rows_] - p, p * (1 - p)
+                        for f in range(d):
+                            cells = first + np.take(x[f], rows_)
+                            for s, w in enumerate((g, h, None)):
+                                total[s, i, :, f] += np.bincount(cells, w, count * width).reshape(count, width)
             yield pa.record_batch([pa.array(range(k), pa.int32()), pa.array([total[:, i].tobytes() for i in range(k)])], names=["fit", "sums"])
 
         return run
@@ -215,22 +269,30 @@ def fit(rows: DataFrame, columns: list[str], label: str, parts: list[Column], tr
             held = work.save(held.mapInArrow(updated(spark.sparkContext.broadcast([t[-SAVE:] for t in done])), schema))
         grown = [t[number - number % SAVE :] for t in done]
         current = [Tree(depth) for _ in range(k)]
-        live: list[set[int]] = [{0} for _ in range(k)]
+        # of each fit the nodes of the level that may be split; of siblings, (the one that is added up, the other one)
+        pairs: list[list[tuple[int, int | None]]] = [[(0, None)] for _ in range(k)]
+        known: list[dict[int, np.ndarray]] = [{} for _ in range(k)]
         for level in range(depth):
-            if not any(live):
+            if not any(pairs):
                 break
-            shared = spark.sparkContext.broadcast((grown, current))
-            got = held.mapInArrow(histograms(shared, level), "fit int, sums binary")
+            asked = [[node for node, _ in p] for p in pairs]
+            count = max(map(len, asked))
+            shared = spark.sparkContext.broadcast((grown, current, asked))
+            got = held.mapInArrow(histograms(shared, count), "fit int, sums binary")
             if tasks > DIRECT:
                 got = got.groupBy("fit").applyInArrow(added, "fit int, sums binary")
-            total = np.zeros((k, 3, 1 << level, d, width))
+            total = np.zeros((k, 3, count, d, width))
             for r in got.toLocalIterator() if tasks > DIRECT else got.collect():
-                total[r["fit"]] += np.frombuffer(r["sums"]).reshape(3, 1 << level, d, width)
+                total[r["fit"]] += np.frombuffer(r["sums"]).reshape(3, count, d, width)
             shared.destroy()
             for i in range(k):
-                t, after = current[i], set()
-                for node in sorted(live[i]):
-                    g, h, n = total[i][:, node - (1 << level) + 1]
+                t, before = current[i], known[i]
+                known[i], after = {}, []
+                for j, (node, other) in enumerate(pairs[i]):
+                    known[i][node] = total[i][:, j]
+                    if other is not None:
+                        known[i][other] = before[(node - 1) // 2] - total[i][:, j]
+                for node, (g, h, n) in sorted(known[i].items()):
                     if level == 0:
                         t.cover[0], t.value[0] = n[0].sum(), rate * g[0].sum() / max(1e-12, h[0].sum())
                     if not n[0].sum():
@@ -239,10 +301,11 @@ def fit(rows: DataFrame, columns: list[str], label: str, parts: list[Column], tr
                     if gain <= 1e-9:
                         continue
                     t.feature[node], t.edge[node] = f, e
-                    for child, part in ((2 * node + 1, slice(0, e + 1)), (2 * node + 2, slice(e + 1, None))):
+                    low, high = 2 * node + 1, 2 * node + 2
+                    for child, part in ((low, slice(0, e + 1)), (high, slice(e + 1, None))):
                         t.cover[child], t.value[child] = n[f, part].sum(), rate * g[f, part].sum() / max(1e-12, h[f, part].sum())
-                        after.add(child)
-                live[i] = after
+                    after.append((low, high) if t.cover[low] <= t.cover[high] else (high, low))
+                pairs[i] = after
         for i in range(k):
             done[i].append(current[i])
     return [Boosted(columns, edges, starts[i], done[i]) for i in range(k)]
