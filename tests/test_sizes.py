@@ -96,3 +96,23 @@ def test_leaves_by_columns_equal_walks(spark):
                 i = 2 * i + 1 + (x[t.feature[i]] > t.edge[i])
             want.append(t.value[i])
         assert t.values(b).tolist() == want
+
+
+def test_stored_pages_hold_few_rows(tmp_path):
+    """One file of 80 MB in one row group."""
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tideline.sources.feeds import stored_pages
+
+    n = 20_000
+    bodies = [os.urandom(2000).hex() for _ in range(n)]
+    pq.write_table(pa.table({"keyword": ["k1" if i % 2 else "k2" for i in range(n)], "shown": pa.array([i % 20 for i in range(n)], pa.int32()), "id": [f"d{i}" for i in range(n)], "title": ["t"] * n, "body": bodies, "published": pa.array([0] * n, pa.timestamp("us"))}), f"{tmp_path}/a.parquet", row_group_size=n, use_dictionary=["keyword"])
+    del bodies
+    start, most, seen = pa.total_allocated_bytes(), 0, 0
+    for row in stored_pages("k1", 9, {"path": str(tmp_path)}):
+        seen += 1
+        most = max(most, pa.total_allocated_bytes() - start)
+    assert seen == n // 2 // 2 and most < 30 << 20

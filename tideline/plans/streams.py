@@ -176,7 +176,7 @@ def stream_polled(spark, sf_dir):
     src = Workspace(spark, "provider").path
     shown = F.floor(F.col("doc_id") / 13) % 20
     d = table(spark, sf_dir, "documents").select(F.concat(F.lit("k"), F.col("doc_id") % 13).alias("keyword"), shown.cast("int").alias("shown"), F.concat(F.lit("d"), "doc_id").alias("id"), F.left("text", F.lit(80)).alias("title"), F.col("text").alias("body"), F.timestamp_seconds(1704067200 + 900 * shown).alias("published"))
-    d.write.parquet(src)
+    d.write.partitionBy("keyword").option("parquet.block.size", 8 << 20).parquet(src)
     out = Kept(spark, "polled")
     for polls in (9, 22):
         items = spark.readStream.format("polled_stream").option("provider", "tideline.sources.feeds:stored_pages").option("keywords", ",".join(KEYWORDS)).option("polls", str(polls)).option("path", src.removeprefix("file:") if src.startswith("file:") else src).load()

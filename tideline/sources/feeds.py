@@ -154,16 +154,32 @@ class _PolledStreamReader(DataSourceStreamReader):
         pass
 
 
+#: Rows of a stored table that are held at once.
+PAGE_ROWS = 256
+
+
 def stored_pages(keyword: str, poll: int, options: dict):
-    """A provider over a table of items (keyword, shown, id, title, body, published) under the option ``path``, in any file system: what is shown by that poll."""
+    """A provider over a table of items (keyword, shown, id, title, body, published) under the option ``path``, in any file system: what is shown by that poll.
+
+    One file is read at a time, PAGE_ROWS rows at a time and without reading ahead, so memory does not depend on the size of the files.
+    The table may be in folders by keyword; then the others are not read.
+    """
     import pyarrow as pa
+    import pyarrow.compute as pc
     import pyarrow.dataset as ds
+    import pyarrow.parquet as pq
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(options["path"])
-    items = ds.dataset(path, filesystem=store, format="parquet")
-    for b in items.to_batches(filter=(ds.field("keyword") == keyword) & (ds.field("shown") <= poll), columns=["id", "title", "body", "published"]):
-        yield from zip(*(c.to_pylist() for c in b.columns[:3]), b.column(3).cast(pa.timestamp("us", "UTC"), safe=False).to_pylist())
+    items = ds.dataset(path, filesystem=store, format="parquet", partitioning=ds.partitioning(pa.schema([("keyword", pa.string())]), flavor="hive"))
+    for file in items.get_fragments(filter=ds.field("keyword") == keyword):
+        with store.open_input_file(file.path) as src:
+            f = pq.ParquetFile(src, pre_buffer=False, buffer_size=1 << 20)
+            held = "keyword" in f.schema_arrow.names
+            for b in f.iter_batches(PAGE_ROWS, columns=["id", "title", "body", "published", "shown", *(["keyword"] if held else [])], use_threads=False):
+                due = pc.less_equal(b["shown"], poll)
+                b = b.filter(pc.and_(due, pc.equal(b["keyword"], keyword)) if held else due)
+                yield from zip(*(b[c].to_pylist() for c in ("id", "title", "body")), b["published"].cast(pa.timestamp("us", "UTC"), safe=False).to_pylist())
 
 
 def sample_pages(keyword: str) -> list[tuple]:
