@@ -16,8 +16,7 @@ biases come from the counts. A word outside the table has its add-one share of t
 whole is a distribution over words. The number of hashed weights grows with the distinct
 tokens, up to a bound that keeps them small enough to broadcast. Training is one pass over every
 training document in ROUNDS rounds: each task starts from the broadcast weights, makes sparse
-gradient steps with per-weight rates over its share, below ``rare`` for every other choice, in turn from
-round to round, and the changes are averaged by tokens in a tree of bounded fan-in.
+gradient steps with per-weight rates over its share, for all choices, and the changes are averaged by tokens in a tree of bounded fan-in.
 
 Null and empty texts are just the end. Repeated rows are counted as often as they come and
 scored alike. Without a training document every token has probability 1 in the base and the
@@ -258,7 +257,7 @@ def _train_round(train: DataFrame, table: Table, part: int) -> Table:
                 pid = b.column(1)[0].as_py()
                 e = t.events(*t.encode(C.texts_of(b)))
                 seen += len(e.sym)
-                t.step(e, squares, range(part % 2, LEVELS, 2))
+                t.step(e, squares)
         if seen:
             flat = np.concatenate([(w - v).ravel() for w, v in zip(t.weights(), start.weights())])
             parts = np.array_split(flat, CHUNKS)
