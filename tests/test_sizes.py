@@ -116,3 +116,19 @@ def test_stored_pages_hold_few_rows(tmp_path):
         seen += 1
         most = max(most, pa.total_allocated_bytes() - start)
     assert seen == n // 2 // 2 and most < 30 << 20
+
+
+@pytest.mark.parametrize("name", ["stream_flushes"])
+def test_no_python_call_holds_a_key(spark, tmp_path, sf_dir, monkeypatch, name):
+    """However many rows a key has; also with missing values and vessels without a number, and copies where SQL orders them."""
+    from tideline.streaming import jobs
+
+    plans_run, real = [], jobs.run_available
+    monkeypatch.setattr(jobs, "run_available", lambda df, *a: plans_run.append(df._jdf.queryExecution().logical().toString()) or real(df, *a))
+    at = lambda i: datetime.datetime(2024, 1, 13) + datetime.timedelta(minutes=17 * i + (1500 if i > 90 else 0))
+    rows = [(i, at(i), None if i % 11 == 10 else 3 + (i % 3 == 1), "view", None if i % 5 == 2 else 7.0 * i % 90, "{}" if i % 13 == 4 else f'{{"k": {7 * i % 100}}}') for i in range(260)]
+    copies = rows[20:40] if name == "stream_flushes" else []
+    path, con = given(spark, tmp_path, sf_dir, events=spark.createDataFrame(rows + copies, EVENT).repartition(3))
+    got = plans.QUERIES[name](spark, path)
+    assert len(plans_run) == 2 and not any("TransformWithState" in p or "InPandas" in p for p in plans_run)
+    assert_same(got, con, plans.SQL[name])

@@ -139,3 +139,30 @@ def test_pages_follow_the_graph(spark, tmp_path, monkeypatch):
     assert [k for s, k in kinds if s == "s2"] == ["agent_trace", "pipeline_stage", "scenario.promoted", "threshold"] and len(kinds) == 16
     with pytest.raises(ValueError):
         commits.event("other")
+
+
+def in_batches(effect, rows, schema, cuts, monkeypatch):
+    """The rows by time in micro-batches, each lost once before its memory is written and then run again."""
+    for i, (a, b) in enumerate(zip([None, *cuts], [*cuts, None])):
+        part = effect.memory.spark.createDataFrame([(*r, 1 + (r[0] % 10 == 3)) for r in rows[a:b]], schema + ", s long, copies long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+        with monkeypatch.context() as m:
+            m.setattr(effect.memory, "write", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+            if a != b:
+                with pytest.raises(OSError):
+                    effect(part, i)
+        effect(part, i)
+        effect(part, i)
+    return sorted(r[:-1] for r in rows for _ in range(1 + (r[0] % 10 == 3)))
+
+
+def test_flushes_go_on_over_micro_batches(spark, tmp_path, monkeypatch):
+    rows = [(i, [["x", "y"], ["x", None, "x"], ["z"] if i < 20 else None][i % 3], T0 + 900 * i) for i in range(90)]
+    e = commits.Flushes(spark, str(tmp_path / "f"), 4)
+    seen = in_batches(e, rows, "event_id long, entity_refs array<string>", [7, 8, 8, 50, 89], monkeypatch)
+    want = []
+    for n in "xyz":
+        ids = [i for i, refs in seen if refs and n in refs]
+        want += [(n, k, ids[4 * k : 4 * k + 4], T0 + 900 * ids[4 * k + 3]) for k in range(len(ids) // 4)]
+    assert sorted((r.entity, r.flush, r.ids, r.s) for r in e.flushes().withColumn("s", F.unix_seconds("observed_at")).collect()) == want
+    left = {r.entity: (r.n, len(r.held or [])) for r in e.memory.part(5).collect()}
+    assert left == {n: divmod(sum(n in (refs or []) for _, refs in seen), 4) for n in "xyz"}

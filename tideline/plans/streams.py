@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,15 +24,31 @@ MID = "timestamp'2024-01-15'"
 LATE_MS = 600_000
 
 
-def in_two_runs(spark: SparkSession, name: str, rows: DataFrame, ts: str, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What the job makes of the rows before MID and, started again, of those after it."""
-    out, src = Kept(spark, name), Workspace(spark, f"{name}-in").path
+def landing(spark: SparkSession, name: str, rows: DataFrame, ts: str) -> Iterator[DataFrame]:
+    """The stream after the rows before MID have landed and again after those from MID on have."""
+    src = Workspace(spark, f"{name}-in").path
     for part in (rows.where(F.col(ts) < F.expr(MID)), rows.where(F.col(ts) >= F.expr(MID))):
         part.write.mode("append").parquet(src)
-        out.run(job(spark.readStream.schema(rows.schema).parquet(src)))
+        yield spark.readStream.schema(rows.schema).parquet(src)
+
+
+def in_two_runs(spark: SparkSession, name: str, rows: DataFrame, ts: str, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What the job makes of the rows before MID and, started again, of those after it."""
+    out = Kept(spark, name)
+    for stream in landing(spark, name, rows, ts):
+        out.run(job(stream))
     return out.read()
 
 
+def passed_in_two_runs(spark: SparkSession, name: str, rows: DataFrame, ts: str, effect: Callable[[str], commits.Ordered]) -> commits.Ordered:
+    """The effect, made for a folder, after the rows of both runs that the watermark passed."""
+    path = Workspace(spark, name).path
+    for stream in landing(spark, name, rows, ts):
+        done = effect(path)
+        jobs.run_available(stateful.passed(stream, ts), done, f"{path}/checkpoint").awaitTermination()
+    return done
+
+
 def _mark(rows: str, ts: str = "ts") -> str:
     return f"seen AS (SELECT * FROM {rows} WHERE epoch_us({ts}) <= (SELECT epoch_ms(max({ts})) - {LATE_MS} FROM {rows}) * 1000)"
 
@@ -70,8 +86,8 @@ def stream_flushes(spark, sf_dir):
     """Signals that name up to three entities each, counted under every one of them; ten make a batch."""
     refs = F.array((F.col("user_id") % 25).cast("int"), (F.col("k") % 25).cast("int"), (F.col("user_id") % 7).cast("int"))
     s = signals(spark, sf_dir).select("event_id", "ts", refs.alias("entity_refs"))
-    got = in_two_runs(spark, "flushes", s, "ts", stateful.fanned_flushes)
-    return got.select("entity", "flush", F.concat_ws(",", F.col("ids").cast("array<string>")).alias("ids"), F.timestamp_micros("observed_us").cast("timestamp_ntz").alias("observed_at"))
+    got = passed_in_two_runs(spark, "flushes", s, "ts", lambda path: commits.Flushes(spark, path)).flushes()
+    return got.select("entity", "flush", F.concat_ws(",", F.col("ids").cast("array<string>")).alias("ids"), F.col("observed_at").cast("timestamp_ntz").alias("observed_at"))
 
 
 @query("stream_deferred", with_("sig") + f""",

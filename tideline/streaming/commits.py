@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..constants import FLUSH_SIZE
+from ..operators.fusion import numbered
+
 
 class Ledger:
     """A table in parts by batch id; a part counts once its write is finished."""
@@ -28,10 +31,13 @@ class Ledger:
             return []
         return sorted(int(s.getPath().getName()[6:]) for s in fs.listStatus(p) if s.getPath().getName().startswith("batch=") and fs.exists(Path(s.getPath(), "_SUCCESS")))
 
+    def part(self, batch_id: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/batch={batch_id}")
+
     def before(self, batch_id: int) -> DataFrame | None:
         """The newest part of an earlier batch."""
         past = [i for i in self.ids() if i < batch_id]
-        return self.spark.read.parquet(f"{self.path}/batch={past[-1]}") if past else None
+        return self.part(past[-1]) if past else None
 
     def read(self) -> DataFrame | None:
         """All finished parts, with their ``batch``."""
@@ -133,3 +139,59 @@ class GatedPages:
         all_pages = self.pages.read()
         cols = [c for c in all_pages.columns if c not in ("entity", "batch")]
         return all_pages.groupBy("entity").agg(F.max_by(F.struct(*cols), "batch").alias("r")).select("entity", "r.*")
+
+
+# ---- rows in order, after the watermark -------------------------------------------------
+
+
+class Ordered:
+    """Base of effects on micro-batches of ``stateful.passed``; subclasses have ``step(rows, old, batch_id)``.
+
+    ``rows`` are the micro-batch's, written first, since a step reads them more than once; ``old`` is what the
+    micro-batches before left in ``memory``. A micro-batch without rows changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.rows, self.out, self.memory = (Ledger(spark, f"{path}/{n}") for n in ("rows", "out", "memory"))
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        self.rows.write(batch, batch_id)
+        rows, old = self.rows.part(batch_id), self.memory.before(batch_id)
+        if old is None or not rows.isEmpty():
+            each = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
+            self.step(rows.withColumn("_copy", each).drop("_copy", "copies"), old, batch_id)
+
+    def step(self, rows: DataFrame, old: DataFrame | None, batch_id: int) -> None:
+        raise NotImplementedError
+
+
+class Flushes(Ordered):
+    """Batches of ``size`` signals of an entity by (ts, event_id); a signal counts under each of its ``entity_refs``.
+
+    ``out`` has (entity, flush, held: its signals), the unfinished ones as of each micro-batch too. Of the past an
+    entity has the number of its flushes and fewer than ``size`` signals. No task orders more of an entity than an hour.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, size: int = FLUSH_SIZE):
+        super().__init__(spark, path)
+        self.size = size
+
+    def step(self, rows: DataFrame, old: DataFrame | None, batch_id: int) -> None:
+        each = rows.select(F.explode(F.array_distinct("entity_refs")).alias("entity"), "ts", "event_id").where("entity is not null")
+        if old is not None:
+            each = each.unionByName(old.select("entity", F.inline("held")))
+        d = numbered(each, "entity", "ts", "event_id", "hour").withColumn("flush", F.floor((F.col("rn") - 1) / self.size))
+        groups = d.groupBy("entity", "flush").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("held"))
+        if old is not None:
+            groups = groups.join(old.select("entity", "n"), "entity", "left").select("entity", (F.col("flush") + F.coalesce("n", F.lit(0))).alias("flush"), "held")
+        self.out.write(groups, batch_id)
+        done, full = self.out.part(batch_id), F.size("held") == self.size
+        counts = done.select("entity", (F.col("flush") + F.when(full, 1).otherwise(0)).alias("n"))
+        if old is not None:
+            counts = counts.unionByName(old.select("entity", "n"))
+        rest = done.where(~full).select("entity", "held")
+        self.memory.write(counts.groupBy("entity").agg(F.max("n").alias("n")).join(rest, "entity", "left"), batch_id)
+
+    def flushes(self) -> DataFrame:
+        """(entity, flush, ids, observed_at) of the batches that are full."""
+        return self.out.read().where(F.size("held") == self.size).select("entity", "flush", F.col("held.event_id").alias("ids"), F.array_max("held.ts").alias("observed_at"))

@@ -33,6 +33,16 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(k, v)
 
 
+def passed(rows: DataFrame, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
+    """The rows of a stream and the number of their ``copies``, once the watermark has passed them; late ones are dropped.
+
+    What waits is grouped by whole rows, so it is dealt over tasks by rows, however few entities they name. Each
+    micro-batch of the result is later than those before it, so an effect (``commits``) can take it in order.
+    """
+    prepare(rows.sparkSession)
+    return rows.where(F.col(ts).isNotNull()).withWatermark(ts, late).groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+
+
 class InOrder(StatefulProcessor):
     """Base of the processors: ``row`` names the columns of a held row, ``t`` and ``id`` first; subclasses have
 
