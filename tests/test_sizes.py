@@ -118,7 +118,7 @@ def test_stored_pages_hold_few_rows(tmp_path):
     assert seen == n // 2 // 2 and most < 30 << 20
 
 
-@pytest.mark.parametrize("name", ["stream_flushes"])
+@pytest.mark.parametrize("name", ["stream_flushes", "stream_vessels"])
 def test_no_python_call_holds_a_key(spark, tmp_path, sf_dir, monkeypatch, name):
     """However many rows a key has; also with missing values and vessels without a number, and copies where SQL orders them."""
     from tideline.streaming import jobs

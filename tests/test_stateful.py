@@ -166,3 +166,27 @@ def test_flushes_go_on_over_micro_batches(spark, tmp_path, monkeypatch):
     assert sorted((r.entity, r.flush, r.ids, r.s) for r in e.flushes().withColumn("s", F.unix_seconds("observed_at")).collect()) == want
     left = {r.entity: (r.n, len(r.held or [])) for r in e.memory.part(5).collect()}
     assert left == {n: divmod(sum(n in (refs or []) for _, refs in seen), 4) for n in "xyz"}
+
+
+def test_tracks_go_on_over_micro_batches(spark, tmp_path, monkeypatch):
+    r = random.Random(5)
+    times = [0]
+    for _ in range(239):
+        times.append(times[-1] + r.choice([60, 600, 3600] if len(times) != 100 else [90_000]))
+    rows = [(i, i % 9 == 5 and 2 or 1, None if i % 8 == 6 else float(r.randint(0, 20)), i % 4 == 0, T0 + t) for i, t in enumerate(times)]
+    e = commits.Tracks(spark, str(tmp_path / "t"), size=64)
+    in_batches(e, rows, "event_id long, vessel int, speed double, monitored boolean", [30, 99, 130, 130, 131], monkeypatch)
+    got = sorted((x.event_id, x.gap_h, x.speed_std, x.known) for x in e.out.read().collect())
+    want = []
+    for v in (1, 2):
+        life, last = [], None
+        for i, _, speed, _, t in [x for x in rows if x[1] == v for _ in range(1 + (x[0] % 10 == 3))]:
+            gap = None if last is None or t - last > 86400 else (t - last) / 3600
+            life, last = ([] if gap is None else life) + [speed], t
+            s = [x for x in life[-50:] if x is not None]
+            want.append((i, gap, (sum((x - sum(s) / len(s)) ** 2 for x in s) / len(s)) ** 0.5 if len(s) >= 3 else None, gap is not None))
+    want.sort(key=lambda x: (x[0], x[1] == 0))
+    got.sort(key=lambda x: (x[0], x[1] == 0))
+    assert [(x[0], x[3]) for x in got] == [(x[0], x[3]) for x in want]
+    for g, w in zip(got, want):
+        assert [x is None for x in g[1:3]] == [x is None for x in w[1:3]] and [x or 0 for x in g[1:3]] == pytest.approx([x or 0 for x in w[1:3]])

@@ -98,12 +98,18 @@ def war_premium(ticks: DataFrame, key: str = "instrument", ts: str = "ts", tie:
     return own(d)
 
 
-def gaps(pings: DataFrame, key: str, ts: str, tie: str, speed: str, size: int = CHUNK) -> DataFrame:
-    """Silence before each position in hours, spread of the last 50 speeds, anomaly score, dark flag."""
+def gaps(pings: DataFrame, key: str, ts: str, tie: str, speed: str, size: int = CHUNK, ttl_h: float | None = None) -> DataFrame:
+    """Silence before each position in hours, spread of the last 50 speeds, anomaly score, dark flag.
+
+    With ``ttl_h`` a key is new after a longer silence: no silence is given then, and earlier speeds don't count.
+    """
     d, w = chunked(pings, key, ts, tie, 50, size)
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     d = d.withColumn("gap_h", (micros - F.lag(micros).over(w)) / 3.6e9)
-    d = own(d.withColumn("speed_std", F.when(F.count(speed).over(w.rowsBetween(-49, 0)) >= 3, F.stddev_pop(speed).over(w.rowsBetween(-49, 0)))))
+    if ttl_h is not None:
+        d = d.withColumn("_life", F.count_if(F.col("gap_h") > ttl_h).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("gap_h", F.when(F.col("gap_h") <= ttl_h, F.col("gap_h")))
+        w = Window.partitionBy(key, "_chunk", "_life").orderBy("_at")
+    d = own(d.withColumn("speed_std", F.when(F.count(speed).over(w.rowsBetween(-49, 0)) >= 3, F.stddev_pop(speed).over(w.rowsBetween(-49, 0))))).drop("_life")
     gap, std = F.coalesce("gap_h", F.lit(0.0)), F.coalesce("speed_std", F.lit(0.0))
     score = 0.45 * F.least(gap / 24, F.lit(1.0)) + 0.30 * F.least(std / 5, F.lit(1.0)) + F.when(F.col("monitored"), 0.25).otherwise(0.0)
     return d.withColumn("score", F.round(score, 6)).withColumn("dark", (gap >= 4) & F.col("monitored")).withColumn("candidate", (gap >= 2) & F.col("monitored"))

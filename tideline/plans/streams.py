@@ -61,7 +61,7 @@ SELECT event_id, round(gap_h, 6) AS gap_h, round(speed_std, 6) AS speed_std, rou
   coalesce(gap_h, 0) >= 4 AND monitored AS dark, gap_h IS NOT NULL AS known FROM g""")
 def stream_vessels(spark, sf_dir):
     """Each vessel's last position and speeds are state; a silence of over 24 hours prunes it, and it comes back as a new one."""
-    got = in_two_runs(spark, "vessels", pings(spark, sf_dir), "ts", stateful.tracks)
+    got = passed_in_two_runs(spark, "vessels", pings(spark, sf_dir), "ts", lambda path: commits.Tracks(spark, path)).out.read()
     return got.select("event_id", F.round("gap_h", 6).alias("gap_h"), F.round("speed_std", 6).alias("speed_std"), "score", "dark", "known")
 
 

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import FLUSH_SIZE
+from ..operators import signals
 from ..operators.fusion import numbered
+from .stateful import VESSEL_TTL_H
 
 
 class Ledger:
@@ -195,3 +197,32 @@ class Flushes(Ordered):
     def flushes(self) -> DataFrame:
         """(entity, flush, ids, observed_at) of the batches that are full."""
         return self.out.read().where(F.size("held") == self.size).select("entity", "flush", F.col("held.event_id").alias("ids"), F.array_max("held.ts").alias("observed_at"))
+
+
+class Tracks(Ordered):
+    """Silence, spread of speeds, score and dark flag of each position of (vessel, event_id, ts, speed, monitored), by (ts, event_id).
+
+    ``out`` has a row a position, ``known`` where its vessel was seen within ``ttl_h`` hours before. Of the past there
+    are the last 49 positions of the vessels that may still be known to later micro-batches; the others are forgotten.
+    """
+
+    COLUMNS = ["vessel", "event_id", "ts", "speed", "monitored"]
+    BEFORE = 49  # positions before one that its spread looks back on
+
+    def __init__(self, spark: SparkSession, path: str, ttl_h: int = VESSEL_TTL_H, size: int = signals.CHUNK):
+        super().__init__(spark, path)
+        self.ttl_h, self.size = ttl_h, size
+
+    def step(self, rows: DataFrame, old: DataFrame | None, batch_id: int) -> None:
+        d = rows.select(*self.COLUMNS, F.lit(True).alias("_new"))
+        if old is not None:
+            d = d.unionByName(old.withColumn("_new", F.lit(False)))
+        # a key in a struct is never null itself, so positions without a vessel stay in its joins
+        g = signals.gaps(d.withColumn("_vessel", F.struct("vessel")), "_vessel", "ts", "event_id", "speed", self.size, self.ttl_h)
+        self.out.write(g.where("_new").select("vessel", "event_id", "gap_h", "speed_std", "score", "dark", F.col("gap_h").isNotNull().alias("known")), batch_id)
+        last = Window.partitionBy("vessel").orderBy(F.desc("ts"), F.desc("event_id"))
+        tail = d.withColumn("_back", F.row_number().over(last)).where(F.col("_back") <= self.BEFORE)
+        # whatever comes later is later than the newest position here
+        newest = d.agg(F.max("ts").alias("_newest"))
+        kept = tail.withColumn("_last", F.max("ts").over(Window.partitionBy("vessel"))).join(F.broadcast(newest))
+        self.memory.write(kept.where(F.col("_last") > F.col("_newest") - F.make_interval(hours=F.lit(self.ttl_h))).select(*self.COLUMNS), batch_id)
