@@ -1,7 +1,9 @@
 """Stateful processors and effects of micro-batches: arrival order, restarts, losses between steps."""
 
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,3 +192,45 @@ def test_tracks_go_on_over_micro_batches(spark, tmp_path, monkeypatch):
     assert [(x[0], x[3]) for x in got] == [(x[0], x[3]) for x in want]
     for g, w in zip(got, want):
         assert [x is None for x in g[1:3]] == [x is None for x in w[1:3]] and [x or 0 for x in g[1:3]] == pytest.approx([x or 0 for x in w[1:3]])
+
+
+class Handle:
+    """State of one key in this process; counts the held rows that were read."""
+
+    def __init__(self):
+        self.values, self.lists, self.maps, self.timers, self.read = {}, {}, {}, set(), 0
+
+    def getValueState(self, name, schema):
+        s = self.values
+        return SimpleNamespace(exists=lambda: name in s, get=lambda: s[name], update=lambda v: s.__setitem__(name, v), clear=lambda: s.pop(name, None))
+
+    def getListState(self, name, schema):
+        s = self.lists.setdefault(name, [])
+        return SimpleNamespace(exists=lambda: bool(s), get=lambda: [self._seen(r, 1) for r in s], appendList=s.extend, put=lambda v: s.__setitem__(slice(None), v), clear=s.clear)
+
+    def getMapState(self, name, key, schema):
+        s = self.maps.setdefault(name, {})
+        return SimpleNamespace(getValue=lambda k: self._seen(s[k], len(s[k][0])), updateValue=s.__setitem__, removeKey=s.pop)
+
+    def _seen(self, v, n):
+        self.read += n
+        return v
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+
+def test_a_call_reads_a_day_at_a_time():
+    p, h, hour = stateful._Pending(72), Handle(), 3_600_000
+    p.init(h)
+    at = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    frames = (pd.DataFrame({"t": [hour * 1000 * i for i in hours], "id": list(hours), "band": [["calm", "elevated", "action"][i % 3] for i in hours]}) for hours in (range(1, 240, 2), range(2, 240, 2)))
+    assert not list(p.handleInputRows(("a",), frames, at(0))) and h.timers == {hour}
+    got = p.handleExpiredTimer(("a",), at(200 * hour + 1), None)
+    first = next(got)
+    assert 0 < len(first) < 10 and h.read == 23  # the first day has no hour 0
+    rows = pd.concat([first, *got])
+    assert rows.opened_us.tolist() == [3_600_000_000 * i for i in range(1, 200, 3)] and set(rows.outcome) == {"promoted"} and h.read == 215
+    assert min(t for t in h.timers if t > 200 * hour) == 201 * hour
+    later = pd.concat(p.handleExpiredTimer(("a",), at(500 * hour), None))
+    assert later.opened_us.tolist() == [3_600_000_000 * i for i in range(202, 240, 3)] and not h.maps["held"]

@@ -2,8 +2,9 @@
 
 Every processor holds an entity's rows until the watermark has passed them and then takes them in the order
 of (time, id), so the result is the same however rows are spread over micro-batches, and a restart from the
-checkpoint goes on where it stopped. A timer always stands at the earliest thing an entity waits for. Rows at or before the
-watermark are late and are dropped; what the watermark has not passed yet comes out in a later run.
+checkpoint goes on where it stopped. Held rows lie in slots of a day, and a call has one slot of an entity at a time.
+A timer always stands at the earliest thing an entity waits for. Rows at or before the watermark are late and are
+dropped; what the watermark has not passed yet comes out in a later run.
 
 Times are microseconds in state and output columns; timers and watermarks are whole milliseconds.
 """
@@ -23,6 +24,8 @@ from ..constants import FLUSH_SIZE, INGEST_IMMEDIATE, PENDING_TTL_H
 #: The store that these processors need.
 STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 HOUR = 3_600_000_000
+#: Held rows lie in slots of a day; one at a time is read.
+SLOT = 24 * HOUR
 VESSEL_TTL_H, VESSEL_SPEEDS = 24, 50
 #: Minutes after which a day's batch counts as the next day's: days turn at 23:50.
 DAY_TURN_MIN = 10
@@ -58,7 +61,8 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", ", ".join(f"{n} {t}" for n, t in self.columns))
+        self.held = handle.getMapState("held", "slot long, part long", ", ".join(f"{n} array<{t}>" for n, t in self.columns))
+        self.slots = handle.getValueState("slots", "slot array<long>, parts array<long>, first array<long>")
         self.state = handle.getValueState("memory", self.memory)
 
     def take(self, key: tuple, memory: tuple, row: tuple, out: list) -> tuple:
@@ -78,36 +82,74 @@ class InOrder(StatefulProcessor):
         if known:
             self.handle.registerTimer(-(-min(known) // 1000))
 
+    def _waiting(self) -> dict[int, tuple[int, int]]:
+        """(parts, earliest time) of each slot with held rows."""
+        return {s: (n, t) for s, n, t in zip(*self.slots.get())} if self.slots.exists() else {}
+
+    def _wait(self, waiting: dict[int, tuple[int, int]]) -> None:
+        if waiting:
+            self.slots.update(tuple(map(list, zip(*((s, n, t) for s, (n, t) in waiting.items())))))
+        else:
+            self.slots.clear()
+
+    def _hold(self, waiting: dict[int, tuple[int, int]], rows: list[tuple]) -> None:
+        """The rows as one more part of each of their slots."""
+        by_slot: dict[int, list[tuple]] = {}
+        for r in rows:
+            by_slot.setdefault(r[0] // SLOT, []).append(r)
+        for slot, part in by_slot.items():
+            n, first = waiting.get(slot, (0, part[0][0]))
+            self.held.updateValue((slot, n), tuple(map(list, zip(*part))))
+            waiting[slot] = n + 1, min(first, *(r[0] for r in part))
+
+    def _let_go(self, waiting: dict[int, tuple[int, int]], slot: int) -> list[tuple]:
+        """The rows of a slot in order, which holds them no more."""
+        rows: list[tuple] = []
+        for i in range(waiting.pop(slot)[0]):
+            rows += zip(*self.held.getValue((slot, i)))
+            self.held.removeKey((slot, i))
+        return sorted(rows, key=lambda r: r[:2])
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        got = [tuple(None if isinstance(v, float) and math.isnan(v) else v for v in r) for frame in rows for r in frame[[n for n, _ in self.columns]].itertuples(index=False, name=None)]
-        fresh = [r for r in got if now <= 0 or r[0] > now]
-        if fresh:
-            self.held.appendList([tuple(v.item() if hasattr(v, "item") else v for v in r) for r in fresh])
-            self._watch([min(r[0] for r in fresh)])
+        waiting = self._waiting()
+        first = None
+        for frame in rows:
+            got = (tuple(None if isinstance(v, float) and math.isnan(v) else v for v in r) for r in frame[[n for n, _ in self.columns]].itertuples(index=False, name=None))
+            fresh = [tuple(v.item() if hasattr(v, "item") else v for v in r) for r in got if now <= 0 or r[0] > now]
+            if fresh:
+                self._hold(waiting, fresh)
+                first = min(r[0] for r in fresh) if first is None else min(first, *(r[0] for r in fresh))
+        if first is not None:
+            self._wait(waiting)
+            self._watch([first])
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted((tuple(r) for r in self.held.get()), key=lambda r: r[:2]) if self.held.exists() else []
-        ready = [r for r in rows if r[0] <= now]
-        memory, out = self._remembered(), []
-        for r in ready:
-            memory = self.take(key, self.due(key, memory, r[0] - 1, out), r, out)
-        memory = self.due(key, memory, now, out)
-        if ready:
-            rest = rows[len(ready) :]
+        waiting, memory = self._waiting(), self._remembered()
+        passed_slots = sorted(s for s, (_, first) in waiting.items() if first <= now)
+        for slot in passed_slots:
+            out: list = []
+            rest = []
+            for r in self._let_go(waiting, slot):
+                if r[0] <= now:
+                    memory = self.take(key, self.due(key, memory, r[0] - 1, out), r, out)
+                else:
+                    rest.append(r)
             if rest:
-                self.held.put(rest)
-            else:
-                self.held.clear()
-        else:
-            rest = rows
+                self._hold(waiting, rest)
+            if out:
+                yield pd.DataFrame(out, columns=self.out)
+        out = []
+        memory = self.due(key, memory, now, out)
+        if passed_slots:
+            self._wait(waiting)
         if memory == self.start:
             self.state.clear()
         else:
             self.state.update(memory)
-        self._watch([rest[0][0] if rest else None, self.wakes(memory)])
+        self._watch([*(first for _, first in waiting.values()), self.wakes(memory)])
         if out:
             yield pd.DataFrame(out, columns=self.out)
 
