@@ -88,6 +88,55 @@ def test_suffix_dedup(spark, seed, hot):
     assert [got[i] for i in range(len(texts))] == brute_substrings(texts, 40)
 
 
+@pytest.mark.parametrize("words", [False, True])
+def test_suffix_anchors(words):
+    """Every window has one owner, equal windows have theirs at the same offset; of words only whole ones are looked at."""
+    r = random.Random(6)
+    src = [r.choice(["ab", "cde", "é", "x"]) for _ in range(300)]
+    texts = [None, "", " \n", "one", *[" ".join(src[i : i + r.randint(1, 200)]) for i in (r.randrange(250) for _ in range(12))], ""]
+    unit = op1.WORD_BYTES if words else 1
+    kind = op1.Kind(20 * unit, 5 * unit, words)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    symbols = [(t or "").split() if words else list((t or "").encode()) for t in texts]
+    owner = {}
+    for h, text, at, lo, hi in zip(*(x.tolist() for x in op1.anchors_of(batch, [kind])[0])):
+        assert at % unit == lo % unit == hi % unit == 0 and lo <= at <= lo + kind.length - kind.k and hi <= at
+        for start in range(lo, hi + 1, unit):
+            assert (text, start // unit) not in owner
+            owner[text, start // unit] = (h, at - start)
+    assert set(owner) == {(i, j) for i, s in enumerate(symbols) for j in range(len(s) - 19)} and len(owner) > 300
+    by_window = {}
+    for (i, j), got in owner.items():
+        assert by_window.setdefault(tuple(symbols[i][j : j + 20]), got) == got
+
+
+def test_suffix_anchor_cost():
+    """Looking for repeats of words costs a k-gram a word, not one for each byte that stands for it."""
+    seen = []
+    texts = [" ".join(f"w{i * 7 % 1000}" for i in range(2000))] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    with pytest.MonkeyPatch.context() as m:
+        real = op1.anchors
+        m.setattr(op1, "anchors", lambda p, *a: seen.append(len(p)) or real(p, *a))
+        op1.anchors_of(batch, [op1.Kind(51 * op1.WORD_BYTES, 16 * op1.WORD_BYTES, True)])
+    assert seen == [3 * 2000 + 1]
+
+
+def test_suffix_merged():
+    r = random.Random(8)
+    spans = [(r.randrange(6), a, a + r.randint(1, 9)) for a in (r.randrange(60) for _ in range(60))]
+    want = []
+    for row in range(6):
+        hit = np.zeros(80, bool)
+        for i, a, b in spans:
+            if i == row:
+                hit[a:b] = True
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(int)))
+        want += [(row, a, b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
+    assert list(zip(*(x.tolist() for x in op1.merged(*np.array(spans).T)))) == want
+    assert [len(x) for x in op1.merged(*np.zeros((3, 0), int))] == [0, 0, 0]
+
+
 def test_suffix_edges(spark):
     d = docs_of(spark, EDGE)
     assert op1.dedup(d).count() == len(EDGE) and op1.dedup(d.limit(0)).count() == 0

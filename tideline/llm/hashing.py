@@ -41,14 +41,19 @@ class Powers:
         return cls.up, cls.down
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """P with P[j] - P[i] the polynomial of data[i:j] times BASE**i."""
-    up, _ = Powers.get(len(data) + 1)
-    p = np.zeros(len(data) + 1, U)
-    np.cumsum(BYTE_VALUE[data] * up[: len(data)], out=p[1:])
+def sums(values: np.ndarray) -> np.ndarray:
+    """P with P[j] - P[i] the polynomial of values[i:j] times BASE**i."""
+    up, _ = Powers.get(len(values) + 1)
+    p = np.zeros(len(values) + 1, U)
+    np.cumsum(values * up[: len(values)], out=p[1:])
     return p
 
 
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """``sums`` of the bytes' values."""
+    return sums(BYTE_VALUE[data])
+
+
 def span_hashes(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of data[start:end] for arrays of bounds; depends on the bytes and nothing else."""
     _, down = Powers.get(len(p))
@@ -73,24 +78,27 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tup
     Words are stretches without the bytes 20 and 09 to 0D (hex), cut at text bounds; with
     ``lower``, A-Z count as a-z.
     """
-    if not len(raw):
-        return np.zeros(0, U), np.zeros(len(offsets), np.int64)
     data = raw
     if lower:
         data = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)
+    start, end, bounds = word_bounds(data, offsets)
+    return span_hashes(prefix_sums(data), start, end), bounds
+
+
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of all texts in order, and n + 1 bounds of the texts in them."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     solid = ~_SPACE[data]
-    begin = solid.copy()
+    begin, finish = solid.copy(), solid.copy()
     begin[1:] &= ~solid[:-1]
+    finish[:-1] &= ~solid[1:]
     inner = offsets[1:-1]
-    inner = inner[inner < len(data)]
+    inner = inner[(inner > 0) & (inner < len(data))]
     begin[inner] = solid[inner]
+    finish[inner - 1] = solid[inner - 1]
     start = np.flatnonzero(begin)
-    stop = ~solid
-    gap = np.concatenate([np.flatnonzero(stop), offsets[1:]])
-    gap.sort()
-    end = gap[np.searchsorted(gap, start, side="right")]
-    bounds = np.searchsorted(start, offsets)
-    return span_hashes(prefix_sums(data), start, end), bounds
+    return start, np.flatnonzero(finish) + 1, np.searchsorted(start, offsets)
 
 
 _ORDER = np.array([0x9FB21C651E98DF25, 0xA24BAED4963EE407, 0xC3A5C85C97CB3127, 0xB492B66FBE98F273, 0x9AE16A3B2F90404F], U)

@@ -24,8 +24,8 @@ WIDTH windows, keyed also by the bytes all these windows share; a part's key tha
 than HOT different contents is cut into single windows, and then a block is one exact string.
 
 Words. A passage can also be measured in words: each word becomes WORD_BYTES bytes of its
-hash, and the same steps run over these. White space between words doesn't count then. A
-window that is off the words' bounds repeats only if whole words do, so words that a span
+hash, and the same steps run over these; anchors are picked among whole words, so a text has one
+k-gram a word there. White space between words doesn't count then. A window that is off the words' bounds repeats only if whole words do, so words that a span
 covers in part are left out.
 
 Null and empty texts have no bytes and no spans; texts shorter than MIN_LENGTH are kept.
@@ -37,11 +37,12 @@ are read; empty tables give empty results. Texts are processed whole.
 from __future__ import annotations
 
 import hashlib
-import re
+import struct
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,12 +58,14 @@ WIDTH = 16
 PASSAGE = 51
 #: Bytes of contexts that are expanded together; an anchor's contexts are never parted.
 BLOCK_BYTES = 8 << 20
+#: Bytes of texts whose anchors are looked for at once: the arrays stay near the cores.
+ANCHOR_BYTES = 1 << 18
 #: Contexts a task remembers having sent.
 SEEN = 400_000
 #: Bytes a word counts where words are the unit, and words of the k-gram.
 WORD_BYTES = 6
 WORD_KGRAM = 16
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_PAIR = struct.Struct("<qq")
 
 
 class Kind(NamedTuple):
@@ -83,40 +86,52 @@ def units(b: pa.RecordBatch, words: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(h.view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES], 0xFE).ravel(), bounds * WORD_BYTES
 
 
-def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = MIN_LENGTH, k: int = KGRAM) -> tuple[np.ndarray, ...]:
-    """(hash, text, position in the text, first and last start of the windows it owns), in order."""
+def anchors(p: np.ndarray, offsets: np.ndarray, length: int = MIN_LENGTH, k: int = KGRAM) -> tuple[np.ndarray, ...]:
+    """(hash, text, position in the text, first and last start of the windows it owns), in order, of symbols with prefix sums ``p``."""
     span = length - k + 1
-    n = len(raw) - length + 1
+    n = len(p) - length
     if n <= 0 or (np.diff(offsets) < length).all():
         return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.int64))
-    p = H.prefix_sums(raw)
     _, down = H.Powers.get(len(p))
-    grams = len(raw) - k + 1
-    h = (p[k : k + grams] - p[:grams]) * down[:grams]
-    low = np.uint64(0xFFFFFFFF)
-    # 32 bits of hash order the k-grams, the place breaks ties to the right; both depend on content alone
-    key = ((h * np.uint64(0x9FB21C651E98DF25)) & ~low) | (low - np.arange(grams, dtype=np.uint64))
+    grams = len(p) - k
+    h = p[k:] - p[:grams]
+    h *= down[:grams]
     rows = -(-grams // span)
     padded = np.full(rows * span, ~np.uint64(0))
-    padded[:grams] = key
+    # 32 bits of hash order the k-grams, the place breaks ties to the right; both depend on content alone
+    key = padded[:grams]
+    np.multiply(h, np.uint64(0x9FB21C651E98DF25), out=key)
+    key |= np.uint64(0xFFFFFFFF)
+    key ^= np.arange(grams, dtype=np.uint64)
     padded = padded.reshape(rows, span)
     ahead = np.minimum.accumulate(padded, axis=1).ravel()
     back = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
-    best = np.minimum(back[:n], ahead[span - 1 : span - 1 + n])
-    # windows that stay inside their text
-    ok = np.zeros(n, bool)
+    at = (~np.minimum(back[:n], ahead[span - 1 : span - 1 + n])).astype(np.uint32)
+    # windows that stay inside their text, and where the owner or the text changes
+    ok, change = np.zeros(n, bool), np.ones(n + 1, bool)
+    np.not_equal(at[1:], at[:-1], out=change[1:-1])
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         if b - a >= length:
             ok[a : b - length + 1] = True
-    start = np.flatnonzero(ok)
-    at = (low - (best[start] & low)).astype(np.int64)
-    new = np.ones(len(start), bool)
-    new[1:] = (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(start)) - 1
-    text = np.searchsorted(offsets, start[first], side="right") - 1
-    base = offsets[text]
-    return H.mix(h[at[first]]), text, at[first] - base, start[first] - base, start[last] - base
+            change[a] = change[b - length + 1] = True
+    first, last = np.flatnonzero(change[:-1] & ok), np.flatnonzero(change[1:] & ok)
+    text = np.searchsorted(offsets, first, side="right") - 1
+    base, at = offsets[text], at[first].astype(np.int64)
+    return H.mix(h[at]), text, at - base, first - base, last - base
+
+
+def anchors_of(b: pa.RecordBatch, kinds: list[Kind]) -> list[tuple[np.ndarray, ...]]:
+    """The ``anchors`` of each kind, with places in its units; those of words are found among whole words."""
+    raw, offsets = H.buffers(b)
+    p, out = H.prefix_sums(raw), []
+    for kind in kinds:
+        if not kind.words:
+            out.append(anchors(p, offsets, kind.length, kind.k))
+            continue
+        start, end, bounds = H.word_bounds(raw, offsets)
+        h, text, *places = anchors(H.sums(H.span_hashes(p, start, end)), bounds, kind.length // WORD_BYTES, kind.k // WORD_BYTES)
+        out.append((h, text, *(x * WORD_BYTES for x in places)))
+    return out
 
 
 class RangeMin:
@@ -202,13 +217,19 @@ def expand(group: np.ndarray, data: np.ndarray, start: np.ndarray, left: np.ndar
     return marks
 
 
-def spans_of(marks: np.ndarray, length: int = MIN_LENGTH) -> list[tuple[int, int]]:
-    """Maximal runs covered by windows that start at the given sorted places."""
-    if not len(marks):
-        return []
-    cut = np.flatnonzero(np.diff(marks) > length)
-    first, last = np.append(marks[:1], marks[cut + 1]), np.append(marks[cut], marks[-1:]) + length
-    return list(zip(first.tolist(), last.tolist()))
+def merged(row: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, last), in order: the maximal runs of each row's overlapping or touching spans."""
+    if not len(row):
+        return row, first, last
+    stride = int(last.max()) + 2
+    order = np.lexsort((first, row))
+    base = row[order] * stride
+    first, end = first[order] + base, np.maximum.accumulate(last[order] + base)
+    new = np.ones(len(first), bool)
+    new[1:] = first[1:] > end[:-1]
+    at = np.flatnonzero(new)
+    base = base[at]
+    return row[order][at], first[at] - base, end[np.append(at[1:], len(first)) - 1] - base
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -223,17 +244,17 @@ def _anchor_rows(src: DataFrame, kinds: list[Kind]) -> DataFrame:
     names = ["doc_id", "th", "kind", "h", "at", "lo", "hi"]
 
     def make():
-        def one(b: pa.RecordBatch, i: int, kind: Kind) -> pa.RecordBatch:
-            h, text, at, lo, hi = anchors(*units(b, kind.words), kind.length, kind.k)
+        def one(b: pa.RecordBatch, i: int, found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+            h, text, at, lo, hi = found
             pick = pa.array(text)
             return C.records(names, [b.column(0).take(pick), b.column(1).take(pick), np.full(len(h), i), H.mix(h + np.uint64(i)).view(np.int64), at, lo, hi], [None, None, *[pa.int64()] * 5])
 
-        return lambda b: pa.Table.from_batches([one(b, i, kind) for i, kind in enumerate(kinds)]).combine_chunks().to_batches()
+        return lambda b: pa.Table.from_batches([one(b, i, found) for i, found in enumerate(anchors_of(b, kinds))]).combine_chunks().to_batches()
 
     def run(batches):
         work = make()
         for batch in batches:
-            for part in C.slices(batch):
+            for part in C.slices(batch, ANCHOR_BYTES):
                 yield from (x for x in work(part) if x.num_rows)
 
     src.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", C.ARROW_ROWS)
@@ -242,8 +263,7 @@ def _anchor_rows(src: DataFrame, kinds: list[Kind]) -> DataFrame:
 
 def _ids(content: bytes, key: int, left: int) -> tuple[int, int]:
     """128 bits that stand for a content under its key, with its anchor ``left`` bytes in."""
-    d = hashlib.blake2b(content, digest_size=16, key=(key & (1 << 64) - 1).to_bytes(8, "little"), salt=left.to_bytes(8, "little")).digest()
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+    return _PAIR.unpack(hashlib.blake2b(_PAIR.pack(key, left) + content, digest_size=16).digest())
 
 
 def _contexts(docs: DataFrame, kinds: list[Kind]) -> DataFrame:
@@ -252,27 +272,43 @@ def _contexts(docs: DataFrame, kinds: list[Kind]) -> DataFrame:
     names = ["doc_id", "th", "kind", "lo", "h", "hot", "c1", "c2", "lft", "sent", "bytes"]
 
     def make():
-        seen: dict[tuple[int, int], int] = {}
+        seen: dict[bytes, int] = {}
 
         def work(b: pa.RecordBatch) -> pa.RecordBatch | None:
-            raws = [(raw.tobytes(), offsets) for raw, offsets in (units(b, kind.words) for kind in kinds)]
-            cols: list[list] = [[] for _ in names]
-            for row, (doc_id, th, owned) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist())):
-                for i, at, lo, hi, h, hot in {(o["kind"], o["at"], o["lo"], o["hi"], o["h"], o["hot"]) for o in owned}:
-                    raw, offsets = raws[i]
-                    base = int(offsets[row])
-                    content = raw[base + lo : base + hi + kinds[i].length]
-                    cid = _ids(content, h, at - lo)
+            owned = b.column(3)
+            row = np.repeat(np.arange(b.num_rows), owned.value_lengths().to_numpy(zero_copy_only=False))
+            kind, at, lo, hi, h, hot = (x.to_numpy(zero_copy_only=False) for x in owned.flatten().flatten())
+            # repeated rows have the same anchors several times
+            order = np.lexsort((lo, kind, row))
+            row, kind, at, lo, hi, h, hot = (x[order] for x in (row, kind, at, lo, hi, h, hot))
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (kind[1:] != kind[:-1]) | (lo[1:] != lo[:-1])
+            row, kind, at, lo, hi, h, hot = (x[new] for x in (row, kind, at, lo, hi, h, hot))
+            contents: list[bytes | None] = [None] * len(row)
+            ids, sent = [b""] * len(row), np.ones(len(row), bool)
+            heads = np.stack([h, at - lo], axis=1).astype("<i8").tobytes()
+            for i, k in enumerate(kinds):
+                mine = np.flatnonzero(kind == i)
+                if not len(mine):
+                    continue
+                raw, offsets = units(b, k.words)
+                raw, base = raw.tobytes(), offsets[row[mine]]
+                for j, first, last in zip(mine.tolist(), (base + lo[mine]).tolist(), (base + hi[mine] + k.length).tolist()):
+                    content = raw[first:last]
+                    ids[j] = cid = hashlib.blake2b(heads[16 * j : 16 * j + 16] + content, digest_size=16).digest()
                     times = seen.get(cid, 0)
-                    if times < 2:
-                        if len(seen) >= SEEN and times == 0:
+                    if times == 2:
+                        sent[j] = False
+                        continue
+                    if times == 0:
+                        if len(seen) >= SEEN:
                             seen.clear()
-                        seen[cid] = times + 1
-                    for c, v in zip(cols, (doc_id, th, i, lo, h, hot, *cid, at - lo, times < 2, content if times == 0 else None)):
-                        c.append(v)
-            if not cols[0]:
-                return None
-            return C.records(names, cols, [b.schema.field(0).type, *[pa.int64()] * 4, pa.bool_(), *[pa.int64()] * 3, pa.bool_(), pa.binary()])
+                        contents[j] = content
+                    seen[cid] = times + 1
+            c = np.frombuffer(b"".join(ids), "<i8").reshape(-1, 2)
+            pick = pa.array(row)
+            cols = [b.column(0).take(pick), b.column(1).take(pick), kind, lo, h, hot.astype(bool), c[:, 0], c[:, 1], at - lo, sent, contents]
+            return C.records(names, cols, [None, *[pa.int64()] * 4, pa.bool_(), *[pa.int64()] * 3, pa.bool_(), pa.binary()])
 
         return work
 
@@ -329,22 +365,25 @@ def _expand_rows(sent: DataFrame, length: int) -> DataFrame:
                 x[0] += n
                 if content is not None:
                     x[2] = content
-            items = list(by.items())
-            group = np.unique(np.array([k[0] for k, _ in items], np.int64), return_inverse=True)[1]
-            data = np.frombuffer(b"".join(v[2] for _, v in items), np.uint8)
-            sizes = np.array([len(v[2]) for _, v in items])
-            start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            marks = expand(group, data, start, np.array([v[1] for _, v in items]), sizes, length)
-            out = [[], [], []]
-            for (k, v), s, n in zip(items, start.tolist(), sizes.tolist()):
-                found = [(0, n)] if v[0] > 1 else spans_of(np.flatnonzero(marks[s : s + n]), length)
-                if found:
-                    out[0].append(k[1])
-                    out[1].append(k[2])
-                    out[2].append([{"a": a, "b": b} for a, b in found])
-            if not out[0]:
+            keys, (times, lefts, contents) = list(by), zip(*by.values())
+            group = np.unique(np.array([k[0] for k in keys], np.int64), return_inverse=True)[1]
+            data = np.frombuffer(b"".join(contents), np.uint8)
+            sizes = np.array([len(c) for c in contents])
+            bounds = np.concatenate([[0], np.cumsum(sizes)])
+            place = np.flatnonzero(expand(group, data, bounds[:-1], np.array(lefts), sizes, length))
+            whole = np.flatnonzero(np.array(times) > 1)
+            # a content that came twice is a span as a whole, whatever is marked in it
+            row = np.searchsorted(bounds, place, side="right") - 1
+            single = ~np.isin(row, whole)
+            row, place = row[single], place[single] - bounds[row[single]]
+            row, first, last = merged(np.concatenate([row, whole]), np.concatenate([place, whole * 0]), np.concatenate([place + length, sizes[whole]]))
+            if not len(row):
                 return None
-            return C.records(["c1", "c2", "spans"], out, [pa.int64(), pa.int64(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))])
+            found, count = np.unique(row, return_counts=True)
+            ids = [keys[i] for i in found.tolist()]
+            spans = pa.StructArray.from_arrays([pa.array(first), pa.array(last)], ["a", "b"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), spans)
+            return C.records(["c1", "c2", "spans"], [[k[1] for k in ids], [k[2] for k in ids], lists], [pa.int64(), pa.int64(), None])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -423,17 +462,6 @@ def repeated_spans(docs: DataFrame, kinds: list[Kind], hot: int = HOT) -> DataFr
     return out
 
 
-def merge(spans: list) -> list[tuple[int, int]]:
-    """Maximal runs of overlapping or touching spans."""
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
 def cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     out, at = [], 0
     for a, b in spans:
@@ -450,17 +478,44 @@ def _with_spans(docs: DataFrame, length: int, k: int, hot: int, words: int = 0)
     return docs.join(spans, (F.coalesce("doc_id", F.lit(0).cast(id_type)) == F.col("_id")) & (F.xxhash64("text", F.col("doc_id").isNull()) == F.col("_th")), "left").drop("_id", "_th")
 
 
-def _runs(found) -> list[tuple[int, int]]:
-    return merge([(s["a"], s["b"]) for s in found]) if found else []
+def _spans(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, a, b) of a column of spans."""
+    row = np.repeat(np.arange(len(col)), pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False))
+    a, b = (x.to_numpy(zero_copy_only=False) for x in col.flatten().flatten())
+    return row, a, b
+
+
+def _runs(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of bytes that repeat: (row, first, last)."""
+    return merged(*_spans(b.column("_spans")))
+
+
+def _word_runs(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of ``units`` as bytes of the texts: from a word's start to the start of the first word that stays."""
+    row, first, last = merged(*_spans(b.column("_word_spans")))
+    if not len(row):
+        return row, first, last
+    some, at = np.unique(row, return_inverse=True)
+    raw, offsets = H.buffers(b.select(["text"]).take(pa.array(some)))
+    start, _, bounds = H.word_bounds(raw, offsets)
+    first, last = bounds[at] - (-first // WORD_BYTES), bounds[at] + last // WORD_BYTES
+    ends = np.where(last < bounds[at + 1], np.append(start, 0)[last], offsets[at + 1])
+    return row, start[first] - offsets[at], ends - offsets[at]
 
 
-def _word_runs(raw: bytes, found) -> list[tuple[int, int]]:
-    """Spans of ``units`` as bytes of the text: from a word's start to the start of the first word that stays."""
-    runs = _runs(found)
-    if not runs:
-        return []
-    starts = [x.start() for x in _WORD.finditer(raw)] + [len(raw)]
-    return [(starts[-(-a // WORD_BYTES)], starts[b // WORD_BYTES]) for a, b in runs]
+def _totals(row: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n, np.int64)
+    np.add.at(out, row, size)
+    return out
+
+
+def _cut(raw: bytes, offsets: np.ndarray, runs: tuple[np.ndarray, np.ndarray, np.ndarray]) -> dict[int, bytes]:
+    """What is left of the rows that have runs."""
+    row, first, last = runs
+    some, at = np.unique(row, return_index=True)
+    spans = list(zip(first.tolist(), last.tolist()))
+    bounds = [*at.tolist(), len(spans)]
+    return {r: cut(raw[offsets[r] : offsets[r + 1]], spans[i:j]) for r, i, j in zip(some.tolist(), bounds[:-1], bounds[1:])}
 
 
 def dedup(docs: DataFrame, length: int = MIN_LENGTH, k: int = KGRAM, hot: int = HOT, words: int = 0) -> DataFrame:
@@ -473,15 +528,17 @@ def dedup(docs: DataFrame, length: int = MIN_LENGTH, k: int = KGRAM, hot: int =
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_passages", "n_passage_bytes"]
 
     def make():
-        def one(text: str, found, of_words) -> tuple:
-            raw, runs = text.encode("utf-8"), _runs(found)
-            passages = _word_runs(raw, of_words)
-            return len(raw), sum(b - a for a, b in runs), len(runs), cut(raw, runs), len(passages), sum(b - a for a, b in passages)
-
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
-            of_words = b.column(3).to_pylist() if words else [None] * b.num_rows
-            rows = [one(t, s, w) for t, s, w in zip(C.texts_of(b), b.column(2).to_pylist(), of_words)]
-            return C.records(names, [b.column(0), *zip(*rows)], [None, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()])
+            n = b.num_rows
+            raw, offsets = H.buffers(b)
+            raw = raw.tobytes()
+            runs = row, first, last = _runs(b)
+            left = _cut(raw, offsets, runs)
+            kept = [left[i] if i in left else raw[x:y] for i, (x, y) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist()))]
+            of_words = _word_runs(b) if words else (row[:0], first[:0], last[:0])
+            counts = [x for r, f, e in (runs, of_words) for x in (_totals(r, e - f, n), np.bincount(r, minlength=n))]
+            cols = [b.column(0), np.diff(offsets), counts[0], counts[1], kept, counts[3], counts[2]]
+            return C.records(names, cols, [None, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()])
 
         return work
 
@@ -496,18 +553,14 @@ def clean(docs: DataFrame, length: int = MIN_LENGTH, k: int = KGRAM, hot: int =
     """
 
     def make():
-        def one(text: str | None, found, of_words) -> str | None:
-            if text is None or not (found or of_words):
-                return text
-            raw = text.encode("utf-8")
-            return cut(raw, merge(_runs(found) + _word_runs(raw, of_words))).decode("utf-8", "ignore")
-
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
             at = b.schema.get_field_index("text")
-            found = [b.column(b.schema.get_field_index(name)) for name in added]
-            if any(x.null_count < len(x) for x in found):
-                spans = [x.to_pylist() for x in found] + [[None] * b.num_rows] * (2 - len(found))
-                texts = [one(t, *s) for t, *s in zip(b.column(at).to_pylist(), *spans)]
+            runs = [of(b) for name, of in zip(added, (_runs, _word_runs)) if b.column(name).null_count < b.num_rows]
+            if any(len(x[0]) for x in runs):
+                raw, offsets = H.buffers(b)
+                texts = b.column(at).to_pylist()
+                for i, left in _cut(raw.tobytes(), offsets, merged(*map(np.concatenate, zip(*runs)))).items():
+                    texts[i] = left.decode("utf-8", "ignore")
                 b = b.set_column(at, "text", pa.array(texts, pa.string()))
             return b.drop_columns(added)
 
