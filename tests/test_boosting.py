@@ -68,6 +68,62 @@ def test_many_fits_equal_single_ones(spark, data, monkeypatch, direct):
     assert slope > 0 and abs(sum(1 / (1 + np.exp(-(slope * got[i] + shift))) for i in range(300)) - y.sum()) < 0.5
 
 
+@pytest.mark.parametrize("least,direct,codes", [(1, 64, 1024), (10_000, 0, 1024), (1, 0, 8)])
+def test_dealt_fits_of_copied_rows_equal_single_ones(spark, data, monkeypatch, least, direct, codes):
+    """Rows with the same bins are kept once, in blocks of one set of fits or of several."""
+    x, y = data
+    for name, value in (("SAVE", 3), ("DIRECT", direct), ("WHOLE_ROWS", 0), ("LEAST_ROWS", least), ("BLOCK_ROWS", 50), ("CODES", codes)):
+        monkeypatch.setattr(B, name, value)
+    times = np.arange(300) % 4 + 1
+    df = spark.createDataFrame([(i, *map(float, x[i]), int(y[i])) for i in range(300) for _ in range(times[i])], "id long, a double, b double, c double, d double, y int").repartition(3)
+    models = B.fit(df, COLUMNS, "y", [F.lit(True), F.col("id") % 3 != 0, F.col("id") % 5 == 0, F.col("id") < 0], trees=7, depth=3, rate=0.3)
+    every = np.repeat(np.arange(300), times)
+    for model, use in zip(models, (every >= 0, every % 3 != 0, every % 5 == 0)):
+        rows = every[use]
+        assert np.allclose(model.margin(x[rows]), plain_fit(x[rows], y[rows], model.edges, 7, 3, 0.3))
+        assert all(t.cover[0] == len(rows) for t in model.trees)
+    assert np.allclose(models[3].margin(x), models[3].start)
+
+
+def test_few_different_rows_take_few_jobs(spark, monkeypatch):
+    """However many trees there are and however often a row occurs."""
+    saved, real = [], B.Workspace.save
+    monkeypatch.setattr(B.Workspace, "save", lambda self, df: saved.append(real(self, df)) or saved[-1])
+    df = spark.range(30_000).select((F.col("id") % 30).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+
+    def jobs(trees):
+        group = f"boosting-{trees}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            B.fit(df, ["a", "b"], "y", [F.lit(True), F.col("a") < 20], trees=trees)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(2) == jobs(12) < 20
+    assert saved[-1].agg(F.sum("n"), F.sum("size")).first()[:] == (30_000, 210)
+
+
+def test_margins_only_where_they_are_asked_for(spark, data, monkeypatch):
+    """Whatever batches the rows come in."""
+    x, y = data
+    df = spark.createDataFrame([(i, *map(float, x[i]), int(y[i])) for i in range(300)], "id long, a double, b double, c double, d double, y int")
+    one, two = B.fit(df, COLUMNS, "y", [F.lit(True), F.col("id") % 2 == 0], trees=3, rate=0.3)
+    monkeypatch.setattr(B, "BATCH_ROWS", 100)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        scored = B.margins(df, {"p": one, "q": two, "r": two}, {"q": F.col("id") % 3 == 0, "r": F.lit(None).cast("boolean")})
+        got = {r.id: (r.p, r.q, r.r) for r in scored.collect()}
+        curves = B.platts(scored, ["p", "q", "r"], "y")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert scored.columns == [*df.columns, "p", "q", "r"] and len(got) == 300
+    p, q = one.margin(x), two.margin(x)
+    assert all(math.isclose(got[i][0], p[i]) and got[i][2] is None and (math.isclose(got[i][1], q[i]) if i % 3 == 0 else got[i][1] is None) for i in range(300))
+    assert np.allclose(curves[:2], [B.platt(scored, "p", "y"), B.platt(scored.where("q is not null"), "q", "y")]) and curves[2] == (1.0, 0.0)
+
+
 def conditional(t, b, known, i=0):
     """The tree's value where features outside ``known`` follow the rows' shares."""
     f = t.feature[i]

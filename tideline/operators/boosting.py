@@ -3,10 +3,13 @@
 Cross-validated calibration and leave-one-group-out validation fit the same rows again and again with some of them left
 out. Here all fits grow level by level together: one pass over the rows adds up the gradient histograms of every fit's
 nodes, so the number of jobs is that of a single fit. Of two siblings only the one with fewer rows is added up, the other
-is what it leaves of their parent. Rows are kept as blocks of binned features, a feature after the other, dealt over all cores; each
-has the margins of all fits, which are brought up to date with the trees of the last SAVE rounds in the task and
-written anew every SAVE rounds, so neither lineage nor work grows with the trees. Rows find their leaves by a comparison of a
-whole column with each node's edge.
+is what it leaves of their parent. Rows that have the same bins and take part in the same fits are one row that counts as
+often. Rows are kept as blocks of binned features, a feature after the other, dealt over all cores; those of a block take
+part in the same fits where there are enough of them, and a block has the margins of these fits only. Features with few bins
+share a code, whose sums are taken apart once a task. Rows find their leaves by a comparison of a whole column with each
+node's edge. The blocks are persisted with the margins of each round, so no round goes through the trees before it, and
+written every SAVE rounds, so lineage does not grow with the trees. Up to WHOLE_ROWS different rows are few enough to be
+broadcast: then each fit is a task of its own, and there is a single job.
 
 Loss is the logistic one; splits take the largest reduction of squared residuals between the quantile edges of a
 feature, leaves the Newton step times the rate. Ties go to the first feature and the lowest edge.
@@ -20,10 +23,11 @@ lead a row to the leaf, so each leaf has a table of them, made once.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,10 +35,16 @@ from pyspark.sql import types as T
 from ..workspace import Workspace
 
 BINS = 64
-BLOCK_ROWS = 1 << 16
+BATCH_ROWS = 1 << 16
+#: Rows of a block, and rows from which on a block may be of one set of fits.
+BLOCK_ROWS, LEAST_ROWS = 1 << 15, 1 << 10
 #: Rows that are worth a task of their own.
 TASK_ROWS = 1 << 12
-#: Rounds between two writes of the margins; blocks above which histograms meet in tasks before they meet in the driver.
+#: Different rows up to which a fit is a task.
+WHOLE_ROWS = 1 << 18
+#: Combined bins of the features that share a code.
+CODES = 1 << 10
+#: Rounds between two writes of the margins; tasks above which histograms meet in tasks before they meet in the driver.
 SAVE, DIRECT = 25, 64
 
 
@@ -97,8 +107,10 @@ class Boosted:
         return self.columns_of(x).T
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        b = self.columns_of(x)
-        return self.start + sum((t.values(b) for t in self.trees), np.zeros(len(x)))
+        return self.margin_of(self.columns_of(x))
+
+    def margin_of(self, b: np.ndarray) -> np.ndarray:
+        return self.start + sum((t.values(b) for t in self.trees), np.zeros(b.shape[1]))
 
     def attributions(self, x: np.ndarray) -> tuple[np.ndarray, float]:
         """(rows, features) Shapley values of the margin, and the value without any feature."""
@@ -181,9 +193,128 @@ def _split(g: np.ndarray, n: np.ndarray) -> tuple[float, int, int]:
     return float(gain.flat[at]), at // gain.shape[1], at % gain.shape[1]
 
 
+class Codes:
+    """Features in groups of few combined bins: a row has one code a group, and sums by code give those by bin."""
+
+    def __init__(self, widths: list[int]):
+        self.widths, self.groups = widths, []
+        for f in sorted(range(len(widths)), key=lambda f: (-widths[f], f)):
+            group = next((g for g in self.groups if math.prod(widths[j] for j in g) * widths[f] <= CODES), None)
+            if group is None:
+                self.groups.append([f])
+            else:
+                group.append(f)
+        sizes = [math.prod(widths[f] for f in g) for g in self.groups]
+        self.spans = [(sum(sizes[:j]), size) for j, size in enumerate(sizes)]
+        self.size = sum(sizes)
+        self.inside = np.arange(max(widths)) < np.array(widths)[:, None]
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """(groups, rows) codes of (features, rows) bins, as whole words to add by."""
+        out = np.zeros((len(self.groups), x.shape[1]), np.uint16)
+        for j, g in enumerate(self.groups):
+            for f in g:
+                out[j] *= np.uint16(self.widths[f])
+                out[j] += x[f]
+        return out.astype(np.intp)
+
+    def empty(self, nodes: int) -> tuple[np.ndarray, np.ndarray]:
+        """For ``tally``: residuals and curvatures as the two parts of a number, and rows; of a group its nodes, of a node its codes."""
+        return np.zeros(nodes * self.size, complex), np.zeros(nodes * self.size)
+
+    def bins(self, tallied: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """(3, nodes, bins) residuals, curvatures and rows by bin, a feature after the other."""
+        both, n = tallied
+        sums, nodes = np.stack([both.real, both.imag, n]), len(n) // self.size
+        out = np.zeros((3, nodes, *self.inside.shape))
+        for g, (first, size) in zip(self.groups, self.spans):
+            cube = sums[:, nodes * first : nodes * (first + size)].reshape(3, nodes, *[self.widths[f] for f in g])
+            for j, f in enumerate(g):
+                out[:, :, f, : self.widths[f]] = cube.sum(axis=tuple(2 + i for i in range(len(g)) if i != j))
+        return out[:, :, self.inside]
+
+    def padded(self, sums: np.ndarray) -> np.ndarray:
+        """The same sums as (features, bins) in the last axes."""
+        out = np.zeros((*sums.shape[:-1], *self.inside.shape))
+        out[..., self.inside] = sums
+        return out
+
+    def tally(self, out: tuple[np.ndarray, np.ndarray], tree: Tree, asked: list[int], counted: bool, x: np.ndarray, codes: np.ndarray, n: np.ndarray, s: np.ndarray, m: np.ndarray, on: np.ndarray | None) -> None:
+        """Adds to ``out`` the residuals, the curvatures and, if they are to be ``counted``, the rows of the asked nodes.
+
+        A row counts ``n`` times, ``s`` is the sum of its labels and ``m`` its margin; rows outside ``on`` take no part.
+        """
+        if asked == [0] and on is None:
+            rows, first = None, 0
+        else:
+            slot = np.full(len(tree.feature), -1)
+            slot[asked] = np.arange(len(asked))
+            at = np.take(slot[tree.ends()], tree.paths(x))
+            rows = np.flatnonzero(at >= 0 if on is None else on & (at >= 0))
+            if not len(rows):
+                return
+            first, n, s, m = at[rows], n[rows], s[rows], m[rows]
+        p = _sigmoid(m)
+        h = n * p
+        both = np.empty(len(h), complex)
+        both.real, both.imag = s - h, h * (1 - p)
+        nodes = len(asked)
+        for c, (start, size) in zip(codes, self.spans):
+            cells, own = c if rows is None else first * size + np.take(c, rows), slice(nodes * start, nodes * (start + size))
+            np.add.at(out[0][own], cells, both)
+            if counted:
+                out[1][own] += np.bincount(cells, n, nodes * size)
+
+
+def _round(k: int, depth: int, rate: float, sums: Callable[[list[Tree], list[list[int]], bool], list[np.ndarray]], roots: dict[int, np.ndarray]) -> list[Tree]:
+    """One more tree of each of ``k`` fits; ``sums`` are residuals, curvatures and rows by fit, of its asked nodes by (features, bins).
+
+    ``roots`` holds the rows by fit of the first node, which are the same in every round.
+    """
+    current = [Tree(depth) for _ in range(k)]
+    # of each fit the nodes of the level that may be split; of siblings, (the one that is added up, the other one)
+    pairs: list[list[tuple[int, int | None]]] = [[(0, None)] for _ in range(k)]
+    known: list[dict[int, np.ndarray]] = [{} for _ in range(k)]
+    for level in range(depth):
+        if not any(pairs):
+            break
+        total = sums(current, [[node for node, _ in p] for p in pairs], level > 0 or not roots)
+        if level == 0:
+            for i in range(k):
+                total[i][2, 0] = roots.setdefault(i, total[i][2, 0].copy())
+        for i in range(k):
+            t, before = current[i], known[i]
+            known[i], after = {}, []
+            for j, (node, other) in enumerate(pairs[i]):
+                known[i][node] = total[i][:, j]
+                if other is not None:
+                    known[i][other] = before[(node - 1) // 2] - total[i][:, j]
+            for node, (g, h, n) in sorted(known[i].items()):
+                if level == 0:
+                    t.cover[0], t.value[0] = n[0].sum(), rate * g[0].sum() / max(1e-12, h[0].sum())
+                if not n[0].sum():
+                    continue
+                gain, f, e = _split(g, n)
+                if gain <= 1e-9:
+                    continue
+                t.feature[node], t.edge[node] = f, e
+                low, high = 2 * node + 1, 2 * node + 2
+                for child, part in ((low, slice(0, e + 1)), (high, slice(e + 1, None))):
+                    t.cover[child], t.value[child] = n[f, part].sum(), rate * g[f, part].sum() / max(1e-12, h[f, part].sum())
+                after.append((low, high) if t.cover[low] <= t.cover[high] else (high, low))
+            pairs[i] = after
+    return current
+
+
+#: A block: the input rows it stands for, its different rows, the fits it takes part in, who of its rows does in which (empty: all), bins, how often each row counts, sums of labels, margins (empty: those at the start).
+BLOCK = "n long, size int, fits binary, uses binary, x binary, count binary, label binary, m binary"
+
+
 def fit(rows: DataFrame, columns: list[str], label: str, parts: list[Column], trees: int = 200, depth: int = 4, rate: float = 0.05, bins: int = BINS) -> list[Boosted]:
     """One fit for each of ``parts``: a condition that says which rows it learns from. Rows without a label take no part; null features count as 0."""
     spark, k, d = rows.sparkSession, len(parts), len(columns)
+    if not k:
+        return []
     data = rows.where(F.col(label).isNotNull()).select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns], F.col(label).cast("double").alias("_y"), *[F.coalesce(p, F.lit(False)).alias(f"_p{i}") for i, p in enumerate(parts)])
     work = Workspace(spark, "boosting")
     data = work.save(data)
@@ -193,122 +324,158 @@ def fit(rows: DataFrame, columns: list[str], label: str, parts: list[Column], tr
     for i in range(k):
         share = min(1 - 1e-6, max(1e-6, (sums[f"s{i}"] or 0.0) / max(1, sums[f"n{i}"])))
         starts.append(math.log(share / (1 - share)))
-    width = max(len(e) for e in edges) + 1 if edges else 1
+    joint = Codes([len(e) + 1 for e in edges])
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts(a: np.ndarray) -> pa.Array:
+        """(rows, bytes) as one binary a row."""
+        a = np.ascontiguousarray(a, np.uint8)
+        return pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(np.arange(0, a.size + 1, a.shape[1], np.int32)), pa.py_buffer(a)])
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Boosted(columns, edges, 0.0, [])
         for b in batches:
-            x = model.columns_of(np.column_stack([b.column(j).to_numpy() for j in range(d)]) if d else np.zeros((b.num_rows, 0)))
-            use = np.stack([b.column(d + 1 + i).to_numpy(zero_copy_only=False) for i in range(k)])
-            margin = np.repeat(np.array(starts)[:, None], b.num_rows, axis=1)
-            yield pa.record_batch([pa.array([v]) for v in (b.num_rows, x.tobytes(), b.column(d).to_numpy().tobytes(), use.tobytes(), margin.tobytes())], names=["n", "x", "y", "use", "m"])
+            if b.num_rows:
+                x = model.bins(np.column_stack([b.column(j).to_numpy() for j in range(d)]))
+                uses = np.stack([b.column(d + 1 + i).to_numpy(zero_copy_only=False) for i in range(k)], axis=1)
+                some = np.flatnonzero(uses.any(axis=1))
+                yield pa.record_batch([texts(uses[some]), texts(x[some]), b.column(d).take(pa.array(some))], names=["uses", "x", "y"])
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            uses, x, count, labels = matrix(b.column(0)).astype(bool), matrix(b.column(1)), b.column(2).to_numpy().astype(float), b.column(3).to_numpy()
+            start = 0
+            for end in [*(np.flatnonzero((uses[1:] != uses[:-1]).any(axis=1)) + 1).tolist(), b.num_rows]:
+                if end - start < LEAST_ROWS and end < b.num_rows:
+                    continue
+                for at in range(start, end, BLOCK_ROWS):
+                    own = slice(at, min(end, at + BLOCK_ROWS))
+                    fits = np.flatnonzero(uses[own].any(axis=0))
+                    on = uses[own][:, fits].T
+                    row = (int(count[own].sum()), len(x[own]), fits.astype(np.int32).tobytes(), b"" if on.all() else on.tobytes(), x[own].T.tobytes(), count[own].tobytes(), labels[own].tobytes(), b"")
+                    yield pa.record_batch([pa.array([row[0]]), pa.array([row[1]], pa.int32()), *[pa.array([v], pa.binary()) for v in row[2:]]], names=[c.split()[0] for c in BLOCK.split(", ")])
+                start = end
 
-    schema = "n long, x binary, y binary, use binary, m binary"
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BLOCK_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     try:
         spread = max(1, min(spark.sparkContext.defaultParallelism, sums["rows"] // TASK_ROWS))
-        held = work.save(data.repartition(spread).mapInArrow(blocks, schema))
+        different = data.mapInArrow(binned, "uses binary, x binary, y double").groupBy("uses", "x").agg(F.count("*").alias("n"), F.sum("y").alias("s"))
+        held = work.save(different.repartition(spread).sortWithinPartitions("uses").mapInArrow(blocks, BLOCK))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
-    def opened(b: pa.RecordBatch, grown: list[list[Tree]]) -> Iterator[tuple]:
-        for r in b.to_pylist():
-            n = r["n"]
-            x, y = np.frombuffer(r["x"], np.uint8).reshape(d, n), np.frombuffer(r["y"])
-            m = np.frombuffer(r["m"]).reshape(k, n).copy()
-            for i in range(k):
-                for t in grown[i]:
-                    m[i] += t.values(x)
-            yield r, x, y, np.frombuffer(r["use"], bool).reshape(k, n), m
+    def opened(r) -> tuple:
+        x = np.frombuffer(r["x"], np.uint8).reshape(d, r["size"])
+        fits = np.frombuffer(r["fits"], np.int32)
+        uses = np.frombuffer(r["uses"], bool).reshape(len(fits), -1) if r["uses"] else None
+        m = np.frombuffer(r["m"]).reshape(len(fits), -1) if r["m"] else np.repeat(np.array(starts)[fits][:, None], r["size"], axis=1)
+        return r["n"], fits, uses, x, np.frombuffer(r["count"]), np.frombuffer(r["label"]), m
 
-    def updated(shared):
-        def run(batches):
-            for b in batches:
-                out = [{**r, "m": m.tobytes()} for r, _, _, _, m in opened(b, shared.value)]
-                yield pa.RecordBatch.from_pylist(out, b.schema)
+    def closed(block: tuple) -> tuple:
+        n, fits, uses, x, count, labels, m = block
+        return n, x.shape[1], fits.tobytes(), b"" if uses is None else uses.tobytes(), x.tobytes(), count.tobytes(), labels.tobytes(), m.tobytes()
 
-        return run
+    grow = _whole if (held.agg(F.sum("size")).first()[0] or 0) <= WHOLE_ROWS else _dealt
+    done = grow(work, held, opened, closed, joint, starts, trees, depth, rate)
+    return [Boosted(columns, edges, starts[i], done[i]) for i in range(k)]
 
-    def histograms(shared, count: int):
-        """Sums of residuals, curvatures and rows by fit, asked node (``count`` at most), feature and bin."""
 
-        def run(batches):
-            grown, current, asked = shared.value
-            total = np.zeros((3, k, count, d, width))
-            slots = []
-            for i in range(k):
-                slot = np.full(len(current[i].feature), -1)
-                slot[asked[i]] = np.arange(len(asked[i]))
-                slots.append(slot[current[i].ends()])
-            for b in batches:
-                for _, x, y, use, m in opened(b, grown):
-                    for i in range(k):
-                        if not asked[i]:
-                            continue
-                        at = np.take(slots[i], current[i].paths(x))
-                        rows_ = np.flatnonzero(use[i] & (at >= 0))
-                        p, first = _sigmoid(m[i, rows_]), at[rows_] * width
-                        g, h = y[rows_] - p, p * (1 - p)
-                        for f in range(d):
-                            cells = first + np.take(x[f], rows_)
-                            for s, w in enumerate((g, h, None)):
-                                total[s, i, :, f] += np.bincount(cells, w, count * width).reshape(count, width)
-            yield pa.record_batch([pa.array(range(k), pa.int32()), pa.array([total[:, i].tobytes() for i in range(k)])], names=["fit", "sums"])
+def _whole(work: Workspace, held: DataFrame, opened: Callable, closed: Callable, joint: Codes, starts: list[float], trees: int, depth: int, rate: float) -> list[list[Tree]]:
+    """The trees by fit, where the blocks are small enough for a broadcast: a task a fit."""
+    sc = work.spark.sparkContext
+    shared = sc.broadcast([r.asDict() for r in held.collect()])
+
+    def run(i: int) -> list[Tree]:
+        own = []
+        for _, fits, uses, x, count, labels, m in map(opened, shared.value):
+            for j in np.flatnonzero(fits == i):
+                on = slice(None) if uses is None else uses[j]
+                own.append((x[:, on], joint.of(x[:, on]), count[on], labels[on], m[j, on]))
+        if not own:
+            return [Tree(depth) for _ in range(trees)]
+        x, codes, count, labels, m = (np.concatenate(v, axis=-1) for v in zip(*own))
+        cuts = [slice(at, at + BLOCK_ROWS) for at in range(0, len(m), BLOCK_ROWS)]
+
+        def sums(current: list[Tree], asked: list[list[int]], counted: bool) -> list[np.ndarray]:
+            out = joint.empty(len(asked[0]))
+            for c in cuts:
+                joint.tally(out, current[0], asked[0], counted, x[:, c], codes[:, c], count[c], labels[c], m[c], None)
+            return [joint.padded(joint.bins(out))]
+
+        grown: list[Tree] = []
+        roots: dict[int, np.ndarray] = {}
+        for _ in range(trees):
+            grown += _round(1, depth, rate, sums, roots)
+            for c in cuts:
+                m[c] += grown[-1].values(x[:, c])
+        return grown
+
+    k = len(starts)
+    try:
+        return sc.parallelize(range(k), k).map(run).collect()
+    finally:
+        shared.destroy()
+
+
+def _dealt(work: Workspace, held: DataFrame, opened: Callable, closed: Callable, joint: Codes, starts: list[float], trees: int, depth: int, rate: float) -> list[list[Tree]]:
+    """The trees by fit, with the blocks dealt over all cores: a job a level."""
+    k = len(starts)
+
+    def moved(last: list[Tree]) -> Callable:
+        def run(blocks: Iterator[tuple]) -> Iterator[tuple]:
+            for *rest, m in blocks:
+                fits, x = rest[1], rest[3]
+                yield *rest, np.stack([m[j] + last[i].values(x) for j, i in enumerate(fits)]) if len(fits) else m
 
         return run
 
-    def added(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        out = sum(np.frombuffer(v.as_py()) for v in table.column("sums"))
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([out.tobytes()])], names=["fit", "sums"])
+    def tallied(current: list[Tree], asked: list[list[int]], counted: bool) -> Callable:
+        def run(blocks: Iterator[tuple]) -> Iterator[tuple[int, np.ndarray]]:
+            out = {i: joint.empty(len(asked[i])) for i in range(k) if asked[i]}
+            for _, fits, uses, x, count, labels, m in blocks:
+                codes = joint.of(x)
+                for j, i in enumerate(fits.tolist()):
+                    if i in out:
+                        joint.tally(out[i], current[i], asked[i], counted, x, codes, count, labels, m[j], None if uses is None else uses[j])
+            return ((i, joint.bins(o)) for i, o in out.items())
+
+        return run
+
+    def kept(blocks: RDD) -> RDD:
+        return blocks.persist(StorageLevel.MEMORY_AND_DISK_DESER)
+
+    state = kept(held.rdd.map(opened))
+    tasks = state.getNumPartitions()
+
+    def sums(current: list[Tree], asked: list[list[int]], counted: bool) -> list[np.ndarray]:
+        got = state.mapPartitions(tallied(current, asked, counted))
+        if tasks > DIRECT:
+            got = got.reduceByKey(np.add, min(k, tasks))
+        total: list = [0.0] * k
+        for i, o in got.collect():
+            total[i] = total[i] + o
+        return [joint.padded(t) if asked[i] else np.zeros(0) for i, t in enumerate(total)]
 
-    tasks = held.rdd.getNumPartitions()
     done: list[list[Tree]] = [[] for _ in range(k)]
+    roots: dict[int, np.ndarray] = {}
     for number in range(trees):
-        if number and number % SAVE == 0:
-            held = work.save(held.mapInArrow(updated(spark.sparkContext.broadcast([t[-SAVE:] for t in done])), schema))
-        grown = [t[number - number % SAVE :] for t in done]
-        current = [Tree(depth) for _ in range(k)]
-        # of each fit the nodes of the level that may be split; of siblings, (the one that is added up, the other one)
-        pairs: list[list[tuple[int, int | None]]] = [[(0, None)] for _ in range(k)]
-        known: list[dict[int, np.ndarray]] = [{} for _ in range(k)]
-        for level in range(depth):
-            if not any(pairs):
-                break
-            asked = [[node for node, _ in p] for p in pairs]
-            count = max(map(len, asked))
-            shared = spark.sparkContext.broadcast((grown, current, asked))
-            got = held.mapInArrow(histograms(shared, count), "fit int, sums binary")
-            if tasks > DIRECT:
-                got = got.groupBy("fit").applyInArrow(added, "fit int, sums binary")
-            total = np.zeros((k, 3, count, d, width))
-            for r in got.toLocalIterator() if tasks > DIRECT else got.collect():
-                total[r["fit"]] += np.frombuffer(r["sums"]).reshape(3, count, d, width)
-            shared.destroy()
-            for i in range(k):
-                t, before = current[i], known[i]
-                known[i], after = {}, []
-                for j, (node, other) in enumerate(pairs[i]):
-                    known[i][node] = total[i][:, j]
-                    if other is not None:
-                        known[i][other] = before[(node - 1) // 2] - total[i][:, j]
-                for node, (g, h, n) in sorted(known[i].items()):
-                    if level == 0:
-                        t.cover[0], t.value[0] = n[0].sum(), rate * g[0].sum() / max(1e-12, h[0].sum())
-                    if not n[0].sum():
-                        continue
-                    gain, f, e = _split(g, n)
-                    if gain <= 1e-9:
-                        continue
-                    t.feature[node], t.edge[node] = f, e
-                    low, high = 2 * node + 1, 2 * node + 2
-                    for child, part in ((low, slice(0, e + 1)), (high, slice(e + 1, None))):
-                        t.cover[child], t.value[child] = n[f, part].sum(), rate * g[f, part].sum() / max(1e-12, h[f, part].sum())
-                    after.append((low, high) if t.cover[low] <= t.cover[high] else (high, low))
-                pairs[i] = after
-        for i in range(k):
-            done[i].append(current[i])
-    return [Boosted(columns, edges, starts[i], done[i]) for i in range(k)]
+        before = state
+        if number:
+            now = before.mapPartitions(moved([t[-1] for t in done]))
+            if number % SAVE == 0:
+                now = work.save(work.spark.createDataFrame(now.map(closed), BLOCK, verifySchema=False)).rdd.map(opened)
+            state = kept(now)
+        for t, more in zip(done, _round(k, depth, rate, sums, roots)):
+            t.append(more)
+        if number:
+            before.unpersist()
+    state.unpersist()
+    return done
 
 
 # ---- scoring ----------------------------------------------------------------------------
@@ -318,18 +485,42 @@ def _matrix(b: pa.RecordBatch, columns: list[str]) -> np.ndarray:
     return np.column_stack([np.nan_to_num(b.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False)) for c in columns])
 
 
-def margins(rows: DataFrame, models: dict[str, Boosted]) -> DataFrame:
-    """The rows with a column of margins for each model."""
-    shared = rows.sparkSession.sparkContext.broadcast(models)
+def _joined(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Batches of ``least`` rows or more, but for the last, so that work on columns outweighs the calls."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(h.num_rows for h in held) >= least:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+def margins(rows: DataFrame, models: dict[str, Boosted], only: dict[str, Column] | None = None) -> DataFrame:
+    """The rows with a column of margins for each model; null where the model's condition in ``only`` does not hold."""
+    shared, only = rows.sparkSession.sparkContext.broadcast(models), only or {}
     schema = T.StructType([*rows.schema.fields, *(T.StructField(name, T.DoubleType()) for name in models)])
+    asked = {name: f"_only_{name}" for name in only}
 
     def run(batches):
-        for b in batches:
+        for b in _joined(batches, BATCH_ROWS):
+            out, binned = b.drop_columns(list(asked.values())), {}
             for name, m in shared.value.items():
-                b = b.append_column(name, pa.array(m.margin(_matrix(b, m.columns))))
-            yield b
-
-    return rows.mapInArrow(run, schema)
+                # models of one call of fit share their edges
+                x = binned.get(id(m.edges))
+                if x is None:
+                    x = binned[id(m.edges)] = m.columns_of(_matrix(b, m.columns))
+                if name in asked:
+                    on = b.column(asked[name]).to_numpy(zero_copy_only=False)
+                    values = np.zeros(b.num_rows)
+                    values[on] = m.margin_of(x[:, on])
+                    out = out.append_column(name, pa.array(values, mask=~on))
+                else:
+                    out = out.append_column(name, pa.array(m.margin_of(x)))
+            yield out
+
+    return rows.withColumns({asked[name]: F.coalesce(c, F.lit(False)) for name, c in only.items()}).mapInArrow(run, schema)
 
 
 def attributed(rows: DataFrame, model: Boosted, keep: list[str]) -> DataFrame:
@@ -349,16 +540,31 @@ def attributed(rows: DataFrame, model: Boosted, keep: list[str]) -> DataFrame:
 
 def platt(rows: DataFrame, margin: str, label: str, steps: int = 30) -> tuple[float, float]:
     """(slope, shift) of the logistic curve through margins and labels, by Newton steps; each is one small aggregation."""
-    a, b = 1.0, 0.0
+    return platts(rows, [margin], label, steps)[0]
+
+
+def platts(rows: DataFrame, margins: list[str], label: str, steps: int = 30) -> list[tuple[float, float]]:
+    """(slope, shift) for each column of margins, over the rows where it is not null; a step is one aggregation for all."""
+    curves, going = [(1.0, 0.0)] * len(margins), list(range(len(margins)))
     for _ in range(steps):
-        p = 1 / (1 + F.exp(-(F.col(margin) * a + b)))
-        e, w, x = F.col(label) - p, p * (1 - p), F.col(margin)
-        r = rows.agg(F.sum(e * x).alias("ga"), F.sum(e).alias("gb"), F.sum(w * x * x).alias("aa"), F.sum(w * x).alias("ab"), F.sum(w).alias("bb")).first()
-        if r["bb"] is None:
-            return 1.0, 0.0
-        # a little is added to the diagonal, since separated classes have no finite curve
-        step = np.linalg.solve(np.array([[r["aa"] + 1e-3, r["ab"]], [r["ab"], r["bb"] + 1e-3]]), np.array([r["ga"] - 1e-3 * a, r["gb"] - 1e-3 * b]))
-        a, b = a + float(step[0]), b + float(step[1])
-        if abs(step).max() < 1e-9:
+        if not going:
             break
-    return a, b
+        wanted = []
+        for i in going:
+            (a, b), x = curves[i], F.col(margins[i])
+            p = 1 / (1 + F.exp(-(x * a + b)))
+            e, w = F.col(label) - p, p * (1 - p)
+            wanted += [F.sum(v).alias(f"{name}{i}") for name, v in (("ga", e * x), ("gb", e), ("aa", w * x * x), ("ab", w * x), ("bb", w))]
+        r, more = rows.agg(*wanted).first(), []
+        for i in going:
+            ga, gb, aa, ab, bb = (r[f"{name}{i}"] for name in ("ga", "gb", "aa", "ab", "bb"))
+            if bb is None:
+                continue
+            a, b = curves[i]
+            # a little is added to the diagonal, since separated classes have no finite curve
+            step = np.linalg.solve(np.array([[aa + 1e-3, ab], [ab, bb + 1e-3]]), np.array([ga - 1e-3 * a, gb - 1e-3 * b]))
+            curves[i] = a + float(step[0]), b + float(step[1])
+            if abs(step).max() >= 1e-9:
+                more.append(i)
+        going = more
+    return curves

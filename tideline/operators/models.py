@@ -30,9 +30,10 @@ def classifiers(rows: DataFrame, columns: list[str], label: str, parts: list[Col
     use = [F.col(f"_part{g}") & (F.lit(True) if k == folds else F.col("_fold") != k) for g in range(len(parts)) for k in range(folds + 1)]
     fitted = boosting.fit(data, columns, label, use, trees, depth, rate)
     at = lambda g, k: fitted[g * (folds + 1) + k]
-    seen = boosting.margins(data, {f"_m{g}_{k}": at(g, k) for g in range(len(parts)) for k in range(folds)})
-    unseen = work.save(seen.select(F.col(label).cast("double").alias("y"), *[F.when(F.col(f"_part{g}"), F.coalesce(*[F.when(F.col("_fold") == k, F.col(f"_m{g}_{k}")) for k in range(folds)])).alias(f"m{g}") for g in range(len(parts))]))
-    return [(at(g, folds), boosting.platt(unseen.where(F.col(f"m{g}").isNotNull()), f"m{g}", "y")) for g in range(len(parts))]
+    unseen_by = {f"_m{g}_{k}": F.col(f"_part{g}") & (F.col("_fold") == k) for g in range(len(parts)) for k in range(folds)}
+    seen = boosting.margins(data, {f"_m{g}_{k}": at(g, k) for g in range(len(parts)) for k in range(folds)}, unseen_by)
+    unseen = work.save(seen.select(F.col(label).cast("double").alias("y"), *[F.coalesce(*[F.col(f"_m{g}_{k}") for k in range(folds)]).alias(f"m{g}") for g in range(len(parts))]))
+    return [(at(g, folds), curve) for g, curve in enumerate(boosting.platts(unseen, [f"m{g}" for g in range(len(parts))], "y"))]
 
 
 def classifier(rows: DataFrame, columns: list[str], label: str, **kw) -> tuple[Boosted, tuple[float, float]]:
@@ -47,7 +48,7 @@ def leave_one_out(rows: DataFrame, columns: list[str], label: str, group: str, *
     """Probabilities of each group's rows from a model of all other groups; groups are a few crises."""
     groups = [r[0] for r in rows.select(group).distinct().where(F.col(group).isNotNull()).orderBy(group).collect()]
     fitted = classifiers(rows, columns, label, [F.col(group) != g for g in groups], **kw)
-    scored = boosting.margins(rows, {f"_m{i}": model for i, (model, _) in enumerate(fitted)})
+    scored = boosting.margins(rows, {f"_m{i}": model for i, (model, _) in enumerate(fitted)}, {f"_m{i}": F.col(group) == g for i, g in enumerate(groups)})
     own = F.coalesce(*[F.when(F.col(group) == g, F.col(f"_m{i}") * a + b) for i, (g, (_, (a, b))) in enumerate(zip(groups, fitted))], F.lit(None).cast("double"))
     return scored.withColumn("probability_", 1 / (1 + F.exp(-own))).drop(*[f"_m{i}" for i in range(len(groups))])
 
