@@ -71,15 +71,14 @@ class Tree:
         def below(node: int, level: int) -> np.ndarray | None:
             if self.feature[node] < 0:
                 return None
-            right = (b[self.feature[node]] > self.edge[node]).astype(kind)
+            # an edge of the bins' own type, so that they are compared as they are
+            right = np.negative((b[self.feature[node]] > b.dtype.type(self.edge[node])).view(np.uint8).astype(kind, copy=False))
             low, high = below(2 * node + 1, level + 1), below(2 * node + 2, level + 1)
-            out = right << kind(self.depth - 1 - level)
-            if low is not None or high is not None:
-                mask = np.negative(right)
-                if low is not None:
-                    out |= low & ~mask
-                if high is not None:
-                    out |= high & mask
+            out = right & kind(1 << self.depth - 1 - level)
+            if high is not None:
+                out |= high & right
+            if low is not None:
+                out |= low & np.invert(right, out=right)
             return out
 
         got = below(0, 0)
@@ -178,7 +177,10 @@ def _edges(rows: DataFrame, columns: list[str], bins: int) -> list[np.ndarray]:
 
 
 def _sigmoid(m: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-m))
+    p = np.negative(m)
+    np.exp(p, out=p)
+    p += 1
+    return np.divide(1, p, out=p)
 
 
 def _split(g: np.ndarray, n: np.ndarray) -> tuple[float, int, int]:
@@ -211,7 +213,7 @@ class Codes:
 
     def of(self, x: np.ndarray) -> np.ndarray:
         """(groups, rows) codes of (features, rows) bins, as whole words to add by."""
-        out = np.zeros((len(self.groups), x.shape[1]), np.uint16)
+        x, out = x.astype(np.uint16), np.zeros((len(self.groups), x.shape[1]), np.uint16)
         for j, g in enumerate(self.groups):
             for f in g:
                 out[j] *= np.uint16(self.widths[f])
@@ -219,7 +221,7 @@ class Codes:
         return out.astype(np.intp)
 
     def empty(self, nodes: int) -> tuple[np.ndarray, np.ndarray]:
-        """For ``tally``: residuals and curvatures as the two parts of a number, and rows; of a group its nodes, of a node its codes."""
+        """For ``tally``: residuals and curvatures as the two parts of a number, and rows; of a group its codes, of a code the nodes."""
         return np.zeros(nodes * self.size, complex), np.zeros(nodes * self.size)
 
     def bins(self, tallied: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -228,9 +230,9 @@ class Codes:
         sums, nodes = np.stack([both.real, both.imag, n]), len(n) // self.size
         out = np.zeros((3, nodes, *self.inside.shape))
         for g, (first, size) in zip(self.groups, self.spans):
-            cube = sums[:, nodes * first : nodes * (first + size)].reshape(3, nodes, *[self.widths[f] for f in g])
+            cube = sums[:, nodes * first : nodes * (first + size)].reshape(3, *[self.widths[f] for f in g], nodes)
             for j, f in enumerate(g):
-                out[:, :, f, : self.widths[f]] = cube.sum(axis=tuple(2 + i for i in range(len(g)) if i != j))
+                out[:, :, f, : self.widths[f]] = cube.sum(axis=tuple(1 + i for i in range(len(g)) if i != j)).swapaxes(1, 2)
         return out[:, :, self.inside]
 
     def padded(self, sums: np.ndarray) -> np.ndarray:
@@ -243,24 +245,32 @@ class Codes:
         """Adds to ``out`` the residuals, the curvatures and, if they are to be ``counted``, the rows of the asked nodes.
 
         A row counts ``n`` times, ``s`` is the sum of its labels and ``m`` its margin; rows outside ``on`` take no part.
+        ``codes`` are multiplied by the nodes that ``out`` has room for.
         """
+        nodes = len(out[1]) // self.size
         if asked == [0] and on is None:
-            rows, first = None, 0
+            rows = None
         else:
-            slot = np.full(len(tree.feature), -1)
+            slot = np.full(len(tree.feature), -1, np.int8)
             slot[asked] = np.arange(len(asked))
             at = np.take(slot[tree.ends()], tree.paths(x))
             rows = np.flatnonzero(at >= 0 if on is None else on & (at >= 0))
             if not len(rows):
                 return
-            first, n, s, m = at[rows], n[rows], s[rows], m[rows]
+            n, s, m = n[rows], s[rows], m[rows]
+            first = at[rows].astype(np.intp) if len(asked) > 1 else None
         p = _sigmoid(m)
         h = n * p
         both = np.empty(len(h), complex)
-        both.real, both.imag = s - h, h * (1 - p)
-        nodes = len(asked)
+        both.real = s - h
+        h *= np.subtract(1, p, out=p)
+        both.imag = h
         for c, (start, size) in zip(codes, self.spans):
-            cells, own = c if rows is None else first * size + np.take(c, rows), slice(nodes * start, nodes * (start + size))
+            cells, own = c, slice(nodes * start, nodes * (start + size))
+            if rows is not None:
+                cells = np.take(c, rows)
+                if first is not None:
+                    cells += first
             np.add.at(out[0][own], cells, both)
             if counted:
                 out[1][own] += np.bincount(cells, n, nodes * size)
@@ -404,7 +414,7 @@ def _whole(work: Workspace, held: DataFrame, opened: Callable, closed: Callable,
         def sums(current: list[Tree], asked: list[list[int]], counted: bool) -> list[np.ndarray]:
             out = joint.empty(len(asked[0]))
             for c in cuts:
-                joint.tally(out, current[0], asked[0], counted, x[:, c], codes[:, c], count[c], labels[c], m[c], None)
+                joint.tally(out, current[0], asked[0], counted, x[:, c], codes[:, c] * len(asked[0]), count[c], labels[c], m[c], None)
             return [joint.padded(joint.bins(out))]
 
         grown: list[Tree] = []
@@ -436,13 +446,14 @@ def _dealt(work: Workspace, held: DataFrame, opened: Callable, closed: Callable,
 
     def tallied(current: list[Tree], asked: list[list[int]], counted: bool) -> Callable:
         def run(blocks: Iterator[tuple]) -> Iterator[tuple[int, np.ndarray]]:
-            out = {i: joint.empty(len(asked[i])) for i in range(k) if asked[i]}
+            nodes = max(map(len, asked))
+            out = {i: joint.empty(nodes) for i in range(k) if asked[i]}
             for _, fits, uses, x, count, labels, m in blocks:
-                codes = joint.of(x)
+                codes = joint.of(x) * nodes
                 for j, i in enumerate(fits.tolist()):
                     if i in out:
                         joint.tally(out[i], current[i], asked[i], counted, x, codes, count, labels, m[j], None if uses is None else uses[j])
-            return ((i, joint.bins(o)) for i, o in out.items())
+            return ((i, joint.bins(o)[:, : len(asked[i])]) for i, o in out.items())
 
         return run
 
